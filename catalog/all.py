@@ -2,3 +2,4 @@
 
 from . import metrics_queries  # noqa: F401
 from . import chain_queries  # noqa: F401
+from . import pricing_queries  # noqa: F401

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from voltable.functions.common import rounded
 from voltable.views import Views
 
-from .sqlviews import with_views
-
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +21,7 @@ def query(name: str, sql: str | None = None, places: int = 6):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda v: rounded(fn(v), places)
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
 
     return add

@@ -163,7 +163,7 @@ query("b17_limit_checks", """
         "sid", "exit_date", c.check_position_limit("n", 2).alias("positions_ok"), c.check_capital_limit("used", F.lit(10000.0), F.lit(100000.0)).alias("capital_ok"),
         c.check_delta_limit("delta", 20).alias("delta_ok")))
 _EVENTS = [("earnings", "2024-01-25"), ("fomc", "2024-01-31"), ("cpi", "2024-01-11"), ("earnings", "2024-04-25"), ("fomc", "2024-03-20"), ("cpi", "2024-02-13")]
-view("calendar_events", "SELECT column0 AS event_type, column1 AS event_date FROM (VALUES " + ", ".join(f"('{t}', DATE '{d}')" for t, d in _EVENTS) + ")")
+view("calendar_events", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', DATE '{d}')" for t, d in _EVENTS) + ") t(event_type, event_date)")
 
 
 def events(v):
@@ -253,21 +253,21 @@ query("d02_spot_put_call", f"SELECT symbol, quote_date, {r('spot')} AS spot_put_
 view("band_iv", """
     SELECT symbol, quote_date, coalesce(CASE WHEN count_if(near) > 0 THEN avg(CASE WHEN vol > 0 THEN vol END) FILTER (near) ELSE avg(CASE WHEN vol > 0 THEN vol END) FILTER (rn <= 5) END, 2e-1) AS iv
     FROM (SELECT *, abs(strike / spot - 1) < 0.02 AS near, row_number() OVER (PARTITION BY symbol, quote_date ORDER BY abs(strike - spot), strike, expiration, option_type) AS rn FROM quotes) GROUP BY ALL""")
-query("d03_atm_iv_band", f"SELECT symbol, quote_date, {r('iv')} AS iv FROM band_iv")(lambda v: ch.atm_iv_band(v.quotes))
+query("d03_atm_iv_band", f"SELECT symbol, quote_date, {r('iv', 10)} AS iv FROM band_iv", 10)(lambda v: ch.atm_iv_band(v.quotes))
 query("d04_daily_atm_iv", f"""
     WITH s AS (SELECT * FROM quotes WHERE dte BETWEEN 40 AND 50), p AS (
       SELECT symbol, quote_date, arg_min(strike, (abs(cp - pp), strike)) AS spot FROM (
         SELECT symbol, quote_date, expiration, strike, max(mid) FILTER (option_type = 'call') AS cp, max(mid) FILTER (option_type = 'put') AS pp FROM s GROUP BY ALL) GROUP BY ALL),
     k AS (SELECT s.symbol, s.quote_date, strike, avg(vol) AS iv, any_value(p.spot) AS spot FROM s JOIN p ON p.symbol = s.symbol AND p.quote_date = s.quote_date GROUP BY ALL)
-    SELECT symbol, quote_date, {r('iv')} AS iv FROM (SELECT symbol, quote_date, arg_min(iv, (abs(strike - spot), strike)) AS iv FROM k GROUP BY ALL) WHERE iv > 0""")(
+    SELECT symbol, quote_date, {r('iv', 10)} AS iv FROM (SELECT symbol, quote_date, arg_min_null(iv, (abs(strike - spot), strike)) AS iv FROM k GROUP BY ALL) WHERE iv > 0""", 10)(
     lambda v: ch.daily_atm_iv(v.quotes, 45))
-query("d04_daily_mean_iv", f"SELECT symbol, quote_date, {r('avg(vol)')} AS iv FROM quotes WHERE dte BETWEEN 25 AND 35 GROUP BY ALL")(
+query("d04_daily_mean_iv", f"SELECT symbol, quote_date, {r('avg(vol)', 10)} AS iv FROM quotes WHERE dte BETWEEN 25 AND 35 GROUP BY ALL", 10)(
     lambda v: ch.daily_atm_iv(v.quotes, 30, use_atm=False))
 query("d05_chain_iv", f"""
     WITH k AS (SELECT symbol, quote_date, strike, avg(vol) AS iv FROM quotes WHERE dte BETWEEN 20 AND 40 AND vol > 0 GROUP BY ALL)
-    SELECT symbol, quote_date, {r('arg_min(iv, (abs(strike - m), strike))')} AS iv FROM (SELECT *, median(strike) OVER (PARTITION BY symbol, quote_date) AS m FROM k) GROUP BY ALL""")(
+    SELECT symbol, quote_date, {r('arg_min(iv, (abs(strike - m), strike))', 10)} AS iv FROM (SELECT *, median(strike) OVER (PARTITION BY symbol, quote_date) AS m FROM k) GROUP BY ALL""", 10)(
     lambda v: ch.chain_iv(v.quotes))
-query("d05_chain_iv_at_strike", f"SELECT symbol, quote_date, {r('avg(vol)')} AS iv FROM quotes WHERE dte BETWEEN 20 AND 40 AND vol > 0 AND strike = 50 GROUP BY ALL")(
+query("d05_chain_iv_at_strike", f"SELECT symbol, quote_date, {r('avg(vol)', 10)} AS iv FROM quotes WHERE dte BETWEEN 20 AND 40 AND vol > 0 AND strike = 50 GROUP BY ALL", 10)(
     lambda v: ch.chain_iv(v.quotes, 50.0))
 query("s02_nearest_strikes", f"""
     SELECT {_CONTRACT}, rn::INT AS nearness FROM (SELECT *, row_number() OVER (PARTITION BY symbol, quote_date ORDER BY abs(strike - spot), strike, expiration, option_type) AS rn FROM quotes) WHERE rn <= 5""")(
@@ -291,11 +291,11 @@ def snapshots(v):
     return ch.build_snapshots(v.quotes, v.vix, iv_min_obs=5)
 
 
-query("d06_build_snapshots", f"SELECT symbol, d, {r('spot')} AS spot, {r('iv')} AS iv, chain_size, {r('iv_rank')} AS iv_rank, {r('vix')} AS vix, regime, regime_days FROM snapshots")(snapshots)
+query("d06_build_snapshots", f"SELECT symbol, d, {r('spot')} AS spot, {r('iv', 10)} AS iv, chain_size, {r('iv_rank', 10)} AS iv_rank, {r('vix')} AS vix, regime, regime_days FROM snapshots", 10)(snapshots)
 query("d06_snapshots_on_calendar", f"""
     WITH k AS (SELECT symbol, d FROM (SELECT symbol, unnest(generate_series(min(quote_date), max(quote_date), INTERVAL 1 DAY))::DATE AS d FROM quotes GROUP BY symbol)
       WHERE isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN ('01-01', '07-04', '12-25'))
-    SELECT k.symbol, k.d, {r('s.spot')} AS spot, {r('s.iv')} AS iv FROM k LEFT JOIN snap_days s ON s.symbol = k.symbol AND s.d = k.d AND day(s.d) % 5 <> 0""")(
+    SELECT k.symbol, k.d, {r('s.spot')} AS spot, {r('s.iv')} AS iv FROM k LEFT JOIN snap_days s ON s.symbol = k.symbol AND s.d = k.d AND day(s.d) % 5 <> 0""", 10)(
     lambda v: ch.build_snapshots(v.quotes.filter("day(quote_date) % 5 <> 0"), None, cal.calendar_spans(src.date_range(v.quotes, ["symbol"]), ["symbol"])).select("symbol", "d", "spot", "iv"))
 query("u03_distinct_values", "SELECT DISTINCT symbol, quote_date, strike FROM quotes")(lambda v: v.quotes.select("symbol", "quote_date", "strike").distinct())
 query("u02_common_strikes", "SELECT DISTINCT symbol, quote_date, strike FROM quotes WHERE option_type = 'call' AND bid > 0 INTERSECT SELECT symbol, quote_date, strike FROM quotes WHERE option_type = 'put' AND bid > 0")(
@@ -320,13 +320,14 @@ view("dirty_bars", "SELECT symbol, d, o, CASE WHEN day(d) % 6 = 0 THEN l ELSE h
 query("e04_data_quality_report", f"""
     WITH a AS (SELECT count(*) AS n, count(DISTINCT symbol) AS u, min(quote_date) AS f, max(quote_date) AS l, count_if(vol IS NULL) AS k,
       {' + '.join(f'(CASE WHEN count_if({cond}) > 0 THEN 1 ELSE 0 END)' for _, _, cond in _RULES)} AS i FROM quotes)
-    SELECT n AS total_rows, 15::INT AS total_columns, k AS total_nulls, u AS unique_symbols, f AS first_date, l AS last_date, i::BIGINT AS issues,
-      {r('100 - least(30, k * 100e0 / (n * 15)) - least(40, i * 5e0)')} AS quality_score FROM a""")(
-    lambda v: q.data_quality_report(v.quotes.drop("t")).withColumn("total_columns", F.lit(15)) if len(v.quotes.drop("t").columns) == 15 else q.data_quality_report(v.quotes))
+    SELECT n AS total_rows, 14::INT AS total_columns, k AS total_nulls, u AS unique_symbols, f AS first_date, l AS last_date, i::BIGINT AS issues,
+      {r('100 - least(30, k * 100e0 / (n * 14)) - least(40, i * 5e0)')} AS quality_score FROM a""")(
+    lambda v: q.data_quality_report(v.quotes))
 query("e05_check_arbitrage", """
-    SELECT symbol, CASE WHEN option_type = 'call' AND px > spot * 1.05 THEN 'call_above_spot' WHEN option_type = 'call' AND px < greatest(spot - strike, 0) * 0.95 THEN 'call_below_intrinsic'
-        WHEN option_type = 'put' AND px > strike * 1.05 THEN 'put_above_strike' WHEN option_type = 'put' AND px < greatest(strike - spot, 0) * 0.95 THEN 'put_below_intrinsic' END AS violation, count(*) AS violations
-    FROM (SELECT *, CASE WHEN volume % 11 = 0 THEN mid * 0.5 WHEN volume % 13 = 0 THEN mid + 60 ELSE mid END AS px FROM quotes) GROUP BY ALL HAVING violation IS NOT NULL""")(
+    SELECT symbol, violation, count(*) AS violations FROM (
+      SELECT symbol, CASE WHEN option_type = 'call' AND px > spot * 1.05 THEN 'call_above_spot' WHEN option_type = 'call' AND px < greatest(spot - strike, 0) * 0.95 THEN 'call_below_intrinsic'
+          WHEN option_type = 'put' AND px > strike * 1.05 THEN 'put_above_strike' WHEN option_type = 'put' AND px < greatest(strike - spot, 0) * 0.95 THEN 'put_below_intrinsic' END AS violation
+      FROM (SELECT *, CASE WHEN volume % 11 = 0 THEN mid * 0.5 WHEN volume % 13 = 0 THEN mid + 60 ELSE mid END AS px FROM quotes)) WHERE violation IS NOT NULL GROUP BY ALL""")(
     lambda v: q.check_arbitrage(v.quotes.withColumn("px", F.when(F.col("volume") % 11 == 0, F.col("mid") * 0.5).when(F.col("volume") % 13 == 0, F.col("mid") + 60.0).otherwise(F.col("mid"))), ["symbol"], price="px"))
 query("e06_check_for_gaps", """
     SELECT sid, d, next_date, gap_days::INT AS gap_days, business_days FROM (

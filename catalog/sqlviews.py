@@ -78,7 +78,7 @@ VIEWS: dict[str, str] = {
                floor(sum(value::DECIMAL(18,4))::DOUBLE / count(*) * 100e0 + 5e-1) / 100e0 AS spot
         FROM events GROUP BY ALL""",
     "bars_long": """
-        SELECT symbol, d, c, 1e-1 + c / 1e6 AS iv FROM (
+        SELECT symbol, d, c, 1e-1 + c / 999983e0 AS iv FROM (
           SELECT 'L' || (o_custkey // 100) AS symbol, o_orderdate::DATE AS d,
                  sum(o_totalprice::DECIMAL(18,4))::DOUBLE / count(*) AS c
           FROM orders GROUP BY ALL)""",

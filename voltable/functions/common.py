@@ -46,3 +46,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
             x = (F.round(finite(x), places) + F.lit(0.0)).alias(name)
         out.append(x)
     return df.select(*out)
+
+
+def fenced(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add computed columns that later filters are not pushed through.
+
+    Catalyst substitutes a projected expression into every filter above it. For a price formula that
+    multiplies the work and can exceed the size of a generated method, so the values leave through a
+    one-element `inline`, which stays inside whole-stage code but is opaque to predicate pushdown.
+    """
+    return df.drop(*cols).select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import EPSILON, col_of, phi
+from .common import EPSILON, col_of, fenced, phi
 from .normal import norm_cdf, norm_pdf
 
 DAYS_PER_YEAR = 365.0
@@ -111,7 +111,7 @@ def price_chain(
     """Theoretical price per row. `zero_vol='undiscounted'` is the whole-chain convention
     in which a row without time or volatility is worth S - K."""
     base = _prepared(df, spot, strike, t, rate, sigma, option_type)
-    return base.withColumn(out, _price_column(zero_vol)).drop(*_SCRATCH)
+    return fenced(base, {out: _price_column(zero_vol)}).drop(*_SCRATCH)
 
 
 def enrich_greeks(
@@ -123,4 +123,4 @@ def enrich_greeks(
     cols = {prefix + n: c for n, c in _greek_columns().items()}
     if price:
         cols[price] = _price_column("discounted")
-    return base.withColumns(cols).drop(*_SCRATCH)
+    return fenced(base, cols).drop(*_SCRATCH)

@@ -22,32 +22,35 @@ def svi_variance(k, a="a", b="b", rho="rho", m="m", sigma="sigma") -> Column:
     return col_of(a) + col_of(b) * (col_of(rho) * x + F.sqrt(x * x + col_of(sigma) * col_of(sigma)))
 
 
+def _trial(k, target, m, s):
+    """Best a, b, rho for many (m, s) pairs at once: 3 x 3 normal equations, then the admissible box."""
+    x = k[None, :] - m[:, None]
+    root = np.sqrt(x * x + (s * s)[:, None])
+    basis = np.stack([np.ones_like(x), x, root], axis=2)
+    gram = np.einsum("gni,gnj->gij", basis, basis) + 1e-10 * np.eye(3)
+    lin = np.linalg.solve(gram, np.einsum("gni,n->gi", basis, target)[..., None])[..., 0]
+    b = np.clip(lin[:, 2], *BOUNDS["b"])
+    rho = np.clip(lin[:, 1] / b, *BOUNDS["rho"])
+    shape = b[:, None] * (rho[:, None] * x + root)
+    a = np.clip((target[None, :] - shape).mean(axis=1), *BOUNDS["a"])
+    err = ((a[:, None] + shape - target[None, :]) ** 2).sum(axis=1)
+    i = int(np.argmin(err))
+    return err[i], a[i], b[i], rho[i], m[i], s[i]
+
+
 def _fit(k: np.ndarray, iv: np.ndarray) -> tuple[float, ...]:
     """Two non-linear parameters on a refined grid; the other three are linear least squares given them."""
     target = iv * iv
-
-    def trial(m, s):
-        x = k - m
-        basis = np.column_stack([np.ones_like(x), x, np.sqrt(x * x + s * s)])
-        lin = np.linalg.lstsq(basis, target, rcond=None)[0]
-        b = np.clip(lin[2], *BOUNDS["b"])
-        rho = np.clip(lin[1] / b, *BOUNDS["rho"])
-        shape = b * (rho * x + basis[:, 2])
-        a = np.clip(np.mean(target - shape), *BOUNDS["a"])
-        return float(np.sum((a + shape - target) ** 2)), a, b, rho, m, s
-
     centre_m, centre_s, span_m, span_s = 0.0, np.log(0.3), 0.6, 2.2
-    best = None
-    for _ in range(4):
-        ms = np.clip(centre_m + span_m * np.linspace(-1, 1, 9), *BOUNDS["m"])
-        ss = np.clip(np.exp(centre_s + span_s * np.linspace(-1, 1, 9)), *BOUNDS["sigma"])
-        for m in np.unique(ms):
-            for s in np.unique(ss):
-                cand = trial(m, s)
-                if best is None or cand[0] < best[0]:
-                    best = cand
+    best, steps = None, np.linspace(-1, 1, 11)
+    for _ in range(5):
+        ms = np.clip(centre_m + span_m * steps, *BOUNDS["m"])
+        ss = np.clip(np.exp(centre_s + span_s * steps), *BOUNDS["sigma"])
+        mm, sg = np.meshgrid(ms, ss)
+        cand = _trial(k, target, mm.ravel(), sg.ravel())
+        best = cand if best is None or cand[0] < best[0] else best
         centre_m, centre_s = best[4], np.log(best[5])
-        span_m, span_s = span_m / 4, span_s / 4
+        span_m, span_s = span_m / 3, span_s / 3
     _, a, b, rho, m, s = best
     x = k - m
     model = a + b * (rho * x + np.sqrt(x * x + s * s))
@@ -55,7 +58,6 @@ def _fit(k: np.ndarray, iv: np.ndarray) -> tuple[float, ...]:
     return a, b, rho, m, s, rmse
 
 
-@F.pandas_udf(PARAM_TYPE)
 def _fit_slices(ks: pd.Series, ivs: pd.Series) -> pd.DataFrame:
     rows = [_fit(np.asarray(k, float), np.asarray(v, float)) for k, v in zip(ks, ivs)]
     return pd.DataFrame(rows, columns=["a", "b", "rho", "m", "sigma", "rmse"])
@@ -68,11 +70,13 @@ def fit_vol_surface(chain: DataFrame, spot="spot", iv="vol", min_points=MIN_POIN
     task fits the slices of its partition. Slices with too few points or negative minimum variance drop out.
     """
     ok = chain.filter((F.col(iv) > 0) & (F.col(iv) < 2.0) & (F.col("strike") > 0) & (F.col(spot) > 0))
-    slices = ok.groupBy(*SLICE).agg(
+    # an explicit partition count keeps AQE from merging slices that are small in bytes but costly to fit
+    tasks = int(chain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = ok.repartition(tasks, *SLICE).groupBy(*SLICE).agg(
         F.avg(spot).alias("_spot"), F.array_sort(F.collect_list(F.struct("strike", F.col(iv).alias("iv")))).alias("_pts"))
     slices = slices.withColumn("num_points", F.size("_pts")).filter(F.col("num_points") >= min_points)
     logm = F.transform("_pts", lambda p: F.log(p["strike"] / F.col("_spot")))
-    fit = slices.withColumn("_f", _fit_slices(logm, F.transform("_pts", lambda p: p["iv"]))).select(*SLICE, "_f.*", "num_points")
+    fit = slices.withColumn("_f", F.pandas_udf(_fit_slices, PARAM_TYPE)(logm, F.transform("_pts", lambda p: p["iv"]))).select(*SLICE, "_f.*", "num_points")
     floor = F.col("a") + F.col("b") * F.col("sigma") * F.sqrt(F.lit(1.0) - F.col("rho") * F.col("rho"))
     return fit.filter((F.col("b") >= 0) & (F.abs("rho") < 1) & (floor >= 0))
 

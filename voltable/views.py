@@ -57,7 +57,7 @@ class Views:
         )
         close = F.sum("p").cast("double") / F.count(F.lit(1))
         return o.groupBy("symbol", "d").agg(close.alias("c")).withColumn(
-            "iv", F.lit(0.1) + F.col("c") / 1e6
+            "iv", F.lit(0.1) + F.col("c") / 999983.0
         )
 
     @cached_property
