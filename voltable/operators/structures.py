@@ -69,7 +69,7 @@ def build_structures(entries: DataFrame) -> DataFrame:
     strike = F.col("atm") + F.col("_leg.w") * F.col("_w") + F.col("_leg.g") * F.col("_g")
     return out.withColumns({
         "leg_no": F.col("_leg.leg_no"), "option_type": F.col("_leg.option_type"), "side": F.col("_leg.side"), "strike": strike,
-    }).drop("_leg", "_w", "_g", "width", "wing", "atm")
+    }).drop("_leg", "_w", "_g")
 
 
 def strikes_by_stddev(df: DataFrame, spot="spot", iv="iv", dte="dte", k=1.0, wing_share=0.02) -> DataFrame:
