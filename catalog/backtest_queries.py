@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from voltable.operators import metrics as m, risk as k
 from voltable.plans import backtest as bt, execution as ex, strategies as sg, tables as tb
-from voltable.plans.lineage import materialize
+from voltable.plans.lineage import materialize, shared_folder
 
 from .base import query, r
 from .chain_queries import _MID, snapshots
@@ -230,21 +231,21 @@ view("k12", f"""SELECT position_id, sum(CASE WHEN side > 0 THEN pr + fees ELSE 0
 query("k12_execute_structures", f"SELECT position_id, {', '.join(f'{r(x, 4)} AS {x}' for x in ('total_cost', 'total_premium', 'commission', 'slippage', 'impact_cost'))}, filled AS filled_contracts, 0::BIGINT AS unfilled_contracts, {r('1 - (slippage + impact_cost) / greatest(abs(total_premium), 1)', 4)} AS execution_quality FROM k12", 4)(
     lambda v: ex.execute_structures(leg_quotes(v).filter("bid > 0 and ask > 0"), ["position_id"]))
 _POS = ("net_premium", "margin", "total_cost", "total_proceeds", "entry_commission", "exit_commission", "entry_slippage", "exit_slippage", "realized_pnl", "realized_pnl_fill")
-query("k17_positions", "SELECT strategy_id, position_id, instance_id, symbol, structure_type, expiration, entry_date, exit_date, exit_reason, quantity, num_legs, capital, hold_days, " + ", ".join(f"{r(x, 4)} AS {x}" for x in _POS) + " FROM positions", 4)(
+query("k17_positions", "SELECT strategy_id, position_id, instance_id, symbol, structure_type, expiration, entry_date, exit_date, exit_reason, quantity, num_legs, capital, hold_days, " + ", ".join(f"{r(x, 7)} AS {x}" for x in _POS) + " FROM positions", 7)(
     lambda v: run(v)["positions"])
-query("k13_mark_to_market", f"SELECT strategy_id, position_id, symbol, d, {r('value', 4)} AS value, {r('pnl', 4)} AS pnl, dte FROM pos_marks", 4)(lambda v: run(v)["marks"])
+query("k13_mark_to_market", f"SELECT strategy_id, position_id, symbol, d, {r('value', 7)} AS value, {r('pnl', 7)} AS pnl, dte FROM pos_marks", 7)(lambda v: run(v)["marks"])
 _LOG = ("net_premium", "total_cost", "total_proceeds", "commission", "slippage", "realized_pnl")
-query("k14_trade_log", "SELECT strategy_id, structure_id, structure_type, underlying, action, d, num_legs, exit_reason, trade_id, " + ", ".join(f"{r(x, 4)} AS {x}" for x in _LOG) + " FROM log", 4)(lambda v: run(v)["trade_log"])
+query("k14_trade_log", "SELECT strategy_id, structure_id, structure_type, underlying, action, d, num_legs, exit_reason, trade_id, " + ", ".join(f"{r(x, 7)} AS {x}" for x in _LOG) + " FROM log", 7)(lambda v: run(v)["trade_log"])
 _CUR = ("cash", "positions_value", "equity", "realized_pnl", "unrealized_pnl")
-query("k15_equity_curve", "SELECT strategy_id, d, num_positions, " + ", ".join(f"{r(x, 4)} AS {x}" for x in _CUR) + " FROM curve", 4)(lambda v: run(v)["equity_curve"])
+query("k15_equity_curve", "SELECT strategy_id, d, num_positions, " + ", ".join(f"{r(x, 7)} AS {x}" for x in _CUR) + " FROM curve", 7)(lambda v: run(v)["equity_curve"])
 query("k16_close_records", f"""SELECT strategy_id, position_id, structure_type, symbol, entry_date, exit_date, exit_reason, {r('net_premium', 4)} AS net_premium, {r('realized_pnl', 4)} AS realized_pnl,
       {r('CASE WHEN net_premium <> 0 THEN realized_pnl / abs(net_premium) ELSE 0 END', 4)} AS return_pct, hold_days FROM positions WHERE exit_date IS NOT NULL""", 4)(lambda v: bt.close_records(run(v)["positions"]))
-query("k17_run_totals", f"""SELECT c.strategy_id, {r('final_equity', 4)} AS final_equity, {r('rp', 4)} AS realized_pnl, coalesce(o, 0) AS trades_opened, coalesce(cl, 0) AS trades_closed FROM (SELECT strategy_id, arg_max(equity, d) AS final_equity, arg_max(realized_pnl, d) AS rp FROM curve GROUP BY 1) c
-    LEFT JOIN (SELECT strategy_id, count(*) AS o, count(exit_date) AS cl FROM positions GROUP BY 1) p USING (strategy_id)""", 4)(lambda v: bt.run_totals(run(v)))
+query("k17_run_totals", f"""SELECT c.strategy_id, {r('final_equity', 7)} AS final_equity, {r('rp', 7)} AS realized_pnl, coalesce(o, 0) AS trades_opened, coalesce(cl, 0) AS trades_closed FROM (SELECT strategy_id, arg_max(equity, d) AS final_equity, arg_max(realized_pnl, d) AS rp FROM curve GROUP BY 1) c
+    LEFT JOIN (SELECT strategy_id, count(*) AS o, count(exit_date) AS cl FROM positions GROUP BY 1) p USING (strategy_id)""", 7)(lambda v: bt.run_totals(run(v)))
 query("k22_position_summary", f"""SELECT symbol, structure_type, count(*) AS positions, count_if(exit_date IS NULL) AS open_positions, {r('sum(net_premium)', 4)} AS net_premium, {r('sum(margin) FILTER (exit_date IS NULL)', 4)} AS open_margin,
       {r('sum(realized_pnl)', 4)} AS realized_pnl, sum(quantity)::BIGINT AS contracts FROM positions GROUP BY ALL""", 4)(lambda v: bt.position_summary(run(v)["positions"], ["symbol", "structure_type"]))
-query("k23_pnl_summary", f"""SELECT strategy_id, d, {r('realized_pnl', 4)} AS realized_pnl, {r('unrealized_pnl', 4)} AS unrealized_pnl, {r('realized_pnl + unrealized_pnl', 4)} AS total_pnl, {r('(realized_pnl + unrealized_pnl) / 1e5', 4)} AS return_frac,
-      {r('equity', 4)} AS equity, {r('CASE WHEN equity > 0 THEN abs(positions_value) / equity END', 4)} AS utilization FROM curve""", 4)(lambda v: bt.pnl_summary(run(v)["equity_curve"]))
+query("k23_pnl_summary", f"""SELECT strategy_id, d, {r('realized_pnl', 9)} AS realized_pnl, {r('unrealized_pnl', 9)} AS unrealized_pnl, {r('realized_pnl + unrealized_pnl', 9)} AS total_pnl, {r('(realized_pnl + unrealized_pnl) / 1e5', 9)} AS return_frac,
+      {r('equity', 9)} AS equity, {r('CASE WHEN equity > 0 THEN abs(positions_value) / equity END', 9)} AS utilization FROM curve""", 9)(lambda v: bt.pnl_summary(run(v)["equity_curve"]))
 query("k24_lifecycle", """SELECT strategy_id, position_id, CASE WHEN exit_date <= DATE '2024-01-18' THEN 'closed' WHEN entry_date = DATE '2024-01-18' THEN 'open' WHEN entry_date < DATE '2024-01-18' THEN 'active' ELSE 'pending' END AS state, false AS is_duplicate FROM positions""")(
     lambda v: bt.lifecycle(run(v)["positions"], "2024-01-18"))
 query("f22_execution_summary", f"""SELECT strategy_id, count(*) AS num_executions, count_if(action = 'open') AS num_entries, count_if(action = 'close') AS num_exits, {r('sum(commission)', 4)} AS total_commissions, {r('sum(slippage)', 4)} AS total_slippage,
@@ -252,10 +253,19 @@ query("f22_execution_summary", f"""SELECT strategy_id, count(*) AS num_execution
     lambda v: ex.execution_summary(run(v)["trade_log"].withColumns({"kind": F.when(F.col("action") == "open", F.lit("entry")).otherwise(F.lit("exit")), "num_contracts": F.col("num_legs")}), ["strategy_id"]))
 query("r04_entry_exit_markers", f"""SELECT strategy_id, underlying, l.d, action, {r('b.spot')} AS price, (CASE WHEN action = 'open' THEN 1 ELSE -1 END * CASE WHEN structure_type LIKE 'short%' OR structure_type LIKE 'iron%' THEN -1 ELSE 1 END)::INT AS sign
     FROM log l LEFT JOIN bars b ON b.symbol = l.underlying AND b.d = l.d""")(lambda v: tb.entry_exit_markers(v.bars, run(v)["trade_log"]))
-query("r09_portfolio_timeline", f"SELECT c.strategy_id, c.d, {r('c.equity', 4)} AS equity, coalesce(n, 0)::INT AS held, {r('coalesce(p, 0)', 4)} AS held_pnl FROM curve c LEFT JOIN (SELECT strategy_id, d, count(*) AS n, sum(pnl) AS p FROM pos_marks GROUP BY ALL) USING (strategy_id, d)", 4)(
+query("r09_portfolio_timeline", f"SELECT c.strategy_id, c.d, {r('c.equity', 7)} AS equity, coalesce(n, 0)::INT AS held, {r('coalesce(p, 0)', 7)} AS held_pnl FROM curve c LEFT JOIN (SELECT strategy_id, d, count(*) AS n, sum(pnl) AS p FROM pos_marks GROUP BY ALL) USING (strategy_id, d)", 7)(
     lambda v: bt.portfolio_timeline(run(v)["equity_curve"], run(v)["marks"]).select(
         "strategy_id", "d", "equity", F.coalesce(F.size("open_positions"), F.lit(0)).alias("held"),
         F.coalesce(F.aggregate("open_positions", F.lit(0.0), lambda a, x: a + x["pnl"]), F.lit(0.0)).alias("held_pnl")).withColumn("held", F.greatest("held", F.lit(0))))
+def _written(v):
+    from voltable.sources.sinks import read_results, write_results
+
+    base = f"{shared_folder(v.spark)}/results-{uuid.uuid4().hex}"
+    write_results({"equity_curve": v.equity.withColumnRenamed("sid", "strategy_id"), "trades": v.trades.select("sid", "trade_id")}, base)
+    return read_results(v.spark, base, "equity_curve")
+
+
+query("a17_write_results", f"SELECT sid AS strategy_id, d, {r('equity', 4)} AS equity FROM equity", 4)(_written)
 query("x01_custom_rule", f"SELECT {_SIG} FROM signals WHERE spot > 45")(
     lambda v: bt.with_instances(bt.entry_signals(bt.with_expiries(_inputs(v)[1], _inputs(v)[0]), strategies(v), custom=F.col("spot") > 45)).select(*SIG))
 _TPL = ("high_iv_straddle", "iron_condor", "wheel", "earnings_straddle", "trend_following")

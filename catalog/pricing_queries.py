@@ -165,6 +165,11 @@ def _surface(points: str, cols: str) -> str:
 query("h13_surface_iv", _surface("SELECT symbol, quote_date, spot, strike, unnest([10, 40, 60, 200]) AS dte FROM (SELECT DISTINCT symbol, quote_date, spot, strike FROM chain)", "q.symbol, q.quote_date, q.strike, q.dte"))(
     lambda v: sf.surface_iv(v.chain.select("symbol", "quote_date", "spot", "strike").distinct().withColumn("dte", F.explode(F.array(*map(F.lit, (10, 40, 60, 200))))), svi(v)).select(
         "symbol", "quote_date", "strike", "dte", "surface_iv"))
+query("c06_surface_bracket", """
+    SELECT q.symbol, q.quote_date, q.dte, max(s.dte) FILTER (s.dte <= q.dte)::DOUBLE AS below, min(s.dte) FILTER (s.dte > q.dte)::DOUBLE AS above
+    FROM (SELECT DISTINCT symbol, quote_date, unnest([10, 40, 60, 200]) AS dte FROM chain) q JOIN svi s ON s.symbol = q.symbol AND s.quote_date = q.quote_date GROUP BY ALL""")(
+    lambda v: sf.surface_bracket(v.chain.select("symbol", "quote_date").distinct().withColumn("dte", F.explode(F.array(*map(F.lit, (10, 40, 60, 200))))), svi(v)).select(
+        "symbol", "quote_date", "dte", F.col("_lo.dte").alias("below"), F.col("_hi.dte").alias("above")))
 query("h14_smile_grid", "SELECT symbol, quote_date, point, round(strike, 6) + 0e0 AS strike, round(moneyness, 6) + 0e0 AS moneyness, round(ln(moneyness), 6) + 0e0 AS log_moneyness, surface_iv AS iv FROM (" + _surface(
     "SELECT *, spot * moneyness AS strike FROM (SELECT symbol, d AS quote_date, spot, 45 AS dte, i::INT AS point, 8e-1 + i * (4e-1 / 9) AS moneyness FROM bars, range(10) t(i))",
     "q.symbol, q.quote_date, q.point, q.strike, q.moneyness") + ")")(

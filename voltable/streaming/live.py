@@ -79,10 +79,13 @@ def stream_stale_quotes(quotes: DataFrame, threshold=3) -> DataFrame:
 
 
 class ExitWatch(StatefulProcessor):
-    """Per position: the peak P&L so far and whether it already closed."""
+    """Per position: the peak P&L so far and whether it already closed. State may expire `ttl_ms` after its last update."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("watch", "peak double, closed boolean")
+        self.state = handle.getValueState("watch", "peak double, closed boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("quote_ts")
@@ -111,12 +114,13 @@ class ExitWatch(StatefulProcessor):
         pass
 
 
-def stream_exit_monitor(marks: DataFrame, positions: DataFrame) -> DataFrame:
+def stream_exit_monitor(marks: DataFrame, positions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """One exit row per position. `marks` streams (position_id, quote_ts, pnl, dte); `positions` is static
     with (position_id, net_premium, profit_target, loss_limit, exit_dte, trail)."""
     both = marks.join(positions, "position_id").withColumn("pnl_pct", F.col("pnl") / F.abs("net_premium"))
     return both.groupBy("position_id").transformWithStateInPandas(
-        ExitWatch(), "position_id string, quote_ts timestamp, pnl double, peak_pnl double, exit_reason string", "Append", "None")
+        ExitWatch(ttl_ms), "position_id string, quote_ts timestamp, pnl double, peak_pnl double, exit_reason string", "Append",
+        "None" if ttl_ms is None else "ProcessingTime")
 
 
 def on_step(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, once=True) -> StreamingQuery:
