@@ -52,16 +52,26 @@ def norm_pdf(x) -> Column:
 
 
 def norm_cdf(x) -> Column:
-    """P(Z <= x). Give a materialised column: `x` appears many times in the expression."""
+    """P(Z <= x). On a hot path use `cdf_terms` and `cdf_from`, which evaluate |x| and its density once."""
     x = col_of(x)
-    a = F.abs(x)
-    e = F.exp(a * a * -0.5)
+    return cdf_from(x, F.abs(x), F.exp(x * x * -0.5))
+
+
+def cdf_terms(x) -> tuple[Column, Column]:
+    """|x| and exp(-x^2 / 2), to be materialised as columns before `cdf_from`."""
+    x = col_of(x)
+    return F.abs(x), F.exp(x * x * -0.5)
+
+
+def cdf_from(x, a, e) -> Column:
+    """The distribution from prepared terms. The text stays small: methods beyond 8000 bytes of code
+    are not compiled by the JVM, and this formula occurs twice per priced row."""
+    x, a, e = col_of(x), col_of(a), col_of(e)
     centre = e * _horner(a, tuple(map(F.lit, CDF_NUM))) / _horner(a, tuple(map(F.lit, CDF_DEN)))
-    tail = a + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        tail = a + F.lit(k) / tail
-    tail = e / tail / F.lit(SQRT_2PI)
-    low = F.when(a > 37.0, F.lit(0.0)).when(a < CDF_SPLIT, centre).otherwise(tail)
+    # beyond the split the whole tail is below 1e-12: three terms of the asymptotic series
+    s = F.pow(a, F.lit(-2.0))
+    tail = e * F.pow(a, F.lit(-1.0)) * (F.lit(1.0) - s + s * s * 3.0) * F.lit(1.0 / SQRT_2PI)
+    low = F.when(a < CDF_SPLIT, centre).when(a < 37.0, tail).otherwise(F.lit(0.0))
     return F.when(x > 0, F.lit(1.0) - low).otherwise(low)
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import EPSILON, col_of, fenced, phi
-from .normal import norm_cdf, norm_pdf
+from .normal import cdf_from, cdf_terms, norm_cdf
 
 DAYS_PER_YEAR = 365.0
 TINY = 1e-300
+INV_SQRT_2PI = 0.3989422804014327
 
 
 def d1_d2(spot, strike, t, rate, sigma) -> tuple[Column, Column]:
@@ -69,10 +70,13 @@ def _prepared(df: DataFrame, spot, strike, t, rate, sigma, option_type) -> DataF
         "_d2", F.when(F.col("_t") < EPSILON, F.col("_d1")).otherwise(F.col("_d1") - F.col("_vf") * F.sqrt("_t"))
     )
     base = base.withColumns({"_x1": F.col("_w") * F.col("_d1"), "_x2": F.col("_w") * F.col("_d2")})
-    return base.withColumns({"_n1": norm_cdf("_x1"), "_n2": norm_cdf("_x2"), "_pdf": norm_pdf("_d1")})
+    (a1, e1), (a2, e2) = cdf_terms("_x1"), cdf_terms("_x2")
+    base = base.withColumns({"_a1": a1, "_e1": e1, "_a2": a2, "_e2": e2})
+    # the density is even, so |d1| = |x1| gives it for free
+    return base.withColumns({"_n1": cdf_from("_x1", "_a1", "_e1"), "_n2": cdf_from("_x2", "_a2", "_e2"), "_pdf": F.col("_e1") * INV_SQRT_2PI})
 
 
-_SCRATCH = ("_s", "_k", "_t", "_r", "_v", "_w", "_flat", "_disc", "_vf", "_d1", "_d2", "_x1", "_x2", "_n1", "_n2", "_pdf")
+_SCRATCH = ("_s", "_k", "_t", "_r", "_v", "_w", "_flat", "_disc", "_vf", "_d1", "_d2", "_x1", "_x2", "_a1", "_e1", "_a2", "_e2", "_n1", "_n2", "_pdf")
 
 
 def _price_column(zero_vol: str) -> Column:

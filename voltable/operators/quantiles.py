@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .joins import attach_by_key
 
-CELLS = 256
+COARSE = 16
+CELLS = COARSE * COARSE
 SKETCH_ACCURACY = 4096
 
 
@@ -24,9 +25,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], SKETCH_ACCURACY).alias("_cuts"),
     )
-    celled = attach_by_key(counts, cuts, keys, F.col("_v")).select(
-        *keys, "_v", "_c", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_cell")
-    )
+    # number of cuts below the value, by a coarse and then a fine scan
+    top = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_cuts", i * COARSE))
+    located = attach_by_key(counts, cuts.withColumn("_top", top), keys, F.col("_v")).withColumn(
+        "_j", F.size(F.filter("_top", lambda x: x < F.col("_v"))) * COARSE)
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_j") + 1, F.lit(COARSE - 1)), lambda x: x < F.col("_v")))
+    celled = located.select(*keys, "_v", "_c", (F.col("_j") + fine).alias("_cell"))
     per_cell = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"))
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_cell.withColumn("_off", F.coalesce(F.sum("_cc").over(before), F.lit(0)))

@@ -13,6 +13,7 @@ MIN_POINTS = 5
 # Admissible ranges of the five smile parameters.
 BOUNDS = {"a": (0.001, 1.0), "b": (0.001, 1.0), "rho": (-0.999, 0.999), "m": (-2.0, 2.0), "sigma": (0.01, 2.0)}
 VAR_CLIP = (1e-4, 4.0)
+BLOCK_CELLS = 2048  # slices x points fitted together
 PARAM_TYPE = "a double, b double, rho double, m double, sigma double, rmse double"
 
 
@@ -22,45 +23,65 @@ def svi_variance(k, a="a", b="b", rho="rho", m="m", sigma="sigma") -> Column:
     return col_of(a) + col_of(b) * (col_of(rho) * x + F.sqrt(x * x + col_of(sigma) * col_of(sigma)))
 
 
-def _trial(k, target, m, s):
-    """Best a, b, rho for many (m, s) pairs at once: 3 x 3 normal equations, then the admissible box."""
-    x = k[None, :] - m[:, None]
-    root = np.sqrt(x * x + (s * s)[:, None])
-    basis = np.stack([np.ones_like(x), x, root], axis=2)
-    gram = np.einsum("gni,gnj->gij", basis, basis) + 1e-10 * np.eye(3)
-    lin = np.linalg.solve(gram, np.einsum("gni,n->gi", basis, target)[..., None])[..., 0]
-    b = np.clip(lin[:, 2], *BOUNDS["b"])
-    rho = np.clip(lin[:, 1] / b, *BOUNDS["rho"])
-    shape = b[:, None] * (rho[:, None] * x + root)
-    a = np.clip((target[None, :] - shape).mean(axis=1), *BOUNDS["a"])
-    err = ((a[:, None] + shape - target[None, :]) ** 2).sum(axis=1)
-    i = int(np.argmin(err))
-    return err[i], a[i], b[i], rho[i], m[i], s[i]
-
-
-def _fit(k: np.ndarray, iv: np.ndarray) -> tuple[float, ...]:
-    """Two non-linear parameters on a refined grid; the other three are linear least squares given them."""
-    target = iv * iv
-    centre_m, centre_s, span_m, span_s = 0.0, np.log(0.3), 0.6, 2.2
-    best, steps = None, np.linspace(-1, 1, 11)
+def _trial(k, w, m, s):
+    """Best a, b, rho for grids of (m, s) of many slices at once: k and w are (slices, points), m and s
+    (slices, grid). Normal equations of the three linear parameters, then the admissible box."""
+    x = k[:, None, :] - m[:, :, None]
+    root = np.sqrt(x * x + (s * s)[:, :, None])
+    y = w[:, None, :]
+    n = float(k.shape[1])
+    gram = np.empty(m.shape + (3, 3))
+    gram[..., 0, 0] = n
+    gram[..., 0, 1] = gram[..., 1, 0] = x.sum(-1)
+    gram[..., 0, 2] = gram[..., 2, 0] = root.sum(-1)
+    gram[..., 1, 1] = (x * x).sum(-1)
+    gram[..., 1, 2] = gram[..., 2, 1] = (x * root).sum(-1)
+    gram[..., 2, 2] = gram[..., 1, 1] + n * s * s
+    gram += 1e-10 * np.eye(3)
+    rhs = np.stack([np.broadcast_to(y.sum(-1), m.shape), (x * y).sum(-1), (root * y).sum(-1)], -1)
+    lin = np.linalg.solve(gram, rhs[..., None])[..., 0]
+    b = np.clip(lin[..., 2], *BOUNDS["b"])
+    rho = np.clip(lin[..., 1] / b, *BOUNDS["rho"])
+    shape = b[..., None] * (rho[..., None] * x + root)
+    a = np.clip((y - shape).mean(-1), *BOUNDS["a"])
+    err = ((a[..., None] + shape - y) ** 2).sum(-1)
+    i = err.argmin(1)
+    pick = np.arange(len(i))
+    return np.stack([z[pick, i] for z in (err, a, b, rho, m, s)], 1)
+
+
+def _fit_block(k: np.ndarray, iv: np.ndarray) -> np.ndarray:
+    """Slices with equally many points: a grid over the two non-linear parameters, refined around each slice's best."""
+    w = iv * iv
+    steps = np.linspace(-1, 1, 11)
+    dm, ds = (g.ravel() for g in np.meshgrid(steps, steps))
+    centre_m, centre_s = np.zeros(len(k)), np.full(len(k), np.log(0.3))
+    span_m, span_s, best = 0.6, 2.2, None
     for _ in range(5):
-        ms = np.clip(centre_m + span_m * steps, *BOUNDS["m"])
-        ss = np.clip(np.exp(centre_s + span_s * steps), *BOUNDS["sigma"])
-        mm, sg = np.meshgrid(ms, ss)
-        cand = _trial(k, target, mm.ravel(), sg.ravel())
-        best = cand if best is None or cand[0] < best[0] else best
-        centre_m, centre_s = best[4], np.log(best[5])
+        m = np.clip(centre_m[:, None] + span_m * dm, *BOUNDS["m"])
+        s = np.clip(np.exp(centre_s[:, None] + span_s * ds), *BOUNDS["sigma"])
+        cand = _trial(k, w, m, s)
+        best = cand if best is None else np.where((cand[:, 0] < best[:, 0])[:, None], cand, best)
+        centre_m, centre_s = best[:, 4], np.log(best[:, 5])
         span_m, span_s = span_m / 3, span_s / 3
-    _, a, b, rho, m, s = best
+    a, b, rho, m, s = (best[:, i][:, None] for i in range(1, 6))
     x = k - m
     model = a + b * (rho * x + np.sqrt(x * x + s * s))
-    rmse = float(np.sqrt(np.mean((np.sqrt(np.maximum(model, 0.0)) - iv) ** 2)))
-    return a, b, rho, m, s, rmse
+    rmse = np.sqrt(((np.sqrt(np.maximum(model, 0.0)) - iv) ** 2).mean(1))
+    return np.column_stack([best[:, 1:], rmse])
 
 
 def _fit_slices(ks: pd.Series, ivs: pd.Series) -> pd.DataFrame:
-    rows = [_fit(np.asarray(k, float), np.asarray(v, float)) for k, v in zip(ks, ivs)]
-    return pd.DataFrame(rows, columns=["a", "b", "rho", "m", "sigma", "rmse"])
+    """One Arrow batch: slices of equal length are fitted together, in blocks that bound the work arrays."""
+    out = np.empty((len(ks), 6))
+    sizes = ks.map(len).to_numpy()
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        block = max(1, BLOCK_CELLS // int(n))
+        for i in range(0, len(rows), block):
+            part = rows[i:i + block]
+            out[part] = _fit_block(np.stack(ks.iloc[part].to_list()), np.stack(ivs.iloc[part].to_list()))
+    return pd.DataFrame(out, columns=["a", "b", "rho", "m", "sigma", "rmse"])
 
 
 def fit_vol_surface(chain: DataFrame, spot="spot", iv="vol", min_points=MIN_POINTS) -> DataFrame:

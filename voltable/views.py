@@ -95,7 +95,10 @@ class Views:
     @cached_property
     def chain(self) -> DataFrame:
         """Contract-day grid with a smile in strike and a little noise in time."""
-        grid = self.bars.select("symbol", F.col("d").alias("quote_date"), "spot")
+        # a handful of rows grows into a whole chain: fix the task count, or AQE would merge it into one task
+        # (keys in another order than the aggregation's, else the planner drops this exchange as redundant)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        grid = self.bars.select("symbol", F.col("d").alias("quote_date"), "spot").repartition(tasks, "quote_date", "symbol")
         grid = grid.withColumn("expiration", F.explode(F.array(*[F.lit(x).cast("date") for x in EXPIRATIONS])))
         grid = grid.withColumn("strike", F.explode(F.array(*map(F.lit, STRIKES))))
         grid = grid.withColumn("option_type", F.explode(F.array(F.lit("call"), F.lit("put"))))
