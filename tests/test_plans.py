@@ -144,7 +144,7 @@ def test_scan_filters_reach_parquet(spark, tmp_path, capsys):
 
     rows = [("S", D0, D0 + dt.timedelta(days=30), 50.0, "call", 1.0)]
     spark.createDataFrame(rows, "symbol string, quote_date date, expiration date, strike double, option_type string, bid double").write.parquet(f"{tmp_path}/c")
-    df = scan_option_chain(spark.read.parquet(f"{tmp_path}/c"), "S", "2024-01-01", 10, 40).select("symbol", "bid")
+    df = scan_option_chain(spark.read.parquet(f"{tmp_path}/c"), "S", "2024-01-01", 10, 40, ordered=False).select("symbol", "bid")
     df.explain("formatted")
     text = capsys.readouterr().out
     assert "ReadSchema: struct<symbol:string,quote_date:date,expiration:date,bid:double>" in text
