@@ -1,12 +1,12 @@
 """Cutting lineage by writing a table to the cluster's shared folder.
 
 A written table survives lost executors, is columnar, and gives the optimizer a short plan with real
-sizes. The folder is `spark.checkpoint.dir`; only a local session without that setting gets its own.
+sizes. The folder is `spark.checkpoint.dir`; where it is unset, the warehouse, which a cluster shares as well.
+What was written is removed when the session's file system closes.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +15,19 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get(SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder all executors reach")
-    folder = tempfile.mkdtemp(prefix="spark-voltable-", dir="/tmp")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return spark.conf.get(SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nobody uses yet, removed at the end of the session."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once and continue from the written table."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
