@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltable.llm import bpe_trie, packing, token_counts
+from voltable.llm import bpe_trie, exact_dedup, packing, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,10 @@ def query(fn):
     return fn
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -37,3 +41,20 @@ def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), VOCABULARY, size=1024, end_id=0)
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, folder, "documents"))
+
+
+oracle("op7_exact_dedup", r"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+           doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+    FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST)""")
+
+
+@query
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"), shingle=4, radius=4)
