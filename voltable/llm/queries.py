@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltable.llm import bpe_trie, exact_dedup, packing, simhash, token_counts
+from voltable.llm import bpe_trie, exact_dedup, language, packing, pii, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,13 @@ oracle("op7_exact_dedup", r"""
 @query
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), shingle=4, radius=4)
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.spans(table(spark, folder, "documents"))
