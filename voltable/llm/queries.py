@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,8 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
