@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voltable.llm import bpe_trie, exact_dedup, language, packing, pii, simhash, token_counts
+from voltable.llm import bpe_trie, exact_dedup, language, nearest, packing, pii, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,9 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return nearest.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
