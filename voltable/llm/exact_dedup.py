@@ -8,47 +8,18 @@ compared by SHA-256, so a false positive costs a little time and never changes t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltable.llm import bloom
 from voltable.llm.joins import unused
 from voltable.plans.lineage import materialize
 
-#: Blocks of the broadcast filter: at most 2^20 rows of 12 bytes whatever the input. It fills with the number of repeated
-#: hashes only; when it is full, more rows are shuffled and the result stays the same.
-BLOCKS = 1 << 20
-#: Bits set in a block by one hash.
-BITS = 4
-
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _pattern(sha: Column) -> tuple[Column, Column]:
-    """Block number and bits of a hash."""
-    place = F.xxhash64(sha)
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(place, 20 + 6 * k).bitwiseAND(63).cast("int")) for k in range(BITS)]
-    return place.bitwiseAND(BLOCKS - 1).cast("int"), reduce(Column.bitwiseOR, bits)
-
-
-def _possibly_repeated(hashed: DataFrame, sha: str) -> DataFrame:
-    """The second filter: block, bits. At most BLOCKS rows."""
-    block, bits = _pattern(F.col(sha))
-    seen = hashed.select(block.alias("_block"), bits.alias("_bits")).groupBy("_block", "_bits").agg(F.count("*").alias("_n"))
-    return seen.where("_n > 1").groupBy("_block").agg(F.bit_or("_bits").alias("_filter"))
-
-
-def _split(hashed: DataFrame, sha: str, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that are unique for certain, rows that may be repeated)."""
-    block, bits = _pattern(F.col(sha))
-    asked = hashed.withColumns({"_block": block, "_bits": bits}).join(F.broadcast(repeated), "_block", "left")
-    hit = F.coalesce(F.col("_filter").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))
-    return asked.where(~hit).select(*hashed.columns), asked.where(hit).select(*hashed.columns)
-
-
 def _first(length: Column, key: Column) -> Column:
     """What the row that stays has the least of: the longest text, then the smallest id, ids before null."""
     return F.struct(-length, key.isNull(), key)
@@ -63,7 +34,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = materialize(docs.select(F.col(id_col).alias("_id"), F.length(text).alias("_length"), F.sha2(normalised(text).cast("binary"), 256).alias("_sha")), "hashes")
-    once, maybe = _split(digest, "_sha", materialize(_possibly_repeated(digest, "_sha"), "filter"))
+    once, maybe = bloom.ask(digest, "_sha", materialize(bloom.repeated(digest, "_sha"), "filter"))
     found = maybe.groupBy("_sha").agg(F.min(_first(F.col("_length"), F.col("_id"))).alias("_least"), F.count("*").alias("group_size"))
     # a written table on this side lets the join split a hash that very many rows have
     found = materialize(found.select(F.col("_sha").alias("_key"), F.col("_least").getField("_id").alias("keep_id"), "group_size"), "groups")
@@ -80,7 +51,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text, sha, row = F.coalesce(F.col(text_col), F.lit("")), unused(docs, "_sha"), unused(docs, "_row")
     hashed = docs.withColumn(sha, F.sha2(normalised(text).cast("binary"), 256))
-    repeated = materialize(_possibly_repeated(hashed.select(F.col(sha).alias("_sha")), "_sha"), "filter")
-    once, maybe = _split(hashed, sha, repeated)
+    once, maybe = bloom.ask(hashed, sha, materialize(bloom.repeated(hashed, sha), "filter"))
     stays = maybe.groupBy(sha).agg(F.min_by(F.struct(*docs.columns), F.struct(-F.length(text), F.col(id_col).isNull(), F.col(id_col))).alias(row))
     return once.select(*docs.columns).unionByName(stays.select(f"{row}.*"))

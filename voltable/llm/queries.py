@@ -7,13 +7,16 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voltable.llm import bpe_trie, exact_dedup, language, nearest, packing, pii, simhash, token_counts
+from voltable.llm import bpe_trie, exact_dedup, language, line_dedup, nearest, packing, pii, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Fixed values: (verdict, host and path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def query(fn):
@@ -80,3 +83,50 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return nearest.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return url_filter.judge(pages, URL_RULES, url_filter.seen_again(pages))
+
+
+oracle("op5_url_filter", r"""
+    WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    p AS (SELECT page_id, rest, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS q FROM u),
+    c AS (SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)\z', '') ||
+                 coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|\z)'))), '&'), ''), '') END AS name FROM p),
+    n AS (SELECT *, count(*) OVER (PARTITION BY name) AS times FROM c),
+    r AS (SELECT page_id, host, path, times, name, CASE
+            WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+            WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM n)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+           WHEN name IS NOT NULL AND times > 1 THEN 'block' ELSE 'allow' END AS verdict FROM r""")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The text without repeated lines, by its number of lines and hash, next to the original number of lines."""
+    docs = table(spark, folder, "documents")
+    number = F.when(F.col("text") == "", 0).otherwise(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))).cast("bigint")
+    clean = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", number.alias("n_lines")))
+    return clean.select("doc_id", "n_lines", number.alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256"))
+
+
+oracle("op2_line_dedup", r"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+    s AS (SELECT doc_id, i, trim(line, E' \t\r\x0b\f') AS line FROM l),
+    p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s WHERE line <> ''),
+    w AS (SELECT *, lead(line) OVER v AS b, lead(line, 2) OVER v AS c FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+    f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, p) AS k FROM w WHERE c IS NOT NULL),
+    g AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM f WHERE k > 1),
+    k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS clean, count(*) AS n
+          FROM l LEFT JOIN p USING (doc_id, i) LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p WHERE g.p IS NULL GROUP BY 1)
+    SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE coalesce(len(lines), 0) END AS n_lines,
+           CASE WHEN coalesce(clean, '') = '' THEN 0 ELSE n END AS n_kept, CASE WHEN text IS NOT NULL THEN sha256(coalesce(clean, '')) END AS clean_sha256
+    FROM d LEFT JOIN k USING (doc_id)""")
