@@ -234,7 +234,7 @@ def _in_blocks(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"_q": [], "_ids": [], "_score": [], "_kth": []})
+            return pd.DataFrame({"_q": [], "_ids": pd.Series([], dtype=object), "_score": [], "_kth": []})
         asked, vectors = np.array(q["_v"].tolist(), float), np.array(p["_v"].tolist(), float)
         dist, found = search(asked, q["_bound"].to_numpy(float), vectors, k + 1)
         row, col = np.nonzero(found >= 0)
