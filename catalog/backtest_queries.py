@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from voltable.operators import metrics as m, risk as k
 from voltable.plans import backtest as bt, execution as ex, strategies as sg, tables as tb
-from voltable.plans.lineage import materialize, shared_folder
+from voltable.plans.lineage import materialize, new_path, still_written
 
 from .base import query, r
 from .chain_queries import _MID, snapshots
@@ -26,9 +25,13 @@ DEFS = [
     (sg.strategy("either", "long_strangle", [sg.condition("iv_rank", "<", 20), sg.condition("weekday", "==", 0)], combine="or", width=10.0, wing=5.0, exit_base="premium",
                  max_holding_days=6, exit_dte=None, loss_limit=0.5), "(iv_rank < 20 OR isodow(d) = 1)", 10, 5),
     (sg.strategy("not_high", "bull_put_spread", [sg.condition("vix", ">", 20, negate=True)], width=5.0, wing=5.0, max_positions=1), "NOT coalesce(vix > 20, false)", 5, 5),
+    # a width off the strike grid finds no quotes and opens nothing; a missing wing is half the width
+    (sg.strategy("narrow", "bull_put_spread", [sg.condition("vix", ">", 20, negate=True)], max_positions=1), "NOT coalesce(vix > 20, false)", 2.5, 5),
+    (sg.strategy("half_wing", "iron_condor", [sg.condition("iv_rank", ">=", 30)], min_dte=45, max_positions=2), "iv_rank >= 30", 10, None),
+    (sg.strategy("default_width", "long_strangle", [sg.condition("iv_rank", ">=", 30)], min_dte=45), "iv_rank >= 30", None, None),
 ]
 for _row, _, _w, _g in DEFS:
-    _row["width"], _row["wing"] = float(_w), float(_g)
+    _row["width"], _row["wing"] = (None if x is None else float(x) for x in (_w, _g))
 TARGETS = (0.05, 0.2)
 
 
@@ -40,9 +43,9 @@ _RUNS: dict = {}
 
 
 def _inputs(v):
-    """Chain and snapshots as written tables, once per session and folder."""
+    """Chain and snapshots as written tables, once per session and folder while the tables exist."""
     key = (v.spark.sparkContext.applicationId, v.folder, "inputs")
-    if key not in _RUNS:
+    if key not in _RUNS or not all(map(still_written, _RUNS[key])):
         chain = materialize(v.quotes, "chain")
         v.__dict__["quotes"] = chain
         _RUNS[key] = (chain, materialize(snapshots(v), "snapshots"))
@@ -50,9 +53,9 @@ def _inputs(v):
 
 
 def run(v):
-    """The backtest's result tables, once per session and folder: the queries below are its outputs."""
+    """The backtest's result tables, once per session and folder while its tables exist: the queries below are its outputs."""
     key = (v.spark.sparkContext.applicationId, v.folder, "run")
-    if key not in _RUNS:
+    if key not in _RUNS or not all(map(still_written, _RUNS[key].values())):
         chain, snaps = _inputs(v)
         _RUNS[key] = bt.run_backtest(strategies(v), chain, snaps, slippage_pct=0.01)
     return _RUNS[key]
@@ -71,10 +74,13 @@ view("strats", "SELECT def || '_' || symbol || '|profit_target=' || t AS strateg
 view("sig0", " UNION ALL ".join(f"SELECT '{row['strategy_id']}' AS def, symbol, d, spot, iv_rank, vix FROM snapshots WHERE {sql}" for row, sql, *_ in DEFS))
 view("sig_exp", """SELECT s.def, s.symbol, s.d, s.spot, arg_min(e.expiration, (abs(e.dte - x.target_dte), e.expiration)) AS expiration FROM sig0 s JOIN defs x USING (def)
     JOIN (SELECT DISTINCT symbol, quote_date AS d, expiration, dte FROM quotes) e ON e.symbol = s.symbol AND e.d = s.d AND e.dte BETWEEN x.min_dte AND x.max_dte GROUP BY ALL""")
-view("signals", """SELECT t.strategy_id, t.def, s.symbol, s.d AS entry_date, s.spot, s.expiration, t.structure_type, round_even(s.spot / 5e0, 0) * 5e0 AS atm, t.width, t.wing,
-      s.symbol || '_' || strftime(s.d, '%Y%m%d') || '_' || t.structure_type || '_' || strftime(s.expiration, '%Y%m%d') || '_' || printf('%.2f_%.2f_%.2f', round_even(s.spot / 5e0, 0) * 5e0, t.width, t.wing) AS instance_id,
-      t.exit_dte, t.profit_target, t.loss_limit, t.exit_base, t.max_holding_days, t.regime_exit, t.max_positions, t.sizing_method, t.sizing_value, t.max_contracts, t.capital
+view("sig_width", """SELECT t.* EXCLUDE (width, wing), s.d AS entry_date, s.spot, s.expiration, round_even(s.spot / 5e0, 0) * 5e0 AS atm,
+      coalesce(t.width, round_even(s.spot / 5e0, 0) * 5e0 * CASE WHEN t.structure_type LIKE '%spread' THEN 2e-2 ELSE 5e-2 END) AS width, t.wing AS wing0
     FROM strats t JOIN sig_exp s ON s.def = t.def AND s.symbol = t.symbol""")
+view("signals", """SELECT strategy_id, def, symbol, entry_date, spot, expiration, structure_type, atm, width, wing,
+      symbol || '_' || strftime(entry_date, '%Y%m%d') || '_' || structure_type || '_' || strftime(expiration, '%Y%m%d') || '_' || printf('%.2f_%.4f_%.4f', atm, width, wing) AS instance_id,
+      exit_dte, profit_target, loss_limit, exit_base, max_holding_days, regime_exit, max_positions, sizing_method, sizing_value, max_contracts, capital
+    FROM (SELECT *, coalesce(wing0, width * 5e-1) AS wing FROM sig_width)""")
 view("inst_legs0", f"""SELECT i.*, t.leg_no, t.option_type, t.side, i.atm + t.w * i.width + t.g * i.wing AS strike, q.px AS entry_price, q.bid, q.ask
     FROM (SELECT DISTINCT instance_id, symbol, entry_date, spot, expiration, structure_type, atm, width, wing FROM signals) i JOIN templates t USING (structure_type)
     LEFT JOIN (SELECT symbol AS s, quote_date, expiration AS e, option_type AS o, strike AS k, {_MID} AS px, bid, ask FROM quotes) q
@@ -152,21 +158,34 @@ def _exits(v):
 
 query("k05_first_exit", f"SELECT strategy_id, instance_id, exit_date, exit_reason, {r('exit_pnl')} AS exit_pnl FROM candidates")(lambda v: _exits(v).select("strategy_id", "instance_id", "exit_date", "exit_reason", "exit_pnl"))
 query("k06_accept_entries", "SELECT strategy_id, position_id, entry_date, exit_date FROM accepted")(lambda v: run(v)["positions"].select("strategy_id", "position_id", "entry_date", "exit_date"))
-# trades as candidates of one account per strategy with three slots and one position per part group
-view("cand3", "SELECT sid AS strategy_id, 'G' || l_partkey % 5 AS symbol, trade_id AS position_id, entry_date, exit_date, 3 AS max_positions FROM trades")
-view("cand3n", """SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY entry_date, symbol, position_id) AS rn FROM (
-    SELECT * FROM cand3 QUALIFY row_number() OVER (PARTITION BY strategy_id, entry_date, symbol ORDER BY position_id) = 1)""")
-query("k06_accept_with_symbol_cap", """WITH RECURSIVE fold AS (
-      SELECT strategy_id, 0::BIGINT AS rn, []::STRUCT(s VARCHAR, x DATE)[] AS open, NULL::VARCHAR AS position_id, false AS ok FROM (SELECT DISTINCT strategy_id FROM cand3n)
+# trades as candidates of one account per strategy; every seventh leaves on the day it came
+view("cand3", """SELECT sid AS strategy_id, 'G' || l_partkey % 5 AS symbol, trade_id AS position_id, entry_date, CASE WHEN l_partkey % 7 = 0 THEN entry_date ELSE exit_date END AS exit_date, round(total_cost) AS need,
+      row_number() OVER (PARTITION BY sid ORDER BY entry_date, 'G' || l_partkey % 5, trade_id) AS rn FROM trades""")
+
+
+def _fold3(rule: str) -> str:
+    """Acceptance of `cand3` with three slots and a further rule over the positions still held."""
+    return f"""WITH RECURSIVE fold AS (
+      SELECT strategy_id, 0::BIGINT AS rn, []::STRUCT(s VARCHAR, e DATE, x DATE, m DOUBLE)[] AS open, NULL::VARCHAR AS position_id, false AS ok FROM (SELECT DISTINCT strategy_id FROM cand3)
       UNION ALL
       SELECT strategy_id, rn, CASE WHEN ok THEN list_append(still, mine) ELSE still END, position_id, ok FROM (
-        SELECT *, len(still) < 3 AND len(list_filter(still, lambda o: o.s = symbol)) < 1 AS ok FROM (
-          SELECT n.strategy_id, n.rn, n.position_id, n.symbol, {'s': n.symbol, 'x': n.exit_date} AS mine, list_filter(f.open, lambda o: o.x > n.entry_date) AS still
-          FROM fold f JOIN cand3n n ON n.strategy_id = f.strategy_id AND n.rn = f.rn + 1)))
-    SELECT strategy_id, position_id FROM fold WHERE ok""")(
-    lambda v: bt.accept_entries(v.trades.select(
-        F.col("sid").alias("strategy_id"), F.concat(F.lit("G"), (F.col("l_partkey") % 5).cast("string")).alias("symbol"), F.col("trade_id").alias("position_id"), "entry_date", "exit_date",
-        F.lit(3).alias("max_positions"), F.lit(1e5).alias("capital")), ["strategy_id"], per_symbol=1).select("strategy_id", "position_id"))
+        SELECT *, len(still) < 3 AND {rule} AS ok FROM (
+          SELECT n.strategy_id, n.rn, n.position_id, n.symbol, n.need, {{'s': n.symbol, 'e': n.entry_date, 'x': n.exit_date, 'm': n.need}} AS mine, list_filter(f.open, lambda o: o.x > n.entry_date OR o.e = n.entry_date) AS still
+          FROM fold f JOIN cand3 n ON n.strategy_id = f.strategy_id AND n.rn = f.rn + 1)))
+    SELECT strategy_id, position_id FROM fold WHERE ok"""
+
+
+def _cand3(v):
+    return v.trades.select(
+        F.col("sid").alias("strategy_id"), F.concat(F.lit("G"), (F.col("l_partkey") % 5).cast("string")).alias("symbol"), F.col("trade_id").alias("position_id"), "entry_date",
+        F.when(F.col("l_partkey") % 7 == 0, F.col("entry_date")).otherwise(F.col("exit_date")).alias("exit_date"), F.round("total_cost").alias("need"), F.lit(3).alias("max_positions"), F.lit(1.5e5).alias("capital"))
+
+
+for _qid, _rule, _opts in (
+        ("k06_accept_slots", "true", {}), ("k06_accept_with_symbol_cap", "len(list_filter(still, lambda o: o.s = symbol)) < 1", {"per_symbol": 1}),
+        ("k06_accept_two_per_symbol", "len(list_filter(still, lambda o: o.s = symbol)) < 2", {"per_symbol": 2}),
+        ("k06_accept_margin", "need <= 15e4 * 2e-1 AND coalesce(list_sum(list_transform(still, lambda o: o.m)), 0) + need <= 15e4 * 5e-1", {"size": "need", "max_utilization": 0.5})):
+    query(_qid, _fold3(_rule))(lambda v, o=_opts: bt.accept_entries(_cand3(v), ["strategy_id"], **o).select("strategy_id", "position_id"))
 _SIZES = ("fixed", "risk_percent", "capital_percent", "delta_target", "premium_target", "other")
 query("k07_position_size", """SELECT sid, trade_id, m AS method, greatest(least(CASE m WHEN 'fixed' THEN 3 WHEN 'risk_percent' THEN floor(1e6 * 1e-1 / total_cost) WHEN 'capital_percent' THEN floor(1e6 * 1e-1 / (total_cost * 2))
       WHEN 'delta_target' THEN floor(1e-1 / 3e-2) WHEN 'premium_target' THEN floor(1e-1 / total_cost) ELSE 1 END, 20), 1)::INT AS size
@@ -224,12 +243,13 @@ query("k11_execute_orders", f"""SELECT symbol, quote_date, expiration, strike, o
 query("f22_order_statistics", f"""SELECT symbol, count(*) AS num_executions, count_if(quantity - filled > 0) AS num_partial_fills, {r('avg(filled / quantity)')} AS avg_fill_rate, {r('coalesce(avg(impact) FILTER (filled > 0), 0)')} AS avg_volume_impact,
       {r('coalesce(max(impact) FILTER (filled > 0), 0)')} AS max_volume_impact, {r('coalesce(avg(1 - (slip + icost) / (fill * filled * 100)) FILTER (filled > 0), 0)')} AS avg_execution_quality, {r('sum(icost)')} AS total_impact_cost, {r('sum(filled * 65e-2)')} AS total_commission FROM orders_done GROUP BY symbol""")(
     lambda v: ex.order_statistics(orders(v), ["symbol"]))
-view("k12", f"""SELECT position_id, sum(CASE WHEN side > 0 THEN pr + fees ELSE 0 END) AS total_cost, sum(CASE WHEN side > 0 THEN -pr ELSE pr - fees END) AS total_premium, sum(comm) AS commission, sum(slip) AS slippage, sum(icost) AS impact_cost, sum(q)::BIGINT AS filled FROM (
-      SELECT *, comm + slip + icost AS fees FROM (SELECT position_id, side, quantity AS q, quantity * 65e-2 AS comm, b * 1e-2 * quantity * 100 AS slip, mid * im * quantity * 100 AS icost,
-          greatest(b + (CASE WHEN side > 0 THEN 1 ELSE -1 END) * (b * 1e-2 + mid * im), 1e-2) * quantity * 100 AS pr
-        FROM (SELECT *, CASE WHEN side > 0 THEN ask ELSE bid END AS b, (bid + ask) / 2 AS mid, least(5e-1 * sqrt(quantity / volume::DOUBLE), 1e-1) AS im FROM leg_quotes WHERE bid > 0 AND ask > 0))) GROUP BY position_id""")
-query("k12_execute_structures", f"SELECT position_id, {', '.join(f'{r(x, 4)} AS {x}' for x in ('total_cost', 'total_premium', 'commission', 'slippage', 'impact_cost'))}, filled AS filled_contracts, 0::BIGINT AS unfilled_contracts, {r('1 - (slippage + impact_cost) / greatest(abs(total_premium), 1)', 4)} AS execution_quality FROM k12", 4)(
-    lambda v: ex.execute_structures(leg_quotes(v).filter("bid > 0 and ask > 0"), ["position_id"]))
+view("k12", f"""SELECT position_id, sum(CASE WHEN side > 0 THEN pr + fees ELSE 0 END) AS total_cost, sum(CASE WHEN side > 0 THEN -pr ELSE pr - fees END) AS total_premium, sum(comm) AS commission, sum(slip) AS slippage, sum(icost) AS impact_cost,
+      sum(done)::BIGINT AS filled, sum(q - done)::BIGINT AS unfilled FROM (
+      SELECT *, comm + slip + icost AS fees FROM (SELECT position_id, side, q, done, done * 65e-2 AS comm, coalesce(b * 1e-2 * done * 100, 0) AS slip, coalesce(mid * im * done * 100, 0) AS icost,
+          CASE WHEN done > 0 THEN greatest(b + (CASE WHEN side > 0 THEN 1 ELSE -1 END) * (b * 1e-2 + mid * im), 1e-2) * done * 100 ELSE 0 END AS pr
+        FROM (SELECT *, quantity AS q, CASE WHEN side > 0 THEN ask ELSE bid END AS b, (bid + ask) / 2 AS mid, least(5e-1 * sqrt(quantity / volume::DOUBLE), 1e-1) AS im, CASE WHEN bid > 0 AND ask > 0 THEN quantity ELSE 0 END AS done FROM leg_quotes))) GROUP BY position_id""")
+query("k12_execute_structures", f"SELECT position_id, {', '.join(f'{r(x, 4)} AS {x}' for x in ('total_cost', 'total_premium', 'commission', 'slippage', 'impact_cost'))}, filled AS filled_contracts, unfilled AS unfilled_contracts, {r('1 - (slippage + impact_cost) / greatest(abs(total_premium), 1)', 4)} AS execution_quality FROM k12", 4)(
+    lambda v: ex.execute_structures(leg_quotes(v), ["position_id"]))
 _POS = ("net_premium", "margin", "total_cost", "total_proceeds", "entry_commission", "exit_commission", "entry_slippage", "exit_slippage", "realized_pnl", "realized_pnl_fill")
 query("k17_positions", "SELECT strategy_id, position_id, instance_id, symbol, structure_type, expiration, entry_date, exit_date, exit_reason, quantity, num_legs, capital, hold_days, " + ", ".join(f"{r(x, 7)} AS {x}" for x in _POS) + " FROM positions", 7)(
     lambda v: run(v)["positions"])
@@ -260,7 +280,7 @@ query("r09_portfolio_timeline", f"SELECT c.strategy_id, c.d, {r('c.equity', 7)}
 def _written(v):
     from voltable.sources.sinks import read_results, write_results
 
-    base = f"{shared_folder(v.spark)}/results-{uuid.uuid4().hex}"
+    base = new_path(v.spark, "results")
     write_results({"equity_curve": v.equity.withColumnRenamed("sid", "strategy_id"), "trades": v.trades.select("sid", "trade_id")}, base)
     return read_results(v.spark, base, "equity_curve")
 

@@ -203,25 +203,34 @@ query("h19_round_strike", f"SELECT symbol, d, round_even(spot / 5e0, 0) * 5e0 AS
 # ---- J: structures --------------------------------------------------------------------------------
 _TEMPLATES = ", ".join(f"('{s}', {i}, '{t}', {d}, {w}, {g})" for s, legs in st.LEG_TEMPLATES.items() for i, (t, d, w, g) in enumerate(legs, 1))
 view("templates", f"SELECT * FROM (VALUES {_TEMPLATES}) t(structure_type, leg_no, option_type, side, w, g)")
-view("every_legs", """
-    SELECT b.symbol || '_' || strftime(b.d, '%Y%m%d') || '_' || t.structure_type AS position_id, b.symbol, b.d AS entry_date, b.spot, t.structure_type, x.expiration, 2 AS quantity,
-      t.leg_no, t.option_type, t.side, x.strike, x.mid AS entry_price, x.vol
-    FROM bars b CROSS JOIN templates t JOIN chain_px x ON x.symbol = b.symbol AND x.quote_date = b.d AND x.option_type = t.option_type AND x.expiration = DATE '2024-02-16'
+view("every_legs0", """
+    SELECT b.symbol || '_' || strftime(b.d, '%Y%m%d') || '_' || t.structure_type AS position_id, b.symbol, b.d AS entry_date, b.spot, t.structure_type, DATE '2024-02-16' AS expiration, (1 + length(t.structure_type) % 5)::INT AS quantity,
+      t.leg_no, t.option_type, t.side, round_even(b.spot / 5e0, 0) * 5e0 + t.w * 10 + t.g * 5 AS strike, x.mid AS entry_price, x.vol
+    FROM bars b CROSS JOIN templates t LEFT JOIN chain_px x ON x.symbol = b.symbol AND x.quote_date = b.d AND x.option_type = t.option_type AND x.expiration = DATE '2024-02-16'
       AND x.strike = round_even(b.spot / 5e0, 0) * 5e0 + t.w * 10 + t.g * 5""")
+view("every_legs", "SELECT * FROM every_legs0 WHERE position_id NOT IN (SELECT position_id FROM every_legs0 WHERE entry_price IS NULL)")
 
 
 def every_entries(v, width=10.0, wing=5.0):
     return v.bars.withColumn("structure_type", F.explode(F.array(*map(F.lit, st.LEG_TEMPLATES)))).select(
         F.concat_ws("_", "symbol", F.date_format("d", "yyyyMMdd"), "structure_type").alias("position_id"), "symbol", F.col("d").alias("entry_date"), "spot", "structure_type",
         F.lit("2024-02-16").cast("date").alias("expiration"), F.lit(width).cast("double").alias("width"), F.lit(wing).cast("double").alias("wing"),
-        ins.round_strike("spot").alias("atm"), F.lit(2).alias("quantity"))
+        ins.round_strike("spot").alias("atm"), (F.length("structure_type") % 5 + 1).cast("int").alias("quantity"))
 
 
-def every_legs(v):
+def priced_legs(v):
+    """All legs of the entries, without a price where the strike is not listed."""
     quotes = v.chain_px.select("symbol", F.col("quote_date").alias("entry_date"), "expiration", "strike", "option_type", F.col("mid").alias("entry_price"), "vol")
-    return st.build_structures(every_entries(v)).join(quotes, ["symbol", "entry_date", "expiration", "strike", "option_type"])
+    return st.build_structures(every_entries(v)).join(quotes, ["symbol", "entry_date", "expiration", "strike", "option_type"], "left")
+
+
+def every_legs(v):
+    return st.whole_structures(priced_legs(v))
 
 
+query("j06_dropped_structures", """
+    SELECT position_id, structure_type, count(*) AS num_legs, count(*) - count(entry_price) AS missing_legs, 'leg_not_listed' AS reason FROM every_legs0 GROUP BY ALL HAVING count(entry_price) < count(*)""")(
+    lambda v: st.dropped_structures(priced_legs(v)))
 for _jid, _types in (("j01_single_legs", ("long_call", "short_call", "long_put", "short_put")), ("j02_straddles", ("long_straddle", "short_straddle")), ("j03_strangles", ("long_strangle", "short_strangle")),
                      ("j04_spreads", ("bull_call_spread", "bear_put_spread", "bull_put_spread", "bear_call_spread")), ("j05_condors", ("iron_condor", "iron_butterfly"))):
     _in = ", ".join(f"'{t}'" for t in _types)
@@ -245,16 +254,7 @@ view("pos", "SELECT position_id, structure_type, sum(-side * entry_price * quant
      "max(strike) FILTER (option_type = 'call' AND side = -1) AS sc, max(strike) FILTER (option_type = 'put' AND side = 1) AS lp, max(strike) FILTER (option_type = 'put' AND side = -1) AS sp, "
      "count(*) AS n FROM every_legs GROUP BY ALL")
 query("j10_net_premium", f"SELECT position_id, {r('net_premium')} AS net_premium FROM pos")(lambda v: st.net_premium(every_legs(v)))
-view("full_pos", "SELECT p.*, abs(net_premium) / (q * 100) AS ps, CASE WHEN structure_type LIKE '%spread' THEN abs(coalesce(lc - sc, lp - sp)) WHEN structure_type LIKE 'iron%' THEN greatest(sp - lp, lc - sc) END AS width "
-     "FROM pos p JOIN (SELECT structure_type, count(*) AS need FROM templates GROUP BY 1) t USING (structure_type) WHERE n = need")
-
-
-def full_legs(v):
-    """Positions whose legs are all quoted."""
-    need = F.create_map(*[x for s, legs in st.LEG_TEMPLATES.items() for x in (F.lit(s), F.lit(len(legs)))])
-    legs = every_legs(v)
-    whole = legs.groupBy("position_id", "structure_type").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == need[F.col("structure_type")])
-    return legs.join(whole.select("position_id"), "position_id", "left_semi")
+view("full_pos", "SELECT *, abs(net_premium) / (q * 100) AS ps, CASE WHEN structure_type LIKE '%spread' THEN abs(coalesce(lc - sc, lp - sp)) WHEN structure_type LIKE 'iron%' THEN greatest(sp - lp, lc - sc) END AS width FROM pos")
 
 
 _METRICS = {
@@ -264,7 +264,7 @@ _METRICS = {
     "upper_breakeven": "CASE WHEN structure_type IN ('long_straddle', 'long_strangle', 'bull_call_spread') THEN lc + ps WHEN structure_type IN ('short_straddle', 'short_strangle', 'bear_call_spread') OR structure_type LIKE 'iron%' THEN sc + ps END"}
 for _jid, _like in (("j11_straddle_metrics", "structure_type LIKE '%straddle'"), ("j12_spread_metrics", "structure_type LIKE '%strangle' OR structure_type LIKE '%spread'"), ("j13_condor_metrics", "structure_type LIKE 'iron%'")):
     query(_jid, f"SELECT position_id, structure_type, {r('net_premium')} AS net_premium, {r('width')} AS width, {', '.join(f'{r(e)} AS {n}' for n, e in _METRICS.items())} FROM full_pos WHERE {_like}")(
-        lambda v, w=_like: st.structure_metrics(full_legs(v).filter(w)))
+        lambda v, w=_like: st.structure_metrics(every_legs(v).filter(w)))
 view("leg_greeks", "SELECT e.position_id, e.structure_type, e.symbol, e.entry_date, e.side, e.quantity, e.leg_no, e.entry_price, e.strike, e.option_type, e.spot, g.delta, g.gamma, g.theta, g.vega, g.rho FROM every_legs e "
      "JOIN greeks g ON g.symbol = e.symbol AND g.quote_date = e.entry_date AND g.expiration = e.expiration AND g.strike = e.strike AND g.option_type = e.option_type")
 

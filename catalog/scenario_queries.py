@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from voltable.operators import metrics as m, series as s
 from voltable.plans import resample as rs, scenarios as sc, tables as tb
-from voltable.plans.lineage import shared_folder
+from voltable.plans.lineage import new_path
 from voltable.streaming import live
 
 from .base import query, r
@@ -49,7 +48,6 @@ def boot(v):
 
 
 _P = f"SELECT sid, sim_id::INT AS sim_id, period::INT AS period, {r('value', 8)} AS value FROM "
-query("m01_gbm_paths", _P + "gbm", 8)(lambda v: rs.gbm_paths(_returns(v), KEY, SIMS, PERIODS))
 query("m02_bootstrap_paths", _P + "boot", 8)(boot)
 query("m03_block_bootstrap_paths", _P + "blocks", 8)(lambda v: rs.block_bootstrap_paths(_returns(v), KEY, SIMS, PERIODS, BLOCK))
 view("path_m", """SELECT sid, sim_id, arg_max(value, period) / arg_min(value, period) - 1 AS total_return, min(value / pk - 1) AS max_drawdown, stddev_pop(x) * sqrt(252e0) AS volatility,
@@ -177,7 +175,7 @@ def _stream(v, columns):
 def _drain(v, df, name):
     """Run a stream to the end of its input into a table of the shared folder and read that back."""
     live.use_rocksdb(v.spark)
-    base = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    base = new_path(v.spark, name)
     q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     return v.spark.read.schema(df.schema).parquet(f"{base}/out")
@@ -199,7 +197,7 @@ query("t04_stream_exit_monitor", """SELECT 'C' || user_id AS position_id, arg_mi
 
 
 def _batches(v):
-    base = f"{shared_folder(v.spark)}/t05-{uuid.uuid4().hex}"
+    base = new_path(v.spark, "t05")
 
     def keep(batch, number):
         batch.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{base}/out")

@@ -124,7 +124,8 @@ VIEWS: dict[str, str] = {
         FROM bars b,
              (VALUES (1, 'put', 1, -15), (2, 'put', -1, -10), (3, 'call', -1, 10), (4, 'call', 1, 15)) t(leg_no, option_type, side, off)
         JOIN chain_px x ON x.symbol = b.symbol AND x.quote_date = b.d AND x.option_type = t.option_type
-             AND x.expiration = DATE '2024-03-15' AND x.strike = round_even(b.spot / 5e0, 0) * 5e0 + t.off""",
+             AND x.expiration = DATE '2024-03-15' AND x.strike = round_even(b.spot / 5e0, 0) * 5e0 + t.off
+        QUALIFY count(*) OVER (PARTITION BY b.symbol, b.d) = 4""",
 }
 
 

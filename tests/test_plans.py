@@ -18,12 +18,12 @@ D0 = dt.date(2024, 1, 1)
 def _brute(cands, slots, per_symbol, size=None, single=0.2, used=0.8, capital=1000.0):
     taken, open_ = [], []
     for e, sym, pid, x, need in sorted(cands):
-        open_ = [o for o in open_ if o[0] > e]
+        open_ = [o for o in open_ if o[0] > e or o[3] == e]
         ok = len(open_) < slots and (per_symbol is None or sum(o[1] == sym for o in open_) < per_symbol)
         if size:
             ok = ok and need <= capital * single and sum(o[2] for o in open_) + need <= capital * used
         if ok:
-            open_.append((x, sym, need))
+            open_.append((x, sym, need, e))
             taken.append(pid)
     return set(taken)
 
@@ -34,7 +34,7 @@ def test_acceptance_matches_brute_force(spark, per_symbol, size):
     rows = []
     for i in range(1500):
         a = rng.randrange(60)
-        rows.append((f"k{0 if i % 3 else i % 5}", f"S{rng.randrange(4)}", f"p{i:05d}", D0 + dt.timedelta(days=a), D0 + dt.timedelta(days=a + rng.randrange(1, 20)), float(rng.randrange(50, 260))))
+        rows.append((f"k{0 if i % 3 else i % 5}", f"S{rng.randrange(4)}", f"p{i:05d}", D0 + dt.timedelta(days=a), D0 + dt.timedelta(days=a + rng.randrange(20)), float(rng.randrange(50, 260))))
     df = spark.createDataFrame(rows, "k string, symbol string, position_id string, entry_date date, exit_date date, need double").withColumns(
         {"max_positions": F.lit(3), "capital": F.lit(1000.0)})
     got = {}
@@ -44,6 +44,30 @@ def test_acceptance_matches_brute_force(spark, per_symbol, size):
         assert got[k] == _brute([(e, s, p, x, n) for kk, s, p, e, x, n in rows if kk == k], 3, per_symbol, size)
 
 
+def test_a_position_of_today_holds_its_slot_today(spark):
+    rows = [("k", f"S{i}", f"p{i}", D0, D0, 1, 1000.0) for i in range(7)] + [("k", "S1", "q", D0 + dt.timedelta(days=1), None, 1, 1000.0)]
+    df = spark.createDataFrame(rows, "k string, symbol string, position_id string, entry_date date, exit_date date, max_positions int, capital double")
+    for per_symbol in (None, 1, 2):
+        assert {r.position_id for r in bt.accept_entries(df, ["k"], per_symbol).collect()} == {"p0", "q"}
+
+
+def test_widths_and_wings_as_given(spark):
+    rows = [("S", D0, 50.0, "iron_condor", D0 + dt.timedelta(days=30), w, g) for w, g in ((2.5, 5.0), (20.0, None), (None, None))]
+    df = spark.createDataFrame(rows, "symbol string, d date, spot double, structure_type string, expiration date, width double, wing double")
+    assert {(r.width, r.wing) for r in bt.with_instances(df).collect()} == {(2.5, 5.0), (20.0, 10.0), (2.5, 1.25)}
+
+
+def test_no_position_lacks_a_leg(views):
+    from catalog.pricing_queries import every_legs, priced_legs
+    from voltable.operators.structures import LEG_TEMPLATES, dropped_structures
+
+    n = {r.position_id: (r.structure_type, r["n"]) for r in every_legs(views).groupBy("position_id", "structure_type").agg(F.count("*").alias("n")).collect()}
+    assert n and all(k == len(LEG_TEMPLATES[s]) for s, k in n.values())
+    gone = {r.position_id for r in dropped_structures(priced_legs(views)).collect()}
+    assert gone and not gone & set(n) and len(gone) + len(n) == views.bars.count() * len(LEG_TEMPLATES)
+    assert {r["n"] for r in views.legs.groupBy("position_id").agg(F.count("*").alias("n")).collect()} == {4}
+
+
 def _returns(spark, n=60):
     rng = random.Random(2)
     return spark.createDataFrame([(k, D0 + dt.timedelta(days=i), rng.gauss(0, 0.01)) for k in ("a", "b") for i in range(n)], "sid string, d date, r double")

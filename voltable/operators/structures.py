@@ -7,7 +7,7 @@ so carrying them as an array for payoff work is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import CONTRACT_MULTIPLIER, col_of, is_call
 from ..functions.instrument import leg_pnl, market_value, round_strike
@@ -72,6 +72,18 @@ def build_structures(entries: DataFrame) -> DataFrame:
     }).drop("_leg", "_w", "_g")
 
 
+def whole_structures(legs: DataFrame, price="entry_price", position="position_id") -> DataFrame:
+    """Legs of the positions all of whose legs have a price: a position without one of its legs is another position."""
+    missing = F.max(F.col(price).isNull()).over(W.partitionBy(position))
+    return legs.withColumn("_missing", missing).filter(~F.col("_missing")).drop("_missing")
+
+
+def dropped_structures(legs: DataFrame, price="entry_price", position="position_id") -> DataFrame:
+    """The positions that `whole_structures` leaves out, and why."""
+    per = legs.groupBy(position, "structure_type").agg(F.count(F.lit(1)).alias("num_legs"), F.count_if(F.col(price).isNull()).alias("missing_legs"))
+    return per.filter("missing_legs > 0").withColumn("reason", F.lit("leg_not_listed"))
+
+
 def strikes_by_stddev(df: DataFrame, spot="spot", iv="iv", dte="dte", k=1.0, wing_share=0.02) -> DataFrame:
     """Short strikes k deviations from spot, wings a share of spot further out, rounded to 5."""
     move = col_of(spot) * col_of(iv) * F.sqrt(col_of(dte) / 365.0) * k

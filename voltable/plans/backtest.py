@@ -8,6 +8,7 @@ which is priced and marked once; a sweep over exit parameters adds no marking wo
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import CONTRACT_MULTIPLIER
@@ -55,10 +56,10 @@ def with_instances(signals: DataFrame) -> DataFrame:
     from ..operators.structures import default_width
 
     named = signals.withColumnRenamed("d", "entry_date").withColumn("atm", round_strike("spot"))
-    named = named.withColumn("width", F.coalesce(F.col("width"), round_strike(default_width()), F.lit(5.0)))
-    named = named.withColumn("width", F.greatest("width", F.lit(5.0))).withColumn("wing", F.coalesce("wing", F.lit(5.0)))
+    # as in `build_structures`: a given width is kept, a missing one is the structure's share, a missing wing half the width
+    named = named.withColumn("width", F.coalesce(F.col("width"), default_width())).withColumn("wing", F.coalesce(F.col("wing"), F.col("width") * 0.5))
     return named.withColumn("instance_id", F.concat_ws("_", "symbol", F.date_format("entry_date", "yyyyMMdd"), "structure_type",
-                                                       F.date_format("expiration", "yyyyMMdd"), F.format_string("%.2f_%.2f_%.2f", "atm", "width", "wing")))
+                                                       F.date_format("expiration", "yyyyMMdd"), F.format_string("%.2f_%.4f_%.4f", "atm", "width", "wing")))
 
 
 def instance_legs(signals: DataFrame, chain: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -129,42 +130,40 @@ def first_exit(signals: DataFrame, paths: DataFrame, facts: DataFrame) -> DataFr
 
 
 def accept_entries(candidates: DataFrame, keys: list[str], per_symbol: int | None = None, size: str | None = None, max_single=0.20, max_utilization=0.80) -> DataFrame:
-    """Greedy acceptance in (entry_date, symbol) order under the key's `max_positions`.
+    """Greedy acceptance in (entry_date, symbol, position_id) order under the key's `max_positions`.
 
-    Same-day exits free their slot first. With `size` (a margin column) a single position may use at most
-    `max_single` of `capital` and all open ones `max_utilization`.
+    A position that exits on a later day's date frees its slot that day before new ones are looked at; one opened today
+    holds its slot for the rest of the day, also if it exits today. With `per_symbol` a symbol holds at most so many open
+    positions. With `size` (a margin column) a single position may use at most `max_single` of `capital` and all open ones
+    `max_utilization`.
 
-    On one day no more than 2 x max_positions candidates per key can matter when only slots and symbol
-    caps apply, so the fold's input is cut to that exactly equivalent set: the array of a key is bounded
-    by the calendar, not by the universe.
+    What is accepted depends on all that was accepted before, so a key's candidates are read in order, once, with the open
+    positions as the only state: their number is bounded by `max_positions`, whatever the number of candidates.
     """
-    c = candidates.withColumn("_far", F.coalesce(F.col("exit_date"), F.lit(FAR).cast("date")))
-    if size is None and per_symbol in (None, 1):
-        one = W.partitionBy(*keys, "entry_date", "symbol").orderBy("position_id")
-        day = W.partitionBy(*keys, "entry_date").orderBy("symbol", "position_id")
-        if per_symbol == 1:
-            c = c.withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_one")
-        c = c.withColumn("_rn", F.row_number().over(day)).filter(F.col("_rn") <= F.col("max_positions") * 2).drop("_rn")
-    need = F.col(size).cast("double") if size else F.lit(0.0)
-    item = F.struct(F.col("entry_date").alias("entry"), F.col("symbol").alias("symbol"), F.col("position_id").alias("pid"), F.col("_far").alias("exit"), need.alias("need"))
-    rows = c.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_c"), F.max("max_positions").alias("_max"), F.max("capital").alias("_cap"))
-    kind = "array<struct<symbol: string, exit: date, need: double>>"
-    zero = F.struct(F.expr(f"cast(array() as {kind})").alias("open"), F.expr("cast(array() as array<string>)").alias("taken"))
-
-    def step(acc, x):
-        still = F.filter(acc["open"], lambda o: o["exit"] > x["entry"])
-        ok = F.size(still) < F.col("_max")
-        if per_symbol is not None:
-            ok = ok & (F.size(F.filter(still, lambda o: o["symbol"] == x["symbol"])) < per_symbol)
-        if size is not None:
-            used = F.aggregate(still, F.lit(0.0), lambda a, o: a + o["need"])
-            ok = ok & (x["need"] <= F.col("_cap") * max_single) & (used + x["need"] <= F.col("_cap") * max_utilization)
-        mine = F.array(F.struct(x["symbol"].alias("symbol"), x["exit"].alias("exit"), x["need"].alias("need")))
-        return F.struct(F.when(ok, F.concat(still, mine)).otherwise(still).alias("open"),
-                        F.when(ok, F.concat(acc["taken"], F.array(x["pid"]))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = rows.select(*keys, F.explode(F.aggregate("_c", zero, step)["taken"]).alias("position_id"))
-    return candidates.join(taken, [*keys, "position_id"], "left_semi")
+    rows = candidates.withColumns({"_leaves": F.coalesce(F.col("exit_date"), F.lit(FAR).cast("date")), "_need": F.col(size).cast("double") if size else F.lit(0.0)})
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "entry_date", "symbol", "position_id")
+    read = [*keys, "symbol", "entry_date", "_leaves", "_need", "max_positions", *(["capital"] if size else [])]
+
+    def fold(batches):
+        account, held = object(), []
+        for b in batches:
+            taken = []
+            for i, row in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in read))):
+                own, (symbol, entry, leaves, wants, most) = row[: len(keys)], row[len(keys): len(keys) + 5]
+                if own != account:
+                    account, held = own, []
+                held = [h for h in held if h[0] > entry or h[1] == entry]
+                ok = len(held) < most and (per_symbol is None or sum(h[2] == symbol for h in held) < per_symbol)
+                if ok and size is not None:
+                    capital = float(row[-1])
+                    ok = wants is not None and wants <= capital * max_single and sum(h[3] for h in held) + wants <= capital * max_utilization
+                if ok:
+                    held.append((leaves, entry, symbol, wants))
+                    taken.append(i)
+            yield b.take(pa.array(taken, pa.int64())).select(names)
+
+    names = candidates.columns
+    return rows.mapInArrow(fold, candidates.schema)
 
 
 def exit_fills(accepted: DataFrame, legs: DataFrame, chain: DataFrame, commission, slippage_pct, slippage_mode) -> DataFrame:

@@ -26,6 +26,13 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return path
 
 
+def still_written(df: DataFrame) -> bool:
+    """Whether the files that `df` reads exist."""
+    sc = df.sparkSession.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once and continue from the written table."""
     path = new_path(df.sparkSession, name)

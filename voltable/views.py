@@ -146,8 +146,8 @@ class Views:
 
     @cached_property
     def legs(self) -> DataFrame:
-        """Iron-condor legs opened on every symbol-day at listed strikes, priced from the grid."""
-        from .operators.structures import build_structures
+        """Iron-condor legs opened on every symbol-day whose four strikes are all listed, priced from the grid."""
+        from .operators.structures import build_structures, whole_structures
 
         entries = self.bars.select(
             F.concat_ws("_", "symbol", F.date_format("d", "yyyyMMdd")).alias("position_id"), "symbol",
@@ -160,4 +160,4 @@ class Views:
             "symbol", F.col("quote_date").alias("entry_date"), "expiration", "strike", "option_type",
             F.col("mid").alias("entry_price"), F.col("vol").alias("iv_at_entry"),
         )
-        return legs.join(px, ["symbol", "entry_date", "expiration", "strike", "option_type"])
+        return whole_structures(legs.join(px, ["symbol", "entry_date", "expiration", "strike", "option_type"], "left"))
