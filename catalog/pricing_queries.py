@@ -9,7 +9,7 @@ from voltable.functions.normal import norm_cdf, norm_pdf, norm_ppf
 from voltable.operators import kernels as ker, structures as st, surface as sf, risk as k
 
 from .base import query, r
-from .sqlviews import bs, cdf, pdf, phi, ppf, view
+from .sqlviews import bs, cdf, pdf, phi, ppf, view, num
 
 _C = "symbol, quote_date, expiration, strike, option_type"
 CONTRACT = ["symbol", "quote_date", "expiration", "strike", "option_type"]
@@ -60,20 +60,28 @@ query("h04_enrich_greeks", f"SELECT {_C}, {_G}, {r(bs())} AS price FROM greeks")
 query("h05_price_chain_undiscounted", f"""
     SELECT {_C}, {r(f"CASE WHEN spot = 0 THEN greatest({phi()} * (0 - strike * exp(-4e-2 * t)), 0e0) WHEN t = 0 OR vol = 0 THEN greatest({phi()} * (spot - strike), 0e0) ELSE {bs()} END")} AS price FROM edges""")(
     lambda v: px.price_chain(edges(v), zero_vol="undiscounted").select(*CONTRACT, "price"))
-# the price of a known volatility must give that volatility back; cheap options carry no information
-query("h06_implied_vol", f"SELECT {_C}, {r('vol')} AS iv, 'ok' AS iv_reason FROM chain_px WHERE {bs()} - greatest({phi()} * (spot - strike * exp(-4e-2 * t)), 0) > 0.01")(
-    lambda v: ker.implied_vol(px.price_chain(v.chain_px).filter(
-        F.col("price") - px.discounted_intrinsic("spot", "strike", "t", 0.04, "option_type") > 0.01), "price").select(*CONTRACT, "iv", "iv_reason"))
+# the price of a known volatility must give that price back everywhere, and the volatility itself where the price carries it
+_TV = f"({bs()} - greatest({phi()} * (spot - strike * exp(-4e-2 * t)), 0e0))"
+query("h06_implied_vol", f"SELECT {_C}, CASE WHEN {_TV} > 1e-2 THEN {r('vol')} END AS iv, {r(bs(), 5)} AS repriced FROM chain_px")(lambda v: _implied(v))
+
+
+def _implied(v):
+    told = F.col("price") - px.discounted_intrinsic("spot", "strike", "t", 0.04, "option_type") > 0.01
+    back = px.price_chain(ker.implied_vol(px.price_chain(v.chain_px), "price"), sigma="iv", out="repriced")
+    return back.select(*CONTRACT, F.when(told, F.col("iv")).alias("iv"), F.round("repriced", 5).alias("repriced"))
+
+
 query("h06_implied_vol_reasons", f"""
-    SELECT option_type, iv_reason, count(*) AS n FROM (SELECT option_type, CASE WHEN k = 0 THEN 'below_intrinsic' WHEN k = 1 THEN 'expired' WHEN k = 2 THEN 'zero_price' WHEN k = 3 THEN 'above_max' WHEN k = 4 THEN 'invalid_price' ELSE 'ok' END AS iv_reason
-      FROM (SELECT option_type, CASE WHEN day(quote_date) % 6 = 0 AND greatest({phi()} * (spot - strike * exp(-4e-2 * t)), 0) <= 1e-2 THEN 9 ELSE day(quote_date) % 6 END AS k FROM chain_px WHERE {bs()} > 0.01 AND {bs()} < strike)) GROUP BY ALL""")(
+    SELECT option_type, iv_reason, count(*) AS n FROM (SELECT option_type, CASE WHEN k = 0 AND low > 1e-2 THEN 'below_intrinsic' WHEN k = 1 THEN 'expired' WHEN k = 2 THEN 'zero_price' WHEN k = 3 THEN 'above_max' WHEN k = 4 THEN 'invalid_price'
+        WHEN price < {num(ker.EPSILON)} THEN 'zero_price' ELSE 'ok' END AS iv_reason
+      FROM (SELECT option_type, day(quote_date) % 6 AS k, greatest({phi()} * (spot - strike * exp(-4e-2 * t)), 0) AS low, {bs()} AS price FROM chain_px)) GROUP BY ALL""")(
     lambda v: _reasons(v))
 
 
 def _reasons(v):
     k6 = F.dayofmonth("quote_date") % 6
     low = px.discounted_intrinsic("spot", "strike", "t", 0.04, "option_type")
-    base = px.price_chain(v.chain_px).filter("price > 0.01 and price < strike").withColumns({
+    base = px.price_chain(v.chain_px).withColumns({
         "p": F.when((k6 == 0) & (low > 0.01), low - 0.005).when(k6 == 2, F.lit(0.0)).when(k6 == 3, F.lit(1000.0)).when(k6 == 4, F.lit(-1.0)).otherwise(F.col("price")),
         "t": F.when(k6 == 1, F.lit(0.0)).otherwise(F.col("t"))})
     # a zero price is only meaningful out of the money
@@ -102,42 +110,57 @@ def _qprem(x):
 
 query("h07_american_price_baw", f"""
     WITH RECURSIVE baw AS (
-      SELECT {_C}, spot, vol, t, {phi()} AS w, 0 AS i, CASE WHEN option_type = 'call' THEN strike ELSE 1e-10 END AS lo, CASE WHEN option_type = 'call' THEN strike * 10 ELSE strike END AS hi FROM chain_px WHERE strike IN (40, 50, 60)
+      SELECT {_C}, spot, vol, t, {phi()} AS w, 0 AS i, CASE WHEN option_type = 'call' THEN strike ELSE 1e-10 END AS lo, CASE WHEN option_type = 'call' THEN strike * 10 ELSE strike END AS hi FROM chain_px
       UNION ALL
       SELECT {_C}, spot, vol, t, w, i + 1, CASE WHEN same THEN mid ELSE lo END, CASE WHEN same THEN hi ELSE mid END FROM (
         SELECT *, (w * (mid - strike) - {_qeuro('mid')} - {_qprem('mid')}) * w < 0 AS same FROM (
           SELECT *, (lo + hi) / 2e0 AS mid, {_QP} AS pw FROM baw WHERE i < 60)))
     SELECT {_C}, {r(f"CASE WHEN w * (spot - x) >= 0 THEN w * (spot - strike) ELSE {_qeuro('spot')} + {_qprem('x')} * pow(spot / x, pw) END", 5)} AS american
     FROM (SELECT *, (lo + hi) / 2e0 AS x, {_QP} AS pw FROM baw WHERE i = 60)""", 5)(
-    lambda v: ker.american_price_baw(v.chain_px.filter(F.col("strike").isin(40.0, 50.0, 60.0)), q=0.03).select(*CONTRACT, "american"))
-_STEPS = 16
-query("h08_american_price_tree", f"""
-    WITH RECURSIVE par AS (
-      SELECT {_C}, spot, {phi()} AS w, vol * sqrt(t / {_STEPS}e0) AS u, exp(-4e-2 * t / {_STEPS}e0) AS disc,
-        (exp(4e-2 * t / {_STEPS}e0) - exp(-vol * sqrt(t / {_STEPS}e0))) / (exp(vol * sqrt(t / {_STEPS}e0)) - exp(-vol * sqrt(t / {_STEPS}e0))) AS p FROM chain_px WHERE option_type = 'put'),
+    lambda v: ker.american_price_baw(v.chain_px, q=0.03).select(*CONTRACT, "american"))
+
+
+def _tree(source: str, steps: int, american=True) -> str:
+    """`tree` of rows with `id`, s, strike, t, v, rate, w by recombining steps; a row that exercises early keeps the larger value."""
+    step = "disc * (p * val[j + 1] + (1 - p) * val[j + 2])"
+    value = f"greatest({step}, w * (s * exp(u * (n - 1 - 2 * j)) - strike))" if american else step
+    return f"""WITH RECURSIVE par AS (
+      SELECT *, v * sqrt(t / {steps}e0) AS u, exp(-rate * t / {steps}e0) AS disc, (exp(rate * t / {steps}e0) - exp(-v * sqrt(t / {steps}e0))) / (exp(v * sqrt(t / {steps}e0)) - exp(-v * sqrt(t / {steps}e0))) AS p FROM ({source})),
     tree AS (
-      SELECT *, {_STEPS} AS n, list_transform(range(0, {_STEPS + 1}), lambda j: greatest(w * (spot * exp(u * ({_STEPS} - 2 * j)) - strike), 0e0)) AS val FROM par
+      SELECT id, s, strike, w, u, disc, p, {steps} AS n, list_transform(range(0, {steps + 1}), lambda j: greatest(w * (s * exp(u * ({steps} - 2 * j)) - strike), 0e0)) AS val FROM par
       UNION ALL
-      SELECT {_C}, spot, w, u, disc, p, n - 1, list_transform(range(0, n), lambda j: greatest(disc * (p * val[j + 1] + (1 - p) * val[j + 2]), w * (spot * exp(u * (n - 1 - 2 * j)) - strike))) FROM tree WHERE n > 0)
-    SELECT {_C}, {r('val[1]')} AS tree FROM tree WHERE n = 0""")(
+      SELECT id, s, strike, w, u, disc, p, n - 1, list_transform(range(0, n), lambda j: {value}) FROM tree WHERE n > 0)
+    SELECT id, val[1] AS tree FROM tree WHERE n = 0"""
+
+
+_ID = "{" + ", ".join(f"'{c.strip()}': {c.strip()}" for c in _C.split(",")) + "}"
+_IDS = ", ".join(f"id.{c.strip()} AS {c.strip()}" for c in _C.split(","))
+_STEPS = 64
+
+
+def _rows(s="spot", t="t", v="vol", rate="4e-2", extra="", where="true") -> str:
+    return f"SELECT {_ID[:-1]}{extra}}} AS id, {s} AS s, strike, {t} AS t, {v} AS v, {rate} AS rate, {phi()} AS w FROM chain_px WHERE {where}"
+
+
+query("h08_american_price_tree", f"SELECT {_IDS}, {r('tree')} AS tree FROM ({_tree(_rows(where=chr(39).join(('option_type = ', 'put', ''))), _STEPS)})")(
     lambda v: ker.american_price_tree(v.chain_px.filter("option_type = 'put'"), steps=_STEPS).select(*CONTRACT, "tree"))
 query("h08_tree_call_no_dividend", f"SELECT {_C}, {r(bs())} AS tree FROM chain_px WHERE option_type = 'call'")(
     lambda v: ker.american_price_tree(v.chain_px.filter("option_type = 'call'")).select(*CONTRACT, "tree"))
 
 
-def _near(v, days=3):
-    """Whole table, one expiry-independent strike band near the money."""
-    return v.chain_px.filter(F.abs(F.col("strike") / F.col("spot") - 1.0) < 0.06)
-
-
-query("h08_tree_with_dividends", None)(
-    lambda v: ker.american_price_tree(_near(v).withColumn("divs", F.array(F.struct(F.lit(0.05).alias("time"), F.lit(0.5).alias("amount")))), steps=64, dividends="divs").select(*CONTRACT, "tree"))
-query("h09_american_greeks", None)(lambda v: ker.american_greeks(_near(v), steps=64).select(*CONTRACT, *[f"am_{g}" for g in ("price", *GREEKS)]))
-query("h10_early_exercise_premium", None)(lambda v: ker.early_exercise_premium(_near(v), steps=64).select(*CONTRACT, "early_exercise"))
+_DIV = "greatest(spot - CASE WHEN t >= 5e-2 THEN 5e-1 * exp(-4e-2 * 5e-2) ELSE 0e0 END, 1e-10)"
+query("h08_tree_with_dividends", f"SELECT {_IDS}, {r('tree')} AS tree FROM ({_tree(_rows(_DIV), _STEPS)})")(
+    lambda v: ker.american_price_tree(v.chain_px.withColumn("divs", F.array(F.struct(F.lit(0.05).alias("time"), F.lit(0.5).alias("amount")))), steps=_STEPS, dividends="divs").select(*CONTRACT, "tree"))
+_BUMPED = " UNION ALL ".join(_rows(*args, extra=f", 'k': '{k}', 'h': spot * {num(ker.SPOT_BUMP)}") for k, args in {
+    "mid": (), "up": (f"spot * {num(1 + ker.SPOT_BUMP)}",), "down": (f"spot * {num(1 - ker.SPOT_BUMP)}",), "day": ("spot", f"t - {num(ker.DAY_BUMP)}"), "vol": ("spot", "t", f"vol + {num(ker.VOL_BUMP)}"),
+    "rate": ("spot", "t", "vol", num(0.04 + ker.RATE_BUMP))}.items())
+query("h09_american_greeks", f"""SELECT {_C}, {r('mid')} AS am_price, {r('(up - down) / (2 * h)')} AS am_delta, {r('(up - 2 * mid + down) / (h * h)')} AS am_gamma, {r('day - mid')} AS am_theta, {r('vol - mid')} AS am_vega, {r('rate - mid')} AS am_rho
+    FROM (SELECT {_IDS}, id.h AS h, {', '.join(f"max(tree) FILTER (id.k = '{k}') AS {k}" for k in ('mid', 'up', 'down', 'day', 'vol', 'rate'))} FROM ({_tree(_BUMPED, 32)}) GROUP BY ALL)""")(
+    lambda v: ker.american_greeks(v.chain_px, steps=32).select(*CONTRACT, *[f"am_{g}" for g in ("price", *GREEKS)]))
+query("h10_early_exercise_premium", f"""SELECT {_IDS}, {r('greatest(a.tree - e.tree, 0e0)')} AS early_exercise FROM ({_tree(_rows(), _STEPS)}) a JOIN ({_tree(_rows(), _STEPS, False)}) e USING (id)""")(
+    lambda v: ker.early_exercise_premium(v.chain_px, steps=_STEPS).select(*CONTRACT, "early_exercise"))
 query("h11_exercise_boundary", None)(
     lambda v: ker.exercise_boundary(v.chain_px.filter("option_type = 'put'").groupBy("symbol", "expiration", "strike").agg(F.max("t").alias("t"), F.avg("vol").alias("vol")), points=5, steps=32, iterations=20))
-query("h12_fit_vol_surface", "SELECT symbol, quote_date, dte, count(*)::INT AS num_points, true AS close_fit FROM chain GROUP BY ALL")(
-    lambda v: sf.fit_vol_surface(v.chain_px).select("symbol", "quote_date", "dte", "num_points", (F.col("rmse") < 0.01).alias("close_fit")))
 view("svi", """SELECT DISTINCT symbol, quote_date, dte, 2e-2 + dte / 10000e0 AS a, 1e-1 + spot / 1000e0 AS b, -3e-1 AS rho, 1e-2 AS m, 2e-1 + dte / 1000e0 AS sigma FROM chain""")
 
 
@@ -162,6 +185,15 @@ def _surface(points: str, cols: str) -> str:
     ASOF LEFT JOIN svi hi ON hi.symbol = q.symbol AND hi.quote_date = q.quote_date AND hi.dte > q.dte"""
 
 
+def _refit(v):
+    """Smiles of known parameters, fitted again: the known volatility at every strike and how far the fit is from it."""
+    points = v.chain.select("symbol", "quote_date", "spot", "strike", "dte").distinct()
+    known = sf.surface_iv(points, svi(v), out="vol")
+    fitted = sf.surface_iv(known, sf.fit_vol_surface(known), out="fitted")
+    return fitted.select("symbol", "quote_date", "strike", "dte", F.col("vol").alias("surface_iv"), F.round(F.abs(F.col("fitted") - F.col("vol")), 3).alias("fit_error"))
+
+
+query("h12_fit_vol_surface", f"SELECT *, 0e0 AS fit_error FROM ({_surface('SELECT DISTINCT symbol, quote_date, spot, strike, dte FROM chain', 'q.symbol, q.quote_date, q.strike, q.dte')})")(_refit)
 query("h13_surface_iv", _surface("SELECT symbol, quote_date, spot, strike, unnest([10, 40, 60, 200]) AS dte FROM (SELECT DISTINCT symbol, quote_date, spot, strike FROM chain)", "q.symbol, q.quote_date, q.strike, q.dte"))(
     lambda v: sf.surface_iv(v.chain.select("symbol", "quote_date", "spot", "strike").distinct().withColumn("dte", F.explode(F.array(*map(F.lit, (10, 40, 60, 200))))), svi(v)).select(
         "symbol", "quote_date", "strike", "dte", "surface_iv"))
