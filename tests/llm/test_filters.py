@@ -133,3 +133,17 @@ def test_urls(spark, rules):
     assert url_filter.judge(pages.where("page_id < 0"), rules, listed).count() == 0
     again = {r.url for r in url_filter.seen_again(pages.limit(len(urls))).collect()}
     assert all(u.startswith("http://") for u in again)
+
+
+def test_large_sides_are_shuffled_with_the_same_result(make, hard, monkeypatch):
+    from voltable.llm import joins, line_dedup
+
+    rows = hard + [(i, f"the report of day {i}x was sent by zyx to who@corp.example and filed\nsame a\nsame b\nsame c\nend {i}") for i in range(20, 24)] + [(60 + i, "the report of the day and others") for i in range(30)]
+    docs = make(rows)
+
+    def outcome():
+        return [sorted(map(str, df.collect())) for df in (pii.spans(docs), pii.sanitise(docs), line_dedup.drop_repeated_lines(docs))]
+
+    small = outcome()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    assert outcome() == small and any("term" in x for x in small[0])
