@@ -181,18 +181,24 @@ def _drain(v, df, name):
     return v.spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def _drain_latest(v, df, name, keys):
+    """Run a stream to the end of its input, keeping the last state of every key."""
+    base = new_path(v.spark, name)
+    live.keep_latest(df, f"{base}/out", f"{base}/cp").awaitTermination()
+    return live.latest(v.spark, f"{base}/out", keys)
+
+
 _SYM = "concat('S', cast(floor(user_id / 10) as string)) as symbol"
 query("t01_stream_chain", f"SELECT 'S' || (user_id // 10) AS symbol, event_id, {r('value')} AS price FROM events")(lambda v: _drain(v, _stream(v, [_SYM, "event_id", "value as price"]), "t01"))
-query("t02_stream_snapshots", f"""SELECT 'S' || (user_id // 10) AS symbol, ts::DATE AS d, {r('avg(value) FILTER (value BETWEEN 40 AND 60)')} AS spot, {r('avg(1e-1 + value / 1000) FILTER (value BETWEEN 40 AND 60)')} AS iv, count(*) AS chain_size FROM events
-    WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""")(
-    lambda v: _drain(v, live.stream_snapshots(_stream(v, [_SYM, "cast(ts as timestamp) as quote_ts", "value / 100 as delta", "0.1D + value / 1000 as vol", "value as strike"])), "t02"))
+query("t02_stream_snapshots", f"""SELECT 'S' || (user_id // 10) AS symbol, ts::DATE AS d, {r('avg(value) FILTER (value BETWEEN 40 AND 60)')} AS spot, {r('avg(1e-1 + value / 1000) FILTER (value BETWEEN 40 AND 60)')} AS iv, count(*) AS chain_size FROM events GROUP BY ALL""")(
+    lambda v: _drain_latest(v, live.stream_snapshots(_stream(v, [_SYM, "cast(ts as timestamp) as quote_ts", "value / 100 as delta", "0.1D + value / 1000 as vol", "value as strike"])), "t02", ["symbol", "d"]))
 query("t03_stream_stale_quotes", """SELECT contract, count(*) AS stale FROM (SELECT *, row_number() OVER (PARTITION BY contract, g ORDER BY ts, event_id) AS n FROM (
       SELECT *, sum(ch) OVER (PARTITION BY contract ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN p = lag(p) OVER (PARTITION BY contract ORDER BY ts, event_id) THEN 0 ELSE 1 END AS ch FROM (
         SELECT 'C' || user_id AS contract, ts, event_id, floor(value / 40) AS p FROM events)))) WHERE n >= 3 GROUP BY 1""")(
-    lambda v: _drain(v, live.stream_stale_quotes(_stream(v, ["concat('C', user_id) as contract", "cast(ts as timestamp) as quote_ts", "cast(floor(value / 40) as double) as price"])), "t03").groupBy("contract").agg(F.count(F.lit(1)).alias("stale")))
+    lambda v: _drain(v, live.stream_stale_quotes(_stream(v, ["concat('C', user_id) as contract", "cast(ts as timestamp) as quote_ts", "event_id as seq", "cast(floor(value / 40) as double) as price"])), "t03").groupBy("contract").agg(F.count(F.lit(1)).alias("stale")))
 query("t04_stream_exit_monitor", """SELECT 'C' || user_id AS position_id, arg_min(CASE WHEN value - 50 >= 120 THEN 'profit_target' WHEN value - 50 <= -49.5 THEN 'stop_loss' END, ts) AS exit_reason FROM events WHERE value - 50 >= 120 OR value - 50 <= -49.5 GROUP BY user_id""")(
     lambda v: _drain(v, live.stream_exit_monitor(
-        _stream(v, ["concat('C', user_id) as position_id", "cast(ts as timestamp) as quote_ts", "value - 50 as pnl", "30 as dte"]),
+        _stream(v, ["concat('C', user_id) as position_id", "cast(ts as timestamp) as quote_ts", "event_id as seq", "value - 50 as pnl", "30 as dte"]),
         v.table("events").select(F.concat(F.lit("C"), "user_id").alias("position_id")).distinct().selectExpr("position_id", "100D as net_premium", "1.2D as profit_target", "0.495D as loss_limit", "7 as exit_dte", "1e9D as trail")), "t04").select("position_id", "exit_reason"))
 
 

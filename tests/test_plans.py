@@ -163,6 +163,45 @@ def test_plans_have_no_cartesian_products_or_global_windows(spark, views):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_streams_do_not_depend_on_where_batches_are_cut(spark, tmp_path, files):
+    from voltable.streaming import live
+
+    rng = random.Random(5)
+    rows = [("AB"[i % 2], D0 + dt.timedelta(days=i // 6), i, rng.choice([1.0, 1.0, 1.0, 2.0, None])) for i in range(140)]
+    want, last, run = [], {}, {}
+    for c, ts, i, p in rows:
+        run[c] = 0 if p is None else run.get(c, 0) + 1 if p == last.get(c) else 1
+        last[c] = p
+        if run[c] >= 3:
+            want.append((c, i, run[c]))
+    edges = [len(rows) * k // files for k in range(files + 1)]
+    for a, b in zip(edges, edges[1:]):
+        spark.createDataFrame(rows[a:b], "contract string, d date, seq bigint, price double").withColumn("quote_ts", F.col("d").cast("timestamp")).drop("d").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live.use_rocksdb(spark)
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    stream = lambda: live.stream_chain(spark, f"{tmp_path}/in", schema)
+    q = live.stream_stale_quotes(stream()).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.contract, r.quote_ts.date(), r.run_length) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((c, rows[i][1], n) for c, i, n in want)
+    days = stream().selectExpr("contract as symbol", "quote_ts", "0.5D as delta", "0.2D as vol", "price as strike")
+    live.keep_latest(live.stream_snapshots(days), f"{tmp_path}/days", f"{tmp_path}/cp2").awaitTermination()
+    assert live.latest(spark, f"{tmp_path}/days", ["symbol", "d"]).count() == len({(c, ts) for c, ts, _, _ in rows})
+
+
+def test_marks_read_the_chain_as_it_is(views):
+    """Only the wanted contracts are multiplied, never the chain."""
+    from catalog.chain_queries import snapshots
+    from voltable.operators.chain import interpolated_marks
+
+    chain = materialize(views.quotes, "chain")
+    missing = views.quotes.filter("volume % 5 = 0").select("symbol", "quote_date", "option_type", "expiration", "strike")
+    lines = interpolated_marks(missing, chain)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    multiplied = [i for i, line in enumerate(lines) if "Generate explode(sequence(" in line]
+    assert multiplied and all("Aggregate" in lines[i + 1] for i in multiplied)  # the distinct wanted contracts
+
+
 def test_scan_filters_reach_parquet(spark, tmp_path, capsys):
     from voltable.sources.chains import scan_option_chain
 

@@ -108,16 +108,14 @@ def lookup_quotes(legs: DataFrame, chain: DataFrame, date="quote_date") -> DataF
 def interpolated_marks(missing: DataFrame, chain: DataFrame) -> DataFrame:
     """Strike neighbours within +-7 days of expiry, for contracts without a quote of their own.
 
-    A chain row offers itself to the fifteen expirations around its own, which turns the dte band
-    into an equality; neighbours are then read off one sorted pass per (day, type, wanted expiration),
-    so no contract is ever paired with every other.
+    A missing contract asks the fifteen expirations around its own, which turns the dte band into an equality, so the
+    chain is read as it is; neighbours are then read off one sorted pass per (day, type, wanted expiration), and no
+    contract is ever paired with every other.
     """
     want = missing.select(*CONTRACT, "strike").distinct()
-    targets = want.select(*CONTRACT).distinct()
-    offered = chain.select(
-        *DAY, "option_type", F.col("expiration").alias("_e"), "strike", mid_price().alias("_px"),
-        F.explode(F.sequence(F.date_sub("expiration", DTE_BAND), F.date_add("expiration", DTE_BAND))).alias("expiration"),
-    ).join(targets, CONTRACT, "left_semi")
+    asked = want.select(*CONTRACT).distinct().withColumn("_e", F.explode(F.sequence(F.date_sub("expiration", DTE_BAND), F.date_add("expiration", DTE_BAND))))
+    listed = chain.select(*DAY, "option_type", F.col("expiration").alias("_e"), "strike", mid_price().alias("_px"))
+    offered = asked.join(listed, [*DAY, "option_type", "_e"])
     nearness = F.struct(F.abs(F.datediff("_e", "expiration")), F.col("_e"))
     level = offered.groupBy(*CONTRACT, "strike").agg(F.min_by(F.struct("_px", "_e"), nearness).alias("_q")).select(
         *CONTRACT, strike_key().alias("_k"), F.struct("strike", "_q._px", "_q._e").alias("_q"))

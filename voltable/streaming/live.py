@@ -36,6 +36,8 @@ def stream_chain(spark: SparkSession, path: str, schema: StructType | str, files
 def stream_snapshots(chain: DataFrame, ts="quote_ts", lateness="1 day", window="1 day", band=(0.40, 0.60)) -> DataFrame:
     """IV around half delta, put-call spot proxies and chain size per symbol and day; late rows are dropped.
 
+    In append mode a day comes out once a later row closes it, so the last days of a stream stay inside; `keep_latest` and
+    `latest` write what changed in each batch instead and have every day, the open ones as far as they got.
     The batch job overwrites the day later with the exact at-the-money rule, which needs the spot first.
     """
     near = F.abs("delta").between(*band)
@@ -44,38 +46,59 @@ def stream_snapshots(chain: DataFrame, ts="quote_ts", lateness="1 day", window="
     ).select("symbol", F.to_date("w.start").alias("d"), "spot", "iv", "chain_size")
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """One key's rows of one micro-batch by time; of equal times by `seq` if the stream has it."""
+    batch = pd.concat(list(rows))
+    return batch.sort_values(["quote_ts", "seq"] if "seq" in batch else ["quote_ts"], kind="stable")
+
+
+def keep_latest(stream: DataFrame, path: str, checkpoint: str, once=True) -> StreamingQuery:
+    """Write the rows each micro-batch changed below `path`, a folder per batch; a batch that runs again replaces its own."""
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of every key that `keep_latest` wrote."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "_batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_last")).select("_last.*")
+
+
 class StaleRuns(StatefulProcessor):
-    """Per contract: last price and how often it repeated."""
+    """Per contract: last price and how often it repeated. A missing price ends the run, also at the edge of a batch.
+    State may expire `ttl_ms` after a contract's last row."""
 
-    def __init__(self, threshold: int):
-        self.threshold = threshold
+    def __init__(self, threshold: int, ttl_ms: int | None):
+        self.threshold, self.ttl_ms = threshold, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double, run int, ts timestamp")
+        self.last = handle.getValueState("last", "price double, run int", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("quote_ts")  # one contract's rows of one micro-batch
-        price, run = None, 0
-        if self.last.exists():
-            price, run, _ = self.last.get()
+        batch = _in_order(rows)
+        price, run = self.last.get() if self.last.exists() else (float("nan"), 0)
         out = []
-        for ts, p in zip(batch["quote_ts"], batch["price"]):
-            run = run + 1 if price is not None and p == price else 1
+        for ts, p in zip(batch["quote_ts"], batch["price"].astype(float)):
+            run = 0 if pd.isna(p) else run + 1 if p == price else 1
             price = p
-            if run >= self.threshold and not pd.isna(p):
+            if run >= self.threshold:
                 out.append((key[0], ts, float(p), run))
-        if price is not None and not pd.isna(price):
-            self.last.update((float(price), int(run), pd.Timestamp(batch["quote_ts"].iloc[-1]).to_pydatetime()))
+        self.last.update((float(price), int(run)))
         yield pd.DataFrame(out, columns=["contract", "quote_ts", "price", "run_length"])
 
     def close(self) -> None:
         pass
 
 
-def stream_stale_quotes(quotes: DataFrame, threshold=3) -> DataFrame:
-    """(contract, quote_ts, price) rows whose price repeats for `threshold` observations or more."""
+def stream_stale_quotes(quotes: DataFrame, threshold=3, ttl_ms: int | None = None) -> DataFrame:
+    """(contract, quote_ts, price) rows whose price repeats for `threshold` observations or more. A column `seq`
+    orders rows of equal `quote_ts`."""
     return quotes.groupBy("contract").transformWithStateInPandas(
-        StaleRuns(threshold), "contract string, quote_ts timestamp, price double, run_length int", "Append", "None")
+        StaleRuns(threshold, ttl_ms), "contract string, quote_ts timestamp, price double, run_length int", "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
 class ExitWatch(StatefulProcessor):
@@ -88,12 +111,14 @@ class ExitWatch(StatefulProcessor):
         self.state = handle.getValueState("watch", "peak double, closed boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("quote_ts")
+        batch = _in_order(rows)
         peak, closed = self.state.get() if self.state.exists() else (0.0, False)
         out = []
         for row in batch.itertuples():
             if closed:
                 break
+            if pd.isna(row.pnl):
+                continue
             peak = max(peak, row.pnl)
             reason = None
             if row.dte <= row.exit_dte:
@@ -115,7 +140,7 @@ class ExitWatch(StatefulProcessor):
 
 
 def stream_exit_monitor(marks: DataFrame, positions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """One exit row per position. `marks` streams (position_id, quote_ts, pnl, dte); `positions` is static
+    """One exit row per position. `marks` streams (position_id, quote_ts, pnl, dte, and `seq` to order equal times); `positions` is static
     with (position_id, net_premium, profit_target, loss_limit, exit_dte, trail)."""
     both = marks.join(positions, "position_id").withColumn("pnl_pct", F.col("pnl") / F.abs("net_premium"))
     return both.groupBy("position_id").transformWithStateInPandas(
