@@ -208,10 +208,10 @@ query("k08_fill_price", f"SELECT position_id, leg_no, {r(_FB)} AS fill FROM leg_
     lambda v: leg_quotes(v).select("position_id", "leg_no", ex.fill_price(F.col("side") > 0, entry="entry_price").alias("fill")))
 view("k09", f"""SELECT position_id, structure_type, count(*) AS num_legs, sum(quantity)::BIGINT AS num_contracts, CASE WHEN count(fb) = count(*) THEN sum((CASE WHEN side > 0 THEN -1 ELSE 1 END) * greatest(fb + (CASE WHEN side > 0 THEN 1 ELSE -1 END) * fb * 2e-2, 0) * quantity * 100) END AS total_premium,
       sum(fb * 2e-2 * quantity * 100) AS slippage, sum(quantity * 65e-2) AS commission FROM (SELECT *, {_FB} AS fb FROM leg_quotes) GROUP BY ALL""")
-query("k09_execute_entry", f"SELECT position_id, structure_type, num_legs, num_contracts, {r('total_premium', 4)} AS total_premium, {r('slippage', 4)} AS slippage, {r('commission', 4)} AS commission, {r('-total_premium + commission + slippage', 4)} AS total_cost FROM k09", 4)(
+query("k09_execute_entry", f"SELECT position_id, structure_type, num_legs, num_contracts, {r('total_premium', 6)} AS total_premium, {r('slippage', 6)} AS slippage, {r('commission', 6)} AS commission, {r('-total_premium + commission + slippage', 6)} AS total_cost FROM k09", 6)(
     lambda v: ex.execute(leg_quotes(v), ["position_id", "structure_type"], "entry", slippage_pct=0.02, entry="entry_price"))
-query("k09_execute_exit_single_slippage", f"""SELECT position_id, {r('CASE WHEN count(fb) = count(*) THEN sum((CASE WHEN side < 0 THEN -1 ELSE 1 END) * greatest(fb + (CASE WHEN side < 0 THEN 1 ELSE -1 END) * fb * 2e-2, 0) * quantity * 100) - sum(quantity * 65e-2) END', 4)} AS total_proceeds
-    FROM (SELECT *, CASE WHEN bid > 0 AND ask > 0 THEN CASE WHEN side < 0 THEN ask ELSE bid END WHEN px > 0 THEN px * (CASE WHEN side < 0 THEN 101e-2 ELSE 99e-2 END) WHEN entry_price > 0 THEN entry_price * (CASE WHEN side < 0 THEN 101e-2 ELSE 99e-2 END) END AS fb FROM leg_quotes) GROUP BY ALL""", 4)(
+query("k09_execute_exit_single_slippage", f"""SELECT position_id, {r('CASE WHEN count(fb) = count(*) THEN sum((CASE WHEN side < 0 THEN -1 ELSE 1 END) * greatest(fb + (CASE WHEN side < 0 THEN 1 ELSE -1 END) * fb * 2e-2, 0) * quantity * 100) - sum(quantity * 65e-2) END', 6)} AS total_proceeds
+    FROM (SELECT *, CASE WHEN bid > 0 AND ask > 0 THEN CASE WHEN side < 0 THEN ask ELSE bid END WHEN px > 0 THEN px * (CASE WHEN side < 0 THEN 101e-2 ELSE 99e-2 END) WHEN entry_price > 0 THEN entry_price * (CASE WHEN side < 0 THEN 101e-2 ELSE 99e-2 END) END AS fb FROM leg_quotes) GROUP BY ALL""", 6)(
     lambda v: ex.execute(leg_quotes(v), ["position_id"], "exit", slippage_pct=0.02, slippage_mode="single", entry="entry_price").select("position_id", "total_proceeds"))
 query("k10_volume_impact", f"SELECT symbol, quote_date, expiration, strike, option_type, {r('CASE WHEN volume - 300 <= 0 THEN 1e-1 ELSE least(5e-1 * sqrt(10 / (volume - 300)::DOUBLE), 1e-1) END')} AS impact FROM quotes")(
     lambda v: v.quotes.select("symbol", "quote_date", "expiration", "strike", "option_type", ex.volume_impact(F.lit(10.0), F.col("volume") - 300).alias("impact")))
