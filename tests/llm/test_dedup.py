@@ -164,7 +164,21 @@ def test_repeated_lines(make, hard):
 
 
 def test_majority_and_wide_fingerprints():
-    h = simhash._hashes("a b c d e f g", 4, 4)
-    assert h.shape == (4, 32) and simhash._majority(h)[:8] == plain_fingerprint("a b c d e f g", 4).to_bytes(8, "big")
-    assert 40 <= simhash.radius_for(0.8) <= 52 and simhash.radius_for(0.9) < simhash.radius_for(0.8)
+    h = simhash._hashes("a b c d e f g", 4)
+    assert h.shape == (4, 8) and simhash._majority(h) == plain_fingerprint("a b c d e f g", 4).to_bytes(8, "big")
+    assert len(simhash._majority(h, wide=True)) == simhash.WIDE // 8 and simhash._majority(h[:0], wide=True) == bytes(simhash.WIDE // 8)
+    assert 155 <= simhash.radius_for(0.8) <= 172 and simhash.radius_for(0.9) < simhash.radius_for(0.8)
     assert np.array_equal(simhash._band_keys(h), simhash._band_keys(h[::-1]))
+
+
+def test_wide_fingerprints_measure_similarity():
+    rnd = random.Random(6)
+    for _ in range(40):
+        words = [str(rnd.random()) for _ in range(600)]
+        other = list(words)
+        for at in rnd.sample(range(600), 14):
+            other[at] = "x"
+        one, two = ({tuple(w[i:i + 5]) for i in range(596)} for w in (words, other))
+        j = len(one & two) / len(one | two)
+        a, b = (int.from_bytes(simhash._majority(simhash._hashes(" ".join(w), 5), True), "big") for w in (words, other))
+        assert abs((a ^ b).bit_count() - simhash.radius_for(j, 0)) < 48

@@ -27,18 +27,19 @@ TREE = 1024
 RADIUS, BLOCKS = 4, 6
 #: Bits of the fingerprint for similarity search, bands of min-wise hashes and hashes in a band. Pairs with a Jaccard
 #: similarity of 0.8 share a band with probability 0.997.
-WIDE, BANDS, IN_BAND = 256, 8, 3
+WIDE, BANDS, IN_BAND = 1024, 8, 3
 
 _SEED = 42
 _FACTORS = np.random.default_rng(_SEED).integers(1 << 62, size=(BANDS, IN_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDENING = np.random.default_rng(_SEED + 1).integers(1 << 62, size=(1, WIDE // 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = [(p, q) for p, q in combinations(range(BLOCKS), 2)]
 
 
-def _hashes(text: str, k: int, seeds: int) -> np.ndarray:
-    """XXH64 of the word shingles (repeats included) under successive seeds, big-endian bytes: (shingles, 8 x seeds)."""
+def _hashes(text: str, k: int) -> np.ndarray:
+    """XXH64 of the word shingles (repeats included), big-endian bytes: (shingles, 8)."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros((0, 8 * seeds), np.uint8)
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.r_[0, ends[:-1]]
@@ -46,15 +47,24 @@ def _hashes(text: str, k: int, seeds: int) -> np.ndarray:
     spans = list(map(slice, starts[:n].tolist(), (ends[min(k, len(words)) - 1:] - 1).tolist()))
     shingles = list(map(joined.__getitem__, spans))
     digest = xxhash.xxh64_digest
-    columns = [np.frombuffer(b"".join([digest(s, _SEED + j) for s in shingles]), np.uint8).reshape(-1, 8) for j in range(seeds)]
-    return columns[0] if seeds == 1 else np.hstack(columns)
+    return np.frombuffer(b"".join([digest(s, _SEED) for s in shingles]), np.uint8).reshape(-1, 8)
 
 
-def _majority(hashes: np.ndarray) -> bytes:
+def _widened(hashes: np.ndarray) -> np.ndarray:
+    """WIDE well-mixed bits of each hash, as bytes."""
+    mixed = hashes.copy().view(">u8").astype(np.uint64) * _WIDENING
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.uint8)
+
+
+def _majority(hashes: np.ndarray, wide: bool = False) -> bytes:
     """Bits that are set in over half of the hashes; none of no hashes."""
-    n, count = len(hashes), np.zeros(8 * hashes.shape[1], np.int64)
-    for at in range(0, n, 4096):
-        count += np.unpackbits(hashes[at: at + 4096], axis=1).sum(0, dtype=np.uint16)
+    n, count = len(hashes), np.zeros(WIDE if wide else 64, np.int64)
+    for at in range(0, n, 2048):
+        block = hashes[at: at + 2048]
+        count += np.unpackbits(_widened(block) if wide else block, axis=1).sum(0, dtype=np.uint16)
     return np.packbits(count * 2 > n).tobytes()
 
 
@@ -69,7 +79,7 @@ def _band_keys(hashes: np.ndarray) -> list[int]:
     """Equal for two texts in a band if all its min-wise hashes are equal."""
     if not len(hashes):
         return list(range(BANDS))
-    first = np.unique(hashes[:, :8].copy().view(">u8").astype(np.uint64))
+    first = np.unique(hashes.copy().view(">u8").astype(np.uint64))
     keys = []
     for band, factors in enumerate(_FACTORS):
         key = b"%d" % band
@@ -87,8 +97,8 @@ def fingerprints(docs: DataFrame, shingle: int, wide: bool = False, id_col: str
         for b in batches:
             fps, keys = [], []
             for text in b.column(1).to_pylist():
-                h = _hashes(text, shingle, WIDE // 64 if wide else 1)
-                fps.append(_majority(h))
+                h = _hashes(text, shingle)
+                fps.append(_majority(h, wide))
                 keys.append(_band_keys(h) if wide else _block_keys(fps[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_fp", "_keys"])
 
@@ -225,8 +235,9 @@ def classes(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, wide: bool
     return joined.select(F.col("_id").alias(id_col), F.lower(F.hex("_fp")).alias("fingerprint"), "component_id")
 
 
-def radius_for(similarity: float, margin: float = 1.6) -> int:
-    """Bits in which wide fingerprints of texts with that Jaccard similarity differ, and `margin` standard deviations more."""
+def radius_for(similarity: float, margin: float = 1.0) -> int:
+    """Bits in which wide fingerprints of texts with that Jaccard similarity differ, and `margin` standard deviations more, for
+    pairs that differ by chance in more bits than expected."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(WIDE * p + margin * np.sqrt(WIDE * p * (1 - p)))
 
