@@ -152,7 +152,7 @@ for _qid, _pre in (("k02_short_straddle_rule", "straddle"), ("k03_iron_condor_ru
 def _exits(v):
     chain, snaps = _inputs(v)
     s = run(v)["signals"]
-    legs = bt.instance_legs(s, chain, snaps)
+    legs = bt.instance_legs(s, chain)
     return bt.first_exit(s, bt.daily_paths(legs, chain, snaps), bt.instance_facts(legs))
 
 

@@ -62,7 +62,7 @@ def with_instances(signals: DataFrame) -> DataFrame:
                                                        F.date_format("expiration", "yyyyMMdd"), F.format_string("%.2f_%.4f_%.4f", "atm", "width", "wing")))
 
 
-def instance_legs(signals: DataFrame, chain: DataFrame, snapshots: DataFrame) -> DataFrame:
+def instance_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
     """J06 on distinct instances: one-contract legs with entry quotes; instances with an unquoted leg drop out."""
     inst = signals.select("instance_id", *INSTANCE, "spot").distinct().withColumn("quantity", F.lit(1))
     legs = lookup_quotes(build_structures(inst), chain, "entry_date").withColumn("entry_price", F.col("quote_mid"))
@@ -73,7 +73,7 @@ def instance_legs(signals: DataFrame, chain: DataFrame, snapshots: DataFrame) ->
 def instance_days(legs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Leg-days an instance could be held: the symbol's days after entry up to expiration."""
     days = snapshots.groupBy("symbol").agg(F.sort_array(F.collect_set("d")).alias("_days"))
-    span = legs.join(days, "symbol").withColumn(
+    span = attach_by_key(legs, days, ["symbol"], F.col("instance_id"), SALTS).withColumn(
         "quote_date", F.explode(F.filter("_days", lambda x: (x > F.col("entry_date")) & (x <= F.col("expiration")))))
     return span.drop("_days")
 
@@ -182,7 +182,7 @@ def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame,
     """
     strategies = materialize(strategies, "strategies")
     signals = materialize(with_instances(entry_signals(with_expiries(snapshots, chain), strategies, custom)), "signals")
-    legs = materialize(instance_legs(signals, chain, snapshots), "legs")
+    legs = materialize(instance_legs(signals, chain), "legs")
     paths = daily_paths(legs, chain, snapshots)
     facts = instance_facts(legs)
     cand = first_exit(signals, paths, facts).withColumn("delta_per_contract", F.lit(None).cast("double"))
@@ -204,7 +204,7 @@ def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame,
     positions = materialize(positions, "positions")
     marks = mark_positions(positions)
     return {"signals": signals, "positions": positions.drop("path"), "marks": marks, "trade_log": trade_log(positions),
-            "equity_curve": equity_curve(positions, marks, strategies, snapshots, commission)}
+            "equity_curve": equity_curve(positions, marks, strategies, snapshots)}
 
 
 def mark_positions(positions: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def trade_log(positions: DataFrame) -> DataFrame:
     return both.withColumn("trade_id", F.concat(F.lit("T"), F.lpad(F.col("_n").cast("string"), 6, "0"))).drop("_n")
 
 
-def equity_curve(positions: DataFrame, marks: DataFrame, strategies: DataFrame, snapshots: DataFrame, commission=COMMISSION) -> DataFrame:
+def equity_curve(positions: DataFrame, marks: DataFrame, strategies: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Cash, value of open positions, equity and P&L per strategy and trading day.
 
     A strategy's days are those of its symbol, so the running sums are bounded by the calendar.
