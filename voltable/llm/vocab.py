@@ -18,7 +18,7 @@ import regex
 #: Fixed value: the pattern by which byte-level BPE of this family cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: the code points with Unicode's White_Space property.
-WHITE_SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
+WHITE_SPACE = frozenset(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Distinct pieces a worker remembers before it starts afresh; bounds its memory, never changes a result.
 REMEMBERED = 400_000
 #: Rows of a batch that are worked on together.
