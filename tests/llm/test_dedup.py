@@ -182,3 +182,39 @@ def test_wide_fingerprints_measure_similarity():
         j = len(one & two) / len(one | two)
         a, b = (int.from_bytes(simhash._majority(simhash._hashes(" ".join(w), 5), True), "big") for w in (words, other))
         assert abs((a ^ b).bit_count() - simhash.radius_for(j, 0)) < 48
+
+
+def test_near_copies_are_those_of_exact_similarity(make):
+    """Around the threshold, pairs above it are found and pairs below it stay; repeated shingles count once."""
+    rnd = random.Random(12)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(rnd.randint(150, 400))]
+        rows.append((10 * g, " ".join(words)))
+        for c in range(1, 3):
+            own = list(words)
+            for at in rnd.sample(range(0, len(own), 6), len(own) * rnd.randint(10, 40) // 1000):
+                own[at] = f"x{g}c{c}at{at}"
+            rows.append((10 * g + c, " ".join(own)))
+    body = [f"b{k}" for k in range(300)]
+    rows += [(900, " ".join(body + ["one", "two", "three", "four", "five", "six"] * 60)), (901, " ".join(body + ["six", "four", "three", "one", "seven", "eight"] * 60))]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for k in sets:
+            if k < i and k // 10 == i // 10 and root[k] != root[i] and 10 * len(sets[i] & sets[k]) >= 8 * len(sets[i] | sets[k]):
+                a, b = sorted((root[i], root[k]))
+                root = {x: a if r == b else r for x, r in root.items()}
+    near = [len(sets[i] & sets[k]) / len(sets[i] | sets[k]) for i in sets for k in sets if k < i and k // 10 == i // 10]
+    assert sum(0.7 <= x < 0.8 for x in near) > 20 and sum(0.8 <= x < 0.9 for x in near) > 20 and root[901] == 900
+    assert {r.doc_id for r in simhash.drop_near_copies(make(rows)).collect()} == {i for i, r in root.items() if i == r}
+
+
+def test_large_sets_make_more_trees_with_the_same_result(make, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(200)) + f" end{i}") for i in range(30)] + [(50, "alone")]
+    monkeypatch.setattr(simhash, "TREE_BYTES", 4096)
+    assert {r.doc_id for r in simhash.drop_near_copies(make(rows)).collect()} == {0, 50}

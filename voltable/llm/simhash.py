@@ -4,7 +4,8 @@ Fingerprints are dealt to shards so that any two that are to be linked meet in o
 every two of six blocks of bits (four flipped bits leave two blocks whole), for similarity search by bands of min-wise
 hashes of the shingles. Each shard holds its fingerprints in a BK-tree, where a child hangs on its parent by their Hamming
 distance, and a search follows only edges within the radius. A shard with very many fingerprints becomes several trees of
-bounded size, and every part of it is searched in every tree. A shard passes on a spanning forest of its links, so a group
+bounded size, and every part of it is searched in every tree. In similarity search the trees only propose: two texts are
+linked if the Jaccard similarity of their shingle sets says so. A shard passes on a spanning forest of its links, so a group
 of copies never yields all its pairs; the forests are joined to components by repeated star contraction.
 """
 
@@ -18,17 +19,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltable.llm import bloom
 from voltable.llm.joins import join_checked
 from voltable.plans.lineage import materialize
 
 #: Distinct fingerprints in a tree at most (up to the chance of an uneven deal).
 TREE = 1024
+#: Bytes of shingle sets in a tree at most, likewise; a single longer text is a tree of its own.
+TREE_BYTES = 16 << 20
 #: Radius of the exact search, and blocks into which it cuts 64 bits: two of them stay whole.
 RADIUS, BLOCKS = 4, 6
 #: Bits of the fingerprint for similarity search, bands of min-wise hashes and hashes in a band. Pairs with a Jaccard
 #: similarity of 0.8 share a band with probability 0.997.
 WIDE, BANDS, IN_BAND = 1024, 8, 3
 
+#: Standard deviations by which the radius of a proposed pair exceeds the bits expected at the similarity.
+MARGIN = 4.0
+
 _SEED = 42
 _FACTORS = np.random.default_rng(_SEED).integers(1 << 62, size=(BANDS, IN_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WIDENING = np.random.default_rng(_SEED + 1).integers(1 << 62, size=(1, WIDE // 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,15 +97,26 @@ def _band_keys(hashes: np.ndarray) -> list[int]:
     return keys
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The hashes in order, each once."""
+    return np.unique(hashes.copy().view(">u8")).view(np.uint8).reshape(-1, 8)
+
+
+def _wide_node(distinct: np.ndarray) -> bytes:
+    """Wide fingerprint of a set of hashes, and a digest of the set, so that only equal sets are one node."""
+    return _majority(distinct, True) + xxhash.xxh3_128_digest(distinct.tobytes())
+
+
 def fingerprints(docs: DataFrame, shingle: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, `_fp` (big-endian bytes: 8, or WIDE bits if `wide`), `_keys` (shards) of every whole text."""
+    """id, `_fp` (big-endian bytes: 8, or if `wide` WIDE bits of the distinct shingles and a digest of them), `_keys`
+    (shards) of every whole text."""
 
     def run(batches):
         for b in batches:
             fps, keys = [], []
             for text in b.column(1).to_pylist():
-                h = _hashes(text, shingle)
-                fps.append(_majority(h, wide))
+                h = _distinct(_hashes(text, shingle)) if wide else _hashes(text, shingle)
+                fps.append(_wide_node(h) if wide else _majority(h))
                 keys.append(_band_keys(h) if wide else _block_keys(fps[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_fp", "_keys"])
 
@@ -106,6 +124,20 @@ def fingerprints(docs: DataFrame, shingle: int, wide: bool = False, id_col: str
     return rows.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _fp binary, _keys array<bigint>")
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """`_digest`, `_set` (distinct shingle hashes in order, big-endian): the sets whose digest `wanted` (a written table) has, each once."""
+
+    def run(batches):
+        for b in batches:
+            sets = [_distinct(_hashes(text, shingle)).tobytes() for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["_digest", "_set"])
+
+    found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(run, "_digest binary, _set binary")
+    # most sets nobody asks for; they go before anything is shuffled
+    _, maybe = bloom.ask(found, "_digest", materialize(bloom.filter_of(wanted, "_digest"), "filter"))
+    return join_checked(maybe, wanted, "_digest", "left_semi").groupBy("_digest").agg(F.any_value("_set").alias("_set"))
+
+
 class BKTree:
     """Children are keyed by their distance to the parent."""
 
@@ -139,8 +171,17 @@ class BKTree:
         return found
 
 
-def _forest(parts: list[int], fps: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links in a cell: one part searched in its own tree, or a part in the other's tree."""
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted) have that Jaccard similarity at least; empty ones are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _forest(parts: list[int], fps: list[bytes], radius: int, sets: list[bytes] | None = None, similarity: float = 0.0) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links in a cell: one part searched in its own tree, or a part in the other's tree. With
+    `sets` (of shingle hashes), what the tree finds is a link only if the sets have the similarity."""
     parent = list(range(len(fps)))
 
     def root(x: int) -> int:
@@ -151,12 +192,13 @@ def _forest(parts: list[int], fps: list[bytes], radius: int) -> list[tuple[bytes
 
     links, tree, inside = [], BKTree(), []
     lower, alike = min(parts), min(parts) == max(parts)
-    value = [int.from_bytes(f, "big") for f in fps]
+    value = [int.from_bytes(f if sets is None else f[: WIDE // 8], "big") for f in fps]
+    hashes = None if sets is None else [np.frombuffer(s, ">u8").astype(np.uint64) for s in sets]
 
     def search(x: int) -> None:
         for n in tree.within(value[x], radius):
             a, b = root(x), root(inside[n])
-            if a != b:
+            if a != b and (hashes is None or _similar(hashes[x], hashes[inside[n]], similarity)):
                 parent[a] = b
                 links.append((fps[x], fps[inside[n]]))
 
@@ -169,22 +211,43 @@ def _forest(parts: list[int], fps: list[bytes], radius: int) -> list[tuple[bytes
     return links
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(`_a`, `_b`): links between distinct fingerprints of `nodes` (a written table) that hold its groups together."""
-    shards = materialize(nodes.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1"), "shards")
-    members = nodes.select("_fp", F.explode("_keys").alias("_key")).join(shards, "_key")
-    parts = F.ceil(F.col("_n") / TREE).cast("int")
-    members = members.select("_key", "_fp", parts.alias("_parts"), F.pmod(F.xxhash64("_fp"), parts).cast("int").alias("_part"))
-    cells = members.select("_key", "_fp", "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+def links(nodes: DataFrame, radius: int, similarity: float | None = None, sets_of=None) -> DataFrame:
+    """(`_a`, `_b`): links between distinct fingerprints of `nodes` (a written table) that hold its groups together.
+
+    With a `similarity` the fingerprints are wide, and `sets_of` gives the shingle sets of a written table of digests.
+    """
+    exact = similarity is not None
+    shards = nodes.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    if not exact:
+        shards = materialize(shards, "shards")
+        members = nodes.select("_fp", F.explode("_keys").alias("_key")).join(shards, "_key")
+        parts = F.ceil(F.col("_n") / TREE).cast("int")
+    else:
+        members = nodes.select("_fp", F.explode("_keys").alias("_key")).join(materialize(shards.select("_key"), "shards"), "_key")
+        members = materialize(members.withColumn("_digest", F.expr(f"substring(_fp, {WIDE // 8 + 1})")), "members")
+        sets = materialize(sets_of(materialize(members.select("_digest").distinct(), "wanted")), "sets")
+        weights = members.join(sets.select("_digest", F.octet_length("_set").alias("_bytes")), "_digest")
+        shards = materialize(weights.groupBy("_key").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_bytes")), "weights")
+        members = members.join(shards, "_key")
+        parts = F.least(F.greatest(F.ceil(F.col("_n") / TREE), F.ceil(F.col("_bytes") / TREE_BYTES)), F.col("_n")).cast("int")
+    members = members.select("_key", "_fp", *(["_digest"] if exact else []), parts.alias("_parts"), F.pmod(F.xxhash64("_fp"), parts).cast("int").alias("_part"))
+    cells = members.select("_key", "_fp", *(["_digest"] if exact else []), "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+    if exact:
+        cells = cells.join(sets, "_digest")
     cells = cells.groupBy("_key", F.least("_part", "_other").alias("_tree"), F.greatest("_part", "_other").alias("_asked"))
-    cells = cells.agg(F.collect_list("_part").alias("_of"), F.collect_list("_fp").alias("_fps")).where(F.size("_fps") > 1)
+    columns = ["_part", "_fp", *(["_set"] if exact else [])]
+    cells = cells.agg(F.collect_list(F.struct(*columns)).alias("_members")).where(F.size("_members") > 1)
 
     def run(batches):
         for b in batches:
-            out = [link for parts, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for link in _forest(parts, fps, radius)]
+            out = []
+            for cell in b.column(0):  # one cell at a time becomes Python objects
+                of = cell.values
+                found = [of.field(c).to_pylist() for c in columns]
+                out += _forest(found[0], found[1], radius, *([found[2], similarity] if exact else []))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["_a", "_b"])
 
-    return cells.select("_of", "_fps").mapInArrow(run, "_a binary, _b binary").distinct()
+    return cells.select("_members").mapInArrow(run, "_a binary, _b binary").distinct()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -215,19 +278,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.withColumnRenamed("_b", "_root")
 
 
-def classes(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 4, radius: int = RADIUS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, `fingerprint` (hex), `component_id`: the smallest id reachable over links.
 
     Words are what ASCII white space separates, A-Z lower-cased; a text with fewer words than a shingle is one shingle, and
     one without words (also a null text) has fingerprint zero and is linked like any other. Fingerprints at `radius` or
-    fewer differing bits are linked; up to four bits of 64 every link is found. Rows of one fingerprint count as one in
+    fewer differing bits are linked; up to four bits of 64 every link is found. With a `similarity`, fingerprints are wide and
+    of distinct shingles (`fingerprint` ends with a digest of them), and of those within `radius` the texts are linked whose
+    shingle sets have at least that Jaccard similarity. Rows of one fingerprint count as one in
     the search. A null id is never a `component_id` unless all ids of the component are null. Other columns are not read.
     """
+    wide = similarity is not None
     if not wide and radius > RADIUS:
         raise ValueError(f"blocks of 64 bits find all links up to radius {RADIUS}; use wide fingerprints")
     of_docs = materialize(fingerprints(docs, shingle, wide, id_col, text_col), "fingerprints")
     nodes = materialize(of_docs.groupBy("_fp").agg(F.min("_id").alias("_least"), F.any_value("_keys").alias("_keys")), "nodes")
-    roots = components(links(nodes, radius))
+    roots = components(links(nodes, radius, similarity, lambda wanted: shingle_sets(docs, wanted, shingle, text_col)))
     named = materialize(nodes.select("_fp", "_least").join(roots, F.col("_fp") == F.col("_a"), "left").select("_fp", "_least", F.coalesce("_root", "_fp").alias("_root")), "roots")
     smallest = materialize(named.groupBy("_root").agg(F.min("_least").alias("component_id")), "smallest")
     named = materialize(named.join(smallest, "_root").select(F.col("_fp").alias("_of"), "component_id"), "classes")
@@ -245,9 +311,10 @@ def radius_for(similarity: float, margin: float = 1.0) -> int:
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay: of each group of near copies the one with the smallest id.
 
-    Similarity is that of the shingles, measured by wide fingerprints. Rows with a null id stay, and rows that repeat an
+    Similarity is the Jaccard similarity of the sets of shingles. Pairs are proposed by wide fingerprints, with a radius of
+    `MARGIN` standard deviations above that of the similarity, and checked on the sets. Rows with a null id stay, and rows that repeat an
     id share its fate.
     """
-    found = classes(docs, shingle, radius_for(similarity), True, id_col, text_col)
+    found = classes(docs, shingle, radius_for(similarity, MARGIN), similarity, id_col, text_col)
     gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
     return join_checked(docs, gone, id_col, "left_anti")
