@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -147,3 +148,26 @@ def test_large_sides_are_shuffled_with_the_same_result(make, hard, monkeypatch):
     small = outcome()
     monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
     assert outcome() == small and any("term" in x for x in small[0])
+
+
+def test_disclosing_terms_go_wherever_they_stand(make):
+    """Far from the entity, again later in its text, and in documents without it; near copies of a text disclose nothing."""
+    rnd = random.Random(5)
+    filler = lambda n: " ".join(rnd.choice("the of and to in is for on with as by at from report".split()) for _ in range(n)).replace(" ", "q ") + " "
+    common = [(1000 + i, "the report of the day " + filler(60)) for i in range(80)]
+    rows = [(i, f"Zyx{' wrote' * (i + 1)} {filler(150)}who@corp.example {filler(150)}zyx {i}") for i in range(3)]
+    near = "mail one@corp.example " + filler(100) + "rareword " + filler(40)
+    rows += [(50, near), (51, near + "more")]
+    docs = make(rows + common)
+    got = {r.doc_id: r.spans for r in pii.spans(docs).collect()}
+    for i in range(3):
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("zyx", rows[i][1].lower())}
+        assert len(want) == 2 and want <= set(got[i].split(","))
+    assert "term" not in got[50] and "term" not in got[51]
+    # in one of 4 documents the term stands without the entity: it still discloses, log2(86 * 3 / (3 * 4)) / log2(86 / 3) > 0.75
+    docs = make(rows + common + [(60, "nobody but ZYX knows"), (61, None)])
+    got = {r.doc_id: r for r in pii.spans(docs).collect()}
+    assert got[60].spans == "term:11:14" and got[60].base_sha256 == hashlib.sha256(b"").hexdigest() and got[61].spans == ""
+    texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert texts[60] == "nobody but [TERM] knows" and texts[61] is None and texts[1000] == common[0][1]
+    assert all("zyx" not in texts[i].lower() and "[EMAIL]" in texts[i] for i in range(3))
