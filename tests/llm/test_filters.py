@@ -171,3 +171,14 @@ def test_disclosing_terms_go_wherever_they_stand(make):
     texts = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert texts[60] == "nobody but [TERM] knows" and texts[61] is None and texts[1000] == common[0][1]
     assert all("zyx" not in texts[i].lower() and "[EMAIL]" in texts[i] for i in range(3))
+
+
+def test_texts_in_no_learned_language_go(make):
+    """An unlearned language and noise go with `open_set`, clean rows stay, also those that are not learned from."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices(WORDS[k].split(), k=40)), k) for i, k in enumerate(["aa", "bb", "cc"] * 60)]
+    odd = [(500, "это просто русское предложение о погоде и о реке", None), (501, "今日は天気がとても良いので散歩に行きます", None), (502, "x 1234 #### 99", None)]
+    odd += [(503, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)), None)]
+    docs = make(rows + odd)
+    assert {r.doc_id for r in language.keep_identified(docs).collect()} > {500, 501, 502, 503}
+    assert {r.doc_id for r in language.keep_identified(docs, open_set=True).collect()} == {i for i, _, _ in rows}

@@ -14,6 +14,9 @@ FIT_ROWS = 20_000
 #: Characters hashed together.
 BLOCK = 400_000
 UNKNOWN = "und"
+#: Quantile of the learned rows' mean log-probability per n-gram; a text that lies further below it than SLACK times its own
+#: distance from the median is in none of the learned languages.
+LOW, SLACK = 0.005, 3
 
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
@@ -55,10 +58,20 @@ def _blocks(texts: list[str]):
 
 
 class Model:
-    """Log-probabilities (buckets x languages) and log-priors."""
+    """Log-probabilities (buckets x languages), log-priors and the smoothed counts behind them."""
 
-    def __init__(self, languages: list[str], log_p: np.ndarray, prior: np.ndarray):
-        self.languages, self.log_p, self.prior = languages, log_p, prior
+    def __init__(self, languages: list[str], log_p: np.ndarray, prior: np.ndarray, counts: np.ndarray):
+        self.languages, self.log_p, self.prior, self.counts = languages, log_p, prior, counts
+
+    def typical(self, texts: list[str], languages: list[str]) -> np.ndarray:
+        """Mean log-probability per n-gram of each text in its language."""
+        out = np.empty(len(texts))
+        column = np.searchsorted(self.languages, languages)
+        for a, b in _blocks(texts):
+            grams, starts = _grams(texts[a:b])
+            sizes = np.diff(np.r_[starts, len(grams)])
+            out[a:b] = np.add.reduceat(self.log_p[grams, np.repeat(column[a:b], sizes)], starts) / sizes
+        return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -73,11 +86,42 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts n-grams per language on executors; what comes to the driver is a row per language and bucket at most."""
+def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """`_text`, `_lang` of the rows that the classifier is fitted on."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     n = labelled.count()
-    sample = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(max(n, 1))) < FIT_ROWS).where("_text IS NOT NULL")
+    return labelled.where(F.pmod(F.xxhash64("_id"), F.lit(max(n, 1))) < FIT_ROWS).where("_text IS NOT NULL").select("_text", "_lang")
+
+
+def floors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the mean log-probability per n-gram below which a text is in none of the learned languages.
+
+    Each learned row is measured without its own n-grams, so that rows the model has not seen are as likely.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
+            found, langs, means = m.predict(texts), [], []
+            for t, lang, (best, _) in zip(texts, labels, found):
+                if best != lang:
+                    continue
+                at, own = np.unique(_grams([t])[0], return_counts=True)
+                k = m.languages.index(lang)
+                n, total = own.sum(), m.counts[:, k].sum()
+                langs.append(lang)
+                means.append(float((own * np.log((m.counts[at, k] - own) / (total - n))).sum() / n))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(means, pa.float64())], names=["lang", "mean"])
+
+    measured = _learned(docs, id_col, text_col, lang_col).mapInArrow(run, "lang string, mean double").groupBy("lang").agg(F.percentile("mean", F.array(F.lit(LOW), F.lit(0.5))).alias("q"))
+    return {r["lang"]: r["q"][0] - SLACK * (r["q"][1] - r["q"][0]) for r in measured.collect()}
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts n-grams per language on executors; what comes to the driver is a row per language and bucket at most."""
+    sample = _learned(docs, id_col, text_col, lang_col)
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -98,7 +142,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     table = np.zeros((BUCKETS + 1, len(languages)))
     table[counted["bucket"].to_numpy(int), np.searchsorted(languages, counted["lang"].to_numpy(str)) if languages else []] = counted["n"].to_numpy(float)
     smooth = table[:BUCKETS] + 0.5
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)), np.log(table[BUCKETS] / max(table[BUCKETS].sum(), 1)) if languages else np.zeros(0))
+    return Model(languages, np.log(smooth / smooth.sum(axis=0)), np.log(table[BUCKETS] / max(table[BUCKETS].sum(), 1)) if languages else np.zeros(0), smooth)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -119,14 +163,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language is found with a score of at least `least`."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", open_set: bool = False) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language is found with a score of at least `least`.
+
+    The score compares the learned languages with each other only. With `open_set` a text also has to be as likely in its
+    language as the learned rows are (`floors`), so texts in other languages and noise go.
+    """
+    model = fit(docs, id_col, text_col, lang_col)
+    low = floors(docs, model, id_col, text_col, lang_col) if open_set and model.languages else {}
+    model = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            found = model.value.predict([t or "" for t in b.column(at).to_pylist()])
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            found = model.value.predict(texts)
+            keep = np.array([lang != UNKNOWN and score >= least for lang, score in found], bool)
+            if low and keep.any():
+                some = np.flatnonzero(keep)
+                languages = [found[k][0] for k in some]
+                keep[some] = model.value.typical([texts[k] for k in some], languages) >= [low.get(lang, -np.inf) for lang in languages]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
