@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
 from __spark_entry__ import oracle_sql, queries
 
 
@@ -33,3 +35,9 @@ def test_every_query_is_registered():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
     assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and len(names) == 11
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_packed_sequences_hold_their_tokens(spark, make, tmp_path):
+    pieces = corpus_pipeline.pack(spark, make([(1, "alpha beta gamma"), (2, None), (3, "word " * 2000)]), str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3} and all(len(r.ids) == r.length for r in pieces)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in pieces)
