@@ -1,8 +1,8 @@
-"""Exact deduplication by two-pass Bloom filtering, in DataFrame operations only.
+"""Exact deduplication in two passes with a Bloom filter, in DataFrame operations only.
 
-First pass: every text's hash is put into a Bloom filter of 64-bit blocks, as a block number and a few bits in that block.
-What would meet its own pattern again goes into a second filter of possibly repeated hashes. Second pass: each row asks the
-second filter; those it does not know are unique for certain and pass straight through, only the rest is shuffled and
+First pass: every text's hash becomes a pattern, a block number and a few bits in a 64-bit block, and all rows are grouped
+by it (12 bytes a row are shuffled). Patterns met again fill a Bloom filter of possibly repeated hashes. Second pass: each
+row asks the filter; those it does not know are unique for certain and pass straight through, only the rest is shuffled and
 compared by SHA-256, so a false positive costs a little time and never changes the result.
 """
 
