@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltable.llm import bpe_trie, exact_dedup, language, line_dedup, nearest, packing, pii, simhash, token_counts, url_filter
+from voltable.llm import alignment, bpe_trie, exact_dedup, language, line_dedup, nearest, packing, periodic_runs, pii, simhash, token_counts, url_filter, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Fixed values: (verdict, host and path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -130,3 +131,45 @@ oracle("op2_line_dedup", r"""
     SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE coalesce(len(lines), 0) END AS n_lines,
            CASE WHEN coalesce(clean, '') = '' THEN 0 ELSE n END AS n_kept, CASE WHEN text IS NOT NULL THEN sha256(coalesce(clean, '')) END AS clean_sha256
     FROM d LEFT JOIN k USING (doc_id)""")
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one of ten texts, picked by the id's checksum, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    picked = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    picked = picked.withColumn("n", F.size("words").cast("bigint")).withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    picked = picked.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("slice(flatten(array_repeat(slice(words, int(a) + 1, int(p)), int((n - a + p - 1) div p))), 1, int(n - a))")
+    text = F.array_join(F.concat(F.expr("slice(words, 1, int(a))"), again), " ")
+    return picked.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_period(table(spark, folder, "documents")), least=6, power=4)
+    # runs come by start and period, so the first of equal powers stays; powers are compared crosswise and so exactly
+    best = F.expr("aggregate(slice(runs, 2, size(runs)), runs[0], (x, r) -> IF(r.length * x.period > x.length * r.period, r, x))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best)).withColumn("lines", lines)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.linked(table(spark, folder, "documents"), VOCABULARY, PIECES)
+
+
+@query
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = winnowing.followed(table(spark, folder, "documents"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("half", F.expr("int(n_chars div 2)"))
+    docs = docs.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars) - half), substring(next_text, 1, half))"))
+    docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))
+    found = winnowing.compared(docs, ["edited", "next_text"], keep=("n_chars", "edited_sha256"))
+    hashes = lambda c: F.expr(f"array_join(transform({c}, x -> concat(x.position, ':', lower(hex(x.hash)))), ',')")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", hashes("marks").alias("fingerprint"),
+        hashes("edited_marks").alias("edited_fingerprint"), F.col("edited_near").alias("near_edited"), F.col("next_text_near").alias("near_next"))
