@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from voltable.operators import metrics as m, risk as k
 from voltable.plans import backtest as bt, execution as ex, strategies as sg, tables as tb
@@ -12,7 +14,7 @@ from voltable.plans.lineage import materialize, new_path, still_written
 
 from .base import query, r
 from .chain_queries import _MID, snapshots
-from .pricing_queries import every_legs
+from .pricing_queries import GREEKS, every_legs, greeks_of
 from .sqlviews import view
 
 # definition, its condition in SQL, width, wing
@@ -28,6 +30,10 @@ DEFS = [
     # a width off the strike grid finds no quotes and opens nothing; a missing wing is half the width
     (sg.strategy("narrow", "bull_put_spread", [sg.condition("vix", ">", 20, negate=True)], max_positions=1), "NOT coalesce(vix > 20, false)", 2.5, 5),
     (sg.strategy("half_wing", "iron_condor", [sg.condition("iv_rank", ">=", 30)], min_dte=45, max_positions=2), "iv_rank >= 30", 10, None),
+    # stops inside the run: a share of the peak given back, dollars lost by the whole position; sizes by the entry delta
+    (sg.strategy("trail", "short_strangle", [sg.condition("iv_rank", ">=", 30)], min_dte=45, trailing_stop=0.3, max_positions=2), "iv_rank >= 30", 10, 5),
+    (sg.strategy("dollars", "long_straddle", [sg.condition("vix", ">", 12)], stop_dollars=150.0, loss_limit=None, exit_base="premium", sizing_value=2.0, max_positions=3), "vix > 12", 5, 5),
+    (sg.strategy("by_delta", "bull_call_spread", [sg.condition("vix", ">", 14)], exit_base="premium", trailing_stop=0.5, stop_dollars=400.0, sizing_method="delta_target", sizing_value=1.5, max_positions=2), "vix > 14", 10, 5),
     (sg.strategy("default_width", "long_strangle", [sg.condition("iv_rank", ">=", 30)], min_dte=45), "iv_rank >= 30", None, None),
 ]
 for _row, _, _w, _g in DEFS:
@@ -65,7 +71,7 @@ def _val(x):
     return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}e0" if isinstance(x, float) else str(x)
 
 
-_COLS = ("structure_type", "min_dte", "target_dte", "max_dte", "width", "wing", "exit_dte", "loss_limit", "exit_base", "max_holding_days", "regime_exit", "max_positions", "sizing_method",
+_COLS = ("structure_type", "min_dte", "target_dte", "max_dte", "width", "wing", "exit_dte", "loss_limit", "exit_base", "max_holding_days", "regime_exit", "trailing_stop", "stop_dollars", "max_positions", "sizing_method",
          "sizing_value", "max_contracts", "capital")
 view("defs", "SELECT * FROM (VALUES " + ", ".join(
     "(" + ", ".join([_val(row["strategy_id"]), *[_val(row[c]) for c in _COLS]]) + ")" for row, *_ in DEFS) + f") t(def, {', '.join(_COLS)})")
@@ -79,7 +85,7 @@ view("sig_width", """SELECT t.* EXCLUDE (width, wing), s.d AS entry_date, s.spot
     FROM strats t JOIN sig_exp s ON s.def = t.def AND s.symbol = t.symbol""")
 view("signals", """SELECT strategy_id, def, symbol, entry_date, spot, expiration, structure_type, atm, width, wing,
       symbol || '_' || strftime(entry_date, '%Y%m%d') || '_' || structure_type || '_' || strftime(expiration, '%Y%m%d') || '_' || printf('%.2f_%.4f_%.4f', atm, width, wing) AS instance_id,
-      exit_dte, profit_target, loss_limit, exit_base, max_holding_days, regime_exit, max_positions, sizing_method, sizing_value, max_contracts, capital
+      exit_dte, profit_target, loss_limit, exit_base, max_holding_days, regime_exit, trailing_stop, stop_dollars, max_positions, sizing_method, sizing_value, max_contracts, capital
     FROM (SELECT *, coalesce(wing0, width * 5e-1) AS wing FROM sig_width)""")
 view("inst_legs0", f"""SELECT i.*, t.leg_no, t.option_type, t.side, i.atm + t.w * i.width + t.g * i.wing AS strike, q.px AS entry_price, q.bid, q.ask
     FROM (SELECT DISTINCT instance_id, symbol, entry_date, spot, expiration, structure_type, atm, width, wing FROM signals) i JOIN templates t USING (structure_type)
@@ -95,14 +101,30 @@ view("facts", """SELECT instance_id, c AS net_premium, n AS num_legs, CASE WHEN
       SELECT instance_id, sum(-side * entry_price) * 100 AS c, count(*) AS n,
         sum(CASE WHEN side > 0 THEN entry_price * 100 ELSE greatest(spot * 20 + entry_price * 100 - (CASE WHEN option_type = 'call' THEN greatest(strike - spot, 0) ELSE greatest(spot - strike, 0) END) * 100, strike * 10 + entry_price * 100, entry_price * 100) END) AS mg,
         max(CASE WHEN structure_type = 'iron_condor' THEN wing WHEN structure_type LIKE '%spread' THEN width END) AS wd FROM inst_legs GROUP BY instance_id)""")
-view("exits", """SELECT strategy_id, instance_id, arg_min({'d': d, 'pnl': pnl, 'why': why}, d) AS x FROM (
+# net Greeks of one contract per instance and day, at the day's spot and volatility
+view("inst_terms", """SELECT l.instance_id, s.d, l.side, l.option_type, l.strike, s.spot, CASE WHEN s.iv > 0 THEN s.iv ELSE 2e-1 END AS vol, (l.expiration - s.d)::INT / 365e0 AS t
+    FROM inst_legs l JOIN snapshots s ON s.symbol = l.symbol AND s.d >= l.entry_date AND s.d < l.expiration""")
+view("inst_greeks", "SELECT instance_id, d, " + ", ".join(f"sum(side * {g}) AS {g}" for g in GREEKS) + f" FROM ({greeks_of('inst_terms')}) GROUP BY ALL")
+view("sized", """SELECT s.*, f.net_premium, f.num_legs, f.margin, CASE WHEN exit_base = 'premium' THEN nullif(abs(f.net_premium), 0) WHEN f.net_premium > 0 THEN f.net_premium END AS base,
+      greatest(least(CASE WHEN sizing_method = 'fixed' THEN floor(sizing_value) WHEN sizing_method = 'capital_percent' THEN CASE WHEN f.margin > 0 THEN floor(capital * sizing_value / f.margin) ELSE 1 END
+        WHEN sizing_method = 'delta_target' THEN CASE WHEN g.delta <> 0 THEN floor(sizing_value / abs(g.delta)) ELSE 1 END END, max_contracts), 1)::INT AS quantity
+    FROM signals s JOIN facts f USING (instance_id) LEFT JOIN inst_greeks g ON g.instance_id = s.instance_id AND g.d = s.entry_date""")
+view("peaks", "SELECT *, max(pnl) OVER (PARTITION BY instance_id ORDER BY d) AS peak FROM paths")
+
+
+def _exits_sql(custom: str = "false") -> str:
+    return f"""SELECT strategy_id, instance_id, arg_min({{'d': d, 'pnl': pnl, 'why': why}}, d) AS x FROM (
       SELECT s.strategy_id, s.instance_id, p.d, p.pnl, CASE WHEN p.dte <= coalesce(s.exit_dte, 0) THEN 'expiration' WHEN p.pnl / s.base >= s.profit_target THEN 'profit_target' WHEN p.pnl / s.base <= -s.loss_limit THEN 'stop_loss'
+          WHEN p.pnl * s.quantity <= -s.stop_dollars THEN 'dollar_stop' WHEN p.peak > 0 AND (p.peak - p.pnl) / p.peak >= s.trailing_stop THEN 'trailing_stop'
           WHEN p.d - s.entry_date >= s.max_holding_days THEN 'holding_period'
-          WHEN s.regime_exit AND ((s.structure_type LIKE 'long%' AND p.regime = 'HIGH') OR (s.structure_type LIKE 'short%' AND p.regime = 'LOW')) THEN 'regime_change' END AS why
-      FROM (SELECT s.*, CASE WHEN exit_base = 'premium' THEN nullif(abs(f.net_premium), 0) WHEN f.net_premium > 0 THEN f.net_premium END AS base FROM signals s JOIN facts f USING (instance_id)) s JOIN paths p USING (instance_id)) WHERE why IS NOT NULL GROUP BY ALL""")
-view("candidates", """SELECT s.*, s.strategy_id || '|' || s.instance_id AS position_id, f.net_premium, f.num_legs, f.margin, x.x.d AS exit_date, x.x.pnl AS exit_pnl, x.x.why AS exit_reason,
-      greatest(least(CASE WHEN sizing_method = 'fixed' THEN floor(sizing_value) WHEN sizing_method = 'capital_percent' THEN CASE WHEN f.margin > 0 THEN floor(capital * sizing_value / f.margin) ELSE 1 END END, max_contracts), 1)::INT AS quantity
-    FROM signals s JOIN facts f USING (instance_id) LEFT JOIN exits x USING (strategy_id, instance_id)""")
+          WHEN s.regime_exit AND ((s.structure_type LIKE 'long%' AND p.regime = 'HIGH') OR (s.structure_type LIKE 'short%' AND p.regime = 'LOW')) THEN 'regime_change'
+          WHEN {custom} THEN 'custom' END AS why
+      FROM sized s JOIN peaks p USING (instance_id)) WHERE why IS NOT NULL GROUP BY ALL"""
+
+
+view("exits", _exits_sql())
+view("candidates", """SELECT s.*, s.strategy_id || '|' || s.instance_id AS position_id, x.x.d AS exit_date, x.x.pnl AS exit_pnl, x.x.why AS exit_reason
+    FROM sized s LEFT JOIN exits x USING (strategy_id, instance_id)""")
 view("numbered", "SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY entry_date, symbol, position_id) AS rn FROM candidates")
 _FOLD = """WITH RECURSIVE fold AS (
       SELECT strategy_id, 0::BIGINT AS rn, []::DATE[] AS open, NULL::VARCHAR AS position_id, false AS ok FROM (SELECT DISTINCT strategy_id FROM numbered)
@@ -134,12 +156,19 @@ view("pos_marks", """SELECT p.strategy_id, p.position_id, p.symbol, t.d, t.value
 view("log0", """SELECT strategy_id, position_id AS structure_id, structure_type, symbol AS underlying, 'open' AS action, entry_date AS d, num_legs, net_premium, total_cost, NULL::DOUBLE AS total_proceeds, entry_commission AS commission, entry_slippage AS slippage, NULL::DOUBLE AS realized_pnl, NULL AS exit_reason FROM positions
     UNION ALL SELECT strategy_id, position_id, structure_type, symbol, 'close', exit_date, num_legs, net_premium, NULL, total_proceeds, exit_commission, exit_slippage, realized_pnl, exit_reason FROM positions WHERE exit_date IS NOT NULL""")
 view("log", "SELECT *, 'T' || lpad(row_number() OVER (PARTITION BY strategy_id ORDER BY d, action, structure_id)::VARCHAR, 6, '0') AS trade_id FROM log0")
-view("flows", """SELECT strategy_id, d, sum(f) AS f, sum(z) AS z, sum(v) AS v, sum(u) AS u, sum(o) AS o FROM (
-      SELECT strategy_id, entry_date AS d, -total_cost AS f, 0e0 AS z, -net_premium AS v, 0e0 AS u, 1 AS o FROM positions
-      UNION ALL SELECT strategy_id, exit_date, total_proceeds, realized_pnl, 0, 0, 0 FROM positions WHERE exit_date IS NOT NULL
-      UNION ALL SELECT strategy_id, d, 0, 0, value, pnl, 1 FROM pos_marks) GROUP BY ALL""")
-view("curve", """SELECT g.strategy_id, g.d, g.capital + sum(coalesce(f, 0)) OVER w AS cash, coalesce(v, 0) AS positions_value, g.capital + sum(coalesce(f, 0)) OVER w + coalesce(v, 0) AS equity, coalesce(o, 0)::BIGINT AS num_positions,
-      sum(coalesce(z, 0)) OVER w AS realized_pnl, coalesce(u, 0) AS unrealized_pnl
+_SUMS = ("f", "z", "v", "u", "o", *GREEKS)
+
+
+def _flow(source: str, d: str = "d", **named: str) -> str:
+    return f"SELECT strategy_id, {d} AS d, {', '.join(f'{named[x]} AS {x}' if x in named else f'0e0 AS {x}' for x in _SUMS)} FROM {source}"
+
+
+view("flows", f"SELECT strategy_id, d, {', '.join(f'sum({x}) AS {x}' for x in _SUMS)} FROM (" + " UNION ALL ".join([
+    _flow("positions", "entry_date", f="-total_cost", v="-net_premium", o="1"), _flow("positions WHERE exit_date IS NOT NULL", "exit_date", f="total_proceeds", z="realized_pnl"),
+    _flow("pos_marks", v="value", u="pnl", o="1"),
+    _flow("positions JOIN inst_greeks g USING (instance_id) WHERE g.d >= entry_date AND (exit_date IS NULL OR g.d < exit_date)", "g.d", **{g: f"g.{g} * quantity" for g in GREEKS})]) + ") GROUP BY ALL")
+view("curve", f"""SELECT g.strategy_id, g.d, g.capital + sum(coalesce(f, 0)) OVER w AS cash, coalesce(v, 0) AS positions_value, g.capital + sum(coalesce(f, 0)) OVER w + coalesce(v, 0) AS equity, coalesce(o, 0)::BIGINT AS num_positions,
+      sum(coalesce(z, 0)) OVER w AS realized_pnl, coalesce(u, 0) AS unrealized_pnl, {', '.join(f'coalesce({g}, 0) AS {g}' for g in GREEKS)}
     FROM (SELECT t.strategy_id, t.capital, s.d FROM strats t JOIN snapshots s USING (symbol)) g LEFT JOIN flows USING (strategy_id, d) WINDOW w AS (PARTITION BY g.strategy_id ORDER BY g.d)""")
 
 _SIG = "strategy_id, instance_id, symbol, entry_date, expiration, structure_type"
@@ -149,14 +178,38 @@ for _qid, _pre in (("k02_short_straddle_rule", "straddle"), ("k03_iron_condor_ru
     query(_qid, f"SELECT {_SIG} FROM signals WHERE def LIKE '{_pre}%'")(lambda v, p=_pre: run(v)["signals"].filter(F.col("strategy_id").startswith(p)).select(*SIG))
 
 
-def _exits(v):
+def _exits(v, custom=None):
     chain, snaps = _inputs(v)
     s = run(v)["signals"]
     legs = bt.instance_legs(s, chain)
-    return bt.first_exit(s, bt.daily_paths(legs, chain, snaps), bt.instance_facts(legs))
+    return bt.first_exit(s, bt.daily_paths(legs, chain, snaps), bt.instance_facts(legs, bt.instance_greeks(legs, snaps)), custom)
+
+
+_EXIT = ("strategy_id", "instance_id", "exit_date", "exit_reason", "exit_pnl")
+query("k05_first_exit", f"SELECT strategy_id, instance_id, exit_date, exit_reason, {r('exit_pnl')} AS exit_pnl FROM candidates")(lambda v: _exits(v).select(*_EXIT))
+query("k05_stops", f"SELECT strategy_id, exit_reason, count(*) AS n, {r('sum(exit_pnl * quantity)', 4)} AS pnl FROM candidates WHERE exit_reason IN ('trailing_stop', 'dollar_stop') GROUP BY ALL", 4)(
+    lambda v: _exits(v).filter(F.col("exit_reason").isin("trailing_stop", "dollar_stop")).groupBy("strategy_id", "exit_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("exit_pnl") * F.col("quantity")).alias("pnl")))
+query("k07_entry_delta", f"SELECT s.strategy_id, s.instance_id, {r('g.delta')} AS delta_per_contract, quantity FROM sized s JOIN inst_greeks g ON g.instance_id = s.instance_id AND g.d = s.entry_date WHERE sizing_method = 'delta_target'")(
+    lambda v: _exits(v).filter("sizing_method = 'delta_target'").select("strategy_id", "instance_id", "delta_per_contract", "quantity"))
 
 
-query("k05_first_exit", f"SELECT strategy_id, instance_id, exit_date, exit_reason, {r('exit_pnl')} AS exit_pnl FROM candidates")(lambda v: _exits(v).select("strategy_id", "instance_id", "exit_date", "exit_reason", "exit_pnl"))
+def _lost_and_old(day):
+    """Down for the third day or later, on a Friday."""
+    return (F.datediff(day["d"], F.col("entry_date")) >= 3) & (day["pnl"] * F.col("quantity") < -20) & (F.weekday(day["d"]) == 4)
+
+
+@F.pandas_udf(BooleanType())
+def _lost_and_old_rows(d: pd.Series, entry: pd.Series, pnl: pd.Series, quantity: pd.Series) -> pd.Series:
+    d, entry = pd.to_datetime(d), pd.to_datetime(entry)
+    return ((d - entry).dt.days >= 3) & (pnl * quantity < -20) & (d.dt.weekday == 4)
+
+
+_CUSTOM = _exits_sql("p.d - s.entry_date >= 3 AND p.pnl * s.quantity < -20 AND isodow(p.d) = 5")
+query("x01_custom_exit", f"""SELECT form, strategy_id, instance_id, x.x.d AS exit_date, x.x.why AS exit_reason, {r('x.x.pnl')} AS exit_pnl
+    FROM (SELECT unnest(['column', 'pandas']) AS form, strategy_id, instance_id FROM sized) LEFT JOIN ({_CUSTOM}) x USING (strategy_id, instance_id)""")(
+    lambda v: _exits(v, _lost_and_old).select(F.lit("column").alias("form"), *_EXIT).unionByName(
+        _exits(v, _lost_and_old_rows("day.d", "entry_date", "day.pnl", "quantity")).select(F.lit("pandas").alias("form"), *_EXIT)))
 query("k06_accept_entries", "SELECT strategy_id, position_id, entry_date, exit_date FROM accepted")(lambda v: run(v)["positions"].select("strategy_id", "position_id", "entry_date", "exit_date"))
 # trades as candidates of one account per strategy; every seventh leaves on the day it came
 view("cand3", """SELECT sid AS strategy_id, 'G' || l_partkey % 5 AS symbol, trade_id AS position_id, entry_date, CASE WHEN l_partkey % 7 = 0 THEN entry_date ELSE exit_date END AS exit_date, round(total_cost) AS need,
@@ -256,8 +309,24 @@ query("k17_positions", "SELECT strategy_id, position_id, instance_id, symbol, st
 query("k13_mark_to_market", f"SELECT strategy_id, position_id, symbol, d, {r('value', 7)} AS value, {r('pnl', 7)} AS pnl, dte FROM pos_marks", 7)(lambda v: run(v)["marks"])
 _LOG = ("net_premium", "total_cost", "total_proceeds", "commission", "slippage", "realized_pnl")
 query("k14_trade_log", "SELECT strategy_id, structure_id, structure_type, underlying, action, d, num_legs, exit_reason, trade_id, " + ", ".join(f"{r(x, 7)} AS {x}" for x in _LOG) + " FROM log", 7)(lambda v: run(v)["trade_log"])
-_CUR = ("cash", "positions_value", "equity", "realized_pnl", "unrealized_pnl")
+_CUR = ("cash", "positions_value", "equity", "realized_pnl", "unrealized_pnl", *GREEKS)
 query("k15_equity_curve", "SELECT strategy_id, d, num_positions, " + ", ".join(f"{r(x, 7)} AS {x}" for x in _CUR) + " FROM curve", 7)(lambda v: run(v)["equity_curve"])
+query("k15_greeks_history", "SELECT strategy_id, d, " + ", ".join(f"{r(g, 7)} AS {g}" for g in GREEKS) + " FROM curve", 7)(lambda v: run(v)["greeks_history"])
+query("g05_run_greeks", " UNION ALL ".join(
+    f"SELECT strategy_id, '{g}' AS greek, {r(f'avg({g})')} AS mean, {r(f'min({g})')} AS min, {r(f'max({g})')} AS max, {r(f'arg_max({g}, d)')} AS current, count({g}) AS count FROM curve GROUP BY 1" for g in GREEKS))(
+    lambda v: k.greeks_over_time(run(v)["greeks_history"], ["strategy_id"]).select("strategy_id", "greek", "mean", "min", "max", "current", "count"))
+query("g06_run_attribution", f"""SELECT strategy_id, {r('coalesce(sum(pd * ds), 0)', 4)} AS delta_pnl, {r('coalesce(sum(pg * ds * ds / 2), 0)', 4)} AS gamma_pnl, {r('coalesce(sum(theta), 0)', 4)} AS theta_pnl, {r('coalesce(sum(pv * dv), 0)', 4)} AS vega_pnl
+    FROM (SELECT *, lag(delta) OVER w AS pd, lag(gamma) OVER w AS pg, lag(vega) OVER w AS pv, spot - lag(spot) OVER w AS ds, vol - lag(vol) OVER w AS dv
+      FROM (SELECT c.*, s.spot, s.iv AS vol FROM curve c JOIN strats t USING (strategy_id) JOIN snapshots s ON s.symbol = t.symbol AND s.d = c.d) WINDOW w AS (PARTITION BY strategy_id ORDER BY d)) GROUP BY 1""", 4)(lambda v: _attributed(v))
+
+
+def _attributed(v):
+    days = _inputs(v)[1].select("symbol", "d", "spot", F.col("iv").alias("vol"))
+    history = run(v)["greeks_history"].join(strategies(v).select("strategy_id", "symbol"), "strategy_id").join(days, ["symbol", "d"]).withColumn("pnl", F.lit(0.0))
+    return k.greeks_pnl_attribution(history, ["strategy_id"]).select("strategy_id", "delta_pnl", "gamma_pnl", "theta_pnl", "vega_pnl")
+
+
+query("r06_run_greeks", " UNION ALL ".join(f"SELECT strategy_id, d, '{g}' AS greek, {r(g, 7)} AS value FROM curve" for g in GREEKS), 7)(lambda v: tb.greeks_table(run(v)["greeks_history"], ["strategy_id"]))
 query("k16_close_records", f"""SELECT strategy_id, position_id, structure_type, symbol, entry_date, exit_date, exit_reason, {r('net_premium', 4)} AS net_premium, {r('realized_pnl', 4)} AS realized_pnl,
       {r('CASE WHEN net_premium <> 0 THEN realized_pnl / abs(net_premium) ELSE 0 END', 4)} AS return_pct, hold_days FROM positions WHERE exit_date IS NOT NULL""", 4)(lambda v: bt.close_records(run(v)["positions"]))
 query("k17_run_totals", f"""SELECT c.strategy_id, {r('final_equity', 7)} AS final_equity, {r('rp', 7)} AS realized_pnl, coalesce(o, 0) AS trades_opened, coalesce(cl, 0) AS trades_closed FROM (SELECT strategy_id, arg_max(equity, d) AS final_equity, arg_max(realized_pnl, d) AS rp FROM curve GROUP BY 1) c
@@ -281,11 +350,15 @@ def _written(v):
     from voltable.sources.sinks import read_results, write_results
 
     base = new_path(v.spark, "results")
-    write_results({"equity_curve": v.equity.withColumnRenamed("sid", "strategy_id"), "trades": v.trades.select("sid", "trade_id")}, base)
-    return read_results(v.spark, base, "equity_curve")
+    write_results({x: run(v)[x] for x in ("equity_curve", "trade_log", "greeks_history")}, base)
+    got = [read_results(v.spark, base, x) for x in ("equity_curve", "trade_log", "greeks_history")]
+    curve, log, greeks = (x.groupBy("strategy_id").agg(F.count(F.lit(1)).alias(f"{n}_rows"), *more) for x, n, more in zip(got, ("curve", "log", "greeks"), (
+        [F.sum("equity").alias("equity")], [], [F.sum("delta").alias("delta"), F.sum("vega").alias("vega")])))
+    return curve.join(log, "strategy_id", "left").join(greeks, "strategy_id").na.fill(0, ["log_rows"])
 
 
-query("a17_write_results", f"SELECT sid AS strategy_id, d, {r('equity', 4)} AS equity FROM equity", 4)(_written)
+query("a17_write_results", f"""SELECT c.strategy_id, c.n AS curve_rows, c.n AS greeks_rows, coalesce(l.n, 0) AS log_rows, {r('equity', 4)} AS equity, {r('delta', 4)} AS delta, {r('vega', 4)} AS vega
+    FROM (SELECT strategy_id, count(*) AS n, sum(equity) AS equity, sum(delta) AS delta, sum(vega) AS vega FROM curve GROUP BY 1) c LEFT JOIN (SELECT strategy_id, count(*) AS n FROM log GROUP BY 1) l USING (strategy_id)""", 4)(_written)
 query("x01_custom_rule", f"SELECT {_SIG} FROM signals WHERE spot > 45")(
     lambda v: bt.with_instances(bt.entry_signals(bt.with_expiries(_inputs(v)[1], _inputs(v)[0]), strategies(v), custom=F.col("spot") > 45)).select(*SIG))
 _TPL = ("high_iv_straddle", "iron_condor", "wheel", "earnings_straddle", "trend_following")

@@ -14,11 +14,18 @@ from .sqlviews import bs, cdf, pdf, phi, ppf, view, num
 _C = "symbol, quote_date, expiration, strike, option_type"
 CONTRACT = ["symbol", "quote_date", "expiration", "strike", "option_type"]
 _D1 = "((ln(spot / strike) + (4e-2 + 5e-1 * vol * vol) * t) / (vol * sqrt(t)))"
-view("terms", f"SELECT *, {_D1} AS d1, {_D1} - vol * sqrt(t) AS d2, {phi()} AS w, exp(-4e-2 * t) AS disc FROM chain_px")
-view("greeks", f"""
-    SELECT *, w * {cdf('(w * d1)')} AS delta, {pdf('d1')} / (spot * vol * sqrt(t)) AS gamma,
+
+
+def greeks_of(source: str) -> str:
+    """`source` (spot, strike, vol, t, option_type) with its closed-form Greeks."""
+    return f"""SELECT *, w * {cdf('(w * d1)')} AS delta, {pdf('d1')} / (spot * vol * sqrt(t)) AS gamma,
       (-spot * {pdf('d1')} * vol / (2e0 * sqrt(t)) - w * 4e-2 * strike * disc * {cdf('(w * d2)')}) / 365e0 AS theta,
-      spot * {pdf('d1')} * sqrt(t) / 100e0 AS vega, w * strike * t * disc * {cdf('(w * d2)')} / 100e0 AS rho FROM terms""")
+      spot * {pdf('d1')} * sqrt(t) / 100e0 AS vega, w * strike * t * disc * {cdf('(w * d2)')} / 100e0 AS rho
+    FROM (SELECT *, {_D1} AS d1, {_D1} - vol * sqrt(t) AS d2, {phi()} AS w, exp(-4e-2 * t) AS disc FROM {source})"""
+
+
+view("terms", f"SELECT *, {_D1} AS d1, {_D1} - vol * sqrt(t) AS d2, {phi()} AS w, exp(-4e-2 * t) AS disc FROM chain_px")
+view("greeks", greeks_of("chain_px"))
 GREEKS = ("delta", "gamma", "theta", "vega", "rho")
 _G = ", ".join(f"{r(g)} AS {g}" for g in GREEKS)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 DEFAULT_SALTS = 32
+#: Rows of one key that a single task may well read.
+HOT_ROWS = 500_000
 
 
 def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, salts: int = DEFAULT_SALTS,
@@ -20,6 +22,19 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], spread:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def attach_measured(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, salts: int = DEFAULT_SALTS, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """`attach_by_key` that counts the keys first: only rows of keys with more than `hot_rows` rows are spread over salts, and
+    only the summaries of these keys are repeated; a cold key's summary stays one row.
+
+    The hot keys are broadcast: there are at most rows / `hot_rows` of them. `rows` is read twice, so it should be a table
+    or a cheap plan. Rows with a null key meet nothing.
+    """
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys, F.lit(salts).alias("_salts"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = per_key.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def align(a: DataFrame, b: DataFrame, on: list[str], values: list[str]) -> DataFrame:
     """Inner alignment of two series with nulls dropped."""
     return a.join(b, on, "inner").dropna(subset=values)

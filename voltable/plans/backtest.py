@@ -1,4 +1,4 @@
-"""Strategy evaluation for many strategies, symbols and parameter sets in one job.
+"""Strategy evaluation for many strategies, symbols and parameter sets in one job.
 
 Path dependence is reduced to one fold. What a position does after entry depends on marks only, so
 each candidate's exit is known without knowing which candidates are taken. Positions of different
@@ -8,14 +8,18 @@ which is priced and marked once; a sweep over exit parameters adds no marking wo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import CONTRACT_MULTIPLIER
 from ..functions.instrument import leg_pnl, market_value, round_strike
-from ..operators.chain import lookup_quotes, mark_legs
-from ..operators.joins import attach_by_key
-from ..operators.risk import leg_margin
+from ..functions.pricing import enrich_greeks
+from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, lookup_quotes, mark_contracts, mark_legs
+from ..operators.joins import attach_by_key, attach_measured
+from ..operators.kernels import implied_vol
+from ..operators.risk import GREEKS, leg_margin, portfolio_greeks
 from ..operators.series import running, sequence_number
 from ..operators.structures import build_structures, net_premium_agg
 from .execution import COMMISSION, execute
@@ -24,6 +28,7 @@ from .strategies import day_fields, entry_condition, position_size
 
 INSTANCE = ["symbol", "entry_date", "structure_type", "expiration", "atm", "width", "wing"]
 FAR = "9999-12-31"
+GREEKS_RATE = 0.04
 SALTS = 8
 
 
@@ -70,12 +75,35 @@ def instance_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
     return legs.withColumn("_bad", bad).filter("_bad = 0").drop("_bad")
 
 
-def instance_days(legs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Leg-days an instance could be held: the symbol's days after entry up to expiration."""
+def instance_days(legs: DataFrame, snapshots: DataFrame, from_entry=False) -> DataFrame:
+    """Leg-days an instance could be held: the symbol's days after entry up to expiration; `from_entry`: from the entry day
+    to the day before expiration."""
     days = snapshots.groupBy("symbol").agg(F.sort_array(F.collect_set("d")).alias("_days"))
-    span = attach_by_key(legs, days, ["symbol"], F.col("instance_id"), SALTS).withColumn(
-        "quote_date", F.explode(F.filter("_days", lambda x: (x > F.col("entry_date")) & (x <= F.col("expiration")))))
-    return span.drop("_days")
+    if from_entry:
+        wanted = F.filter("_days", lambda x: (x >= F.col("entry_date")) & (x < F.col("expiration")))
+    else:
+        wanted = F.filter("_days", lambda x: (x > F.col("entry_date")) & (x <= F.col("expiration")))
+    return attach_by_key(legs, days, ["symbol"], F.col("instance_id"), SALTS).withColumn("quote_date", F.explode(wanted)).drop("_days")
+
+
+def instance_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
+    """`greeks`, per instance the net Greeks of one contract on each day from entry to the day before expiration.
+
+    A day's Greeks take its spot and its at-the-money volatility; with `chain` each contract takes the volatility that its
+    own mark implies, where it implies one. They are computed once per distinct contract-day, however many instances hold it.
+    """
+    held = instance_days(legs.select("instance_id", "symbol", "option_type", "expiration", "strike", "side", "quantity", "entry_date"), snapshots, from_entry=True)
+    day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_spot"), F.col("iv").alias("_iv"))
+    each = held.select(*CONTRACT, "strike").distinct()
+    if chain is not None:
+        each = mark_contracts(each, chain, snapshots).drop("mark_source")
+    each = each.join(day, DAY).withColumns({"_years": F.datediff("expiration", "quote_date") / 365.0, "_sigma": F.when(F.col("_iv") > 0, F.col("_iv")).otherwise(F.lit(DEFAULT_IV))})
+    if chain is not None:
+        each = implied_vol(each, "mark", "_spot", "strike", "_years", rate, out="_own").withColumn("_sigma", F.coalesce("_own", "_sigma"))
+    priced = enrich_greeks(each, "_spot", "strike", "_years", rate, "_sigma").select(*CONTRACT, "strike", *GREEKS)
+    per = portfolio_greeks(held.join(priced, [*CONTRACT, "strike"]), ["instance_id", "quote_date"])
+    step = F.struct(F.col("quote_date").alias("d"), *GREEKS)
+    return per.groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("greeks"))
 
 
 def daily_paths(legs: DataFrame, chain: DataFrame, snapshots: DataFrame, **mark_options) -> DataFrame:
@@ -89,8 +117,8 @@ def daily_paths(legs: DataFrame, chain: DataFrame, snapshots: DataFrame, **mark_
         "instance_id", F.col("quote_date").alias("d"), "pnl", "value", F.datediff("expiration", "quote_date").alias("dte"), "regime")
 
 
-def instance_facts(legs: DataFrame) -> DataFrame:
-    """Premium, margin and risk of one contract of each instance."""
+def instance_facts(legs: DataFrame, greeks: DataFrame) -> DataFrame:
+    """Premium, margin, risk and entry delta of one contract of each instance."""
     priced = legs.withColumn("spot_at_entry", F.col("spot"))
     f = priced.groupBy("instance_id").agg(
         net_premium_agg().alias("net_premium"), F.sum(leg_margin()).alias("_m"), F.count(F.lit(1)).alias("num_legs"), F.max("width").alias("_w"), F.max("wing").alias("_g"),
@@ -99,34 +127,66 @@ def instance_facts(legs: DataFrame) -> DataFrame:
     wing = F.when(F.col("_s") == "iron_condor", F.col("_g")).when(F.col("_s") == "iron_butterfly", F.col("_w")).when(F.col("_s").endswith("spread"), F.col("_w"))
     max_loss = F.when(wing.isNotNull() & (c > 0), wing * CONTRACT_MULTIPLIER - c).when(c <= 0, -c)
     margin = F.when(c > 0, F.greatest(F.col("_m") - c, c)).otherwise(F.col("_m"))
-    return f.select("instance_id", "net_premium", "num_legs", F.coalesce(max_loss, inf).alias("max_loss_per_contract"),
+    at_entry = F.element_at("greeks", 1)["delta"]  # the first day is the entry day
+    f = f.join(greeks.select("instance_id", at_entry.alias("delta_per_contract")), "instance_id", "left")
+    return f.select("instance_id", "net_premium", "num_legs", "delta_per_contract", F.coalesce(max_loss, inf).alias("max_loss_per_contract"),
                     F.greatest(margin, F.lit(0.0)).alias("margin_per_contract"), F.abs(c).alias("premium_per_contract"))
 
 
-def exit_reason(day: Column) -> Column:
-    """Why a position would close on one day of its path, or NULL. Order: expiry, profit, loss, age, regime."""
+def exit_reason(day: Column, custom: Column | None = None) -> Column:
+    """Why a position would close on one day of its path, or NULL. Order: expiry, profit, loss, dollars, trail, age, regime, `custom`."""
     base = F.when(F.col("exit_base") == "premium", F.abs("net_premium")).when(F.col("net_premium") > 0, F.col("net_premium"))
     ratio = day["pnl"] / F.when(base > 0, base)
     against = (F.col("structure_type").startswith("long") & (day["regime"] == "HIGH")) | (F.col("structure_type").startswith("short") & (day["regime"] == "LOW"))
-    return (
+    given_back = (day["peak"] - day["pnl"]) / F.when(day["peak"] > 0, day["peak"])
+    reason = (
         F.when(day["dte"] <= F.coalesce(F.col("exit_dte"), F.lit(0)), F.lit("expiration"))
         .when(ratio >= F.col("profit_target"), F.lit("profit_target")).when(ratio <= -F.col("loss_limit"), F.lit("stop_loss"))
+        .when(day["pnl"] * F.col("quantity") <= -F.col("stop_dollars"), F.lit("dollar_stop")).when(given_back >= F.col("trailing_stop"), F.lit("trailing_stop"))
         .when(F.datediff(day["d"], F.col("entry_date")) >= F.col("max_holding_days"), F.lit("holding_period"))
         .when(F.col("regime_exit") & against, F.lit("regime_change"))
     )
+    return reason if custom is None else reason.when(F.coalesce(custom, F.lit(False)), F.lit("custom"))
+
 
+def first_exit(signals: DataFrame, paths: DataFrame, facts: DataFrame, custom: Callable[[Column], Column] | Column | None = None) -> DataFrame:
+    """Each candidate's size, first exit day and reason (NULL while open).
 
-def first_exit(signals: DataFrame, paths: DataFrame, facts: DataFrame) -> DataFrame:
-    """Each candidate's first exit day and reason (NULL while open).
+    An instance's path is one array bounded by the days to expiration; a candidate scans its own array instead of being
+    joined to every later day. A path's running peak does not depend on the candidate and is part of the path.
 
-    An instance's path is one array bounded by the days to expiration; a candidate scans its own array
-    instead of being joined to every later day.
+    `custom` (X01) is an exit rule of the user's own over a candidate's columns and one day of its path (`d`, `pnl`, `value`,
+    `peak` per contract, `dte`, `regime`): a function from the day to a boolean Column is evaluated inside the array; a
+    boolean Column over `day`, for instance a vectorised pandas UDF of `day.pnl`, is evaluated on exploded (candidate, day)
+    rows. Both close a position on the first day the rule holds.
+    """
+    life = W.partitionBy("instance_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0)  # at most the days to expiration
+    step = F.struct("d", "pnl", "value", "dte", "regime", "peak")
+    arr = paths.withColumn("peak", F.max("pnl").over(life)).groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("path"))
+    known = attach_measured(signals, facts.join(arr, "instance_id", "left"), ["instance_id"], F.col("strategy_id"), SALTS).withColumn("quantity", position_size())
+    if isinstance(custom, Column):
+        rows = known.select("*", F.explode("path").alias("day")).filter(custom).groupBy("strategy_id", "instance_id").agg(F.min("day.d").alias("_custom"))
+        known = known.join(rows, ["strategy_id", "instance_id"], "left")
+        met = lambda x: x["d"] == F.col("_custom")
+    else:
+        met = custom or (lambda x: None)
+    reason = lambda x: exit_reason(x, met(x))
+    out = known.withColumn("_hit", F.try_element_at(F.filter("path", lambda x: reason(x).isNotNull()), F.lit(1))).withColumns({
+        "exit_date": F.col("_hit.d"), "exit_pnl": F.col("_hit.pnl"), "exit_reason": F.when(F.col("_hit").isNotNull(), reason(F.col("_hit")))})
+    return out.drop("_hit", "_custom")
+
+
+def acceptance_segments(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """`_segment` per key and entry date: a new one begins on each day on which no earlier candidate can still be open.
+
+    On such a day an account is empty whatever was accepted before, so its segments are independent. One row per key and
+    day goes through the window, which is bounded by the calendar; it carries the latest exit seen so far.
     """
-    step = F.struct("d", "pnl", "value", "dte", "regime")
-    arr = paths.groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("path"))
-    known = attach_by_key(signals, facts.join(arr, "instance_id", "left"), ["instance_id"], F.col("strategy_id"), SALTS)
-    return known.withColumn("_hit", F.try_element_at(F.filter("path", lambda x: exit_reason(x).isNotNull()), F.lit(1))).withColumns({
-        "exit_date": F.col("_hit.d"), "exit_pnl": F.col("_hit.pnl"), "exit_reason": F.when(F.col("_hit").isNotNull(), exit_reason(F.col("_hit")))}).drop("_hit")
+    days = candidates.groupBy(*keys, "entry_date").agg(F.max("_leaves").alias("_last"))
+    w = W.partitionBy(*keys).orderBy("entry_date")
+    seen = F.max("_last").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(seen.isNull() | (seen <= F.col("entry_date")), 1).otherwise(0)
+    return days.withColumn("_fresh", fresh).select(*keys, "entry_date", F.sum("_fresh").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_segment"))
 
 
 def accept_entries(candidates: DataFrame, keys: list[str], per_symbol: int | None = None, size: str | None = None, max_single=0.20, max_utilization=0.80) -> DataFrame:
@@ -137,19 +197,22 @@ def accept_entries(candidates: DataFrame, keys: list[str], per_symbol: int | Non
     positions. With `size` (a margin column) a single position may use at most `max_single` of `capital` and all open ones
     `max_utilization`.
 
-    What is accepted depends on all that was accepted before, so a key's candidates are read in order, once, with the open
-    positions as the only state: their number is bounded by `max_positions`, whatever the number of candidates.
+    What is accepted depends on what was accepted before, but never across a day on which no earlier candidate can still be
+    open (`acceptance_segments`). Each segment of an account is a group of its own, whose candidates are read in order, once,
+    with the open positions as the only state: their number is bounded by `max_positions`, whatever the number of candidates.
     """
     rows = candidates.withColumns({"_leaves": F.coalesce(F.col("exit_date"), F.lit(FAR).cast("date")), "_need": F.col(size).cast("double") if size else F.lit(0.0)})
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "entry_date", "symbol", "position_id")
-    read = [*keys, "symbol", "entry_date", "_leaves", "_need", "max_positions", *(["capital"] if size else [])]
+    rows = rows.join(acceptance_segments(rows, keys), [*keys, "entry_date"])
+    group = [*keys, "_segment"]
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "entry_date", "symbol", "position_id")
+    read = [*group, "symbol", "entry_date", "_leaves", "_need", "max_positions", *(["capital"] if size else [])]
 
     def fold(batches):
         account, held = object(), []
         for b in batches:
             taken = []
             for i, row in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in read))):
-                own, (symbol, entry, leaves, wants, most) = row[: len(keys)], row[len(keys): len(keys) + 5]
+                own, (symbol, entry, leaves, wants, most) = row[: len(group)], row[len(group): len(group) + 5]
                 if own != account:
                     account, held = own, []
                 held = [h for h in held if h[0] > entry or h[1] == entry]
@@ -174,19 +237,20 @@ def exit_fills(accepted: DataFrame, legs: DataFrame, chain: DataFrame, commissio
 
 
 def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame, commission=COMMISSION, slippage_pct=0.0, slippage_mode="double",
-                 custom: Column | None = None, per_symbol: int | None = None, limit_margin=False) -> dict[str, DataFrame]:
-    """Signals, positions, daily marks, trade log and equity curve of every strategy.
+                 custom: Column | None = None, per_symbol: int | None = None, limit_margin=False, custom_exit: Callable[[Column], Column] | Column | None = None,
+                 rate=GREEKS_RATE, greeks_from="day") -> dict[str, DataFrame]:
+    """Signals, positions, daily marks, trade log, equity curve and Greeks history of every strategy.
 
-    Signals, instance legs, candidates and positions each feed several later stages, so each is written
+    `custom` and `custom_exit` are entry and exit rules of the user's own; Greeks take the day's volatility (`greeks_from='day'`)
+    or the one each contract's mark implies ('mark'). Signals, instance legs and Greeks, candidates and positions each feed several later stages, so each is written
     once and read back; everything downstream is a lazy DataFrame over those tables.
     """
     strategies = materialize(strategies, "strategies")
     signals = materialize(with_instances(entry_signals(with_expiries(snapshots, chain), strategies, custom)), "signals")
     legs = materialize(instance_legs(signals, chain), "legs")
     paths = daily_paths(legs, chain, snapshots)
-    facts = instance_facts(legs)
-    cand = first_exit(signals, paths, facts).withColumn("delta_per_contract", F.lit(None).cast("double"))
-    cand = cand.withColumn("quantity", position_size()).withColumn("position_id", F.concat_ws("|", "strategy_id", "instance_id"))
+    greeks = materialize(instance_greeks(legs, snapshots, rate, chain if greeks_from == "mark" else None), "greeks")
+    cand = first_exit(signals, paths, instance_facts(legs, greeks), custom_exit).withColumn("position_id", F.concat_ws("|", "strategy_id", "instance_id"))
     cand = materialize(cand.withColumn("margin", F.col("margin_per_contract") * F.col("quantity")), "candidates")
     taken = accept_entries(cand, ["strategy_id"], per_symbol, "margin" if limit_margin else None)
     opened = execute(legs, ["instance_id"], "entry", commission, slippage_pct, slippage_mode, entry="entry_price").select(
@@ -194,17 +258,18 @@ def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame,
     closed = exit_fills(taken, legs, chain, commission, slippage_pct, slippage_mode).select(
         "instance_id", "exit_date", F.col("total_proceeds").alias("_proceeds"), F.col("commission").alias("_c1"), F.col("slippage").alias("_s1"))
     q = F.col("quantity")
-    pos = taken.join(opened, "instance_id").join(closed, ["instance_id", "exit_date"], "left")
+    pos = taken.join(opened.join(greeks, "instance_id", "left"), "instance_id").join(closed, ["instance_id", "exit_date"], "left")
     positions = pos.select(
         "strategy_id", "position_id", "instance_id", "symbol", "structure_type", "expiration", "entry_date", "exit_date", "exit_reason", "quantity", "num_legs", "capital",
         (F.col("net_premium") * q).alias("net_premium"), "margin", (F.col("_cost") * q).alias("total_cost"), (F.col("_proceeds") * q).alias("total_proceeds"),
         (F.col("_c0") * q).alias("entry_commission"), (F.col("_c1") * q).alias("exit_commission"), (F.col("_s0") * q).alias("entry_slippage"),
         (F.col("_s1") * q).alias("exit_slippage"), (F.col("exit_pnl") * q).alias("realized_pnl"), ((F.col("_proceeds") - F.col("_cost")) * q).alias("realized_pnl_fill"),
-        F.datediff("exit_date", "entry_date").alias("hold_days"), "path")
+        F.datediff("exit_date", "entry_date").alias("hold_days"), "path", "greeks")
     positions = materialize(positions, "positions")
     marks = mark_positions(positions)
-    return {"signals": signals, "positions": positions.drop("path"), "marks": marks, "trade_log": trade_log(positions),
-            "equity_curve": equity_curve(positions, marks, strategies, snapshots)}
+    curve = equity_curve(positions, marks, strategies, snapshots)
+    return {"signals": signals, "positions": positions.drop("path", "greeks"), "marks": marks, "trade_log": trade_log(positions),
+            "equity_curve": curve, "greeks_history": curve.select("strategy_id", "d", *GREEKS)}
 
 
 def mark_positions(positions: DataFrame) -> DataFrame:
@@ -229,7 +294,7 @@ def trade_log(positions: DataFrame) -> DataFrame:
 
 
 def equity_curve(positions: DataFrame, marks: DataFrame, strategies: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Cash, value of open positions, equity and P&L per strategy and trading day.
+    """Cash, value of open positions, equity, P&L and net Greeks of the open positions per strategy and trading day.
 
     A strategy's days are those of its symbol, so the running sums are bounded by the calendar.
     A position is worth its mark, on the entry day its entry premium.
@@ -237,19 +302,19 @@ def equity_curve(positions: DataFrame, marks: DataFrame, strategies: DataFrame,
     days = snapshots.groupBy("symbol").agg(F.sort_array(F.collect_set("d")).alias("_days"))
     grid = attach_by_key(strategies.select("strategy_id", "symbol", "capital"), days, ["symbol"], F.col("strategy_id"), SALTS).select(
         "strategy_id", "capital", F.explode("_days").alias("d"))
-    zero = F.lit(0.0)
-    entry = positions.select("strategy_id", F.col("entry_date").alias("d"), (-F.col("total_cost")).alias("flow"), zero.alias("realized"), (-F.col("net_premium")).alias("value"),
-                             zero.alias("unreal"), F.lit(1).alias("open"))
-    leave = positions.filter(F.col("exit_date").isNotNull()).select("strategy_id", F.col("exit_date").alias("d"), F.col("total_proceeds").alias("flow"),
-                                                                   F.col("realized_pnl").alias("realized"), zero.alias("value"), zero.alias("unreal"), F.lit(0).alias("open"))
-    held = marks.select("strategy_id", "d", zero.alias("flow"), zero.alias("realized"), F.col("value"), F.col("pnl").alias("unreal"), F.lit(1).alias("open"))
-    per = entry.unionByName(leave).unionByName(held).groupBy("strategy_id", "d").agg(
-        *[F.sum(x).alias(f"_{x}") for x in ("flow", "realized", "value", "unreal", "open")])
-    both = grid.join(per, ["strategy_id", "d"], "left").na.fill(0, [f"_{x}" for x in ("flow", "realized", "value", "unreal", "open")])
+    opens = positions.select("strategy_id", F.col("entry_date").alias("d"), (-F.col("total_cost")).alias("flow"), (-F.col("net_premium")).alias("value"), F.lit(1).alias("open"))
+    leave = positions.filter(F.col("exit_date").isNotNull()).select("strategy_id", F.col("exit_date").alias("d"), F.col("total_proceeds").alias("flow"), F.col("realized_pnl").alias("realized"))
+    held = marks.select("strategy_id", "d", "value", F.col("pnl").alias("unreal"), F.lit(1).alias("open"))
+    live = F.filter("greeks", lambda x: F.col("exit_date").isNull() | (x["d"] < F.col("exit_date")))
+    exposed = positions.select("strategy_id", "quantity", F.explode(live).alias("_g")).select("strategy_id", F.col("_g.d").alias("d"), *[(F.col(f"_g.{g}") * F.col("quantity")).alias(g) for g in GREEKS])
+    parts = opens.unionByName(leave, allowMissingColumns=True).unionByName(held, allowMissingColumns=True).unionByName(exposed, allowMissingColumns=True)
+    sums = ["flow", "realized", "value", "unreal", "open", *GREEKS]
+    per = parts.groupBy("strategy_id", "d").agg(*[F.sum(x).alias(f"_{x}") for x in sums])
+    both = grid.join(per, ["strategy_id", "d"], "left").na.fill(0, [f"_{x}" for x in sums])
     w = running(["strategy_id"])
     return both.select("strategy_id", "d", (F.col("capital") + F.sum("_flow").over(w)).alias("cash"), F.col("_value").alias("positions_value"),
                        (F.col("capital") + F.sum("_flow").over(w) + F.col("_value")).alias("equity"), F.col("_open").cast("bigint").alias("num_positions"),
-                       F.sum("_realized").over(w).alias("realized_pnl"), F.col("_unreal").alias("unrealized_pnl"))
+                       F.sum("_realized").over(w).alias("realized_pnl"), F.col("_unreal").alias("unrealized_pnl"), *[F.col(f"_{g}").alias(g) for g in GREEKS])
 
 
 def close_records(positions: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ CONDITION = "struct<field: string, op: string, value: double, high: double, nega
 COLUMNS = {
     "strategy_id": "string", "name": "string", "symbol": "string", "structure_type": "string", "min_dte": "int", "target_dte": "int", "max_dte": "int", "width": "double",
     "wing": "double", "combine": "string", "conditions": f"array<{CONDITION}>", "exit_dte": "int", "profit_target": "double", "loss_limit": "double", "exit_base": "string",
-    "max_holding_days": "int", "regime_exit": "boolean", "max_positions": "int", "sizing_method": "string", "sizing_value": "double", "max_contracts": "int", "capital": "double",
+    "max_holding_days": "int", "regime_exit": "boolean", "trailing_stop": "double", "stop_dollars": "double", "max_positions": "int", "sizing_method": "string", "sizing_value": "double", "max_contracts": "int", "capital": "double",
 }
 LAYOUT = ", ".join(f"{n} {t}" for n, t in COLUMNS.items())
 FIELDS = ("iv_rank", "vix", "iv", "spot", "regime_days", "weekday", "dte")
+EXITS = ("exit_dte", "profit_target", "loss_limit", "max_holding_days", "trailing_stop", "stop_dollars")
 OPERATORS = (">", ">=", "<", "<=", "==", "between")
 
 # Sanity limits of a strategy definition.
@@ -37,7 +38,7 @@ def strategy(strategy_id: str, structure_type: str, conditions=(), **over) -> di
     """One strategies row with defaults."""
     row = dict(strategy_id=strategy_id, name=strategy_id, symbol=None, structure_type=structure_type, min_dte=30, target_dte=45, max_dte=730, width=None,
                wing=None, combine="and", conditions=list(conditions), exit_dte=7, profit_target=0.50, loss_limit=2.0, exit_base="max_profit", max_holding_days=None,
-               regime_exit=False, max_positions=1, sizing_method="fixed", sizing_value=1.0, max_contracts=100, capital=100_000.0)
+               regime_exit=False, trailing_stop=None, stop_dollars=None, max_positions=1, sizing_method="fixed", sizing_value=1.0, max_contracts=100, capital=100_000.0)
     unknown = set(over) - set(row)
     if unknown:
         raise ValueError(f"unknown strategy fields {sorted(unknown)}")
@@ -96,7 +97,7 @@ def strategies_from_config(texts: DataFrame, column="config") -> DataFrame:
     parsed = texts.select(F.from_json(column, LAYOUT).alias("s")).select("s.*")
     fill = {}
     for k, v in defaults.items():
-        if k in ("strategy_id", "structure_type", "symbol", "width", "wing", "max_holding_days", "conditions"):
+        if k in ("strategy_id", "structure_type", "symbol", "width", "wing", "max_holding_days", "trailing_stop", "stop_dollars", "conditions"):
             continue
         fill[k] = F.coalesce(F.col(k), F.col("strategy_id") if k == "name" else F.lit(v))
     fill["conditions"] = F.coalesce("conditions", F.expr(f"cast(array() as array<{CONDITION}>)"))
@@ -175,7 +176,8 @@ def validate_strategies(strategies: DataFrame) -> DataFrame:
         ("DTE_NEGATIVE", "error", c("target_dte") < DTE_RANGE[0]), ("DTE_VERY_LONG", "warning", c("target_dte") > DTE_RANGE[1]),
         ("STRUCTURE_MISSING", "error", c("structure_type").isNull()), ("STRUCTURE_UNKNOWN", "error", ~c("structure_type").isin(list(LEG_TEMPLATES))),
         ("ENTRY_CONDITION_MISSING", "error", c("conditions").isNull()),
-        ("EXIT_CONDITION_MISSING", "error", c("exit_dte").isNull() & c("profit_target").isNull() & c("loss_limit").isNull() & c("max_holding_days").isNull()),
+        ("EXIT_CONDITION_MISSING", "error", F.coalesce(*[c(x).cast("double") for x in EXITS]).isNull()),
+        ("TRAILING_STOP_INVALID", "error", (c("trailing_stop") <= 0) | (c("trailing_stop") >= 1)), ("STOP_DOLLARS_INVALID", "error", c("stop_dollars") <= 0),
         ("POSITION_SIZER_MISSING", "warning", c("sizing_method").isNull()), ("WIDTH_MISSING", "warning", spread & c("width").isNull()),
         ("QUANTITY_INVALID", "error", (c("sizing_method") == "fixed") & (c("sizing_value") < 1)), ("QUANTITY_VERY_HIGH", "warning", (c("sizing_method") == "fixed") & (c("sizing_value") > MAX_QUANTITY)),
     ])
@@ -210,8 +212,8 @@ class StrategyBuilder:
     def dte_between(self, low: int, high: int):
         return self._set(min_dte=low, max_dte=high)
 
-    def exit_at(self, profit_target=None, loss_limit=None, dte=None, holding_days=None):
-        return self._set(profit_target=profit_target, loss_limit=loss_limit, exit_dte=dte, max_holding_days=holding_days, exit_base="premium")
+    def exit_at(self, profit_target=None, loss_limit=None, dte=None, holding_days=None, trailing=None, dollars=None):
+        return self._set(profit_target=profit_target, loss_limit=loss_limit, exit_dte=dte, max_holding_days=holding_days, trailing_stop=trailing, stop_dollars=dollars, exit_base="premium")
 
     def position_size(self, method: str, value: float, most: int = 100):
         return self._set(sizing_method=method, sizing_value=float(value), max_contracts=most)
