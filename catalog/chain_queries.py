@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from voltable.functions import conditions as c, instrument as ins
 
 from voltable.operators import chain as ch, quality as q, series as s
-from voltable.sources import calendar as cal, chains as src
+from voltable.plans.lineage import new_path
+from voltable.sources import calendar as cal, chain_csv as tree, chains as src, sinks
 
 from .base import query, r
 from .sqlviews import bs, view
@@ -345,3 +346,24 @@ query("e07_detect_stale_prices", f"""
 query("w11_price_history", "SELECT symbol, expiration, strike, option_type, count(*) AS n, max(quote_date) AS last_day FROM quotes GROUP BY ALL")(
     lambda v: s.price_history(v.quotes, ["symbol", "expiration", "strike", "option_type"], "quote_date", "mid").select(
         "symbol", "expiration", "strike", "option_type", F.size("history").cast("bigint").alias("n"), F.element_at("history", -1)["d"].alias("last_day")))
+
+
+def _tree(v):
+    """Quotes as a tree of files in the shared folder, read back for some symbols and days and typed again."""
+    root = new_path(v.spark, "tree")
+    columns = ["symbol", "quote_date", "expiration", "strike", "option_type", "bid", "ask", "vol", "volume"]
+    tree.write_chain_tree(v.quotes.select(*columns), root).agg(F.sum("rows")).collect()
+    back = tree.read_chain_tree(v.spark, root).filter(F.col("symbol").isin("S1", "S3", "S5") & (F.col("quote_date") >= F.lit("2024-01-08").cast("date")) & (F.col("quote_date") < F.lit("2024-01-20").cast("date")))
+    return src.standardize_chain(back).select(*columns)
+
+
+query("a09_read_chain_csv", f"SELECT symbol, quote_date, expiration, {r('strike')} AS strike, option_type, {r('bid')} AS bid, {r('ask')} AS ask, {r('vol')} AS vol, volume FROM quotes WHERE symbol IN ('S1', 'S3', 'S5') AND quote_date >= DATE '2024-01-08' AND quote_date < DATE '2024-01-20'")(_tree)
+
+
+def _ordered(v):
+    path = new_path(v.spark, "ordered")
+    sinks.write_ordered(v.quotes.select(*CONTRACT, "bid"), path, ["quote_date", "symbol", "expiration", "strike", "option_type"], files=7)
+    return sinks.read_ordered(v.spark, path).select(*CONTRACT, "position")
+
+
+query("s04_ordered_output", f"SELECT {_CONTRACT}, row_number() OVER (ORDER BY quote_date, symbol, expiration, strike, option_type) AS position FROM quotes")(_ordered)

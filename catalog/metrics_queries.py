@@ -165,6 +165,29 @@ query("f21_strategy_statistics", f"""
     FROM (SELECT *, CASE WHEN l_linenumber <> 7 THEN realized_pnl END AS p FROM trades) GROUP BY sid""")(
     lambda v: m.strategy_statistics(v.trades.withColumn("realized_pnl", F.when(F.col("l_linenumber") != 7, F.col("realized_pnl"))), KEY)
     .withColumns({c: F.round(c, 4) for c in ("realized_pnl", "total_pnl", "equity")}))
+# regimes by the size of the benchmark's daily move; a trade's calendar days in a regime's intervals
+view("move_regimes", "SELECT d, CASE WHEN abs(rb) < 2e-5 THEN 'LOW' WHEN abs(rb) > 1e-4 THEN 'HIGH' ELSE 'MEDIUM' END AS regime FROM benchmark_returns WHERE rb IS NOT NULL AND d <= DATE '1997-06-30'")
+view("regime_runs", """SELECT regime, min(d) AS a, max(d) AS b, count(*) AS days FROM (SELECT *, sum(t) OVER (ORDER BY d) AS g FROM (SELECT *, CASE WHEN regime = lag(regime) OVER (ORDER BY d) THEN 0 ELSE 1 END AS t FROM move_regimes)) GROUP BY g, regime""")
+view("trades_asof", "SELECT * REPLACE (CASE WHEN exit_date <= DATE '1997-06-30' THEN realized_pnl END AS realized_pnl), least(exit_date, DATE '1997-06-30') AS z FROM trades WHERE entry_date <= DATE '1997-06-30'")
+view("regime_trades", """SELECT sid, regime, count(DISTINCT trade_id) AS trades, sum((least(z, b) - greatest(entry_date, a))::BIGINT + 1)::BIGINT AS trade_days
+    FROM trades_asof JOIN regime_runs ON entry_date <= b AND z >= a GROUP BY ALL""")
+query("f21_regime_distribution", "SELECT sid, regime, days, trades, trade_days FROM regime_trades JOIN (SELECT regime, sum(days)::BIGINT AS days FROM regime_runs GROUP BY 1) USING (regime)")(
+    lambda v: m.regime_distribution(v.trades, KEY, _regimes(v), _AS_OF))
+query("f21_statistics_as_of", "SELECT sid, num_open, num_closed, num_wins, " + ", ".join(f"coalesce({c}_{g}, 0) AS {c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")) + f""", {r('pnl', 4)} AS realized_pnl, {r('used')} AS utilization
+    FROM (SELECT sid, count_if(realized_pnl IS NULL) AS num_open, count(realized_pnl) AS num_closed, count_if(realized_pnl > 0) AS num_wins, coalesce(sum(realized_pnl), 0) AS pnl, coalesce(sum(abs(total_cost)) FILTER (realized_pnl IS NULL), 0) / 1e5 AS used FROM trades_asof GROUP BY 1)
+    LEFT JOIN (SELECT sid, """ + ", ".join(f"max({c}) FILTER (regime = '{g.upper()}') AS {c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")) + """
+      FROM regime_trades JOIN (SELECT regime, sum(days)::BIGINT AS days FROM regime_runs GROUP BY 1) USING (regime) GROUP BY 1) USING (sid)""")(
+    lambda v: m.strategy_statistics(v.trades, KEY, as_of=_AS_OF, regimes=_regimes(v)).select(
+        "sid", "num_open", "num_closed", "num_wins", *[f"{c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")], F.round("realized_pnl", 4).alias("realized_pnl"), "utilization"))
+_AS_OF = "1997-06-30"
+
+
+def _regimes(v):
+    move = F.abs("r")
+    returns = s.simple_returns(v.benchmark_equity.withColumn("_all", F.lit(0)), ["_all"])
+    return returns.filter("r IS NOT NULL").select("d", F.when(move < 2e-5, F.lit("LOW")).when(move > 1e-4, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("regime"))
+
+
 query("f24_run_comparison", f"SELECT sid, d, {r('equity / first_value(equity) OVER (PARTITION BY sid ORDER BY d) * 100e0', 8)} AS normalized FROM equity", 8)(
     lambda v: m.run_comparison(v.equity, KEY).select("sid", "d", "normalized"))
 query("f25_monthly_compounded", f"SELECT sid, date_trunc('month', d)::DATE AS month, {r('product(1e0 + r) - 1e0')} AS month_return FROM returns WHERE r IS NOT NULL GROUP BY ALL")(

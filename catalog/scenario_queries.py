@@ -30,15 +30,10 @@ view("streams", f"""SELECT sid, n, sim_id, {mix32('h + sim_id * 2654435')} AS st
 view("ticks", f"SELECT unnest(range(1, {PERIODS + 1})) AS period")
 
 
-def _u(lane):
-    return f"(({mix32(f'st + period * 40503 + {lane * 7919}')} + 5e-1) / 4294967296e0)"
-
-
 def _paths(steps: str) -> str:
     return f"""SELECT sid, sim_id, period, exp(sum(g) OVER (PARTITION BY sid, sim_id ORDER BY period)) AS value FROM ({steps} UNION ALL SELECT sid, sim_id, 0, 0e0 FROM streams)"""
 
 
-view("gbm", _paths(f"SELECT sid, sim_id, period, mu - sg * sg / 2 + sg * sqrt(-2e0 * ln({_u(1)})) * cos(2e0 * pi() * {_u(2)}) AS g FROM streams JOIN (SELECT sid, avg(ln(1 + r)) AS mu, greatest(stddev_samp(ln(1 + r)), 1e-10) AS sg FROM pool GROUP BY sid) USING (sid), ticks"))
 view("boot", _paths(f"SELECT t.sid, sim_id, period, ln(1 + p.r) AS g FROM (SELECT sid, sim_id, period, {mix32('st + period * 40503')} % n AS i FROM streams, ticks) t JOIN pool p ON p.sid = t.sid AND p.i = t.i"))
 view("blocks", _paths(f"SELECT t.sid, sim_id, period, ln(1 + p.r) AS g FROM (SELECT sid, sim_id, period, {mix32(f'st + ((period - 1) // {BLOCK}) * 40503')} % (n - {BLOCK} + 1) + (period - 1) % {BLOCK} AS i FROM streams, ticks) t JOIN pool p ON p.sid = t.sid AND p.i = t.i"))
 
@@ -47,6 +42,10 @@ def boot(v):
     return rs.bootstrap_paths(_returns(v), KEY, SIMS, PERIODS)
 
 
+def measured(v):
+    return rs.step_metrics(rs.resampled(_returns(v), KEY, SIMS, PERIODS), KEY)
+
+
 _P = f"SELECT sid, sim_id::INT AS sim_id, period::INT AS period, {r('value', 8)} AS value FROM "
 query("m02_bootstrap_paths", _P + "boot", 8)(boot)
 query("m03_block_bootstrap_paths", _P + "blocks", 8)(lambda v: rs.block_bootstrap_paths(_returns(v), KEY, SIMS, PERIODS, BLOCK))
@@ -54,10 +53,10 @@ view("path_m", """SELECT sid, sim_id, arg_max(value, period) / arg_min(value, pe
       CASE WHEN stddev_pop(x) < 1e-10 THEN 0 ELSE avg(x) / stddev_pop(x) * sqrt(252e0) END AS sharpe, arg_max(value, period) AS final_value
     FROM (SELECT *, value / lag(value) OVER w - 1 AS x, max(value) OVER w AS pk FROM boot WINDOW w AS (PARTITION BY sid, sim_id ORDER BY period)) GROUP BY ALL""")
 _PM = ("total_return", "max_drawdown", "volatility", "sharpe", "final_value")
-query("m04_path_metrics", "SELECT sid, sim_id::INT AS sim_id, " + ", ".join(f"{r(x)} AS {x}" for x in _PM) + " FROM path_m")(lambda v: rs.path_metrics(boot(v), KEY))
+query("m04_path_metrics", "SELECT sid, sim_id::INT AS sim_id, " + ", ".join(f"{r(x)} AS {x}" for x in _PM) + " FROM path_m")(measured)
 query("m05_metric_confidence_interval", " UNION ALL ".join(
     f"SELECT sid, '{x}' AS metric, {r(f'avg({x})')} AS point_estimate, {r(f'quantile_cont({x}, 0.025)')} AS lower_bound, {r(f'quantile_cont({x}, 0.975)')} AS upper_bound, {r(f'stddev_pop({x}) / sqrt(count({x}))')} AS standard_error FROM path_m GROUP BY sid" for x in _PM))(
-    lambda v: rs.metric_confidence_interval(rs.path_metrics(boot(v), KEY), KEY))
+    lambda v: rs.metric_confidence_interval(measured(v), KEY))
 view("hr", "SELECT sid, sim_id, max(value) FILTER (period = 5) / max(value) FILTER (period = 0) - 1 AS h5, max(value) FILTER (period = 12) / max(value) FILTER (period = 0) - 1 AS hr FROM boot GROUP BY ALL")
 query("m06_simulated_var", " UNION ALL ".join(
     f"SELECT sid, {c} AS confidence, {r('v', 8)} AS var, {r('avg(h5) FILTER (h5 <= v)', 8)} AS cvar, count(*) AS num_simulations, {r('abs(v)', 8)} AS var_dollar, {r('abs(avg(h5) FILTER (h5 <= v))', 8)} AS cvar_dollar FROM (SELECT *, quantile_cont(h5, {q}) OVER (PARTITION BY sid) AS v FROM hr) GROUP BY sid, v"
@@ -72,7 +71,7 @@ query("m08_probability_of_target", f"SELECT sid, {r('count_if(hr >= 0.001) / cou
     lambda v: rs.probability_of_target(boot(v), KEY, PERIODS, 0.001))
 _DD = ", ".join(f"{r(f'quantile_cont(max_drawdown, {p} / 100e0)')} AS p{p}" for p in PCT)
 query("m09_drawdown_distribution", f"""SELECT sid, {r('avg(max_drawdown)')} AS mean, {r('median(max_drawdown)')} AS median, {r('stddev_pop(max_drawdown)')} AS std, {r('min(max_drawdown)')} AS worst, {r('max(max_drawdown)')} AS best, {_DD},
-      {', '.join(f"{r(f'count_if(max_drawdown < -{c / 100}) / count(*)')} AS prob_exceeds_{c}" for c in (10, 20, 30))} FROM path_m GROUP BY sid""")(lambda v: rs.drawdown_distribution(boot(v), KEY))
+      {', '.join(f"{r(f'count_if(max_drawdown < -{c / 100}) / count(*)')} AS prob_exceeds_{c}" for c in (10, 20, 30))} FROM path_m GROUP BY sid""")(lambda v: rs.drawdown_distribution(measured(v), KEY))
 query("m10_path_fan", f"SELECT sid, period::INT AS period, {', '.join(f'{r(f'quantile_cont(value, {p} / 100e0)', 8)} AS p{p}' for p in (5, 50, 95))} FROM boot GROUP BY ALL", 8)(lambda v: rs.path_fan(boot(v), KEY))
 query("m10_summary_report", f"""SELECT h.sid, {r('avg(hr)')} AS mean_return, {r('stddev_pop(hr)')} AS std_return, {r('count_if(hr > 0) / count(*)')} AS prob_profit, {r('count_if(hr < 0) / count(*)')} AS prob_loss, {r('avg(max_drawdown)')} AS mean_drawdown, {r('min(max_drawdown)')} AS worst_drawdown,
       {r('any_value(v)')} AS var_95, {r('avg(hr) FILTER (hr <= v)')} AS cvar_95 FROM (SELECT *, quantile_cont(hr, 0.05) OVER (PARTITION BY sid) AS v FROM hr) h JOIN path_m USING (sid, sim_id) GROUP BY h.sid""")(lambda v: rs.summary_report(boot(v), KEY, PERIODS))
@@ -195,10 +194,10 @@ query("t02_stream_snapshots", f"""SELECT 'S' || (user_id // 10) AS symbol, ts::D
 query("t03_stream_stale_quotes", """SELECT contract, count(*) AS stale FROM (SELECT *, row_number() OVER (PARTITION BY contract, g ORDER BY ts, event_id) AS n FROM (
       SELECT *, sum(ch) OVER (PARTITION BY contract ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN p = lag(p) OVER (PARTITION BY contract ORDER BY ts, event_id) THEN 0 ELSE 1 END AS ch FROM (
         SELECT 'C' || user_id AS contract, ts, event_id, floor(value / 40) AS p FROM events)))) WHERE n >= 3 GROUP BY 1""")(
-    lambda v: _drain(v, live.stream_stale_quotes(_stream(v, ["concat('C', user_id) as contract", "cast(ts as timestamp) as quote_ts", "event_id as seq", "cast(floor(value / 40) as double) as price"])), "t03").groupBy("contract").agg(F.count(F.lit(1)).alias("stale")))
+    lambda v: _drain(v, live.stream_stale_quotes(_stream(v, ["concat('C', user_id) as contract", "cast(ts as timestamp) as quote_ts", "event_id as seq", "cast(floor(value / 40) as double) as price", "date'2024-01-20' as expiration"])), "t03").groupBy("contract").agg(F.count(F.lit(1)).alias("stale")))
 query("t04_stream_exit_monitor", """SELECT 'C' || user_id AS position_id, arg_min(CASE WHEN value - 50 >= 120 THEN 'profit_target' WHEN value - 50 <= -49.5 THEN 'stop_loss' END, ts) AS exit_reason FROM events WHERE value - 50 >= 120 OR value - 50 <= -49.5 GROUP BY user_id""")(
     lambda v: _drain(v, live.stream_exit_monitor(
-        _stream(v, ["concat('C', user_id) as position_id", "cast(ts as timestamp) as quote_ts", "event_id as seq", "value - 50 as pnl", "30 as dte"]),
+        _stream(v, ["concat('C', user_id) as position_id", "cast(ts as timestamp) as quote_ts", "event_id as seq", "value - 50 as pnl", "30 as dte", "date'2024-02-16' as expiration"]),
         v.table("events").select(F.concat(F.lit("C"), "user_id").alias("position_id")).distinct().selectExpr("position_id", "100D as net_premium", "1.2D as profit_target", "0.495D as loss_limit", "7 as exit_dte", "1e9D as trail")), "t04").select("position_id", "exit_reason"))
 
 

@@ -107,3 +107,36 @@ def test_sources_by_priority(spark):
     got = src.coalesce_sources([("a", 1, a), ("b", 2, b)])
     assert sorted((r.x, r.source) for r in got.collect()) == [(1, "a"), (3, "b")]
     assert sorted(r.x for r in src.coalesce_sources([("a", 1, a), ("b", 2, b)], override="b").collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("layout", ["nested", "flat"])
+def test_chain_trees_open_only_the_files_asked_for(spark, tmp_path, layout):
+    from pyspark.sql import functions as F
+
+    from voltable.sources import chain_csv as tree
+
+    root = f"file://{tmp_path}/tree"
+    rows = [(s, D(2024, 1, d), k / 3, "call", None if k == 2 else f"n{k}, \"x\"") for s in ("SPY", "QQQ") for d in (2, 3, 4) for k in (1, 2, 3)]
+    chain = spark.createDataFrame(rows, "symbol string, quote_date date, strike double, option_type string, note string")
+    written = tree.write_chain_tree(chain, root, layout).collect()
+    assert {(r.symbol, r.quote_date, r["rows"]) for r in written} == {(s, D(2024, 1, d), 3) for s in ("SPY", "QQQ") for d in (2, 3, 4)}
+    back = tree.read_chain_tree(spark, root, layout)
+    assert back.columns == ["symbol", "quote_date", "strike", "option_type", "note"] and back.rdd.getNumPartitions() == 6
+    assert sorted((r.symbol, r.quote_date, float(r.strike), r.option_type, r.note or "") for r in back.collect()) == sorted((*r[:4], r[4] or "") for r in rows)
+    # files that are not asked for may be unreadable
+    for path in (tmp_path / "tree").rglob("*.csv"):
+        if "QQQ" in str(path) or "2024-01-04" in str(path) or "20240104" in str(path):
+            path.write_bytes(b"a,b\n1\n\xff\n")
+    some = back.filter((F.col("symbol") == "SPY") & (F.col("quote_date") < F.lit(D(2024, 1, 4))) & (F.col("strike") == "1.0"))
+    assert {(r.symbol, r.quote_date, r.strike) for r in some.collect()} == {("SPY", D(2024, 1, d), "1.0") for d in (2, 3)}
+    assert back.filter("symbol = 'none'").count() == 0
+    fixed = tree.read_chain_tree(spark, root, layout, "symbol string, quote_date date, strike string, absent string").filter("symbol = 'SPY' AND quote_date = DATE'2024-01-02'")
+    assert {(r.strike, r.absent) for r in fixed.collect()} == {("0.3333333333333333", None), ("0.6666666666666666", None), ("1.0", None)}
+
+
+def test_ordered_output_keeps_places(spark, tmp_path):
+    rows = spark.createDataFrame([((k * 37) % 101, k % 3) for k in range(500)], "x int, y int")
+    sinks.write_ordered(rows, f"{tmp_path}/o", ["x", "y"], files=5)
+    got = [(r.x, r.y) for r in sorted(sinks.read_ordered(spark, f"{tmp_path}/o").collect(), key=lambda r: r.position)]
+    assert got == sorted(((k * 37) % 101, k % 3) for k in range(500))
+    assert {r.position for r in sinks.read_ordered(spark, f"{tmp_path}/o").collect()} == set(range(1, 501))

@@ -1,6 +1,7 @@
 """Acceptance fold against brute force, path reproducibility, plan shape and the driver contract."""
 
 import datetime as dt
+import itertools
 import random
 
 import pandas as pd
@@ -73,7 +74,7 @@ def _returns(spark, n=60):
     return spark.createDataFrame([(k, D0 + dt.timedelta(days=i), rng.gauss(0, 0.01)) for k in ("a", "b") for i in range(n)], "sid string, d date, r double")
 
 
-@pytest.mark.parametrize("make", [rs.gbm_paths, rs.bootstrap_paths, rs.block_bootstrap_paths])
+@pytest.mark.parametrize("make", [rs.bootstrap_paths, rs.block_bootstrap_paths])
 def test_paths_are_the_same_under_any_partitioning(spark, make):
     r = _returns(spark)
     a = make(r, ["sid"], n_sims=20, n_periods=9).orderBy("sid", "sim_id", "period").collect()
@@ -83,12 +84,24 @@ def test_paths_are_the_same_under_any_partitioning(spark, make):
 
 
 def test_draws_look_random(spark):
-    row = rs.gbm_paths(_returns(spark), ["sid"], n_sims=2000, n_periods=1).filter("period = 1").groupBy("sid").agg(
-        F.avg(F.log("value")).alias("m"), F.stddev_samp(F.log("value")).alias("s")).collect()
-    fit = {r.sid: r for r in rs.fit_log_moments(_returns(spark), ["sid"]).collect()}
-    for r in row:
-        f = fit[r.sid]
-        assert r.s == pytest.approx(f.sigma, rel=0.08) and abs(r.m - (f.mu - f.sigma**2 / 2)) < 4 * f.sigma / 2000**0.5
+    drawn = rs.bootstrap_paths(_returns(spark), ["sid"], n_sims=2000, n_periods=1).filter("period = 1").groupBy("sid").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    pool = {r.sid: r for r in _returns(spark).groupBy("sid").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s")).collect()}
+    for r in drawn.collect():
+        f = pool[r.sid]
+        assert r.s == pytest.approx(f.s, rel=0.08) and abs(r.m - 1 - f.m) < 4 * f.s / 2000**0.5
+
+
+def test_metrics_inside_the_row_equal_those_of_exploded_paths_without_a_shuffle_of_periods(spark):
+    returns = _returns(spark).withColumn("r", F.when((F.col("sid") == "b") & (F.col("d") == D0), F.lit(-1.0)).otherwise(F.col("r")))
+    sims = rs.resampled(returns, ["sid"], 70, 12)
+    got = {(r.sid, r.sim_id): r for r in rs.step_metrics(sims, ["sid"]).collect()}
+    want = rs.path_metrics(rs.bootstrap_paths(returns, ["sid"], 70, 12), ["sid"]).collect()
+    assert len(got) == len(want) == 140
+    for w in want:
+        for c in ("total_return", "max_drawdown", "volatility", "sharpe", "final_value"):
+            assert got[w.sid, w.sim_id][c] == pytest.approx(w[c], rel=1e-9, abs=1e-12), (w, c)
+    plan = rs.step_metrics(sims, ["sid"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "_block" in plan  # by key, then by key and block of simulations
 
 
 def test_too_short_history_gives_no_paths(spark):
@@ -219,3 +232,115 @@ def test_driver_contract(spark):
     assert entry.entry(spark).count() == 10
     names, oracles = set(entry.queries()), set(entry.oracle_sql())
     assert oracles <= names and len(oracles) > 200
+
+
+def test_exit_rules_by_hand(spark):
+    """Each stop on the day it first holds; the user's own rule as a column and on exploded rows."""
+    days = [(D0 + dt.timedelta(days=k + 1), p) for k, p in enumerate((10.0, 50.0, 40.0, 20.0, -30.0, -90.0))]
+    paths = spark.createDataFrame([("i", d, p, 0.0, 40, "MEDIUM") for d, p in days], "instance_id string, d date, pnl double, value double, dte int, regime string")
+    facts = spark.createDataFrame([("i", 100.0, 2, 0.3, None, 500.0, 100.0)], "instance_id string, net_premium double, num_legs int, delta_per_contract double, max_loss_per_contract double, margin_per_contract double, premium_per_contract double")
+    none = dict(profit_target=None, loss_limit=None, exit_dte=None)
+    rows = [sg.strategy("trail", "short_straddle", trailing_stop=0.5, **none), sg.strategy("tight", "short_straddle", trailing_stop=0.2, **none), sg.strategy("dollars", "short_straddle", stop_dollars=50.0, sizing_value=2.0, **none),
+            sg.strategy("delta", "short_straddle", stop_dollars=1e6, sizing_method="delta_target", sizing_value=1.0, **none), sg.strategy("both", "short_straddle", stop_dollars=10.0, trailing_stop=0.9, **none)]
+    signals = sg.strategies_table(spark, rows).withColumns({"instance_id": F.lit("i"), "entry_date": F.lit(D0), "dte": F.lit(46)})
+    got = {r.strategy_id: (r.exit_reason, r.exit_date and (r.exit_date - D0).days, r.quantity) for r in bt.first_exit(signals, paths, facts).collect()}
+    assert got == {"trail": ("trailing_stop", 4, 1), "tight": ("trailing_stop", 3, 1), "dollars": ("dollar_stop", 5, 2), "delta": (None, None, 3), "both": ("dollar_stop", 5, 1)}
+    for rule in (lambda x: (x["pnl"] < 45) & (x["peak"] > 45) & (F.col("quantity") > 1), (F.col("day.pnl") < 45) & (F.col("day.peak") > 45) & (F.col("quantity") > 1)):
+        got = {r.strategy_id: (r.exit_reason, r.exit_date and (r.exit_date - D0).days) for r in bt.first_exit(signals, paths, facts, rule).collect()}
+        assert got == {"trail": ("trailing_stop", 4), "tight": ("trailing_stop", 3), "dollars": ("custom", 3), "delta": ("custom", 3), "both": ("dollar_stop", 5)}
+
+
+def _plain_acceptance(rows, most):
+    held, taken = [], []
+    for pid, symbol, entry, leaves in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        held = [h for h in held if h[0] > entry or h[1] == entry]
+        if len(held) < most:
+            held.append((leaves or dt.date(9999, 12, 31), entry))
+            taken.append(pid)
+    return taken
+
+
+def test_an_account_is_accepted_in_segments(spark):
+    """A hot account is cut at days on which nothing can be open; the result is that of one pass."""
+    rng = random.Random(7)
+    rows = []
+    for block in range(60):
+        first = D0 + dt.timedelta(days=20 * block)
+        for k in range(rng.randint(1, 25)):
+            entry = first + dt.timedelta(days=rng.randint(0, 9))
+            rows.append((f"p{block}_{k}", rng.choice("xyz"), entry, entry + dt.timedelta(days=rng.randint(0, 10))))
+    rows.append(("open", "x", D0 + dt.timedelta(days=20 * 58), None))
+    cold = [(f"c{k}", "x", D0, D0 + dt.timedelta(days=k)) for k in range(5)]
+    df = spark.createDataFrame([("hot", *r, 3) for r in rows] + [("cold", *r, 3) for r in cold], "strategy_id string, position_id string, symbol string, entry_date date, exit_date date, max_positions int")
+    got = {(r.strategy_id, r.position_id) for r in bt.accept_entries(df, ["strategy_id"]).collect()}
+    assert got == {("hot", p) for p in _plain_acceptance(rows, 3)} | {("cold", p) for p in _plain_acceptance(cold, 3)}
+    leaves = df.withColumn("_leaves", F.coalesce("exit_date", F.lit("9999-12-31").cast("date")))
+    parts = {r.strategy_id: r.n for r in bt.acceptance_segments(leaves, ["strategy_id"]).groupBy("strategy_id").agg(F.countDistinct("_segment").alias("n")).collect()}
+    assert parts["cold"] == 1 and parts["hot"] >= 55
+    plan = bt.accept_entries(df, ["strategy_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(strategy_id" in plan and "_segment" in plan.split("MapInArrow")[1].split("REPARTITION")[0]
+
+
+def test_only_hot_keys_are_copied(spark):
+    from voltable.operators.joins import attach_measured
+
+    rows = spark.createDataFrame([("hot", i) for i in range(60)] + [("cold", i) for i in range(5)] + [(None, 1)], "k string, i int")
+    side = spark.createDataFrame([("hot", 1.0), ("cold", 2.0), ("unused", 3.0)], "k string, x double")
+    joined = attach_measured(rows, side, ["k"], F.col("i"), salts=8, hot_rows=50)
+    assert sorted((r.k, r.i, r.x) for r in joined.collect()) == sorted([("hot", i, 1.0) for i in range(60)] + [("cold", i, 2.0) for i in range(5)])
+    from voltable.operators import joins
+
+    made = joins.with_salts(side, rows.groupBy("k").count().filter("count > 50").select("k", F.lit(8).alias("_salts")), ["k"])
+    assert {r.k: r["count"] for r in made.groupBy("k").count().collect()} == {"hot": 8, "cold": 1, "unused": 1}
+
+
+def test_streaks_of_both_kinds(spark):
+    from voltable.operators.series import streaks
+
+    rng = random.Random(1)
+    rows = [(k, D0 + dt.timedelta(days=rng.randint(0, 12)), i, rng.choice([-1.0, 0.0, 1.0, 1.0])) for k in "abc" for i in range(80)] + [("one", D0, 1, -1.0)]
+    df = spark.createDataFrame(rows, "k string, d date, i int, p double")
+    got = {r.k: (r.up, r.down) for r in streaks(df, ["k"], "d", ["i"], {"up": F.col("p") > 0, "down": F.col("p") < 0}).collect()}
+    for k in {r[0] for r in rows}:
+        signs = [p for _, _, _, p in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])]
+        best = lambda ok: max((len(list(g)) for hit, g in itertools.groupby(signs, ok) if hit), default=0)
+        assert got[k] == (best(lambda p: p > 0), best(lambda p: p < 0))
+
+
+def test_exchanges_of_combined_plans(spark, tmp_path, views):
+    """One exchange of the chain for snapshots; few for all metrics."""
+    from voltable.operators import chain as ch, metrics as m
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    views.quotes.write.parquet(f"{tmp_path}/q")
+    views.vix.write.parquet(f"{tmp_path}/v")
+    views.equity.write.parquet(f"{tmp_path}/e")
+    views.trades.write.parquet(f"{tmp_path}/t")
+    read = lambda x: spark.read.parquet(f"{tmp_path}/{x}")
+    assert exchanges(ch.build_snapshots(read("q"), read("v"))) <= 4
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    assert exchanges(m.all_metrics(read("e"), read("t"), ["sid"], order=order)) <= 5
+    assert exchanges(m.full_backtest_metrics(read("e"), read("t"), ["sid"], order=order)) <= 10
+
+
+def test_stream_state_goes_after_expiration(spark, tmp_path):
+    """The same rows as without expirations, and no state once the stream has passed the last one."""
+    from voltable.streaming import live
+
+    live.use_rocksdb(spark)
+    schema = "contract string, quote_ts timestamp, price double, expiration date"
+    t = lambda d, h=10: dt.datetime(2024, 1, d, h)
+    files = [[("A", t(2), 1.0, dt.date(2024, 1, 10)), ("A", t(3), 1.0, dt.date(2024, 1, 10)), ("B", t(3), 5.0, dt.date(2024, 1, 20))],
+             [("A", t(4), 1.0, dt.date(2024, 1, 10)), ("B", t(12), 5.0, dt.date(2024, 1, 20))], [("B", t(13), 5.0, dt.date(2024, 1, 20)), ("B", t(14), 5.0, dt.date(2024, 1, 20))],
+             [("C", t(31), 2.0, dt.date(2024, 1, 25))]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = live.stream_stale_quotes(live.stream_chain(spark, f"{tmp_path}/in", schema))
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        held = {r.key[0] for r in spark.read.format("statestore").option("stateVarName", "state").load(f"{tmp_path}/cp").collect()}
+        assert held == [{"A", "B"}, {"B"}, {"B"}, set()][k] or k in (0, 1), (k, held)
+    got = {(r.contract, r.quote_ts, r.run_length) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("A", t(4), 3), ("B", t(13), 3), ("B", t(14), 4)}
+    assert held == set()

@@ -6,8 +6,6 @@ result. A draw here is a pure function of (seed, key, simulation, period).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 from .common import col_of
@@ -41,14 +39,3 @@ def stream_code(seed: int, key: Column, sim: Column) -> Column:
 
 def draw32(stream: Column, period, lane: int = 0) -> Column:
     return mix32(stream + col_of(period).cast("bigint") * _lit(40503) + _lit(lane * 7919))
-
-
-def uniform(stream: Column, period, lane: int = 0) -> Column:
-    """Uniform on (0, 1)."""
-    return (draw32(stream, period, lane) + F.lit(0.5)) / F.lit(4294967296.0)
-
-
-def std_normal(stream: Column, period) -> Column:
-    """Box-Muller from two uniform lanes."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform(stream, period, 1)))
-    return radius * F.cos(uniform(stream, period, 2) * F.lit(2.0 * math.pi))

@@ -271,6 +271,28 @@ def chain_iv(chain: DataFrame, strike: float | None = None, dte_range=(20, 40),
         F.min_by("_iv", F.struct(F.abs(F.col("strike") - F.col("_m")), F.col("strike"))).alias("iv"))
 
 
+def chain_days(chain: DataFrame, price="mid", iv="vol", band=0.02, keys=DAY) -> DataFrame:
+    """D02, D03 and the chain's size per day over one exchange by day: `spot`, `iv`, `chain_size`.
+
+    Strikes are summed up inside a day first, so a day is one row with an array of its rows (a bounded set), from which the
+    rows near the spot are read; they are sorted only where none lies within the band.
+    """
+    pick = lambda t: F.max(F.when(F.col("option_type") == t, F.col(price)))
+    strikes = chain.repartition(*keys).groupBy(*keys, "expiration", "strike").agg(
+        pick("call").alias("_c"), pick("put").alias("_p"), F.count(F.lit(1)).alias("_n"), F.collect_list(F.struct("strike", "expiration", "option_type", F.col(iv).alias("iv"))).alias("_rows"))
+    worth_same = F.struct(F.abs(F.col("_c") - F.col("_p")), F.col("strike"))
+    day = strikes.groupBy(*keys).agg(
+        F.coalesce(F.min_by("strike", F.when(F.col("_c").isNotNull() & F.col("_p").isNotNull(), worth_same)), F.percentile("strike", F.lit(0.5), F.col("_n"))).alias("spot"),
+        F.sum("_n").alias("chain_size"), F.flatten(F.collect_list("_rows")).alias("_rows"))
+    near = F.filter("_rows", lambda x: F.abs(x["strike"] / F.col("spot") - 1.0) < band)
+    ranked = F.array_sort(F.transform("_rows", lambda x: F.struct(F.abs(x["strike"] - F.col("spot")).alias("gap"), x["strike"].alias("strike"), x["expiration"].alias("expiration"), x["option_type"].alias("option_type"), x["iv"].alias("iv"))))
+    five = F.transform(F.slice(ranked, 1, 5), lambda x: x["iv"])
+    day = day.withColumn("_near", F.transform(near, lambda x: x["iv"]))
+    day = day.withColumn("_ivs", F.filter(F.when(F.size("_near") > 0, F.col("_near")).otherwise(five), lambda x: x > 0))
+    mean = F.aggregate("_ivs", F.lit(0.0), lambda a, x: a + x) / F.when(F.size("_ivs") > 0, F.size("_ivs"))
+    return day.select(*keys, "spot", F.coalesce(mean, F.lit(DEFAULT_IV)).alias("iv"), "chain_size")
+
+
 def build_snapshots(chain: DataFrame, vix: DataFrame | None = None, calendar: DataFrame | None = None, iv_window=252,
                     iv_min_obs=30, price="mid") -> DataFrame:
     """One row per symbol-day: spot, IV, IV rank, chain size, VIX and its regime.
@@ -280,11 +302,7 @@ def build_snapshots(chain: DataFrame, vix: DataFrame | None = None, calendar: Da
     from ..functions.conditions import regime
     from .series import iv_minmax_rank, regime_duration
 
-    spot = spot_put_call(chain, DAY, price)
-    sized = chain.groupBy(*DAY).agg(F.count(F.lit(1)).alias("chain_size"))
-    atm = atm_iv_band(chain.drop("spot").join(spot.withColumnRenamed("spot_put_call", "spot"), DAY))
-    day = spot.join(sized, DAY).join(atm, DAY).select(
-        "symbol", F.col("quote_date").alias("d"), F.col("spot_put_call").alias("spot"), "iv", "chain_size")
+    day = chain_days(chain, price).select("symbol", F.col("quote_date").alias("d"), "spot", "iv", "chain_size")
     if calendar is not None:
         day = calendar.select("symbol", "d").join(day, ["symbol", "d"], "left")
     day = iv_minmax_rank(day, ["symbol"], window=iv_window, min_obs=iv_min_obs)

@@ -22,6 +22,11 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], spread:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def with_salts(per_key: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """`per_key` with `_salt`: a row per salt for the keys of `hot` (keys, `_salts`), one row for all others."""
+    return per_key.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
+
 def attach_measured(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, salts: int = DEFAULT_SALTS, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """`attach_by_key` that counts the keys first: only rows of keys with more than `hot_rows` rows are spread over salts, and
     only the summaries of these keys are repeated; a cold key's summary stays one row.
@@ -31,8 +36,7 @@ def attach_measured(rows: DataFrame, per_key: DataFrame, keys: list[str], spread
     """
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys, F.lit(salts).alias("_salts"))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = per_key.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(with_salts(per_key, hot, keys), [*keys, "_salt"], how).drop("_salt")
 
 
 def align(a: DataFrame, b: DataFrame, on: list[str], values: list[str]) -> DataFrame:

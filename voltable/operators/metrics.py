@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import EPSILON, TRADING_DAYS, finite
 from .quantiles import exact_quantiles
-from .series import daily, drawdown_series, longest_streaks, running, simple_returns
+from .series import daily, drawdown_series, regime_duration, running, simple_returns, streaks
 
 INF = float("inf")
 RISK_FREE = 0.02
@@ -179,16 +179,20 @@ def trade_metric(trades: DataFrame, keys, *names: str) -> DataFrame:
     return trades.groupBy(*keys).agg(*[TRADE_AGGS[n]().alias(n) for n in names])
 
 
+def win_loss_streaks(trades: DataFrame, keys, day="exit_date", order=("trade_id",), pnl="realized_pnl") -> DataFrame:
+    """F16 and F17 together: the longest runs of winning and of losing closed trades."""
+    closed = trades.filter(F.col(pnl).isNotNull())
+    return streaks(closed, keys, day, list(order), {"max_consecutive_wins": F.col(pnl) > 0, "max_consecutive_losses": F.col(pnl) < 0})
+
+
 def consecutive_wins(trades: DataFrame, keys, day="exit_date", order=("trade_id",), pnl="realized_pnl") -> DataFrame:
     """F16."""
-    closed = trades.filter(F.col(pnl).isNotNull())
-    return longest_streaks(closed, keys, day, list(order), F.col(pnl) > 0, "max_consecutive_wins")
+    return win_loss_streaks(trades, keys, day, order, pnl).select(*keys, "max_consecutive_wins")
 
 
 def consecutive_losses(trades: DataFrame, keys, day="exit_date", order=("trade_id",), pnl="realized_pnl") -> DataFrame:
     """F17."""
-    closed = trades.filter(F.col(pnl).isNotNull())
-    return longest_streaks(closed, keys, day, list(order), F.col(pnl) < 0, "max_consecutive_losses")
+    return win_loss_streaks(trades, keys, day, order, pnl).select(*keys, "max_consecutive_losses")
 
 
 def distribution_aggs(r="r") -> list[Column]:
@@ -270,18 +274,52 @@ def curve_metrics(curve: DataFrame, keys, value="equity", date="d", risk_free=RI
 
 def all_metrics(curve: DataFrame, trades: DataFrame, keys, day="exit_date", order=("trade_id",)) -> DataFrame:
     """curve, trade and streak metrics side by side; a key without trades keeps NULLs there."""
-    t = trade_metric(trades, keys, *TRADE_AGGS)
-    n = trades.groupBy(*keys).agg(F.count("realized_pnl").alias("closed_trades"))
-    out = curve_metrics(curve, keys).join(t, keys, "left").join(n, keys, "left")
-    out = out.join(consecutive_wins(trades, keys, day, order), keys, "left")
-    return out.join(consecutive_losses(trades, keys, day, order), keys, "left")
+    t = trades.groupBy(*keys).agg(*[TRADE_AGGS[n]().alias(n) for n in TRADE_AGGS], F.count("realized_pnl").alias("closed_trades"))
+    return curve_metrics(curve, keys).join(t, keys, "left").join(win_loss_streaks(trades, keys, day, order), keys, "left")
+
+
+REGIMES = ("LOW", "MEDIUM", "HIGH")
+REGIME_BUCKET = 32  # days
+
+
+def regime_intervals(regimes: DataFrame, as_of=None) -> DataFrame:
+    """(regime, first_day, last_day, days): runs of consecutive rows of (d, regime) up to `as_of`. One row per calendar day goes in."""
+    upto = regimes.filter(F.col("regime").isNotNull())
+    upto = upto if as_of is None else upto.filter(F.col("d") <= F.lit(as_of).cast("date"))
+    runs = regime_duration(upto.withColumn("_series", F.lit(0)), ["_series"])
+    numbered = runs.withColumn("_run", F.sum(F.when(F.col("regime_days") == 1, 1).otherwise(0)).over(running(["_series"])))
+    return numbered.groupBy("_run", "regime").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count(F.lit(1)).alias("days")).drop("_run")
+
+
+def regime_distribution(trades: DataFrame, keys, regimes: DataFrame, as_of=None, trade_id="trade_id") -> DataFrame:
+    """per key and regime the regime's days, and the trades held in it with the calendar days they spent there.
+
+    Trades meet the regimes' intervals by day buckets, an equality join; a pair that shares several buckets counts in the
+    first one. A trade without an exit, or with one after `as_of`, is held to `as_of` (else to the last day known).
+    """
+    runs = regime_intervals(regimes, as_of)
+    last = F.lit(as_of).cast("date") if as_of is not None else F.col("exit_date")
+    held = trades.select(*keys, F.col(trade_id).alias("_trade"), F.col("entry_date").alias("_a"), F.least("exit_date", last).alias("_b")).filter(F.col("_a") <= F.col("_b"))
+    bucket = lambda c: F.floor(F.unix_date(c) / REGIME_BUCKET)
+    buckets = lambda a, b: F.explode(F.sequence(bucket(a), bucket(b)))
+    pairs = held.withColumn("_bucket", buckets("_a", "_b")).join(runs.withColumn("_bucket", buckets("first_day", "last_day")), "_bucket").filter(
+        (F.col("_a") <= F.col("last_day")) & (F.col("_b") >= F.col("first_day")) & (F.col("_bucket") == F.greatest(bucket("_a"), bucket("first_day"))))
+    spent = F.datediff(F.least("_b", "last_day"), F.greatest("_a", "first_day")) + 1
+    per = pairs.groupBy(*keys, "_trade", "regime").agg(F.sum(spent).alias("_days")).groupBy(*keys, "regime").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("_days").alias("trade_days"))
+    return per.join(runs.groupBy("regime").agg(F.sum("days").alias("days")), "regime").select(*keys, "regime", "days", "trades", "trade_days")
 
 
 def strategy_statistics(trades: DataFrame, keys, capital: float = 100000.0, as_of=None, regimes: DataFrame | None = None) -> DataFrame:
     """open/closed counts, realized and total P&L, return, equity, utilisation, win statistics.
 
-    A trade with NULL P&L is open; its `unrealized_pnl`, if the column exists, adds to the total.
+    A trade with NULL P&L is open; its `unrealized_pnl`, if the column exists, adds to the total. With `as_of` trades entered
+    later don't count and those closed later are open. With `regimes` (d, regime) each regime's days and trades follow
+    (`days_low`, `trades_low`, ...).
     """
+    if as_of is not None:
+        day = F.lit(as_of).cast("date")
+        trades = trades.filter(F.col("entry_date") <= day).withColumn("realized_pnl", F.when(F.col("exit_date") <= day, F.col("realized_pnl")))
     p, cost = F.col("realized_pnl"), F.col("total_cost")
     unreal = F.coalesce(F.sum("unrealized_pnl"), F.lit(0.0)) if "unrealized_pnl" in trades.columns else F.lit(0.0)
     still_open = p.isNull()
@@ -294,10 +332,15 @@ def strategy_statistics(trades: DataFrame, keys, capital: float = 100000.0, as_o
         F.coalesce(F.sum(F.when(still_open, F.abs(cost))), F.lit(0.0)).alias("_used"),
     )
     total = F.col("realized_pnl") + F.col("unrealized_pnl")
-    return base.withColumns(
+    out = base.withColumns(
         {"total_pnl": total, "return_frac": total / capital, "equity": F.lit(capital) + total,
          "utilization": F.col("_used") / capital}
     ).drop("_used")
+    if regimes is None:
+        return out
+    wide = regime_distribution(trades, keys, regimes, as_of).groupBy(*keys).agg(*[
+        F.coalesce(F.max(F.when(F.col("regime") == g, F.col(c))), F.lit(0)).alias(f"{c}_{g.lower()}") for g in REGIMES for c in ("days", "trades")])
+    return out.join(wide, keys, "left").na.fill(0, [f"{c}_{g.lower()}" for g in REGIMES for c in ("days", "trades")])
 
 
 def run_comparison(curve: DataFrame, keys, value="equity", date="d") -> DataFrame:

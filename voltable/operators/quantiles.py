@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .joins import attach_by_key
+from .joins import attach_measured
 
 COARSE = 16
 CELLS = COARSE * COARSE
@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     )
     # number of cuts below the value, by a coarse and then a fine scan
     top = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_cuts", i * COARSE))
-    located = attach_by_key(counts, cuts.withColumn("_top", top), keys, F.col("_v")).withColumn(
+    located = attach_measured(counts, cuts.withColumn("_top", top), keys, F.col("_v")).withColumn(
         "_j", F.size(F.filter("_top", lambda x: x < F.col("_v"))) * COARSE)
     fine = F.size(F.filter(F.slice("_cuts", F.col("_j") + 1, F.lit(COARSE - 1)), lambda x: x < F.col("_v")))
     celled = located.select(*keys, "_v", "_c", (F.col("_j") + fine).alias("_cell"))
@@ -44,7 +44,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     cells = offsets.join(totals, keys).filter(wanted)
     inside = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     located = (
-        attach_by_key(celled, cells, [*keys, "_cell"], F.col("_v"))
+        attach_measured(celled, cells, [*keys, "_cell"], F.col("_v"))
         .withColumn("_end", F.col("_off") + F.sum("_c").over(inside))
     )
     aggs, outs = [], []

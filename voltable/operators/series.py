@@ -183,3 +183,36 @@ def longest_streaks(df: DataFrame, keys, day, order: list[str], flag: Column, ou
         F.sum("_p.n").alias("_len"), F.max("_best").alias("_best")
     )
     return stitched.groupBy(*keys).agg(F.greatest(F.max("_len"), F.max("_best")).alias(out))
+
+
+def streaks(df: DataFrame, keys, day, order: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Longest runs of rows for several flags at once, per key, in (day, order): one column per flag.
+
+    A stretch of rows is (run before its first breaker, run after its last one, best run, length, whether it breaks); two
+    stretches in a row make one again. A day's rows are folded in order, then a key's days (bounded by the calendar), so
+    all flags share one pass over the rows and one over the days.
+    """
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(*[x for f in flags for x in (zero.alias(f"{f}_head"), zero.alias(f"{f}_tail"), zero.alias(f"{f}_best"), F.lit(False).alias(f"{f}_broken"))])
+
+    def longer(acc, row):
+        fields = []
+        for f in flags:
+            tail = F.when(row[f], acc[f"{f}_tail"] + 1).otherwise(zero)
+            broken = acc[f"{f}_broken"] | ~row[f]
+            fields += [F.when(broken, acc[f"{f}_head"]).otherwise(tail).alias(f"{f}_head"), tail.alias(f"{f}_tail"), F.greatest(acc[f"{f}_best"], tail).alias(f"{f}_best"), broken.alias(f"{f}_broken")]
+        return F.struct(*fields)
+
+    def joined(acc, x):
+        fields = []
+        for f in flags:
+            across = acc[f"{f}_tail"] + x[f"{f}_head"]
+            fields += [F.when(acc[f"{f}_broken"], acc[f"{f}_head"]).otherwise(across).alias(f"{f}_head"), F.when(x[f"{f}_broken"], x[f"{f}_tail"]).otherwise(across).alias(f"{f}_tail"),
+                       F.greatest(acc[f"{f}_best"], x[f"{f}_best"], across).alias(f"{f}_best"), (acc[f"{f}_broken"] | x[f"{f}_broken"]).alias(f"{f}_broken")]
+        return F.struct(*fields)
+
+    row = F.struct(*[F.col(c) for c in order if c != day], *[F.coalesce(x, F.lit(False)).alias(f) for f, x in flags.items()])
+    per_day = df.groupBy(*keys, day).agg(F.array_sort(F.collect_list(row)).alias("_rows")).select(*keys, day, F.aggregate("_rows", start, longer).alias("_s"))
+    per_key = per_day.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(day, "_s"))).alias("_days"))
+    whole = per_key.select(*keys, F.aggregate("_days", start, lambda acc, x: joined(acc, x["_s"])).alias("_s"))
+    return whole.select(*keys, *[F.col(f"_s.{f}_best").alias(f) for f in flags])

@@ -1,91 +1,91 @@
-"""Resampled and generated return paths as tables.
+"""Resampled return paths as tables.
 
 A path set is a long table (keys, sim_id, period, value). Draws are integer hashes of (seed, key,
 simulation, period), so the same path appears whatever the partitioning, and after a lost executor.
-Simulations are spread over partitions by (key, sim); nothing is held on the driver.
+Simulations are spread over partitions in blocks; nothing is held on the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.common import EPSILON, TRADING_DAYS, finite
-from ..functions.draws import draw32, key_code, std_normal, stream_code
+from ..functions.draws import draw32, key_code, stream_code
 from ..operators.metrics import PERCENTILES
 
 MIN_OBS = 30
 SEED = 42
+SIM_BLOCK = 64  # simulations that share one copy of a key's returns
+
+
+def resampled(returns: DataFrame, keys, n_sims: int, n_periods: int, block: int = 1, seed=SEED, date="d", r="r") -> DataFrame:
+    """`steps`: the drawn log returns of every (key, sim_id), n_periods of them, in one row.
+
+    A key's returns are one array, bounded by the calendar. It is sent once to every block of simulations, and a row draws,
+    compounds and measures inside itself; periods are never shuffled. A return of -100 % or less has no logarithm and
+    leaves a path as it is.
+    """
+    known = returns.filter(F.col(r).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), F.col(r).cast("double").alias("r")))).alias("_pool"))
+    known = known.filter(F.size("_pool") >= MIN_OBS).select(*keys, F.transform("_pool", lambda x: F.coalesce(F.log1p(x["r"]), F.lit(0.0))).alias("_pool"), key_code(*keys).alias("_key"))
+    blocks = known.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // SIM_BLOCK)))).repartition(*keys, "_block")
+    first = F.col("_block") * SIM_BLOCK + 1
+    sims = blocks.withColumn("sim_id", F.explode(F.sequence(first, F.least(first + SIM_BLOCK - 1, F.lit(n_sims)))))
+    sims = sims.withColumn("_stream", stream_code(seed, F.col("_key"), F.col("sim_id"))).withColumn("_n", F.size("_pool"))
+    size = F.when(F.lit(block) > F.col("_n"), F.greatest(F.floor(F.col("_n") / 2), F.lit(1))).otherwise(F.lit(block)).cast("int")
+    sims = sims.withColumn("_b", size)
+    periods = F.sequence(F.lit(1), F.lit(n_periods))
 
+    def drawn(period):
+        if block == 1:
+            return F.pmod(draw32(F.col("_stream"), period), F.col("_n"))
+        start = F.pmod(draw32(F.col("_stream"), F.floor((period - 1) / F.col("_b"))), F.col("_n") - F.col("_b") + 1)
+        return start + (period - 1) % F.col("_b")
 
-def _streams(per_key: DataFrame, keys, n_sims: int, seed: int) -> DataFrame:
-    """One row per key and simulation with its draw stream."""
-    sims = per_key.withColumn("_key", key_code(*keys)).withColumn("sim_id", F.explode(F.sequence(F.lit(1), F.lit(n_sims))))
-    return sims.withColumn("_stream", stream_code(seed, F.col("_key"), F.col("sim_id"))).drop("_key")
-
-
-def _periods(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(1), F.lit(n)))
-
-
-def _compound(steps: DataFrame, keys, growth_log: str, initial: float) -> DataFrame:
-    """Values per period from log growth, period 0 included; a path's window is bounded by its periods."""
-    w = W.partitionBy(*keys, "sim_id").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
-    return steps.select(*keys, "sim_id", "period", (F.exp(F.sum(growth_log).over(w)) * initial).alias("value"))
-
-
-def fit_log_moments(returns: DataFrame, keys, r="r") -> DataFrame:
-    """mu and sigma of log returns per key; keys with fewer than 30 observations drop out."""
-    lr = F.log1p(F.col(r))
-    return returns.groupBy(*keys).agg(F.avg(lr).alias("mu"), F.greatest(F.stddev_samp(lr), F.lit(EPSILON)).alias("sigma"), F.count(r).alias("n")).filter(F.col("n") >= MIN_OBS)
-
-
-def gbm_paths(returns: DataFrame, keys, n_sims=1000, n_periods=252, seed=SEED, initial=1.0, drift="reference", r="r") -> DataFrame:
-    """Lognormal paths. `drift='reference'` takes half the variance off the mean of log returns,
-    `'log_mean'` leaves that mean as it is."""
-    p = fit_log_moments(returns, keys, r)
-    step = F.col("mu") - F.col("sigma") * F.col("sigma") * 0.5 if drift == "reference" else F.col("mu")
-    s = _streams(p.withColumn("_drift", step).drop("mu", "n"), keys, n_sims, seed).withColumn(
-        "period", F.explode(F.sequence(F.lit(0), F.lit(n_periods))))
-    move = F.when(F.col("period") == 0, F.lit(0.0)).otherwise(F.col("_drift") + F.col("sigma") * std_normal(F.col("_stream"), F.col("period")))
-    return _compound(s.withColumn("_g", move), keys, "_g", initial)
-
-
-def indexed_returns(returns: DataFrame, keys, date="d", r="r") -> DataFrame:
-    """Returns numbered from 0 per key, with the key's count: one row per day, bounded by the calendar."""
-    w = W.partitionBy(*keys).orderBy(date)
-    base = returns.filter(F.col(r).isNotNull())
-    return base.select(*keys, (F.row_number().over(w) - 1).alias("_i"), F.col(r).alias("_r"), F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_n")).filter(F.col("_n") >= MIN_OBS)
+    return sims.select(*keys, "_block", "sim_id", F.transform(periods, lambda p: F.get("_pool", drawn(p).cast("int"))).alias("steps"))
 
 
-def _draw_and_compound(indices: DataFrame, pool: DataFrame, keys, initial) -> DataFrame:
-    """Look drawn indices up. Index values spread over (key, index), so no key is one task's work."""
-    drawn = indices.join(pool.select(*keys, "_i", "_r"), [*keys, "_i"])
-    zero = indices.select(*keys, "sim_id").filter(F.col("period") == 1).select(*keys, "sim_id", F.lit(0).alias("period"), F.lit(0.0).alias("_g"))
-    steps = drawn.select(*keys, "sim_id", "period", F.log1p("_r").alias("_g")).unionByName(zero)
-    return _compound(steps, keys, "_g", initial)
+def values_of(sims: DataFrame, keys, initial=1.0) -> DataFrame:
+    """`steps` as rows (keys, sim_id, period, value), period 0 included. Rows stay where their simulation is."""
+    rows = sims.select(*keys, "_block", "sim_id", F.posexplode(F.concat(F.array(F.lit(0.0)), "steps")).alias("period", "_g"))
+    w = W.partitionBy(*keys, "_block", "sim_id").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select(*keys, "sim_id", "period", (F.exp(F.sum("_g").over(w)) * initial).alias("value"))
 
 
 def bootstrap_paths(returns: DataFrame, keys, n_sims=1000, n_periods=252, seed=SEED, initial=1.0, date="d", r="r") -> DataFrame:
     """Daily returns drawn with replacement and compounded."""
-    pool = indexed_returns(returns, keys, date, r)
-    s = _streams(pool.groupBy(*keys).agg(F.first("_n").alias("_n")), keys, n_sims, seed).withColumn("period", _periods(n_periods))
-    idx = s.withColumn("_i", F.pmod(draw32(F.col("_stream"), F.col("period")), F.col("_n")).cast("int")).select(*keys, "sim_id", "period", "_i")
-    return _draw_and_compound(idx, pool, keys, initial)
+    return values_of(resampled(returns, keys, n_sims, n_periods, 1, seed, date, r), keys, initial)
 
 
 def block_bootstrap_paths(returns: DataFrame, keys, n_sims=1000, n_periods=252, block=20, seed=SEED, initial=1.0, date="d", r="r") -> DataFrame:
     """Contiguous blocks drawn with replacement, the last one cut to fit; a block longer than the history halves it."""
-    pool = indexed_returns(returns, keys, date, r)
-    size = F.when(F.lit(block) > F.col("_n"), F.greatest(F.floor(F.col("_n") / 2), F.lit(1))).otherwise(F.lit(block)).cast("int")
-    s = _streams(pool.groupBy(*keys).agg(F.first("_n").alias("_n")).withColumn("_b", size), keys, n_sims, seed).withColumn("period", _periods(n_periods))
-    which, off = F.floor((F.col("period") - 1) / F.col("_b")), (F.col("period") - 1) % F.col("_b")
-    start = F.pmod(draw32(F.col("_stream"), which), F.col("_n") - F.col("_b") + 1)
-    idx = s.withColumn("_i", (start + off).cast("int")).select(*keys, "sim_id", "period", "_i")
-    return _draw_and_compound(idx, pool, keys, initial)
+    return values_of(resampled(returns, keys, n_sims, n_periods, block, seed, date, r), keys, initial)
+
+
+def step_metrics(sims: DataFrame, keys, initial=1.0) -> DataFrame:
+    """M04 inside the row, from `steps`: the metrics of `path_metrics` without exploding a path."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("log"), F.lit(1.0).alias("peak"), zero.alias("worst"), zero.alias("sum"), F.lit(0).alias("n"))
+
+    def step(acc, g):
+        value, before = F.exp(acc["log"] + g), F.exp(acc["log"])
+        move = finite(value / before - 1.0)
+        peak = F.greatest(acc["peak"], value)
+        return F.struct((acc["log"] + g).alias("log"), peak.alias("peak"), F.least(acc["worst"], (value - peak) / peak).alias("worst"),
+                        (acc["sum"] + F.coalesce(move, zero)).alias("sum"), (acc["n"] + F.when(move.isNull(), 0).otherwise(1)).alias("n"))
+
+    known = sims.withColumn("_s", F.aggregate("steps", start, step)).withColumn("_mean", F.col("_s.sum") / F.when(F.col("_s.n") > 0, F.col("_s.n")))
+    squares = F.aggregate("steps", zero, lambda a, g: a + F.coalesce(F.pow(finite(F.exp(g) - 1.0) - F.col("_mean"), F.lit(2.0)), zero))
+    known = known.withColumn("_std", F.sqrt(squares / F.when(F.col("_s.n") > 0, F.col("_s.n"))))
+    last, year = F.exp("_s.log"), F.sqrt(F.lit(TRADING_DAYS))
+    return known.select(
+        *keys, "sim_id", (last - 1.0).alias("total_return"), F.col("_s.worst").alias("max_drawdown"), (F.col("_std") * year).alias("volatility"),
+        F.when(F.col("_std") < EPSILON, zero).otherwise(F.col("_mean") / F.col("_std") * year).alias("sharpe"), (last * initial).alias("final_value"))
 
 
 def path_metrics(paths: DataFrame, keys) -> DataFrame:
-    """Total return, max drawdown, volatility, Sharpe and final value per path (population deviation)."""
+    """Total return, max drawdown, volatility, Sharpe and final value per path (population deviation).
+
+    For any table of paths; paths drawn here are measured without a shuffle by `step_metrics` of `resampled`."""
     w = W.partitionBy(*keys, "sim_id").orderBy("period")
     frame = paths.withColumns({"_r": finite(F.col("value") / F.lag("value").over(w) - 1.0), "_pk": F.max("value").over(w.rowsBetween(W.unboundedPreceding, 0))})
     std = F.stddev_pop("_r")
@@ -161,11 +161,11 @@ def probability_of_target(paths: DataFrame, keys, n_periods: int, target: float)
         (F.count(hit) / F.count("hr")).alias("probability"), F.count(hit).alias("num_achieving"), F.coalesce(F.avg(hit), F.lit(float(target))).alias("expected_given_achieved"))
 
 
-def drawdown_distribution(paths: DataFrame, keys) -> DataFrame:
-    """M09."""
+def drawdown_distribution(metrics: DataFrame, keys) -> DataFrame:
+    """M09 from the metrics of each path (`step_metrics` or `path_metrics`)."""
     x = "max_drawdown"
     n = F.count(x)
-    return path_metrics(paths, keys).groupBy(*keys).agg(
+    return metrics.groupBy(*keys).agg(
         F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("worst"), F.max(x).alias("best"),
         *[F.percentile(x, F.lit(p / 100.0)).alias(f"p{p}") for p in PERCENTILES],
         *[(F.count_if(F.col(x) < -c / 100.0) / n).alias(f"prob_exceeds_{c}") for c in (10, 20, 30)])
@@ -179,7 +179,7 @@ def path_fan(paths: DataFrame, keys, levels=(5, 50, 95)) -> DataFrame:
 def summary_report(paths: DataFrame, keys, n_periods: int) -> DataFrame:
     """Terminal, drawdown and VaR figures side by side."""
     t = terminal_distribution(paths, keys, n_periods).select(*keys, F.col("mean").alias("mean_return"), F.col("std").alias("std_return"), "prob_profit", "prob_loss")
-    d = drawdown_distribution(paths, keys).select(*keys, F.col("mean").alias("mean_drawdown"), F.col("worst").alias("worst_drawdown"))
+    d = drawdown_distribution(path_metrics(paths, keys), keys).select(*keys, F.col("mean").alias("mean_drawdown"), F.col("worst").alias("worst_drawdown"))
     v = simulated_var(paths, keys, n_periods, (0.95,)).select(*keys, F.col("var").alias("var_95"), F.col("cvar").alias("cvar_95"))
     return t.join(d, keys).join(v, keys)
 

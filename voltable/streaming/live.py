@@ -68,51 +68,91 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_last")).select("_last.*")
 
 
-class StaleRuns(StatefulProcessor):
-    """Per contract: last price and how often it repeated. A missing price ends the run, also at the edge of a batch.
-    State may expire `ttl_ms` after a contract's last row."""
+def _until(batch: pd.DataFrame) -> int | None:
+    """Milliseconds of the day after the key's expiration, when its state may go."""
+    if "expiration" not in batch or batch["expiration"].isna().all():
+        return None
+    return int((pd.Timestamp(pd.to_datetime(batch["expiration"]).max()) + pd.Timedelta(days=1)).value // 1_000_000)
 
-    def __init__(self, threshold: int, ttl_ms: int | None):
-        self.threshold, self.ttl_ms = threshold, ttl_ms
+
+class _Expiring(StatefulProcessor):
+    """State that goes when the stream's time passes its key's expiration, or `ttl_ms` after its last update.
+
+    The first row of a key that names an expiration sets an event-time timer for the day after it; when the watermark passes
+    that, the state is cleared. One timer per key."""
+
+    SCHEMA = ""
+
+    def __init__(self, ttl_ms: int | None, event_time: bool):
+        self.ttl_ms, self.event_time = ttl_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price double, run int", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("state", self.SCHEMA + ", until bigint", self.ttl_ms)
+
+    def remember(self, batch: pd.DataFrame, *values) -> None:
+        until = self.state.get()[-1] if self.state.exists() else None
+        if until is None and self.event_time:
+            until = _until(batch)
+            if until is not None:
+                self.handle.registerTimer(until)
+        self.state.update((*values, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(rows: DataFrame, key: str, processor: _Expiring, output: str, lateness: str) -> DataFrame:
+    if processor.event_time:
+        rows = rows.withWatermark("quote_ts", lateness)
+    mode = "EventTime" if processor.event_time else "None" if processor.ttl_ms is None else "ProcessingTime"
+    return rows.groupBy(key).transformWithStateInPandas(processor, output, "Append", mode)
+
+
+class StaleRuns(_Expiring):
+    """Per contract: last price and how often it repeated. A missing price ends the run, also at the edge of a batch."""
+
+    SCHEMA, COLUMNS = "price double, run int", ["contract", "quote_ts", "price", "run_length"]
+
+    def __init__(self, threshold: int, ttl_ms: int | None, event_time: bool):
+        super().__init__(ttl_ms, event_time)
+        self.threshold = threshold
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        price, run = self.last.get() if self.last.exists() else (float("nan"), 0)
+        price, run = self.state.get()[:2] if self.state.exists() else (float("nan"), 0)
         out = []
         for ts, p in zip(batch["quote_ts"], batch["price"].astype(float)):
             run = 0 if pd.isna(p) else run + 1 if p == price else 1
             price = p
             if run >= self.threshold:
                 out.append((key[0], ts, float(p), run))
-        self.last.update((float(price), int(run)))
-        yield pd.DataFrame(out, columns=["contract", "quote_ts", "price", "run_length"])
-
-    def close(self) -> None:
-        pass
+        self.remember(batch, float(price), int(run))
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
 
-def stream_stale_quotes(quotes: DataFrame, threshold=3, ttl_ms: int | None = None) -> DataFrame:
+def stream_stale_quotes(quotes: DataFrame, threshold=3, ttl_ms: int | None = None, lateness="1 day") -> DataFrame:
     """(contract, quote_ts, price) rows whose price repeats for `threshold` observations or more. A column `seq`
-    orders rows of equal `quote_ts`."""
-    return quotes.groupBy("contract").transformWithStateInPandas(
-        StaleRuns(threshold, ttl_ms), "contract string, quote_ts timestamp, price double, run_length int", "Append", "None" if ttl_ms is None else "ProcessingTime")
+    orders rows of equal `quote_ts`.
 
+    With a column `expiration` a contract's state goes once the stream is `lateness` past the day after it; rows later than
+    that are dropped. Without one, state stays unless `ttl_ms` is given.
+    """
+    return _stateful(quotes, "contract", StaleRuns(threshold, ttl_ms, "expiration" in quotes.columns), "contract string, quote_ts timestamp, price double, run_length int", lateness)
 
-class ExitWatch(StatefulProcessor):
-    """Per position: the peak P&L so far and whether it already closed. State may expire `ttl_ms` after its last update."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+class ExitWatch(_Expiring):
+    """Per position: the peak P&L so far and whether it already closed."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("watch", "peak double, closed boolean", self.ttl_ms)
+    SCHEMA, COLUMNS = "peak double, closed boolean", ["position_id", "quote_ts", "pnl", "peak_pnl", "exit_reason"]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)
-        peak, closed = self.state.get() if self.state.exists() else (0.0, False)
+        peak, closed = self.state.get()[:2] if self.state.exists() else (0.0, False)
         out = []
         for row in batch.itertuples():
             if closed:
@@ -132,20 +172,16 @@ class ExitWatch(StatefulProcessor):
             if reason:
                 closed = True
                 out.append((key[0], row.quote_ts, float(row.pnl), float(peak), reason))
-        self.state.update((float(peak), bool(closed)))
-        yield pd.DataFrame(out, columns=["position_id", "quote_ts", "pnl", "peak_pnl", "exit_reason"])
-
-    def close(self) -> None:
-        pass
+        self.remember(batch, float(peak), bool(closed))
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
 
-def stream_exit_monitor(marks: DataFrame, positions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_exit_monitor(marks: DataFrame, positions: DataFrame, ttl_ms: int | None = None, lateness="1 day") -> DataFrame:
     """One exit row per position. `marks` streams (position_id, quote_ts, pnl, dte, and `seq` to order equal times); `positions` is static
-    with (position_id, net_premium, profit_target, loss_limit, exit_dte, trail)."""
+    with (position_id, net_premium, profit_target, loss_limit, exit_dte, trail). With a column `expiration` in either a position's state
+    goes after it, as for `stream_stale_quotes`."""
     both = marks.join(positions, "position_id").withColumn("pnl_pct", F.col("pnl") / F.abs("net_premium"))
-    return both.groupBy("position_id").transformWithStateInPandas(
-        ExitWatch(ttl_ms), "position_id string, quote_ts timestamp, pnl double, peak_pnl double, exit_reason string", "Append",
-        "None" if ttl_ms is None else "ProcessingTime")
+    return _stateful(both, "position_id", ExitWatch(ttl_ms, "expiration" in both.columns), "position_id string, quote_ts timestamp, pnl double, peak_pnl double, exit_reason string", lateness)
 
 
 def on_step(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, once=True) -> StreamingQuery:
