@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
+import regex
 
 from voltable.llm import language, pii, url_filter
 
@@ -132,8 +135,17 @@ def test_urls(spark, rules):
     got = sorted((r.page_id or 0, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(pages, rules, listed).collect())
     assert got == sorted((i, *(x or "" for x in want(u))) for i, u in enumerate(urls * 2))
     assert url_filter.judge(pages.where("page_id < 0"), rules, listed).count() == 0
-    again = {r.url for r in url_filter.seen_again(pages.limit(len(urls))).collect()}
-    assert all(u.startswith("http://") for u in again)
+    again = {r.name for r in url_filter.seen_again(pages).collect()}
+    assert "site.org/p?a=1&b=2" in again and url_filter.seen_again(pages.where("page_id < 0")).count() == 0
+
+
+def test_canonical_names_are_not_made_canonical_again(spark):
+    """Pages seen twice under a name that looks like a longer URL are blocked, a page under the shorter name is not."""
+    twice = ["http://www.www.q.org/p", "http://m.www.r.org/p", "http://z.org/a//", "http://z.org/b.html/", "http://z.org/c/.html"]
+    once = ["http://www.q.org/p", "http://r.org/p", "http://z.org/a/", "http://z.org/b", "http://z.org/c"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(twice * 2 + once)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, [], url_filter.seen_again(pages), listed_col="name", by_name=True).collect()}
+    assert got == {i: "block" if i < 10 else "allow" for i in range(15)}
 
 
 def test_large_sides_are_shuffled_with_the_same_result(make, hard, monkeypatch):
@@ -182,3 +194,102 @@ def test_texts_in_no_learned_language_go(make):
     docs = make(rows + odd)
     assert {r.doc_id for r in language.keep_identified(docs).collect()} > {500, 501, 502, 503}
     assert {r.doc_id for r in language.keep_identified(docs, open_set=True).collect()} == {i for i, _, _ in rows}
+
+
+def plain_grams(text):
+    codes = [ord(c) for c in f" {text.lower()} "]
+    full, out = 1 << 32, []
+    for at in range(len(codes)):
+        mixed = 0
+        for order in language.ORDERS:
+            ahead = codes[at + order - 1] if at + order - 1 < len(codes) else 0
+            mixed = ((mixed ^ (ahead * int(language._FACTORS[order - 1]) % full)) * 0x85EBCA6B) % full
+            out.append((mixed ^ (mixed >> 15)) % language.BUCKETS)
+    return out
+
+
+def test_language_equals_a_plain_naive_bayes(make, hard):
+    """Counts, smoothing, priors and posteriors of a classifier written out in loops; also for repeated rows."""
+    rnd = random.Random(11)
+    every = " ".join(WORDS.values()).split()
+    rows = [(100 + i, " ".join(rnd.choices(WORDS[k].split(), k=rnd.randint(1, 6)) + rnd.choices(every, k=rnd.randint(0, 6))), k) for i, k in enumerate(rnd.choices(["aa", "bb", "bb", "cc"], k=80))]
+    rows += [rows[0], rows[0]] + [r for r in hard if r[0] != 7]
+    counts, seen = {}, Counter()
+    for r in rows:
+        lang = r[2] if len(r) > 2 else "en"
+        if r[0] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(plain_grams(r[1]))
+            seen[lang] += 1
+    names = sorted(counts)
+    total = {k: sum(counts[k].values()) + 0.5 * language.BUCKETS for k in names}
+    want = {}
+    for r in rows:
+        text = r[1] or ""
+        joint = [math.log(seen[k] / sum(seen.values())) + sum(math.log((counts[k][g] + 0.5) / total[k]) for g in plain_grams(text)) for k in names]
+        best = max(range(len(names)), key=lambda k: joint[k])
+        want[r[0], r[1]] = (names[best], 1 / sum(math.exp(x - joint[best]) for x in joint)) if any(map(str.isalpha, text)) else ("und", 0.0)
+    docs = make(rows)
+    got = language.identify(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    of = {i: x for (i, _), x in want.items()}  # rows that share an id share their text
+    for r in got:
+        lang, score = of[r.doc_id]
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6, r
+
+
+def plain_terms(rows):
+    """The flagged terms of a corpus by the formula, in loops: {term: removed}."""
+    reach, around, n = pii.REACH, pii.AROUND, len(rows)
+    words = lambda t: [m.lower() for m in regex.findall(r"[\p{L}\p{N}]+", t)]
+    masked, met = {}, []  # met: (row, entity, neighbourhood)
+    for i, text in rows:
+        found = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in base(text)[0]]
+        if found:
+            own = text
+            for s, e in found:
+                own = own[:s] + "\x01" * (e - s) + own[e:]
+            masked[i] = own
+            met += [(i, text[s:e].lower(), own[max(0, s - reach): e + reach]) for s, e in found]
+    n_c = Counter(c for _, c in {(i, c) for i, c, _ in met})
+    n_c = {c: k for c, k in n_c.items() if 2 <= k <= n - 1}
+    met = [x for x in met if x[1] in n_c]
+    held = {i: [w for w in words(masked[i]) if len(w) >= pii.SHORTEST] for i in {x[0] for x in met}}
+    n_t = Counter(w for _, t in rows for w in set(words(t or "")))
+    flagged = {}
+    for t in {t for t, k in Counter(w for own in held.values() for w in set(own)).items() if k >= 2}:
+        for c in n_c:
+            in_rows, whose, owns, beside = set(), set(), set(), set()
+            for i, entity, context in met:
+                if entity != c:
+                    continue
+                if t in held[i]:
+                    k = held[i].index(t)
+                    in_rows.add(i), whose.add(context), owns.add(tuple(held[i][max(0, k - around): k + around + 1]))
+                if t in words(context):
+                    in_rows.add(i), whose.add(context), owns.add(context), beside.add(context)
+            if min(len(in_rows), max(len(beside), min(len(whose), len(owns)))) >= pii.SUPPORT:
+                d = math.log2(n * len(in_rows) / (n_c[c] * n_t[t])) / math.log2(n / n_c[c])
+                if d >= pii.GENERALISE:
+                    flagged[t] = flagged.get(t, False) or d >= pii.REMOVE
+    return flagged, masked
+
+
+def test_disclosing_terms_equal_a_plain_computation(make):
+    rnd = random.Random(21)
+    vocabulary = [f"word{k}" for k in range(60)] + ["a", "of"]
+    rows = []
+    for i in range(90):
+        text = rnd.choices(vocabulary, k=rnd.randint(8, 40))
+        if i % 3 == 0:
+            who = rnd.randrange(6)
+            text.insert(rnd.randrange(len(text)), f"p{who}@corp.example")
+            text += [f"alias{who}"] * (rnd.random() < 0.9) + [f"team{who % 3}"] * (rnd.random() < 0.8) + [f"u{i}"]
+        elif i % 7 == 0:
+            text.append(f"Alias{rnd.randrange(6)}")
+        rows.append((i, " ".join(dict.fromkeys(text))))
+    flagged, masked = plain_terms(rows)
+    assert len(flagged) >= 4 and True in flagged.values() and False in flagged.values()
+    got = {r.doc_id: r.spans for r in pii.spans(make(rows)).collect()}
+    for i, text in rows:
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\w+", masked.get(i, text)) if m.group().lower() in flagged}
+        assert {x for x in got[i].split(",") if x.startswith("term")} == want, (i, text)

@@ -89,7 +89,7 @@ def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return url_filter.judge(pages, URL_RULES, url_filter.seen_again(pages))
+    return url_filter.judge(pages, URL_RULES, url_filter.seen_again(pages), listed_col="name", by_name=True)
 
 
 oracle("op5_url_filter", r"""

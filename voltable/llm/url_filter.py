@@ -50,15 +50,18 @@ def _fitting(rules: list[tuple[str, str]], host_: Column, path_: Column) -> Colu
     return F.coalesce(*(F.when(fits(rule), F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))) for verdict, rule in ordered)) if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", by_name: bool = False) -> DataFrame:
     """One row per row of `pages`: id, `host`, `path`, `rule`, `verdict` (`allow` or `block`).
 
     `rules` is a short list of (verdict, `host/path`): a rule fits its host and all subdomains if the path starts with its
     own, and the longest wins. Where none fits, a page is blocked if its canonical URL is that of a row of `listed`. A
     null URL or one without `://` has empty host and path and is never listed; a null id stays null; repeated rows are
-    judged each; null and repeated rows of the list count for nothing more. Other columns are not read.
+    judged each; null and repeated rows of the list count for nothing more; empty tables of pages or of the list are fine.
+    With `by_name`, `listed_col` holds canonical names already (`seen_again`): a name is no URL and is not made canonical
+    a second time. Other columns are not read.
     """
-    names = materialize(listed.select(canonical(F.col(listed_col)).alias("_name")).where("_name IS NOT NULL").distinct(), "listed")
+    name = F.col(listed_col) if by_name else canonical(F.col(listed_col))
+    names = materialize(listed.select(name.alias("_name")).where("_name IS NOT NULL").distinct(), "listed")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     rows = rows.select("_id", host(F.col("_url")).alias("host"), path(F.col("_url")).alias("path"), canonical(F.col("_url")).alias("_name"))
     rows = rows.withColumn("_rule", _fitting(rules, F.col("host"), F.col("path")))
@@ -74,6 +77,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, id_
 
 
 def seen_again(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """A list for `judge`: canonical URLs under which more than one row was fetched (as `url`, with a scheme)."""
-    name = pages.select(canonical(F.col(url_col)).alias("_name")).where("_name IS NOT NULL")
-    return name.groupBy("_name").agg(F.count("*").alias("_n")).where("_n > 1").select(F.concat(F.lit("http://"), "_name").alias("url"))
+    """A list for `judge` with `by_name`: the canonical names (`name`) under which more than one row was fetched. URLs that are
+    null or have no `://` have no name; an empty table gives an empty list."""
+    name = pages.select(canonical(F.col(url_col)).alias("name")).where("name IS NOT NULL")
+    return name.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name")
