@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -136,16 +137,19 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{x: 100 for x in range(101, 140)}, 201: 200}
 
 
-def plain_lines(rows, run):
+def plain_lines(rows, run, words=50):
     seen, places = {}, []
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         own = [(k, x.strip(" \t\r\x0b\f")) for k, x in enumerate((t or "").split("\n"))]
         own = [x for x in own if x[1]]
         gone = set()
-        for s in range(len(own) - run + 1):
-            window = tuple(x for _, x in own[s:s + run])
-            if seen.setdefault(window, (i, s)) < (i, s):
-                gone |= set(range(s, s + run))
+        for size in range(1, run + 1):
+            for s in range(len(own) - size + 1):
+                window = tuple(x for _, x in own[s:s + size])
+                if (size == run or sum(len(x.split()) for x in window) >= words) and seen.setdefault(window, (i, s)) < (i, s):
+                    gone |= set(range(s, s + size))
+        if 0 < len(own) < run and seen.setdefault(("whole", *(x for _, x in own)), (i, 0)) < (i, 0):
+            gone |= set(range(len(own)))
         places.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {own[g][0] for g in gone})))
     return places
 
@@ -163,6 +167,33 @@ def test_repeated_lines(make, hard):
     assert clean.where("doc_id = 1 and text is null").count() == 1
 
 
+def test_short_repeats_of_many_words_and_whole_documents(make):
+    """Two-line copies go, passages of 50 words in one or two lines go; short lines and other documents' lines stay."""
+    long = " ".join(f"word{k}" for k in range(50))
+    half, rest = " ".join(f"part{k}" for k in range(30)), " ".join(f"rest{k}" for k in range(20))
+    rows = [
+        (1, "Dear all,\nsee you"), (2, " Dear all,\n\nsee you\t"), (3, "Dear all,\nsee you\nlater"), (4, "Thanks"), (5, "Thanks"), (6, "Thanks\nagain"),
+        (10, f"a1\n{long}\nb1"), (11, f"a2\n{long}\nb2\n{long}"), (12, f"{half}\n{rest}\nend"), (13, f"start\n{half}\n{rest}"), (14, f"other\n{half}\nline"), (15, long[:-2]),
+    ]
+    clean = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(make(rows)).collect()}
+    assert clean == dict(plain_lines(rows, 3))
+    assert [clean[i] for i in (1, 2, 3, 4, 5, 6)] == ["Dear all,\nsee you", "", "Dear all,\nsee you\nlater", "Thanks", "", "Thanks\nagain"]
+    assert (clean[11], clean[13], clean[14]) == ("a2\nb2", "start", f"other\n{half}\nline")
+
+
+def test_many_lines_in_one_text_take_time_in_proportion(make):
+    def took(n):
+        text = "\n".join(f"line {k % (n // 2)} of the text" for k in range(n))
+        began = time.time()
+        (row,) = line_dedup.drop_repeated_lines(make([(1, text)], 1)).collect()
+        assert row.text.count("\n") == n // 2 - 1
+        return time.time() - began
+
+    took(100)
+    small, large = took(6_000), took(60_000)
+    assert large < 12 * small + 3
+
+
 def test_majority_and_wide_fingerprints():
     h = simhash._hashes("a b c d e f g", 4)
     assert h.shape == (4, 8) and simhash._majority(h) == plain_fingerprint("a b c d e f g", 4).to_bytes(8, "big")

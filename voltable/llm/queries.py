@@ -123,9 +123,14 @@ oracle("op2_line_dedup", r"""
     l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
     s AS (SELECT doc_id, i, trim(line, E' \t\r\x0b\f') AS line FROM l),
     p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s WHERE line <> ''),
-    w AS (SELECT *, lead(line) OVER v AS b, lead(line, 2) OVER v AS c FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
-    f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, p) AS k FROM w WHERE c IS NOT NULL),
-    g AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM f WHERE k > 1),
+    q AS (SELECT *, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
+    w AS (SELECT *, lead(line) OVER v AS b, lead(line, 2) OVER v AS c, lead(words) OVER v AS words2 FROM q WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+    r AS (SELECT doc_id, p, 3 AS r, 'run' AS kind, [line, b, c] AS own FROM w WHERE c IS NOT NULL
+          UNION ALL SELECT doc_id, p, 2, 'run', [line, b] FROM w WHERE b IS NOT NULL AND words + words2 >= 50
+          UNION ALL SELECT doc_id, p, 1, 'run', [line] FROM w WHERE words >= 50
+          UNION ALL SELECT doc_id, p, n, 'whole', CASE WHEN n = 1 THEN [line] ELSE [line, b] END FROM w WHERE n < 3 AND p = 1),
+    f AS (SELECT doc_id, p, r, row_number() OVER (PARTITION BY kind, own ORDER BY doc_id, p) AS k FROM r),
+    g AS (SELECT DISTINCT doc_id, unnest(range(p, p + r)) AS p FROM f WHERE k > 1),
     k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS clean, count(*) AS n
           FROM l LEFT JOIN p USING (doc_id, i) LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p WHERE g.p IS NULL GROUP BY 1)
     SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE coalesce(len(lines), 0) END AS n_lines,
