@@ -8,11 +8,10 @@ that of its pieces one after another, and a piece is aligned once as long as it
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,11 @@ from voltable.llm.vocab import load, slices
 from voltable.plans.lineage import materialize
 
 #: Distinct pieces a worker remembers before it starts afresh; bounds its memory, never changes a result.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longer pieces are encoded by the tokenizers library, whose matching has no limit on backtracking.
 LONG = 10_000
 #: Bytes of text whose pairs are sorted together.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 #: Pairs that are broadcast at most: those that hold more than one of so many shares of all (document, pair) rows.
 HOT = 1 << 17
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -66,37 +65,21 @@ class _Piece:
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.cuts_at_spaces = not any("▁" in p.lstrip("▁") for p in names)
 
-    def __call__(self, text: str) -> list[int]:
-        return self._model.encode(text, num_threads=1)
-
-
-def slice_groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first and end in a, first and end in b) of each group, from the cumulative ends of two token lists."""
-    of_a, of_b = ({end: k for k, end in enumerate(ends)} for ends in (a, b))
-    groups, i, j = [], 0, 0
-    for end in sorted(of_a.keys() & of_b.keys()):
-        groups.append((i, i := of_a[end] + 1, j, j := of_b[end] + 1))
-    return groups
+    def several(self, texts: list[str]) -> list[list[int]]:
+        return self._model.encode(texts, num_threads=1)
 
 
-def expand(group: tuple[int, int, int, int], a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places of tokens of a group whose byte ranges overlap; inside a group no two tokens end together."""
-    i, i_end, j, j_end = group
-    links = []
-    while i < i_end:
-        links.append((i, j))
-        if a[i] == b[j]:
-            break  # the group's end
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    return links
+def slice_groups(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The places in a and in b of each group's last token, from the rising ends of both token lists."""
+    of_a, of_b = (dict(zip(ends, range(len(ends)))) for ends in (a, b))
+    return [(of_a[end], of_b[end]) for end in sorted(of_a.keys() & of_b.keys())]
 
 
-def _ends(ids: list[int], lengths) -> list[int]:
-    at = 0
-    return [at := at + lengths[i] for i in ids]
+def expand(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of all tokens whose byte ranges overlap: between two neighbouring ends, of whichever list, there is
+    just one token of each, and no two such stretches have the same two."""
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends)
 
 
 class Aligner:
@@ -104,45 +87,66 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = _Byte(byte_path), _Piece(piece_path)
-        self._len_a, self._len_b = {i: len(x) for i, x in self.a.bytes.items()}, [len(x) for x in self.b.bytes]
+        self._len_a, self._len_b = np.zeros(self.a.size, np.int64), np.array([len(x) for x in self.b.bytes])
+        for i, x in self.a.bytes.items():
+            self._len_a[i] = len(x)
+        most = max(self.a.size, self.b.size)
+        self._text = [f"{i}{end}" for end in ",|;\n" for i in range(most)]  # decimal ids with what follows them
+        self._most = most
         self.clear()
 
     def clear(self) -> None:
         self.number = _Numbers(self)
-        self.counts = array("q")  # of a, b, groups, links; -1: bytes differ
-        self.groups: list[bytes] = []
-        self.links = array("q")
-        self.firsts = array("q", [0])
-
-    def learn(self, piece: str) -> int:
-        a, b = self.a(" " + piece), self.b(piece)
-        text = (" " + piece).encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != text or b"".join(map(self.b.bytes.__getitem__, b)) != text:
-            self.counts.extend((-1, 0, 0, 0))
-            self.groups.append(b"")
-        else:
-            ends_a, ends_b = _ends(a, self._len_a), _ends(b, self._len_b)
-            groups = slice_groups(ends_a, ends_b)
-            links = [a[i] * self.b.size + b[j] for g in groups for i, j in expand(g, ends_a, ends_b)]
-            self.counts.extend((len(a), len(b), len(groups), len(links)))
-            self.groups.append(";".join(f"{','.join(map(str, a[i:e]))}|{','.join(map(str, b[j:f]))}" for i, e, j, f in groups).encode())
-            self.links.extend(links)
-        self.firsts.append(len(self.links))
-        return len(self.groups) - 1
+        self.pending: list[str] = []
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 4), np.int64)  # of a, b, groups, links; -1: bytes differ
+        self.links = np.zeros(0, np.int64)
+        self.firsts = np.zeros(0, np.int64)
+
+    def settle(self) -> None:
+        """Learn the pieces met since the last call, all in one."""
+        new, self.pending = self.pending, []
+        if not new:
+            return
+        a, b = [self.a(" " + p) for p in new], self.b.several(new)
+        text = [(" " + p).encode() for p in new]
+        bad = [k for k, (x, y, t) in enumerate(zip(a, b, text)) if b"".join(map(self.b.bytes.__getitem__, y)) != t or b"".join(map(self.a.bytes.__getitem__, x)) != t]
+        for k in bad:
+            a[k], b[k] = [], []
+        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self._len_a[a]), np.cumsum(self._len_b[b])  # of all pieces one after another
+        last = np.array(slice_groups(ends_a.tolist(), ends_b.tolist()), np.int64).reshape(-1, 2)
+        at_a, at_b = expand(ends_a, ends_b)
+        of_a, of_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
+        n_groups, n_links = np.bincount(of_a[last[:, 0]], minlength=len(new)), np.bincount(of_a[at_a], minlength=len(new))
+
+        # text: a group's a ids, then its b ids, each with the sign that follows it
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[last[:, 0]], sign_b[last[:, 1]] = 1, 2
+        sign_b[(np.cumsum(n_b) - 1)[n_b > 0]] = 3  # a piece ends
+        group_a, group_b = (np.repeat(np.arange(len(last)), np.diff(last[:, k], prepend=-1)) for k in (0, 1))
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        codes = np.r_[sign_a * self._most + a, sign_b * self._most + b][order]
+        texts = iter("".join(map(self._text.__getitem__, codes.tolist())).split("\n"))
+        self.groups += [next(texts) if n else "" for n in n_b.tolist()]
+
+        counts = np.stack([n_a, n_b, n_groups, n_links], 1)
+        counts[bad, 0] = -1
+        self.firsts = np.r_[self.firsts, len(self.links) + np.cumsum(n_links) - n_links]
+        self.counts = np.r_[self.counts, counts]
+        self.links = np.r_[self.links, a[at_a] * self.b.size + b[at_b]]
 
     def pieces(self, text: str) -> list[int]:
+        """Numbers of a text's pieces; what is known of them is there after `settle`."""
         if not text:
             return []
         if not self.b.cuts_at_spaces:
-            return [self.number[text]]
+            return [self.number.once(text)]
         try:
             return list(map(self.number.__getitem__, text.split(" ")))
         except _Irregular:
-            self.number.any = True
-            try:
-                return [self.number[p] for p in _SPACE.split(text)]
-            finally:
-                self.number.any = False
+            return [self.number.once(p) if p[0].isspace() or p[-1].isspace() else self.number[p] for p in _SPACE.split(text)]
 
 
 class _Irregular(Exception):
@@ -150,17 +154,18 @@ class _Irregular(Exception):
 
 
 class _Numbers(dict):
-    any = False
-
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
 
+    def once(self, piece: str) -> int:
+        """A number that is not remembered."""
+        self.aligner.pending.append(piece)
+        return len(self.aligner.groups) + len(self.aligner.pending) - 1
+
     def __missing__(self, piece: str) -> int:
-        if not self.any and (not piece or piece[0].isspace() or piece[-1].isspace()):
+        if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular  # a space beside other white space is no place to cut
-        n = self.aligner.learn(piece)
-        if piece and not piece[0].isspace() and not piece[-1].isspace():
-            self[piece] = n
+        n = self[piece] = self.once(piece)
         return n
 
 
@@ -183,30 +188,26 @@ def _portions(texts: list[str]):
 def _aligned(aligner: Aligner, texts: list[str]):
     """Per text counts (a, b, groups, links), groups as text; and the distinct pairs with their numbers, text after text."""
     numbers = [aligner.pieces(t) for t in texts]
-    counts = np.frombuffer(aligner.counts, np.int64).reshape(-1, 4).copy() if aligner.counts else np.zeros((0, 4), np.int64)
-    sizes = np.array([len(x) for x in numbers])
-    flat = np.fromiter((n for x in numbers for n in x), np.int64, int(sizes.sum()))
+    aligner.settle()
+    sizes = np.array(list(map(len, numbers)), np.int64)
+    flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(texts)), sizes)
+    counts = aligner.counts[flat]
     bad = np.zeros(len(texts), bool)
-    bad[owner[counts[flat, 0] < 0]] = True
+    bad[owner[counts[:, 0] < 0]] = True
     keep = ~bad[owner]
-    flat, owner = flat[keep], owner[keep]
-    sums = np.stack([np.bincount(owner, counts[flat, k], len(texts)) for k in range(4)], 1).astype(np.int64)
-    groups = [b"" if bad[i] else b";".join(map(aligner.groups.__getitem__, x)) for i, x in enumerate(numbers)]
-    # links of distinct pieces first, then of distinct pairs
-    key, times = np.unique((owner << 32) | flat, return_counts=True)
-    owner, flat = key >> 32, key & 0xFFFFFFFF
-    each = counts[flat, 3]
-    firsts, links = np.frombuffer(aligner.firsts, np.int64), np.frombuffer(aligner.links, np.int64) if aligner.links else np.zeros(0, np.int64)
-    pairs = links[np.arange(int(each.sum())) + np.repeat(firsts[flat] - (np.cumsum(each) - each), each)]
-    owner, times = np.repeat(owner, each), np.repeat(times, each)
-    order = np.lexsort((pairs, owner))
-    owner, pairs, times = owner[order], pairs[order], times[order]
-    head = np.ones(len(pairs), bool)
-    head[1:] = (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])
+    flat, owner, counts = flat[keep], owner[keep], counts[keep]
+    sums = np.stack([np.bincount(owner, counts[:, k], len(texts)) for k in range(4)], 1).astype(np.int64)
+    groups = ["" if bad[i] else ";".join(map(aligner.groups.__getitem__, x)) for i, x in enumerate(numbers)]
+    each = counts[:, 3]
+    keys = aligner.links[np.arange(int(each.sum())) + np.repeat(aligner.firsts[flat] - (np.cumsum(each) - each), each)]
+    keys += np.repeat(owner << 40, each)  # a pair is below 2^40
+    keys.sort()
+    head = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=head[1:])
     at = np.flatnonzero(head)
-    del firsts, links  # views keep the arrays from growing
-    return sums, groups, owner[at], pairs[at], np.add.reduceat(times, at) if len(at) else times
+    keys = keys[at]
+    return sums, groups, keys >> 40, keys & ((1 << 40) - 1), np.diff(at, append=len(head))
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
@@ -226,9 +227,9 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
             for first, end in _portions(texts):
                 sums, text, owner, pairs, times = _aligned(aligner, texts[first:end])
                 ends = pa.array(np.searchsorted(owner, np.arange(end - first + 1)), pa.int32())
-                arrays = [b.column(0)[first:end], *(pa.array(sums[:, k], pa.int64()) for k in range(4)), pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in text], pa.string())]
+                arrays = [b.column(0)[first:end], *(pa.array(sums[:, k], pa.int64()) for k in range(4)), pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in text], pa.string())]
                 arrays += [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array([x.decode() for x in text], pa.string())] if groups else []), names=names)
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(text, pa.string())] if groups else []), names=names)
                 if len(aligner.groups) > REMEMBERED:
                     aligner.clear()
 
