@@ -337,8 +337,8 @@ query("k23_pnl_summary", f"""SELECT strategy_id, d, {r('realized_pnl', 9)} AS re
       {r('equity', 9)} AS equity, {r('CASE WHEN equity > 0 THEN abs(positions_value) / equity END', 9)} AS utilization FROM curve""", 9)(lambda v: bt.pnl_summary(run(v)["equity_curve"]))
 query("k24_lifecycle", """SELECT strategy_id, position_id, CASE WHEN exit_date <= DATE '2024-01-18' THEN 'closed' WHEN entry_date = DATE '2024-01-18' THEN 'open' WHEN entry_date < DATE '2024-01-18' THEN 'active' ELSE 'pending' END AS state, false AS is_duplicate FROM positions""")(
     lambda v: bt.lifecycle(run(v)["positions"], "2024-01-18"))
-query("f22_execution_summary", f"""SELECT strategy_id, count(*) AS num_executions, count_if(action = 'open') AS num_entries, count_if(action = 'close') AS num_exits, {r('sum(commission)', 4)} AS total_commissions, {r('sum(slippage)', 4)} AS total_slippage,
-      {r('avg(commission)', 4)} AS avg_commission, sum(num_legs)::BIGINT AS total_contracts FROM log GROUP BY 1""", 4)(
+query("f22_execution_summary", f"""SELECT strategy_id, count(*) AS num_executions, count_if(action = 'open') AS num_entries, count_if(action = 'close') AS num_exits, {r('sum(commission)', 7)} AS total_commissions, {r('sum(slippage)', 7)} AS total_slippage,
+      {r('avg(commission)', 7)} AS avg_commission, sum(num_legs)::BIGINT AS total_contracts FROM log GROUP BY 1""", 7)(
     lambda v: ex.execution_summary(run(v)["trade_log"].withColumns({"kind": F.when(F.col("action") == "open", F.lit("entry")).otherwise(F.lit("exit")), "num_contracts": F.col("num_legs")}), ["strategy_id"]))
 query("r04_entry_exit_markers", f"""SELECT strategy_id, underlying, l.d, action, {r('b.spot')} AS price, (CASE WHEN action = 'open' THEN 1 ELSE -1 END * CASE WHEN structure_type LIKE 'short%' OR structure_type LIKE 'iron%' THEN -1 ELSE 1 END)::INT AS sign
     FROM log l LEFT JOIN bars b ON b.symbol = l.underlying AND b.d = l.d""")(lambda v: tb.entry_exit_markers(v.bars, run(v)["trade_log"]))
