@@ -173,12 +173,12 @@ view("regime_trades", """SELECT sid, regime, count(DISTINCT trade_id) AS trades,
     FROM trades_asof JOIN regime_runs ON entry_date <= b AND z >= a GROUP BY ALL""")
 query("f21_regime_distribution", "SELECT sid, regime, days, trades, trade_days FROM regime_trades JOIN (SELECT regime, sum(days)::BIGINT AS days FROM regime_runs GROUP BY 1) USING (regime)")(
     lambda v: m.regime_distribution(v.trades, KEY, _regimes(v), _AS_OF))
-query("f21_statistics_as_of", "SELECT sid, num_open, num_closed, num_wins, " + ", ".join(f"coalesce({c}_{g}, 0) AS {c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")) + f""", {r('pnl', 4)} AS realized_pnl, {r('used')} AS utilization
+query("f21_statistics_as_of", "SELECT sid, num_open, num_closed, num_wins, " + ", ".join(f"coalesce({c}_{g}, 0) AS {c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")) + f""", {r('pnl', 8)} AS realized_pnl, {r('used', 8)} AS utilization
     FROM (SELECT sid, count_if(realized_pnl IS NULL) AS num_open, count(realized_pnl) AS num_closed, count_if(realized_pnl > 0) AS num_wins, coalesce(sum(realized_pnl), 0) AS pnl, coalesce(sum(abs(total_cost)) FILTER (realized_pnl IS NULL), 0) / 1e5 AS used FROM trades_asof GROUP BY 1)
     LEFT JOIN (SELECT sid, """ + ", ".join(f"max({c}) FILTER (regime = '{g.upper()}') AS {c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")) + """
-      FROM regime_trades JOIN (SELECT regime, sum(days)::BIGINT AS days FROM regime_runs GROUP BY 1) USING (regime) GROUP BY 1) USING (sid)""")(
+      FROM regime_trades JOIN (SELECT regime, sum(days)::BIGINT AS days FROM regime_runs GROUP BY 1) USING (regime) GROUP BY 1) USING (sid)""", 8)(
     lambda v: m.strategy_statistics(v.trades, KEY, as_of=_AS_OF, regimes=_regimes(v)).select(
-        "sid", "num_open", "num_closed", "num_wins", *[f"{c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")], F.round("realized_pnl", 4).alias("realized_pnl"), "utilization"))
+        "sid", "num_open", "num_closed", "num_wins", *[f"{c}_{g}" for g in ("low", "medium", "high") for c in ("days", "trades")], "realized_pnl", "utilization"))
 _AS_OF = "1997-06-30"
 
 
