@@ -33,7 +33,7 @@ def test_stages_on_a_small_corpus(spark, make, hard, tmp_path):
 
 def test_every_query_is_registered():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and len(names) == 11
+    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"} and len(names) == 14
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -41,3 +41,24 @@ def test_packed_sequences_hold_their_tokens(spark, make, tmp_path):
     pieces = corpus_pipeline.pack(spark, make([(1, "alpha beta gamma"), (2, None), (3, "word " * 2000)]), str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == {1, 2, 3} and all(len(r.ids) == r.length for r in pieces)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in pieces)
+
+
+def test_stages_on_hard_rows_and_on_none(spark, make, hard, tmp_path):
+    """Null texts and ids, repeated rows, a very long text and columns with clashing names through all stages; an empty table."""
+    rows = hard + [(20 + i, f"the report of the day {i} was read by all and by nobody else at {i}", "en") for i in range(30)]
+    for folder, docs in ((f"{tmp_path}/hard", make(rows)), (f"{tmp_path}/none", make(rows).where("doc_id < 0"))):
+        docs.write.parquet(f"{folder}/documents.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, folder)
+            assert after.columns == docs.columns
+            after.write.parquet(f"{folder}/{name}")
+            now = spark.read.parquet(f"{folder}/{name}")
+        kept = {r.doc_id: r.text for r in now.collect()}
+        packed = corpus_pipeline.pack(spark, now, folder).collect()
+        assert {r.doc_id for r in packed} == set(kept)
+        if folder.endswith("none"):
+            assert not kept
+        else:
+            assert {7, None, *range(20, 50)} <= set(kept) and not {1, 2, 3} & set(kept) and len({4, 5, 6} & set(kept)) == 1
+            assert kept[7] == dict(hard)[7] and sum(r.doc_tokens for r in packed if r.start == 0) == sum(len(r.ids) for r in packed)

@@ -86,25 +86,31 @@ def test_moves_are_best_fit_decreasing(seed):
     assert {k: sorted(r) for k, r in ranks.items()} == {k: list(range(n)) for k, n in Counter(lengths).items()}
 
 
-def test_packing_holds_every_id_once(make, hard, expected):
+@pytest.mark.parametrize("long", [packing.LONG, 2])
+def test_packing_holds_every_id_once(make, hard, expected, monkeypatch, long):
+    """Also with every text going through the trie, as very long ones do."""
+    monkeypatch.setattr(packing, "LONG", long)
     rows = [r for r in hard if r[0] is not None]
     out = packing.pack(make(rows), PATH, size=64, end_id=0, with_ids=True).collect()
     windows, pieces = {}, {}
     texts = dict(rows)
+    whole = {i: expected(t) + [0] for i, t in texts.items()}
+    assert max(len(t or "") for t in texts.values()) > packing.LONG
     for r in out:
-        ids = expected(texts[r.doc_id]) + [0]
+        ids = whole[r.doc_id]
         part = ids[r.start: r.start + r.length]
         assert r.ids == part and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
         windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
         pieces.setdefault(r.doc_id, Counter())[r.start] += r.length
     times = Counter(i for i, _ in rows)
     for key, starts in pieces.items():
-        assert sum(starts.values()) == times[key] * (len(expected(texts[key])) + 1)
+        assert sum(starts.values()) == times[key] * len(whole[key])
     for own in windows.values():
         at = 0
         for offset, length in sorted(own):
             assert offset == at
             at += length
         assert at <= 64
-    rest = [len(expected(t)) + 1 for _, t in rows]
+    rest = [len(whole[i]) for i, _ in rows]
     assert len(windows) == sum(n // 64 for n in rest) + len(plain_best_fit([n % 64 for n in rest if n % 64], 64))
+    assert sorted(windows) == list(range(len(windows)))

@@ -15,66 +15,86 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltable.llm.bpe_trie import TrieEncoder, encode_batch
-from voltable.llm.vocab import Memory, load, slices
+from voltable.llm.bpe_trie import _encoding, encode_batch
+from voltable.llm.joins import join_checked
+from voltable.llm.vocab import load, slices
 from voltable.plans.lineage import materialize
 
 #: Fixed value: the pre-token pattern of `vocab.PATTERN`, written with possessive quantifiers (same matches, less backtracking).
 FAST_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Longer texts are encoded by the trie, whose matching has no limit on backtracking.
 LONG = 200_000
-#: Pieces of one length and shard are ranked together; shards are made so that they hold about as many.
-SHARD = 50_000
+#: Ids that a batch of pieces holds about.
+TOGETHER = 500_000
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Texts to their ids as little-endian unsigned 32-bit numbers."""
+def _ranked(path: str) -> bool:
+    """Whether the file's ids serve as ranks: they follow the order of merges, and every symbol is what its bytes merge to."""
+    return (np.diff(load(path).ids[256:].astype(np.int64)) > 0).all() and not _encoding(path).learn.__self__.unreachable
+
+
+@lru_cache(maxsize=2)
+def _matcher(path: str) -> tiktoken.Encoding:
     v = load(path)
-    trie = TrieEncoder(v)
-    long = Memory(v, trie.encode)
-    if trie.unreachable or (np.diff(v.ids[256:].astype(np.int64)) <= 0).any():
-        return lambda text: encode_batch(long, [text])[0]  # ids that don't follow the order of merges are no ranks
-    fast = tiktoken.Encoding("own", pat_str=FAST_PATTERN, mergeable_ranks={b: int(i) for i, b in zip(v.ids, v.bytes)}, special_tokens=v.special)
+    return tiktoken.Encoding("own", pat_str=FAST_PATTERN, mergeable_ranks={b: int(i) for i, b in zip(v.ids, v.bytes)}, special_tokens=v.special)
+
+
+def _encoder(path: str, ranked: bool, long: int):
+    """Texts to their ids as little-endian unsigned 32-bit numbers. The trie is built where a text needs it."""
 
     def encode(text: str) -> bytes:
-        if len(text) > LONG:
-            return encode_batch(long, [text])[0]
-        return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
+        if not ranked or len(text) > long:
+            return encode_batch(_encoding(path), [text])[0]
+        return _matcher(path).encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
     return encode
 
 
 def cut(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of documents: id, `start`, `length`, `ids_crc32`, `doc_tokens` (and `ids`). A document's ids end with `end_id`,
-    so an empty or null text is one piece of one token."""
+    """Pieces of documents: id, `start`, `length`, `ids_crc32`, `doc_tokens` (and `ids`), and each piece's place `_local` among
+    those of its length in its task `_task`. A document's ids end with `end_id`, so an empty or null text is one piece of one
+    token. Batches of pieces hold about TOGETHER ids, or one document's."""
     end = int(end_id).to_bytes(4, "little")
     kind = docs.schema[id_col].dataType.simpleString()
+    ranked = _ranked(vocabulary)
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "_task", "_local", *(["ids"] if with_ids else [])]
 
     def run(batches):
-        encode = _encoder(vocabulary)
+        encode, task = _encoder(vocabulary, ranked, LONG), TaskContext.get().partitionId()
+        seen = [0] * (size + 1)
         for b in slices(batches):
-            row, start, length, crc, total, ids = [], [], [], [], [], []
+            row, numbers, ids, held = [], [], [], 0
+
+            def pieces():
+                columns = zip(*numbers) if numbers else [()] * 6
+                arrays = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in columns)]
+                return pa.RecordBatch.from_arrays([*arrays, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=names)
+
             for k, text in enumerate(b.column(1).to_pylist()):
                 code = encode(text) + end
                 n = len(code) // 4
                 for s in range(0, n, size):
                     part = code[4 * s: 4 * (s + size)]
+                    length = len(part) // 4
                     row.append(k)
-                    start.append(s)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
+                    numbers.append((s, length, zlib.crc32(part), n, task, seen[length]))
+                    seen[length] += 1
                     if with_ids:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
+                held += n
+                if held > TOGETHER:
+                    yield pieces()
+                    row, numbers, ids, held = [], [], [], 0
+            yield pieces()
 
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<int>" if with_ids else ""))
+    schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, _task bigint, _local bigint"
+    return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 class _Open:
@@ -148,36 +168,26 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
     return moves
 
 
-def place(pieces: DataFrame, size: int = 1024, id_col: str = "doc_id") -> DataFrame:
-    """`pieces` (a written table: it is read three times) with `sequence_id` and `offset`."""
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    moves = np.array(sorted(best_fit(counts, size)), np.int64).reshape(-1, 5)
-    shards = max(1, -(-sum(counts.values()) // SHARD))
-    keys, starts, first, offset = (moves[:, 0] << 44) + moves[:, 1], moves[:, 1], moves[:, 3], moves[:, 4]
-    plan = spark.sparkContext.broadcast((keys, starts, first, offset))
-
-    hashed = F.pmod(F.xxhash64(F.col(id_col), "start"), F.lit(shards)).alias("_shard")
-    keyed = pieces.select("*", hashed)
-    per_shard = keyed.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_shard.select("length", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_shard").orderBy(id_col, "start")
-    ranked = keyed.withColumn("_rank", F.row_number().over(within)).join(base, ["length", "_shard"])
-    ranked = ranked.select(*pieces.columns, (F.col("_base") + F.col("_rank") - 1).alias("_rank"))
+def place(pieces: DataFrame, size: int = 1024) -> DataFrame:
+    """`pieces` (what `cut` gives, as a written table: it is read three times) with `sequence_id` and `offset`.
 
-    def run(batches):
-        keys, starts, first, offset = plan.value
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
-            at = np.searchsorted(keys, (length.astype(np.int64) << 44) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(first[at] + rank - starts[at], pa.int64()), pa.array(offset[at], pa.int64())],
-                names=[*b.schema.names[:-1], "sequence_id", "offset"],
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
+    A piece's rank among all of its length is its place in its task and the number of such pieces in the tasks before, so
+    pieces are neither sorted nor sent to Python again; the moves of best fit are one row per length."""
+    spark = pieces.sparkSession
+    per_task = pieces.groupBy("_task", "length").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    base = materialize(per_task.select("_task", "length", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")
+    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `size` rows
+    moves: dict[int, list] = {}
+    for length, rank, _, first, offset in sorted(best_fit(counts, size)):
+        moves.setdefault(length, []).append((rank, first, offset))
+    plan = spark.createDataFrame([(k, *map(list, zip(*v))) for k, v in moves.items()], "length bigint, _ranks array<bigint>, _firsts array<bigint>, _offsets array<bigint>")
+    ranked = join_checked(pieces, base.drop("_n"), ["_task", "length"], "inner").join(F.broadcast(plan), "length")
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_local"))
+    ranked = ranked.withColumn("_move", F.size(F.filter("_ranks", lambda x: x <= F.col("_rank"))))  # ranks are rising
+    sequence = F.element_at("_firsts", F.col("_move")) + F.col("_rank") - F.element_at("_ranks", F.col("_move"))
+    columns = [c for c in pieces.columns if c not in ("_task", "_local")]
+    return ranked.select(*columns, sequence.alias("sequence_id"), F.element_at("_offsets", F.col("_move")).alias("offset"))
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -185,7 +195,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, id
     `ids_crc32`, `doc_tokens`, (`ids`,) `sequence_id`, `offset`.
 
     A null text counts as empty and is one piece of one token (`end_id`); a null id stays null; repeated rows are packed
-    each; an empty table gives no rows; other columns are not read. Pieces of one length are interchangeable: ties go by
-    id and start inside a shard.
+    each; an empty table gives no rows; texts of any length are cut whole; other columns are not read. Pieces of one length
+    are interchangeable: ties go by the order in which they were cut.
     """
-    return place(materialize(cut(docs, vocabulary, size, end_id, id_col, text_col, with_ids), "pieces"), size, id_col)
+    return place(materialize(cut(docs, vocabulary, size, end_id, id_col, text_col, with_ids), "pieces"), size)
