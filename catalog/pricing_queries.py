@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voltable.functions import conditions as cond, instrument as ins, pricing as px
 from voltable.functions.normal import norm_cdf, norm_pdf, norm_ppf
 from voltable.operators import kernels as ker, structures as st, surface as sf, risk as k
+from voltable.views import MONEY
 
 from .base import query, r
 from .sqlviews import bs, cdf, pdf, phi, ppf, view, num
@@ -409,12 +410,30 @@ def held(v):
     return st.structure_pnl(days, ["position_id", "d", "entry_date", "expiration"]).withColumn("dte", F.datediff("expiration", "d"))
 
 
+# money as an exact DECIMAL, cast to DOUBLE once: a day exactly at a threshold must not depend on the order in which legs are added
+view("held_exact", """
+    SELECT l.position_id, q.quote_date AS d, l.entry_date, l.expiration, sum((q.mid::DECIMAL(18,4) - l.entry_price::DECIMAL(18,4)) * (l.side * l.quantity * 100))::DOUBLE AS pnl,
+      sum(l.entry_price::DECIMAL(18,4) * (-l.side * l.quantity * 100))::DOUBLE AS net_premium, (l.expiration - q.quote_date)::INT AS dte
+    FROM legs l JOIN chain_px q ON q.symbol = l.symbol AND q.option_type = l.option_type AND q.expiration = l.expiration AND q.strike = l.strike AND q.quote_date >= l.entry_date
+    GROUP BY l.position_id, q.quote_date, l.entry_date, l.expiration""")
+
+
+def held_exact(v):
+    """`held` from prices of four decimals, with sums that are exact in whatever order the legs come."""
+    q = v.chain_px.select("symbol", "option_type", "expiration", "strike", F.col("quote_date").alias("d"), F.col("mid").cast(MONEY).alias("mark"))
+    days = v.legs.join(q, ["symbol", "option_type", "expiration", "strike"]).filter("d >= entry_date")
+    entry, size = F.col("entry_price").cast(MONEY), (F.col("side") * F.col("quantity") * 100).cast("int")
+    sums = days.groupBy("position_id", "d", "entry_date", "expiration").agg(
+        F.sum((F.col("mark") - entry) * size).cast("double").alias("pnl"), F.sum(entry * -size).cast("double").alias("net_premium"))
+    return sums.withColumns({"dte": F.datediff("expiration", "d"), "pnl_pct": F.when(F.abs("net_premium") > 0, F.col("pnl") / F.abs("net_premium"))})
+
+
 query("b10_b12_exit_conditions", """
-    SELECT position_id, d, coalesce(pnl / abs(net_premium) >= 0.5, false) AS target, coalesce(pnl / abs(net_premium) <= -2, false) AS stop, pnl <= -150 AS dollars, d - entry_date >= 10 AS old, dte <= 50 AS close_to_expiry FROM held""")(
-    lambda v: held(v).select("position_id", "d", cond.profit_target(0.5).alias("target"), cond.stop_loss(2.0).alias("stop"), cond.fixed_stop_loss(150.0).alias("dollars"),
+    SELECT position_id, d, coalesce(pnl / abs(net_premium) >= 0.5, false) AS target, coalesce(pnl / abs(net_premium) <= -2, false) AS stop, pnl <= -150 AS dollars, d - entry_date >= 10 AS old, dte <= 50 AS close_to_expiry FROM held_exact""")(
+    lambda v: held_exact(v).select("position_id", "d", cond.profit_target(0.5).alias("target"), cond.stop_loss(2.0).alias("stop"), cond.fixed_stop_loss(150.0).alias("dollars"),
                              cond.holding_period(10).alias("old"), cond.expiration_approaching(50).alias("close_to_expiry")))
 query("b11_trailing_stop", f"""
-    SELECT position_id, d, {r('peak')} AS peak_pnl, coalesce(peak > 0 AND (peak - pnl) / peak >= 0.4, false) AS stop FROM (SELECT *, max(pnl) OVER (PARTITION BY position_id ORDER BY d) AS peak FROM held)""")(
-    lambda v: held(v).withColumn("peak_pnl", cond.running_peak(["position_id"])).select("position_id", "d", "peak_pnl", cond.trailing_stop(0.4).alias("stop")))
+    SELECT position_id, d, {r('peak')} AS peak_pnl, coalesce(peak > 0 AND (peak - pnl) / peak >= 0.4, false) AS stop FROM (SELECT *, max(pnl) OVER (PARTITION BY position_id ORDER BY d) AS peak FROM held_exact)""")(
+    lambda v: held_exact(v).withColumn("peak_pnl", cond.running_peak(["position_id"])).select("position_id", "d", "peak_pnl", cond.trailing_stop(0.4).alias("stop")))
 query("w09_peak_pnl", f"SELECT position_id, d, {r('max(pnl) OVER (PARTITION BY position_id ORDER BY d)')} AS peak_pnl FROM held")(
     lambda v: __import__("voltable.operators.series", fromlist=["x"]).peak_pnl(held(v), ["position_id"]).select("position_id", "d", "peak_pnl"))

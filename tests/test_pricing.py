@@ -165,3 +165,20 @@ def test_structures_by_hand(spark):
 def test_round_strike_is_half_even(spark):
     row = spark.range(1).select(ins.round_strike(F.lit(447.5)).alias("a"), ins.round_strike(F.lit(452.5)).alias("b")).collect()[0]
     assert (row.a, row.b) == (450.0, 450.0)
+
+
+def test_exit_thresholds_are_exact(spark):
+    """A day exactly at a limit holds it, and a peak of nothing stops nothing."""
+    from types import SimpleNamespace
+
+    from catalog.base import QUERIES
+
+    d0, exp = dt.date(2024, 1, 4), dt.date(2024, 3, 15)
+    legs = [("lost", d0, exp, 30.0, 1, 2.01), ("even", d0, exp, 35.0, 1, 0.1), ("even", d0, exp, 40.0, -1, 0.2)]
+    marks = [(30.0, 1, 0.51), (35.0, 1, 0.2), (40.0, 1, 0.3), (35.0, 2, 0.0), (40.0, 2, 0.3)]
+    v = SimpleNamespace(
+        legs=spark.createDataFrame(legs, "position_id string, entry_date date, expiration date, strike double, side int, entry_price double").selectExpr("*", "'S' AS symbol", "'put' AS option_type", "1 AS quantity"),
+        chain_px=spark.createDataFrame([(k, d0 + dt.timedelta(days=n), exp, px) for k, n, px in marks], "strike double, quote_date date, expiration date, mid double").selectExpr("*", "'S' AS symbol", "'put' AS option_type"))
+    assert [r.dollars for r in QUERIES["b10_b12_exit_conditions"](v).collect() if r.position_id == "lost"] == [True]
+    even = {r.d.day: (r.peak_pnl, r.stop) for r in QUERIES["b11_trailing_stop"](v).collect() if r.position_id == "even"}
+    assert even == {5: (0.0, False), 6: (0.0, False)}
