@@ -171,6 +171,7 @@ def test_exit_thresholds_are_exact(spark):
     """A day exactly at a limit holds it, and a peak of nothing stops nothing."""
     from types import SimpleNamespace
 
+    import catalog.all  # noqa: F401
     from catalog.base import QUERIES
 
     d0, exp = dt.date(2024, 1, 4), dt.date(2024, 3, 15)

@@ -15,7 +15,10 @@ def trading_calendar(spark: SparkSession, start, end, holidays: DataFrame | None
 
 def calendar_spans(spans: DataFrame, keys: list[str], holidays: DataFrame | None = None) -> DataFrame:
     """A15 per key: `spans` has (keys, first_date, last_date)."""
-    days = spans.select(*keys, F.explode(F.sequence("first_date", "last_date")).alias("d"))
+    # a span is a few bytes and becomes thousands of days: fix the task count, or AQE would merge the spans into one task
+    # (one more than an aggregation's, else the planner drops this exchange as redundant)
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    days = spans.repartition(tasks, *keys).select(*keys, F.explode(F.sequence("first_date", "last_date")).alias("d"))
     return drop_closed(days, holidays)
 
 
