@@ -185,6 +185,17 @@ def test_disclosing_terms_go_wherever_they_stand(make):
     assert all("zyx" not in texts[i].lower() and "[EMAIL]" in texts[i] for i in range(3))
 
 
+def test_every_labelled_row_is_learned(spark):
+    """Counts of more than 20,000 rows, and thresholds from all of their means."""
+    docs = spark.range(0, 32_000, 1, 4).selectExpr("id AS doc_id", "concat('ab', id % 10) AS text", "IF(id % 3 = 0, 'xx', 'yy') AS lang")
+    learned = docs.where(~language.held_out(docs.doc_id))
+    model = language.fit(docs)
+    n = {r.lang: r["count"] for r in learned.groupBy("lang").count().collect()}
+    assert model.languages == ["xx", "yy"]
+    assert [round(x) for x in (model.counts - 0.5).sum(axis=0)] == [n[k] * 5 * 3 for k in model.languages]  # 5 characters with the spaces, three orders
+    assert sum(n.values()) > 20_000 and set(language.floors(docs, model)) <= set(n)
+
+
 def test_texts_in_no_learned_language_go(make):
     """An unlearned language and noise go with `open_set`, clean rows stay, also those that are not learned from."""
     rnd = random.Random(3)

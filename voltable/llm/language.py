@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
+from ..plans.lineage import materialize
+
 #: Lengths of the n-grams and number of buckets they are hashed to.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 14
-#: The classifier is fitted on about this many labelled rows at most, picked by a hash of their id; it is applied to all.
-FIT_ROWS = 20_000
 #: Characters hashed together.
 BLOCK = 400_000
 UNKNOWN = "und"
@@ -87,10 +88,9 @@ class Model:
 
 
 def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """`_text`, `_lang` of the rows that the classifier is fitted on."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    n = labelled.count()
-    return labelled.where(F.pmod(F.xxhash64("_id"), F.lit(max(n, 1))) < FIT_ROWS).where("_text IS NOT NULL").select("_text", "_lang")
+    """`_text`, `_lang` of the rows that the classifier is fitted on: all that have both and are not held out."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
+    return labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
 
 
 def floors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
@@ -115,13 +115,14 @@ def floors(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 means.append(float((own * np.log((m.counts[at, k] - own) / (total - n))).sum() / n))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(means, pa.float64())], names=["lang", "mean"])
 
-    measured = _learned(docs, id_col, text_col, lang_col).mapInArrow(run, "lang string, mean double").groupBy("lang").agg(F.percentile("mean", F.array(F.lit(LOW), F.lit(0.5))).alias("q"))
-    return {r["lang"]: r["q"][0] - SLACK * (r["q"][1] - r["q"][0]) for r in measured.collect()}
+    # a language may hold most of the rows: their means are written and the quantiles found without one task holding them all
+    means = materialize(_learned(docs, id_col, text_col, lang_col).mapInArrow(run, "lang string, mean double"), "means")
+    return {r["lang"]: r["low"] - SLACK * (r["mid"] - r["low"]) for r in exact_quantiles(means, ["lang"], "mean", {"low": LOW, "mid": 0.5}).collect()}
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts n-grams per language on executors; what comes to the driver is a row per language and bucket at most."""
-    sample = _learned(docs, id_col, text_col, lang_col)
+    learned = _learned(docs, id_col, text_col, lang_col)
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    counted = sample.select("_text", "_lang").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = learned.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     table = np.zeros((BUCKETS + 1, len(languages)))
     table[counted["bucket"].to_numpy(int), np.searchsorted(languages, counted["lang"].to_numpy(str)) if languages else []] = counted["n"].to_numpy(float)
