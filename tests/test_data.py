@@ -1,6 +1,7 @@
 """Sources, calendars, quality rules, conditions, marks and execution on small literal tables."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pytest
@@ -36,6 +37,25 @@ def test_results_round_trip(spark, tmp_path):
         assert {(r.strategy_id, float(r.equity)) for r in back.collect()} == {("a", 1.0), ("b", 2.0)}
 
 
+def test_results_of_many_strategies_are_few_files(spark, tmp_path):
+    df = spark.range(5000).selectExpr("concat('s', id % 700) AS strategy_id", "double(id) AS equity").repartition(5)
+    sinks.write_results({"equity_curve": df}, str(tmp_path))
+    files = list((tmp_path / "equity_curve").rglob("*.parquet"))
+    assert len(files) <= 8 and sinks.read_results(spark, str(tmp_path), "equity_curve").exceptAll(df).count() == 0
+    held = [spark.read.parquet(str(f)).select("strategy_id").distinct().count() for f in files]
+    assert sum(held) == 700
+
+
+def test_calendar_days_are_dealt_over_tasks(spark):
+    """A span is a few bytes and grows to thousands of days: small spans must not end in one task."""
+    spans = spark.range(0, 400, 1, 4).selectExpr("concat('L', id) AS symbol", "date'2020-01-01' AS d").groupBy("symbol").agg(F.min("d").alias("first_date"), (F.max("d") + F.expr("interval 400 days")).cast("date").alias("last_date"))
+    days = cal.with_next_trading_day(cal.calendar_spans(spans, ["symbol"]), ["symbol"])
+    tasks = {r.p for r in days.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = [r for r in days.filter("symbol = 'L7'").orderBy("d").collect()]
+    assert all(a.next_day == b.d for a, b in itertools.pairwise(one)) and one[-1].next_day is None
+
+
 def test_catalogue_metadata(spark):
     df = spark.createDataFrame([("a", 1.0)], "symbol string, bid double")
     rows = src.describe_tables(spark, {"chain": df}).orderBy("position").collect()

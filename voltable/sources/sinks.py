@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
-def write_results(results: dict[str, DataFrame], path: str, fmt: str = "parquet", partition_by: str | None = "strategy_id") -> None:
-    """Every result table below `path`. A re-run replaces a table as a whole, so a retried job is safe."""
+def write_results(results: dict[str, DataFrame], path: str, fmt: str = "parquet", partition_by: str | None = None, cluster_by: str | None = "strategy_id") -> None:
+    """Every result table below `path`. A re-run replaces a table as a whole, so a retried job is safe.
+
+    The rows of one `cluster_by` value lie together in one of the files, whose number does not follow that of the values.
+    `partition_by` instead makes a folder per value, for columns with few values.
+    """
     for name, df in results.items():
+        by = partition_by if partition_by and partition_by in df.columns and fmt == "parquet" else None
+        if by is None and cluster_by and cluster_by in df.columns:
+            df = df.repartition(cluster_by).sortWithinPartitions(cluster_by)
         writer = df.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
-        if partition_by and partition_by in df.columns and fmt == "parquet":
-            writer = writer.partitionBy(partition_by)
+        if by:
+            writer = writer.partitionBy(by)
         writer.save(f"{path}/{name}")
 
 
