@@ -58,12 +58,29 @@ def _inputs(v):
     return _RUNS[key]
 
 
+def _written_once(v, name, make):
+    """Written tables of one session and folder, made again if they are gone."""
+    key = (v.spark.sparkContext.applicationId, v.folder, name)
+    if key not in _RUNS or not all(map(still_written, _RUNS[key])):
+        _RUNS[key] = make()
+    return _RUNS[key]
+
+
+def _signals(v):
+    return _written_once(v, "signals", lambda: (bt.prepare_signals(strategies(v), *_inputs(v)),))[0]
+
+
+def _instances(v):
+    """Legs and instances of the signals."""
+    return _written_once(v, "instances", lambda: bt.prepare_instances(_signals(v), *_inputs(v)))
+
+
 def run(v):
     """The backtest's result tables, once per session and folder while its tables exist: the queries below are its outputs."""
     key = (v.spark.sparkContext.applicationId, v.folder, "run")
     if key not in _RUNS or not all(map(still_written, _RUNS[key].values())):
         chain, snaps = _inputs(v)
-        _RUNS[key] = bt.run_backtest(strategies(v), chain, snaps, slippage_pct=0.01)
+        _RUNS[key] = bt.run_backtest(strategies(v), chain, snaps, slippage_pct=0.01, prepared=(_signals(v), *_instances(v)))
     return _RUNS[key]
 
 
@@ -173,16 +190,13 @@ view("curve", f"""SELECT g.strategy_id, g.d, g.capital + sum(coalesce(f, 0)) OVE
 
 _SIG = "strategy_id, instance_id, symbol, entry_date, expiration, structure_type"
 SIG = [x.strip() for x in _SIG.split(",")]
-query("k01_entry_signals", f"SELECT {_SIG} FROM signals")(lambda v: run(v)["signals"].select(*SIG))
+query("k01_entry_signals", f"SELECT {_SIG} FROM signals")(lambda v: _signals(v).select(*SIG))
 for _qid, _pre in (("k02_short_straddle_rule", "straddle"), ("k03_iron_condor_rule", "condor"), ("k04_volatility_regime_rule", "regime")):
-    query(_qid, f"SELECT {_SIG} FROM signals WHERE def LIKE '{_pre}%'")(lambda v, p=_pre: run(v)["signals"].filter(F.col("strategy_id").startswith(p)).select(*SIG))
+    query(_qid, f"SELECT {_SIG} FROM signals WHERE def LIKE '{_pre}%'")(lambda v, p=_pre: _signals(v).filter(F.col("strategy_id").startswith(p)).select(*SIG))
 
 
 def _exits(v, custom=None):
-    chain, snaps = _inputs(v)
-    s = run(v)["signals"]
-    legs = bt.instance_legs(s, chain)
-    return bt.first_exit(s, bt.daily_paths(legs, chain, snaps), bt.instance_facts(legs, bt.instance_greeks(legs, snaps)), custom)
+    return bt.scan_exits(_signals(v), _instances(v)[1], custom)
 
 
 _EXIT = ("strategy_id", "instance_id", "exit_date", "exit_reason", "exit_pnl")

@@ -158,6 +158,19 @@ def mark_contracts(wanted: DataFrame, chain: DataFrame, snapshots: DataFrame) ->
     )
 
 
+def settled(marked: DataFrame, snapshots: DataFrame, settle="intrinsic") -> DataFrame:
+    """Marks on and after expiration: the intrinsic value (`settle='intrinsic'`) or what they are (`'stale'`)."""
+    if settle != "intrinsic":
+        return marked
+    day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_settle_spot"))
+    out = marked.join(day, DAY, "left")
+    done = (F.col("quote_date") >= F.col("expiration")) & F.col("_settle_spot").isNotNull()
+    return out.withColumns({
+        "mark": F.when(done, intrinsic("_settle_spot", "strike", "option_type")).otherwise(F.col("mark")),
+        "mark_source": F.when(done, F.lit("settled")).otherwise(F.col("mark_source")),
+    }).drop("_settle_spot")
+
+
 def mark_legs(leg_days: DataFrame, chain: DataFrame, snapshots: DataFrame, position="position_id", settle="intrinsic") -> DataFrame:
     """C02 for leg-days (position, leg_no, contract, quote_date): the contract mark, else the leg's last one.
 
@@ -165,15 +178,7 @@ def mark_legs(leg_days: DataFrame, chain: DataFrame, snapshots: DataFrame, posit
     mark (`'stale'`).
     """
     marks = mark_contracts(leg_days, chain, snapshots)
-    out = leg_days.join(marks, [*CONTRACT, "strike"], "left")
-    if settle == "intrinsic":
-        day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_settle_spot"))
-        out = out.join(day, DAY, "left")
-        done = (F.col("quote_date") >= F.col("expiration")) & F.col("_settle_spot").isNotNull()
-        out = out.withColumns({
-            "mark": F.when(done, intrinsic("_settle_spot", "strike", "option_type")).otherwise(F.col("mark")),
-            "mark_source": F.when(done, F.lit("settled")).otherwise(F.col("mark_source")),
-        }).drop("_settle_spot")
+    out = settled(leg_days.join(marks, [*CONTRACT, "strike"], "left"), snapshots, settle)
     # a leg lives a bounded number of days
     w = W.partitionBy(position, "leg_no").orderBy("quote_date").rowsBetween(W.unboundedPreceding, 0)
     return out.withColumns({

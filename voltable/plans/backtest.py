@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.common import CONTRACT_MULTIPLIER
 from ..functions.instrument import leg_pnl, market_value, round_strike
 from ..functions.pricing import enrich_greeks
-from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, lookup_quotes, mark_contracts, mark_legs
+from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, lookup_quotes, mark_contracts, settled
 from ..operators.joins import attach_by_key, attach_measured
 from ..operators.kernels import implied_vol
 from ..operators.risk import GREEKS, leg_margin, portfolio_greeks
@@ -30,6 +30,7 @@ INSTANCE = ["symbol", "entry_date", "structure_type", "expiration", "atm", "widt
 FAR = "9999-12-31"
 GREEKS_RATE = 0.04
 SALTS = 8
+LISTED = ["symbol", "option_type", "expiration", "strike"]
 
 
 def with_expiries(snapshots: DataFrame, chain: DataFrame) -> DataFrame:
@@ -75,50 +76,88 @@ def instance_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
     return legs.withColumn("_bad", bad).filter("_bad = 0").drop("_bad")
 
 
-def instance_days(legs: DataFrame, snapshots: DataFrame, from_entry=False) -> DataFrame:
-    """Leg-days an instance could be held: the symbol's days after entry up to expiration; `from_entry`: from the entry day
-    to the day before expiration."""
+def contract_days(legs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The days on which some leg can hold a contract, once per contract: the symbol's days from the first entry to expiration."""
     days = snapshots.groupBy("symbol").agg(F.sort_array(F.collect_set("d")).alias("_days"))
-    if from_entry:
-        wanted = F.filter("_days", lambda x: (x >= F.col("entry_date")) & (x < F.col("expiration")))
-    else:
-        wanted = F.filter("_days", lambda x: (x > F.col("entry_date")) & (x <= F.col("expiration")))
-    return attach_by_key(legs, days, ["symbol"], F.col("instance_id"), SALTS).withColumn("quote_date", F.explode(wanted)).drop("_days")
+    wanted = F.filter("_days", lambda x: (x >= F.col("_first")) & (x <= F.col("expiration")))
+    first = legs.groupBy(*LISTED).agg(F.min("entry_date").alias("_first"))
+    return attach_by_key(first, days, ["symbol"], F.struct(*LISTED), SALTS).select(*LISTED, F.explode(wanted).alias("quote_date"))
 
 
-def instance_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
-    """`greeks`, per instance the net Greeks of one contract on each day from entry to the day before expiration.
+def held_days(legs: DataFrame, daily: DataFrame, columns: list[str], held: Column) -> DataFrame:
+    """Leg-days with `columns` of their contract-day in `daily`, for the days on which `held` is true of the day `_day`.
 
-    A day's Greeks take its spot and its at-the-money volatility; with `chain` each contract takes the volatility that its
-    own mark implies, where it implies one. They are computed once per distinct contract-day, however many instances hold it.
+    A contract's days travel as one array, bounded by the calendar: legs are shuffled with an array each, first to their
+    contracts and then to their instance, and become leg-days where all later groups of an instance already lie together.
     """
-    held = instance_days(legs.select("instance_id", "symbol", "option_type", "expiration", "strike", "side", "quantity", "entry_date"), snapshots, from_entry=True)
+    series = daily.groupBy(*LISTED).agg(F.collect_list(F.struct(F.col("quote_date").alias("d"), *columns)).alias("_series"))
+    # an explicit partition count keeps AQE from merging arrays that are small in bytes but many rows
+    tasks = int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # arrays are larger than Spark's estimate of them, so the side that holds them must not be broadcast
+    own = legs.repartition(tasks, *LISTED).join(series.hint("merge"), LISTED).withColumn("_series", F.filter("_series", held)).repartition(tasks, "instance_id")
+    return own.select(*legs.columns, F.inline("_series")).withColumnRenamed("d", "quote_date")
+
+
+def contract_greeks(each: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
+    """Greeks of contract-days at the day's spot and at-the-money volatility; with `chain` at the volatility that the
+    contract's own mark implies, where it implies one."""
     day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_spot"), F.col("iv").alias("_iv"))
-    each = held.select(*CONTRACT, "strike").distinct()
     if chain is not None:
         each = mark_contracts(each, chain, snapshots).drop("mark_source")
     each = each.join(day, DAY).withColumns({"_years": F.datediff("expiration", "quote_date") / 365.0, "_sigma": F.when(F.col("_iv") > 0, F.col("_iv")).otherwise(F.lit(DEFAULT_IV))})
     if chain is not None:
         each = implied_vol(each, "mark", "_spot", "strike", "_years", rate, out="_own").withColumn("_sigma", F.coalesce("_own", "_sigma"))
-    priced = enrich_greeks(each, "_spot", "strike", "_years", rate, "_sigma").select(*CONTRACT, "strike", *GREEKS)
-    per = portfolio_greeks(held.join(priced, [*CONTRACT, "strike"]), ["instance_id", "quote_date"])
+    return enrich_greeks(each, "_spot", "strike", "_years", rate, "_sigma").select(*CONTRACT, "strike", *GREEKS)
+
+
+def entry_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
+    """Net Greeks of one contract of each instance on its entry day: what sizes by delta need."""
+    held = legs.filter("entry_date < expiration").select("instance_id", *LISTED, "side", "quantity", F.col("entry_date").alias("quote_date"))
+    priced = contract_greeks(held.select(*CONTRACT, "strike").distinct(), snapshots, rate, chain)
+    return portfolio_greeks(held.join(priced, [*CONTRACT, "strike"]), ["instance_id"])
+
+
+def instance_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
+    """`greeks`, per instance the net Greeks of one contract on each day from entry to the day before expiration.
+
+    They are computed once per distinct contract-day (`contract_greeks`), however many instances hold it.
+    """
+    priced = contract_greeks(contract_days(legs, snapshots).filter("quote_date < expiration"), snapshots, rate, chain)
+    held = held_days(legs.select("instance_id", *LISTED, "side", "quantity", "entry_date"), priced, GREEKS, lambda x: x["d"] >= F.col("entry_date"))
+    per = portfolio_greeks(held, ["instance_id", "quote_date"])
     step = F.struct(F.col("quote_date").alias("d"), *GREEKS)
     return per.groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("greeks"))
 
 
-def daily_paths(legs: DataFrame, chain: DataFrame, snapshots: DataFrame, **mark_options) -> DataFrame:
-    """K13 on instances: (instance, day) with value and P&L per contract, and the day's regime."""
-    marked = mark_legs(instance_days(legs, snapshots).drop("bid", "ask", "quote_mid", "volume"), chain, snapshots, position="instance_id", **mark_options)
-    per = marked.groupBy("instance_id", "symbol", "quote_date", "expiration").agg(
-        F.sum(leg_pnl("mark", "entry_price", "side", "quantity")).alias("pnl"), F.sum(market_value("mark", "side", "quantity")).alias("value"),
-        F.count("mark").alias("_n"), F.count(F.lit(1)).alias("_legs"))
+def daily_paths(legs: DataFrame, chain: DataFrame, snapshots: DataFrame, settle="intrinsic") -> DataFrame:
+    """K13 on instances: (instance, day) with value and P&L per contract, and the day's regime.
+
+    A contract is marked once per day, whatever holds it; a day without a mark keeps the last one, if it is of a day after
+    the leg's entry (`_since`).
+    """
+    marks = settled(mark_contracts(contract_days(legs, snapshots), chain, snapshots), snapshots, settle)
+    life = W.partitionBy(*LISTED).orderBy("quote_date").rowsBetween(W.unboundedPreceding, 0)  # at most the days to expiration
+    known = F.last(F.when(F.col("mark").isNotNull(), F.struct("mark", F.col("quote_date").alias("d"))), ignorenulls=True).over(life)
     regimes = snapshots.select("symbol", F.col("d").alias("quote_date"), "regime")
-    return per.filter("_n = _legs").join(regimes, ["symbol", "quote_date"], "left").select(
+    marks = marks.join(regimes, DAY, "left").withColumn("_known", known).select(*CONTRACT, "strike", F.col("_known.mark").alias("_mark"), F.col("_known.d").alias("_since"), "regime")
+    held = held_days(legs.select("instance_id", *LISTED, "side", "quantity", "entry_date", "entry_price"), marks, ["_mark", "_since", "regime"], lambda x: x["d"] > F.col("entry_date"))
+    held = held.withColumn("mark", F.when(F.col("_since") > F.col("entry_date"), F.col("_mark")))
+    per = held.groupBy("instance_id", "quote_date", "expiration").agg(
+        F.sum(leg_pnl("mark", "entry_price", "side", "quantity")).alias("pnl"), F.sum(market_value("mark", "side", "quantity")).alias("value"),
+        F.max("regime").alias("regime"), F.count("mark").alias("_n"), F.count(F.lit(1)).alias("_legs"))
+    return per.filter("_n = _legs").select(
         "instance_id", F.col("quote_date").alias("d"), "pnl", "value", F.datediff("expiration", "quote_date").alias("dte"), "regime")
 
 
+def path_arrays(paths: DataFrame) -> DataFrame:
+    """Each instance's days as one ordered array with the running peak, bounded by the days to expiration."""
+    life = W.partitionBy("instance_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    step = F.struct("d", "pnl", "value", "dte", "regime", "peak")
+    return paths.withColumn("peak", F.max("pnl").over(life)).groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("path"))
+
+
 def instance_facts(legs: DataFrame, greeks: DataFrame) -> DataFrame:
-    """Premium, margin, risk and entry delta of one contract of each instance."""
+    """Premium, margin, risk and entry delta (`entry_greeks`) of one contract of each instance."""
     priced = legs.withColumn("spot_at_entry", F.col("spot"))
     f = priced.groupBy("instance_id").agg(
         net_premium_agg().alias("net_premium"), F.sum(leg_margin()).alias("_m"), F.count(F.lit(1)).alias("num_legs"), F.max("width").alias("_w"), F.max("wing").alias("_g"),
@@ -127,8 +166,7 @@ def instance_facts(legs: DataFrame, greeks: DataFrame) -> DataFrame:
     wing = F.when(F.col("_s") == "iron_condor", F.col("_g")).when(F.col("_s") == "iron_butterfly", F.col("_w")).when(F.col("_s").endswith("spread"), F.col("_w"))
     max_loss = F.when(wing.isNotNull() & (c > 0), wing * CONTRACT_MULTIPLIER - c).when(c <= 0, -c)
     margin = F.when(c > 0, F.greatest(F.col("_m") - c, c)).otherwise(F.col("_m"))
-    at_entry = F.element_at("greeks", 1)["delta"]  # the first day is the entry day
-    f = f.join(greeks.select("instance_id", at_entry.alias("delta_per_contract")), "instance_id", "left")
+    f = f.join(greeks.select("instance_id", F.col("delta").alias("delta_per_contract")), "instance_id", "left")
     return f.select("instance_id", "net_premium", "num_legs", "delta_per_contract", F.coalesce(max_loss, inf).alias("max_loss_per_contract"),
                     F.greatest(margin, F.lit(0.0)).alias("margin_per_contract"), F.abs(c).alias("premium_per_contract"))
 
@@ -160,10 +198,12 @@ def first_exit(signals: DataFrame, paths: DataFrame, facts: DataFrame, custom: C
     boolean Column over `day`, for instance a vectorised pandas UDF of `day.pnl`, is evaluated on exploded (candidate, day)
     rows. Both close a position on the first day the rule holds.
     """
-    life = W.partitionBy("instance_id").orderBy("d").rowsBetween(W.unboundedPreceding, 0)  # at most the days to expiration
-    step = F.struct("d", "pnl", "value", "dte", "regime", "peak")
-    arr = paths.withColumn("peak", F.max("pnl").over(life)).groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("path"))
-    known = attach_measured(signals, facts.join(arr, "instance_id", "left"), ["instance_id"], F.col("strategy_id"), SALTS).withColumn("quantity", position_size())
+    return scan_exits(signals, facts.join(path_arrays(paths), "instance_id", "left"), custom)
+
+
+def scan_exits(signals: DataFrame, instances: DataFrame, custom: Callable[[Column], Column] | Column | None = None) -> DataFrame:
+    """`first_exit` from one table of instances: their facts and their `path`."""
+    known = attach_measured(signals, instances, ["instance_id"], F.col("strategy_id"), SALTS).withColumn("quantity", position_size())
     if isinstance(custom, Column):
         rows = known.select("*", F.explode("path").alias("day")).filter(custom).groupBy("strategy_id", "instance_id").agg(F.min("day.d").alias("_custom"))
         known = known.join(rows, ["strategy_id", "instance_id"], "left")
@@ -236,29 +276,52 @@ def exit_fills(accepted: DataFrame, legs: DataFrame, chain: DataFrame, commissio
     return execute(lookup_quotes(wanted, chain), ["instance_id", "exit_date"], "exit", commission, slippage_pct, slippage_mode, entry="entry_price")
 
 
+def prepare_signals(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame, custom: Column | None = None) -> DataFrame:
+    """K01 with named instances, written once."""
+    strategies = materialize(strategies, "strategies")
+    return materialize(with_instances(entry_signals(with_expiries(snapshots, chain), strategies, custom)).drop("conditions", "combine"), "signals")
+
+
+def prepare_instances(signals: DataFrame, chain: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, quoted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Legs, and per instance its facts and `path`, each written once: all that exits depend on."""
+    legs = materialize(instance_legs(signals, chain), "legs")
+    facts = instance_facts(legs, entry_greeks(legs, snapshots, rate, quoted))
+    return legs, materialize(facts.join(path_arrays(daily_paths(legs, chain, snapshots)), "instance_id", "left"), "instances")
+
+
+def prepare(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame, custom: Column | None = None, rate=GREEKS_RATE, quoted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signals, legs and instances: what a run knows before it accepts positions."""
+    signals = prepare_signals(strategies, chain, snapshots, custom)
+    return signals, *prepare_instances(signals, chain, snapshots, rate, quoted)
+
+
 def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame, commission=COMMISSION, slippage_pct=0.0, slippage_mode="double",
                  custom: Column | None = None, per_symbol: int | None = None, limit_margin=False, custom_exit: Callable[[Column], Column] | Column | None = None,
-                 rate=GREEKS_RATE, greeks_from="day") -> dict[str, DataFrame]:
+                 rate=GREEKS_RATE, greeks_from="day", prepared: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Signals, positions, daily marks, trade log, equity curve and Greeks history of every strategy.
 
     `custom` and `custom_exit` are entry and exit rules of the user's own; Greeks take the day's volatility (`greeks_from='day'`)
-    or the one each contract's mark implies ('mark'). Signals, instance legs and Greeks, candidates and positions each feed several later stages, so each is written
+    or the one each contract's mark implies ('mark'). `prepared` is what `prepare` made of the same strategies. Signals, instance legs, instances, candidates, accepted ones and positions each feed several later stages, so each is written
     once and read back; everything downstream is a lazy DataFrame over those tables.
     """
-    strategies = materialize(strategies, "strategies")
-    signals = materialize(with_instances(entry_signals(with_expiries(snapshots, chain), strategies, custom)), "signals")
-    legs = materialize(instance_legs(signals, chain), "legs")
-    paths = daily_paths(legs, chain, snapshots)
-    greeks = materialize(instance_greeks(legs, snapshots, rate, chain if greeks_from == "mark" else None), "greeks")
-    cand = first_exit(signals, paths, instance_facts(legs, greeks), custom_exit).withColumn("position_id", F.concat_ws("|", "strategy_id", "instance_id"))
-    cand = materialize(cand.withColumn("margin", F.col("margin_per_contract") * F.col("quantity")), "candidates")
-    taken = accept_entries(cand, ["strategy_id"], per_symbol, "margin" if limit_margin else None)
+    quoted = chain if greeks_from == "mark" else None
+    signals, legs, instances = prepared or prepare(strategies, chain, snapshots, custom, rate, quoted)
+    cand = scan_exits(signals, instances, custom_exit).withColumns({"position_id": F.concat_ws("|", "strategy_id", "instance_id"), "margin": F.col("margin_per_contract") * F.col("quantity")})
+    cand = materialize(cand.select(
+        "strategy_id", "position_id", "instance_id", "symbol", "structure_type", "expiration", "entry_date", "exit_date", "exit_reason", "exit_pnl", "quantity", "num_legs",
+        "capital", "net_premium", "margin", "max_positions"), "candidates")
+    taken = materialize(accept_entries(cand, ["strategy_id"], per_symbol, "margin" if limit_margin else None), "taken")
+    # days of Greeks only for what somebody holds
+    legs = legs.join(taken.select("instance_id").distinct(), "instance_id", "left_semi")
+    greeks = instance_greeks(legs, snapshots, rate, quoted)
     opened = execute(legs, ["instance_id"], "entry", commission, slippage_pct, slippage_mode, entry="entry_price").select(
         "instance_id", F.col("total_cost").alias("_cost"), F.col("commission").alias("_c0"), F.col("slippage").alias("_s0"))
     closed = exit_fills(taken, legs, chain, commission, slippage_pct, slippage_mode).select(
         "instance_id", "exit_date", F.col("total_proceeds").alias("_proceeds"), F.col("commission").alias("_c1"), F.col("slippage").alias("_s1"))
     q = F.col("quantity")
-    pos = taken.join(opened.join(greeks, "instance_id", "left"), "instance_id").join(closed, ["instance_id", "exit_date"], "left")
+    paths = instances.select("instance_id", "path")
+    # arrays join last, by instance: nothing that carries them is shuffled again
+    pos = taken.join(closed, ["instance_id", "exit_date"], "left").join(opened.join(greeks, "instance_id", "left").join(paths, "instance_id", "left"), "instance_id")
     positions = pos.select(
         "strategy_id", "position_id", "instance_id", "symbol", "structure_type", "expiration", "entry_date", "exit_date", "exit_reason", "quantity", "num_legs", "capital",
         (F.col("net_premium") * q).alias("net_premium"), "margin", (F.col("_cost") * q).alias("total_cost"), (F.col("_proceeds") * q).alias("total_proceeds"),
