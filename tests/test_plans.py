@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -344,3 +345,27 @@ def test_stream_state_goes_after_expiration(spark, tmp_path):
     got = {(r.contract, r.quote_ts, r.run_length) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("A", t(4), 3), ("B", t(13), 3), ("B", t(14), 4)}
     assert held == set()
+
+
+def test_smiles_are_not_broadcast(spark, views):
+    """Sizes of exploded grids and arrays are underestimated, so a broadcast of them would not be bounded by the threshold."""
+    import catalog.all  # noqa: F401
+    from catalog.base import QUERIES
+
+    for name in ("h12_fit_vol_surface", "h13_surface_iv", "h14_smile_grid"):
+        df = QUERIES[name](views)
+        df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_legs_travel_with_arrays_and_keep_their_last_mark(spark):
+    """Days without a mark keep the last one of a day after entry; candidates carry no paths through acceptance."""
+    day = lambda n: D0 + dt.timedelta(days=n)
+    legs = spark.createDataFrame([("i", "S", "call", day(60), 50.0, 1, 1, D0, 2.0), ("j", "S", "call", day(60), 50.0, 1, 1, day(1), 2.0)],
+                                 "instance_id string, symbol string, option_type string, expiration date, strike double, side int, quantity int, entry_date date, entry_price double")
+    quotes = spark.createDataFrame([("S", day(n), "call", day(60), 50.0, p, p) for n, p in ((0, 2.0), (1, 3.0), (3, 1.0))], "symbol string, quote_date date, option_type string, expiration date, strike double, bid double, ask double")
+    snaps = spark.createDataFrame([("S", day(n), s, 0.2, "LOW") for n, s in ((0, 50.0), (1, 50.0), (2, None), (3, 50.0))], "symbol string, d date, spot double, iv double, regime string")
+    paths = bt.daily_paths(legs, quotes, snaps)
+    assert {(r.instance_id, (r.d - D0).days): r.pnl for r in paths.collect()} == {("i", 1): 100.0, ("i", 2): 100.0, ("i", 3): -100.0, ("j", 3): -100.0}
+    # the exploded days of an instance are grouped where they lie: only arrays were shuffled by instance
+    assert not re.search(r"hashpartitioning\(instance_id#\d+, (symbol|leg_no|quote_date)#", paths._jdf.queryExecution().executedPlan().toString())

@@ -108,7 +108,8 @@ def surface_bracket(points: DataFrame, params: DataFrame, keys=("symbol", "quote
     fitted = F.struct(F.col("dte").cast("double").alias("dte"), "a", "b", "rho", "m", "sigma")
     # the fitted expiries of one symbol-day: a few dozen structs
     ladder = params.groupBy(*keys).agg(F.array_sort(F.collect_list(fitted)).alias("_sl"))
-    joined = points.join(ladder, keys)
+    # both sides are larger than Spark's estimate of them (exploded grids, arrays): neither must be broadcast through the driver
+    joined = points.join(ladder.hint("merge"), keys)
     lo = F.array_max(F.filter("_sl", lambda x: x["dte"] <= F.col("dte")))
     hi = F.array_min(F.filter("_sl", lambda x: x["dte"] > F.col("dte")))
     return joined.withColumns({"_lo": lo, "_hi": hi}).drop("_sl")

@@ -118,12 +118,14 @@ def entry_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain:
 
 
 def instance_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
-    """`greeks`, per instance the net Greeks of one contract on each day from entry to the day before expiration.
+    """`greeks`, per instance the net Greeks of one contract on each day from entry to the day before expiration, or before
+    a leg's `until` where there is one.
 
     They are computed once per distinct contract-day (`contract_greeks`), however many instances hold it.
     """
     priced = contract_greeks(contract_days(legs, snapshots).filter("quote_date < expiration"), snapshots, rate, chain)
-    held = held_days(legs.select("instance_id", *LISTED, "side", "quantity", "entry_date"), priced, GREEKS, lambda x: x["d"] >= F.col("entry_date"))
+    legs = legs if "until" in legs.columns else legs.withColumn("until", F.col("expiration"))
+    held = held_days(legs.select("instance_id", *LISTED, "side", "quantity", "entry_date", "until"), priced, GREEKS, lambda x: (x["d"] >= F.col("entry_date")) & (x["d"] < F.col("until")))
     per = portfolio_greeks(held, ["instance_id", "quote_date"])
     step = F.struct(F.col("quote_date").alias("d"), *GREEKS)
     return per.groupBy("instance_id").agg(F.array_sort(F.collect_list(step)).alias("greeks"))
@@ -311,8 +313,9 @@ def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame,
         "strategy_id", "position_id", "instance_id", "symbol", "structure_type", "expiration", "entry_date", "exit_date", "exit_reason", "exit_pnl", "quantity", "num_legs",
         "capital", "net_premium", "margin", "max_positions"), "candidates")
     taken = materialize(accept_entries(cand, ["strategy_id"], per_symbol, "margin" if limit_margin else None), "taken")
-    # days of Greeks only for what somebody holds
-    legs = legs.join(taken.select("instance_id").distinct(), "instance_id", "left_semi")
+    # Greeks only of instances that somebody holds, and of days on which somebody does
+    until = taken.groupBy("instance_id").agg(F.max(F.coalesce("exit_date", F.lit(FAR).cast("date"))).alias("until"))
+    legs = legs.join(until, "instance_id")
     greeks = instance_greeks(legs, snapshots, rate, quoted)
     opened = execute(legs, ["instance_id"], "entry", commission, slippage_pct, slippage_mode, entry="entry_price").select(
         "instance_id", F.col("total_cost").alias("_cost"), F.col("commission").alias("_c0"), F.col("slippage").alias("_s0"))
@@ -327,7 +330,7 @@ def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame,
         (F.col("net_premium") * q).alias("net_premium"), "margin", (F.col("_cost") * q).alias("total_cost"), (F.col("_proceeds") * q).alias("total_proceeds"),
         (F.col("_c0") * q).alias("entry_commission"), (F.col("_c1") * q).alias("exit_commission"), (F.col("_s0") * q).alias("entry_slippage"),
         (F.col("_s1") * q).alias("exit_slippage"), (F.col("exit_pnl") * q).alias("realized_pnl"), ((F.col("_proceeds") - F.col("_cost")) * q).alias("realized_pnl_fill"),
-        F.datediff("exit_date", "entry_date").alias("hold_days"), "path", "greeks")
+        F.datediff("exit_date", "entry_date").alias("hold_days"), *[F.filter(x, _before_exit).alias(x) for x in ("path", "greeks")])
     positions = materialize(positions, "positions")
     marks = mark_positions(positions)
     curve = equity_curve(positions, marks, strategies, snapshots)
@@ -335,9 +338,13 @@ def run_backtest(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame,
             "equity_curve": curve, "greeks_history": curve.select("strategy_id", "d", *GREEKS)}
 
 
+def _before_exit(x: Column) -> Column:
+    return F.col("exit_date").isNull() | (x["d"] < F.col("exit_date"))
+
+
 def mark_positions(positions: DataFrame) -> DataFrame:
     """One row per open position and day before its exit."""
-    live = F.filter("path", lambda x: F.col("exit_date").isNull() | (x["d"] < F.col("exit_date")))
+    live = F.filter("path", _before_exit)
     days = positions.select("strategy_id", "position_id", "symbol", "quantity", F.explode(live).alias("_p"))
     return days.select("strategy_id", "position_id", "symbol", F.col("_p.d").alias("d"), (F.col("_p.value") * F.col("quantity")).alias("value"),
                        (F.col("_p.pnl") * F.col("quantity")).alias("pnl"), F.col("_p.dte").alias("dte"))
@@ -368,7 +375,7 @@ def equity_curve(positions: DataFrame, marks: DataFrame, strategies: DataFrame,
     opens = positions.select("strategy_id", F.col("entry_date").alias("d"), (-F.col("total_cost")).alias("flow"), (-F.col("net_premium")).alias("value"), F.lit(1).alias("open"))
     leave = positions.filter(F.col("exit_date").isNotNull()).select("strategy_id", F.col("exit_date").alias("d"), F.col("total_proceeds").alias("flow"), F.col("realized_pnl").alias("realized"))
     held = marks.select("strategy_id", "d", "value", F.col("pnl").alias("unreal"), F.lit(1).alias("open"))
-    live = F.filter("greeks", lambda x: F.col("exit_date").isNull() | (x["d"] < F.col("exit_date")))
+    live = F.filter("greeks", _before_exit)
     exposed = positions.select("strategy_id", "quantity", F.explode(live).alias("_g")).select("strategy_id", F.col("_g.d").alias("d"), *[(F.col(f"_g.{g}") * F.col("quantity")).alias(g) for g in GREEKS])
     parts = opens.unionByName(leave, allowMissingColumns=True).unionByName(held, allowMissingColumns=True).unionByName(exposed, allowMissingColumns=True)
     sums = ["flow", "realized", "value", "unreal", "open", *GREEKS]
