@@ -365,7 +365,7 @@ def test_legs_travel_with_arrays_and_keep_their_last_mark(spark):
                                  "instance_id string, symbol string, option_type string, expiration date, strike double, side int, quantity int, entry_date date, entry_price double")
     quotes = spark.createDataFrame([("S", day(n), "call", day(60), 50.0, p, p) for n, p in ((0, 2.0), (1, 3.0), (3, 1.0))], "symbol string, quote_date date, option_type string, expiration date, strike double, bid double, ask double")
     snaps = spark.createDataFrame([("S", day(n), s, 0.2, "LOW") for n, s in ((0, 50.0), (1, 50.0), (2, None), (3, 50.0))], "symbol string, d date, spot double, iv double, regime string")
-    paths = bt.daily_paths(legs, quotes, snaps)
+    paths = bt.daily_paths(legs.withColumn("leg_no", F.lit(1)), quotes, snaps)
     assert {(r.instance_id, (r.d - D0).days): r.pnl for r in paths.collect()} == {("i", 1): 100.0, ("i", 2): 100.0, ("i", 3): -100.0, ("j", 3): -100.0}
     # the exploded days of an instance are grouped where they lie: only arrays were shuffled by instance
     assert not re.search(r"hashpartitioning\(instance_id#\d+, (symbol|leg_no|quote_date)#", paths._jdf.queryExecution().executedPlan().toString())
