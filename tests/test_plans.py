@@ -369,3 +369,32 @@ def test_legs_travel_with_arrays_and_keep_their_last_mark(spark):
     assert {(r.instance_id, (r.d - D0).days): r.pnl for r in paths.collect()} == {("i", 1): 100.0, ("i", 2): 100.0, ("i", 3): -100.0, ("j", 3): -100.0}
     # the exploded days of an instance are grouped where they lie: only arrays were shuffled by instance
     assert not re.search(r"hashpartitioning\(instance_id#\d+, (symbol|leg_no|quote_date)#", paths._jdf.queryExecution().executedPlan().toString())
+
+
+def test_contract_days_are_marked_where_they_lie(spark):
+    """Strikes within a cent share a quote, not what is interpolated for them; no contract-day is shuffled on its way to an instance."""
+    day = lambda n: D0 + dt.timedelta(days=n)
+    legs = spark.createDataFrame([(i, "S", "call", day(60), k, 1, 1, D0, 2.0) for i, k in (("i", 50.0), ("j", 50.004), ("k", 52.5), ("m", 52.502))],
+                                 "instance_id string, symbol string, option_type string, expiration date, strike double, side int, quantity int, entry_date date, entry_price double")
+    listed = [("S", day(1), "call", day(60), k, p, p) for k, p in ((50.0, 3.0), (55.0, 1.0))] + [("S", day(2), "call", day(60), 50.0, 4.0, 4.0)]
+    quotes = spark.createDataFrame(listed, "symbol string, quote_date date, option_type string, expiration date, strike double, bid double, ask double")
+    snaps = spark.createDataFrame([("S", day(n), s, 0.2, r) for n, s, r in ((0, 50.0, "LOW"), (1, 50.0, "HIGH"), (2, None, "LOW"), (60, 56.0, None), (61, 50.0, "LOW"))], "symbol string, d date, spot double, iv double, regime string")
+    paths = bt.daily_paths(legs, quotes, snaps)
+    got = {(r.instance_id, (r.d - D0).days): (round(r.value, 6), r.dte, r.regime) for r in paths.collect()}
+    last = {"i": 600.0, "j": 599.6, "k": 350.0, "m": 349.8}
+    first = {"i": 300.0, "j": 300.0, "k": 200.0, "m": 199.92}
+    second = {"i": 400.0, "j": 400.0, "k": 200.0, "m": 199.92}  # no quote near, no spot: the last mark stays
+    assert got == {(i, n): (v[i], 60 - n, r) for n, v, r in ((1, first, "HIGH"), (2, second, "LOW"), (60, last, None)) for i in "ijkm"}
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert "Exchange" not in plan[plan.index("Window [last"):plan.index("Join", plan.index("Window [last"))]
+
+
+def test_signals_are_made_in_a_fixed_number_of_tasks(spark):
+    """Days and strategies are few in bytes, so AQE would pair them all in one task."""
+    days = spark.createDataFrame([(f"S{i}", D0, 50.0, 0.2, 50.0, 20.0, "LOW", 1, 10, [D0 + dt.timedelta(days=40)]) for i in range(8)],
+                                 "symbol string, d date, spot double, iv double, iv_rank double, vix double, regime string, regime_days int, chain_size int, expiries array<date>")
+    rows = sg.strategies_table(spark, [sg.strategy("s", "long_straddle", [sg.condition("vix", ">", 12)], symbol=f"S{i}") for i in range(8)])
+    out = bt.entry_signals(days, rows)
+    assert out.count() == 8
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,6 +13,8 @@ from ..functions.pricing import price_chain
 
 DAY = ["symbol", "quote_date"]
 CONTRACT = ["symbol", "quote_date", "option_type", "expiration"]
+#: A contract over its days, by the strike's key (`strike_key`).
+SERIES = ["symbol", "option_type", "expiration", "_strike"]
 DEFAULT_IV = 0.20
 MARK_RATE = 0.05
 MIN_MARK = 0.01
@@ -98,11 +100,13 @@ def lookup_quotes(legs: DataFrame, chain: DataFrame, date="quote_date") -> DataF
     """bid/ask/mid of each leg's contract on its day; unknown contracts keep NULLs."""
     px = chain.select(
         F.col("symbol"), F.col("quote_date").alias(date), "option_type", "expiration", strike_key().alias("_k"),
-        F.col("bid").alias("bid"), F.col("ask").alias("ask"), mid_price().alias("quote_mid"),
+        F.col("bid").alias("bid"), F.col("ask").alias("ask"), F.lit(True).alias("_listed"),
         *[F.col(c).alias(c) for c in ("volume",) if c in chain.columns],
     )
     on = ["symbol", date, "option_type", "expiration", "_k"]
-    return legs.withColumn("_k", strike_key()).join(px, on, "left").drop("_k")
+    # the mid follows from what is joined, so it is not shuffled with the chain
+    found = legs.withColumn("_k", strike_key()).join(px, on, "left").withColumn("quote_mid", F.when(F.col("_listed"), mid_price()))
+    return found.select(*legs.columns, "bid", "ask", "quote_mid", *[c for c in ("volume",) if c in chain.columns])
 
 
 def interpolated_marks(missing: DataFrame, chain: DataFrame) -> DataFrame:
@@ -140,22 +144,58 @@ def mark_contracts(wanted: DataFrame, chain: DataFrame, snapshots: DataFrame) ->
     Marking contracts instead of legs keeps the work proportional to what is listed, however many
     strategies and parameter sets hold the same contract. `mark_source` tells which rule fired.
     """
-    want = wanted.select(*CONTRACT, "strike").distinct()
-    exact = lookup_quotes(want, chain).select(*CONTRACT, "strike", F.col("quote_mid").alias("exact"))
-    interp = interpolated_marks(exact.filter(F.col("exact").isNull()), chain)
-    both = exact.join(interp, [*CONTRACT, "strike"], "left")
+    want = wanted.select(*CONTRACT, "strike").distinct().withColumn("_strike", strike_key())
     day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_spot"), F.col("iv").alias("_iv"))
-    both = both.join(day, DAY, "left")
+    exact = want.join(_mids(chain), [*CONTRACT, "_strike"], "left")
+    interp = interpolated_marks(exact.filter(F.col("exact").isNull()), chain)
+    return _best_mark(exact.join(interp, [*CONTRACT, "strike"], "left").join(day, DAY, "left")).select(*CONTRACT, "strike", "mark", "mark_source")
+
+
+def mark_series(own: DataFrame, chain: DataFrame) -> DataFrame:
+    """`mark_contracts` for contracts (`SERIES` and strike) with the array `_days` of their days: one row per contract-day with
+    the day's fields (`quote_date`, `_spot`, `_iv` and others), `mark` and `mark_source`.
+
+    `own` lies by `SERIES` in as many tasks as the session shuffles to. Quotes come to a contract as one array, bounded by the
+    calendar, and meet its days where they lie, so later groups by contract shuffle no contract-days.
+    """
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = {f.name: f.dataType for f in own.schema["_days"].dataType.elementType.fields if f.name != "quote_date"}
+    types = {**fields, "exact": "double", "interp": "double"}
+
+    def arrays(rows, name, *columns):
+        return rows.repartition(tasks, *SERIES).groupBy(*SERIES).agg(F.collect_list(F.struct("quote_date", *columns)).alias(name)).hint("merge")
+
+    def part(array, given, asked=False):
+        row = lambda x: F.struct(x["quote_date"].alias("quote_date"), *[(x[c] if c in given else F.lit(None)).cast(t).alias(c) for c, t in types.items()], F.lit(asked).alias("_asked"))
+        return F.coalesce(F.transform(array, row), F.array())
+
+    def met(contracts, *more):
+        rows = contracts.select(*SERIES, "strike", F.inline(F.concat(part("_days", fields, True), part("_quotes", ["exact"]), *more)))
+        return rows.groupBy(*SERIES, "strike", "quote_date").agg(*[F.max(c).alias(c) for c in types], F.max("_asked").alias("_asked")).filter("_asked").drop("_asked")
+
+    quoted = own.join(arrays(_mids(chain), "_quotes", "exact"), SERIES, "left")
+    interp = interpolated_marks(met(quoted).filter("exact IS NULL"), chain).withColumn("_strike", strike_key())
+    both = quoted.join(arrays(interp, "_between", "strike", "interp"), SERIES, "left")
+    # strikes within a cent share quotes, but not what is interpolated for them
+    marked = met(both, part(F.filter("_between", lambda x: x["strike"] == F.col("strike")), ["interp"]))
+    return _best_mark(marked).drop("exact", "interp")
+
+
+def _mids(chain: DataFrame) -> DataFrame:
+    return chain.select(*CONTRACT, strike_key().alias("_strike"), mid_price().alias("exact"))
+
+
+def _best_mark(both: DataFrame) -> DataFrame:
+    """`mark` and `mark_source` from `exact`, `interp` and the model at `_spot` and `_iv`."""
     dte = F.datediff("expiration", "quote_date")
     sigma = F.when(F.col("_iv") > 0, F.col("_iv")).otherwise(F.lit(DEFAULT_IV))
     modelled = price_chain(both, "_spot", "strike", F.greatest(dte, F.lit(0)) / 365.0, MARK_RATE, sigma, out="_bs")
     model = F.when(dte <= 0, intrinsic("_spot", "strike", "option_type")).otherwise(F.greatest("_bs", F.lit(MIN_MARK)))
     model = F.when(F.col("_spot") > 0, model)
-    return modelled.select(
-        *CONTRACT, "strike", F.coalesce("exact", "interp", model).alias("mark"),
-        F.when(F.col("exact").isNotNull(), F.lit("exact")).when(F.col("interp").isNotNull(), F.lit("interpolated"))
-        .when(model.isNotNull(), F.lit("model")).alias("mark_source"),
-    )
+    return modelled.withColumns({
+        "mark": F.coalesce("exact", "interp", model),
+        "mark_source": F.when(F.col("exact").isNotNull(), F.lit("exact")).when(F.col("interp").isNotNull(), F.lit("interpolated")).when(model.isNotNull(), F.lit("model")),
+    }).drop("_bs")
 
 
 def settled(marked: DataFrame, snapshots: DataFrame, settle="intrinsic") -> DataFrame:

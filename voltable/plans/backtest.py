@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import CONTRACT_MULTIPLIER
-from ..functions.instrument import leg_pnl, market_value, round_strike
+from ..functions.instrument import intrinsic, leg_pnl, market_value, round_strike
 from ..functions.pricing import enrich_greeks
-from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, lookup_quotes, mark_contracts, settled
+from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, SERIES, lookup_quotes, mark_contracts, mark_series, strike_key
 from ..operators.joins import attach_by_key, attach_measured
 from ..operators.kernels import implied_vol
 from ..operators.risk import GREEKS, leg_margin, portfolio_greeks
@@ -52,7 +52,11 @@ def entry_signals(snapshots: DataFrame, strategies: DataFrame, custom: Column |
     `snapshots` carries `expiries`. A symbol's days are bounded by the calendar, its strategies are
     not, so the strategies are spread over salts.
     """
-    both = attach_by_key(strategies, snapshots, ["symbol"], F.col("strategy_id"), SALTS)
+    # strategies and days are few in bytes, their pairs are many: both sides are dealt over a fixed number of tasks
+    on, tasks = ["symbol", "_salt"], _tasks(strategies)
+    left = strategies.withColumn("_salt", F.pmod(F.xxhash64("strategy_id"), F.lit(SALTS)).cast("int")).repartition(tasks, *on)
+    right = snapshots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(tasks, *on)
+    both = left.join(right.hint("merge"), on).drop("_salt")
     both = both.withColumn("expiration", choose_expiration()).withColumn("dte", F.datediff("expiration", "d"))
     return both.filter(F.col("expiration").isNotNull()).withColumn("_fields", day_fields()).filter(entry_condition(custom=custom)).drop("_fields", "expiries")
 
@@ -76,44 +80,59 @@ def instance_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
     return legs.withColumn("_bad", bad).filter("_bad = 0").drop("_bad")
 
 
-def contract_days(legs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The days on which some leg can hold a contract, once per contract: the symbol's days from the first entry to expiration."""
-    days = snapshots.groupBy("symbol").agg(F.sort_array(F.collect_set("d")).alias("_days"))
-    wanted = F.filter("_days", lambda x: (x >= F.col("_first")) & (x <= F.col("expiration")))
+def _tasks(df: DataFrame) -> int:
+    """An explicit partition count keeps AQE from merging rows that are small in bytes but many, or become many."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def contract_days(legs: DataFrame, snapshots: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Once per contract, `_days`: the days on which some leg can hold it, with `columns` of the day by new names. They are the
+    symbol's days from the first entry to expiration.
+
+    A contract travels with the array of its days, bounded by the calendar, and becomes contract-days where all its days lie
+    (by `SERIES`): groups and windows by contract over them shuffle them no more.
+    """
+    days = snapshots.groupBy("symbol").agg(F.collect_list(F.struct(F.col("d").alias("quote_date"), *[F.col(c).alias(n) for c, n in columns.items()])).alias("_days"))
+    wanted = F.filter("_days", lambda x: (x["quote_date"] >= F.col("_first")) & (x["quote_date"] <= F.col("expiration")))
     first = legs.groupBy(*LISTED).agg(F.min("entry_date").alias("_first"))
-    return attach_by_key(first, days, ["symbol"], F.struct(*LISTED), SALTS).select(*LISTED, F.explode(wanted).alias("quote_date"))
+    own = attach_by_key(first, days, ["symbol"], F.struct(*LISTED), SALTS).select(*LISTED, strike_key().alias("_strike"), wanted.alias("_days"))
+    return own.repartition(_tasks(legs), *SERIES)
 
 
-def held_days(legs: DataFrame, daily: DataFrame, columns: list[str], held: Column) -> DataFrame:
-    """Leg-days with `columns` of their contract-day in `daily`, for the days on which `held` is true of the day `_day`.
+def held_days(legs: DataFrame, daily: DataFrame, columns: list[str], held: Callable[[Column], Column]) -> DataFrame:
+    """Leg-days with `columns` of their contract-day in `daily`, for the days `d` of which `held` is true.
 
-    A contract's days travel as one array, bounded by the calendar: legs are shuffled with an array each, first to their
-    contracts and then to their instance, and become leg-days where all later groups of an instance already lie together.
+    `daily` lies by `SERIES` as `contract_days` deals it. A contract's days travel as one array, bounded by the calendar: legs are
+    shuffled to their contracts and then with an array each to their instance, and become leg-days where all later groups of an
+    instance already lie together.
     """
-    series = daily.groupBy(*LISTED).agg(F.collect_list(F.struct(F.col("quote_date").alias("d"), *columns)).alias("_series"))
-    # an explicit partition count keeps AQE from merging arrays that are small in bytes but many rows
-    tasks = int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = _tasks(legs)
+    series = daily.groupBy(*SERIES).agg(F.collect_list(F.struct("strike", F.col("quote_date").alias("d"), *columns)).alias("_series"))
+    mine = F.filter("_series", lambda x: (x["strike"] == F.col("strike")) & held(x))
     # arrays are larger than Spark's estimate of them, so the side that holds them must not be broadcast
-    own = legs.repartition(tasks, *LISTED).join(series.hint("merge"), LISTED).withColumn("_series", F.filter("_series", held)).repartition(tasks, "instance_id")
+    own = legs.withColumn("_strike", strike_key()).repartition(tasks, *SERIES).join(series.hint("merge"), SERIES)
+    own = own.withColumn("_series", F.transform(mine, lambda x: F.struct(*[x[c].alias(c) for c in ("d", *columns)]))).repartition(tasks, "instance_id")
     return own.select(*legs.columns, F.inline("_series")).withColumnRenamed("d", "quote_date")
 
 
-def contract_greeks(each: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
-    """Greeks of contract-days at the day's spot and at-the-money volatility; with `chain` at the volatility that the
+def contract_greeks(each: DataFrame, rate=GREEKS_RATE) -> DataFrame:
+    """Greeks of contract-days at the day's `_spot` and at-the-money volatility `_iv`; with `mark` at the volatility that the
     contract's own mark implies, where it implies one."""
-    day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_spot"), F.col("iv").alias("_iv"))
-    if chain is not None:
-        each = mark_contracts(each, chain, snapshots).drop("mark_source")
-    each = each.join(day, DAY).withColumns({"_years": F.datediff("expiration", "quote_date") / 365.0, "_sigma": F.when(F.col("_iv") > 0, F.col("_iv")).otherwise(F.lit(DEFAULT_IV))})
-    if chain is not None:
+    each = each.withColumns({"_years": F.datediff("expiration", "quote_date") / 365.0, "_sigma": F.when(F.col("_iv") > 0, F.col("_iv")).otherwise(F.lit(DEFAULT_IV))})
+    if "mark" in each.columns:
         each = implied_vol(each, "mark", "_spot", "strike", "_years", rate, out="_own").withColumn("_sigma", F.coalesce("_own", "_sigma"))
-    return enrich_greeks(each, "_spot", "strike", "_years", rate, "_sigma").select(*CONTRACT, "strike", *GREEKS)
+    keep = [*CONTRACT, "strike", *[c for c in ("_strike",) if c in each.columns]]
+    return enrich_greeks(each, "_spot", "strike", "_years", rate, "_sigma").select(*keep, *GREEKS)
 
 
 def entry_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, chain: DataFrame | None = None) -> DataFrame:
     """Net Greeks of one contract of each instance on its entry day: what sizes by delta need."""
     held = legs.filter("entry_date < expiration").select("instance_id", *LISTED, "side", "quantity", F.col("entry_date").alias("quote_date"))
-    priced = contract_greeks(held.select(*CONTRACT, "strike").distinct(), snapshots, rate, chain)
+    each = held.select(*CONTRACT, "strike").distinct()
+    if chain is not None:
+        each = mark_contracts(each, chain, snapshots).drop("mark_source")
+    day = snapshots.select("symbol", F.col("d").alias("quote_date"), F.col("spot").alias("_spot"), F.col("iv").alias("_iv"))
+    priced = contract_greeks(each.join(day, DAY), rate)
     return portfolio_greeks(held.join(priced, [*CONTRACT, "strike"]), ["instance_id"])
 
 
@@ -123,7 +142,11 @@ def instance_greeks(legs: DataFrame, snapshots: DataFrame, rate=GREEKS_RATE, cha
 
     They are computed once per distinct contract-day (`contract_greeks`), however many instances hold it.
     """
-    priced = contract_greeks(contract_days(legs, snapshots).filter("quote_date < expiration"), snapshots, rate, chain)
+    own = contract_days(legs, snapshots, {"spot": "_spot", "iv": "_iv"})
+    each = own.select(*SERIES, "strike", F.inline("_days")) if chain is None else mark_series(own, chain).drop("mark_source")
+    priced = contract_greeks(each.filter("quote_date < expiration"), rate)
+    if chain is not None:  # solving for volatility leaves no trace of where rows lie
+        priced = priced.repartition(_tasks(legs), *SERIES)
     legs = legs if "until" in legs.columns else legs.withColumn("until", F.col("expiration"))
     held = held_days(legs.select("instance_id", *LISTED, "side", "quantity", "entry_date", "until"), priced, GREEKS, lambda x: (x["d"] >= F.col("entry_date")) & (x["d"] < F.col("until")))
     per = portfolio_greeks(held, ["instance_id", "quote_date"])
@@ -137,11 +160,13 @@ def daily_paths(legs: DataFrame, chain: DataFrame, snapshots: DataFrame, settle=
     A contract is marked once per day, whatever holds it; a day without a mark keeps the last one, if it is of a day after
     the leg's entry (`_since`).
     """
-    marks = settled(mark_contracts(contract_days(legs, snapshots), chain, snapshots), snapshots, settle)
-    life = W.partitionBy(*LISTED).orderBy("quote_date").rowsBetween(W.unboundedPreceding, 0)  # at most the days to expiration
+    marks = mark_series(contract_days(legs, snapshots, {"spot": "_spot", "iv": "_iv", "regime": "regime"}), chain)
+    if settle == "intrinsic":
+        done = (F.col("quote_date") >= F.col("expiration")) & F.col("_spot").isNotNull()
+        marks = marks.withColumn("mark", F.when(done, intrinsic("_spot", "strike", "option_type")).otherwise(F.col("mark")))
+    life = W.partitionBy(*SERIES, "strike").orderBy("quote_date").rowsBetween(W.unboundedPreceding, 0)  # at most the days to expiration
     known = F.last(F.when(F.col("mark").isNotNull(), F.struct("mark", F.col("quote_date").alias("d"))), ignorenulls=True).over(life)
-    regimes = snapshots.select("symbol", F.col("d").alias("quote_date"), "regime")
-    marks = marks.join(regimes, DAY, "left").withColumn("_known", known).select(*CONTRACT, "strike", F.col("_known.mark").alias("_mark"), F.col("_known.d").alias("_since"), "regime")
+    marks = marks.withColumn("_known", known).select(*SERIES, "strike", "quote_date", F.col("_known.mark").alias("_mark"), F.col("_known.d").alias("_since"), "regime")
     held = held_days(legs.select("instance_id", *LISTED, "side", "quantity", "entry_date", "entry_price"), marks, ["_mark", "_since", "regime"], lambda x: x["d"] > F.col("entry_date"))
     held = held.withColumn("mark", F.when(F.col("_since") > F.col("entry_date"), F.col("_mark")))
     per = held.groupBy("instance_id", "quote_date", "expiration").agg(
