@@ -398,3 +398,15 @@ def test_signals_are_made_in_a_fixed_number_of_tasks(spark):
     out = bt.entry_signals(days, rows)
     assert out.count() == 8
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_quantiles_and_rolling_windows_read_rows_once(spark, views):
+    """Hot keys of quantiles are told from counts that exist anyway; curves are dealt over a fixed number of tasks, a frame's deviation is folded once."""
+    from voltable.operators.quantiles import exact_quantiles
+    from voltable.plans import tables as tb
+
+    plan = exact_quantiles(views.trades, ["sid"], "realized_pnl", {"median": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[sid#\d+, _v#\d+", plan)) <= 4
+    out = tb.rolling_sharpe_table(views.equity, ["sid"])
+    assert len(re.findall("stddev_samp\\(", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,14 +27,17 @@ def with_salts(per_key: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame
     return per_key.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
 
 
-def attach_measured(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, salts: int = DEFAULT_SALTS, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+def attach_measured(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Column, salts: int = DEFAULT_SALTS, hot_rows: int = HOT_ROWS, how: str = "inner",
+                    measured: DataFrame | None = None) -> DataFrame:
     """`attach_by_key` that counts the keys first: only rows of keys with more than `hot_rows` rows are spread over salts, and
     only the summaries of these keys are repeated; a cold key's summary stays one row.
 
     The hot keys are broadcast: there are at most rows / `hot_rows` of them. `rows` is read twice, so it should be a table
-    or a cheap plan. Rows with a null key meet nothing.
+    or a cheap plan; where it is neither, `measured` (keys, `_rows`) tells how many rows a key has at most. Rows with a null key
+    meet nothing.
     """
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys, F.lit(salts).alias("_salts"))
+    measured = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if measured is None else measured
+    hot = measured.filter(F.col("_rows") > hot_rows).select(*keys, F.lit(salts).alias("_salts"))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     return left.join(with_salts(per_key, hot, keys), [*keys, "_salt"], how).drop("_salt")
 

@@ -27,11 +27,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     )
     # number of cuts below the value, by a coarse and then a fine scan
     top = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("_cuts", i * COARSE))
-    located = attach_measured(counts, cuts.withColumn("_top", top), keys, F.col("_v")).withColumn(
+    located = attach_measured(counts, cuts.withColumn("_top", top), keys, F.col("_v"), measured=cuts.select(*keys, F.col("_n").alias("_rows"))).withColumn(
         "_j", F.size(F.filter("_top", lambda x: x < F.col("_v"))) * COARSE)
     fine = F.size(F.filter(F.slice("_cuts", F.col("_j") + 1, F.lit(COARSE - 1)), lambda x: x < F.col("_v")))
     celled = located.select(*keys, "_v", "_c", (F.col("_j") + fine).alias("_cell"))
-    per_cell = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"))
+    per_cell = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_cc"), F.count(F.lit(1)).alias("_rows"))
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_cell.withColumn("_off", F.coalesce(F.sum("_cc").over(before), F.lit(0)))
     totals = cuts.select(*keys, "_n")
@@ -42,9 +42,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         ranks += [F.floor(at), F.ceil(at)]
     wanted = F.exists(F.array(*ranks), lambda k: (k >= F.col("_off")) & (k < F.col("_off") + F.col("_cc")))
     cells = offsets.join(totals, keys).filter(wanted)
+    # cells without a wanted rank meet nothing, however many rows they have
     inside = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     located = (
-        attach_measured(celled, cells, [*keys, "_cell"], F.col("_v"))
+        attach_measured(celled, cells.drop("_rows"), [*keys, "_cell"], F.col("_v"), measured=cells.select(*keys, "_cell", "_rows"))
         .withColumn("_end", F.col("_off") + F.sum("_c").over(inside))
     )
     aggs, outs = [], []

@@ -56,9 +56,10 @@ def rolling_sharpe(
 ) -> DataFrame:
     """NULL until the window holds `window` returns, and where the deviation vanishes."""
     w = trailing(keys, window, date)
-    std = F.stddev_samp(returns).over(w)
-    value = (F.avg(returns).over(w) - risk_free / periods) / std * F.sqrt(F.lit(periods))
-    return df.withColumn(out, F.when((F.count(returns).over(w) == window) & (std > 0), value))
+    # each is one fold over the frame of every row, so none is written twice
+    seen = df.withColumns({"_mean": F.avg(returns).over(w), "_std": F.stddev_samp(returns).over(w), "_n": F.count(returns).over(w)})
+    value = (F.col("_mean") - risk_free / periods) / F.col("_std") * F.sqrt(F.lit(periods))
+    return seen.withColumn(out, F.when((F.col("_n") == window) & (F.col("_std") > 0), value)).drop("_mean", "_std", "_n")
 
 
 def historical_volatility(

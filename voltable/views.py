@@ -74,7 +74,9 @@ class Views:
     @cached_property
     def equity(self) -> DataFrame:
         """sid, d, equity: one daily curve per supplier."""
-        daily = self._lines.groupBy("sid", "d").agg(F.sum("pnl").alias("p"))
+        # days are few in bytes, windows over them long: an explicit count keeps AQE from merging curves into few tasks
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        daily = self._lines.groupBy("sid", "d").agg(F.sum("pnl").alias("p")).repartition(tasks, "sid")
         w = W.partitionBy("sid").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
         total = F.lit("1000000").cast("decimal(28,4)") + F.sum("p").over(w)
         return daily.select("sid", "d", total.cast("double").alias("equity"))
