@@ -410,3 +410,19 @@ def test_quantiles_and_rolling_windows_read_rows_once(spark, views):
     out = tb.rolling_sharpe_table(views.equity, ["sid"])
     assert len(re.findall("stddev_samp\\(", out._jdf.queryExecution().optimizedPlan().toString())) == 1
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_days_found_by_a_custom_exit_meet_signals_without_paths(spark):
+    """No path is shuffled by strategy: the rule's days are joined to the signals before these meet their instances."""
+    rows = [(f"s{i}", "a", D0, "long_call", 0.5, "premium") for i in range(3)]
+    signals = spark.createDataFrame(rows, "strategy_id string, instance_id string, entry_date date, structure_type string, loss_limit double, exit_base string").selectExpr(
+        "*", "CAST(NULL AS int) AS exit_dte", "CAST(NULL AS double) AS profit_target", "CAST(NULL AS double) AS stop_dollars", "CAST(NULL AS double) AS trailing_stop", "CAST(NULL AS int) AS max_holding_days",
+        "false AS regime_exit", "'fixed' AS sizing_method", "1.0D AS sizing_value", "10 AS max_contracts", "100000.0D AS capital")
+    paths = spark.createDataFrame([("a", D0 + dt.timedelta(days=n), -10.0 * n, 90.0, 30 - n, "LOW") for n in range(1, 5)], "instance_id string, d date, pnl double, value double, dte int, regime string")
+    facts = spark.createDataFrame([("a", -100.0, 1, 0.5, 100.0, 100.0, 100.0)], "instance_id string, net_premium double, num_legs int, delta_per_contract double, max_loss_per_contract double, margin_per_contract double, premium_per_contract double")
+    out = bt.first_exit(signals, paths, facts, F.col("day.pnl") <= -30)
+    assert [(r.strategy_id, r.exit_reason, (r.exit_date - D0).days) for r in out.sort("strategy_id").collect()] == [(f"s{i}", "custom", 3) for i in range(3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    top = plan[:plan.index("Exchange hashpartitioning")]
+    assert not re.search(r"Join \[strategy_id#", top)  # the last join is by instance

@@ -230,10 +230,16 @@ def first_exit(signals: DataFrame, paths: DataFrame, facts: DataFrame, custom: C
 
 def scan_exits(signals: DataFrame, instances: DataFrame, custom: Callable[[Column], Column] | Column | None = None) -> DataFrame:
     """`first_exit` from one table of instances: their facts and their `path`."""
-    known = attach_measured(signals, instances, ["instance_id"], F.col("strategy_id"), SALTS).withColumn("quantity", position_size())
+    measured = signals.groupBy("instance_id").agg(F.count(F.lit(1)).alias("_rows"))
+
+    def with_paths(candidates):
+        return attach_measured(candidates, instances, ["instance_id"], F.col("strategy_id"), SALTS, measured=measured).withColumn("quantity", position_size())
+
+    known = with_paths(signals)
     if isinstance(custom, Column):
+        # the days the rule found come to the signals, which carry no paths yet
         rows = known.select("*", F.explode("path").alias("day")).filter(custom).groupBy("strategy_id", "instance_id").agg(F.min("day.d").alias("_custom"))
-        known = known.join(rows, ["strategy_id", "instance_id"], "left")
+        known = with_paths(signals.join(rows, ["strategy_id", "instance_id"], "left"))
         met = lambda x: x["d"] == F.col("_custom")
     else:
         met = custom or (lambda x: None)
