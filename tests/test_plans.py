@@ -426,3 +426,34 @@ def test_days_found_by_a_custom_exit_meet_signals_without_paths(spark):
     plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
     top = plan[:plan.index("Exchange hashpartitioning")]
     assert not re.search(r"Join \[strategy_id#", top)  # the last join is by instance
+
+
+def test_instances_become_legs_where_their_quotes_lie(spark):
+    """Legs of one instance are not shuffled: the quotes of its day and expiration come to it as one array."""
+    day = lambda n: D0 + dt.timedelta(days=n)
+    named = [(f"{k}{w}", "S", D0, "long_strangle", day(40), 50.0, w, 5.0, 50.0) for k in "ab" for w in (5.0, 10.0)] + [("c", "T", D0, "long_strangle", day(40), 50.0, 5.0, 5.0, 50.0)]
+    signals = spark.createDataFrame(named * 2, "instance_id string, symbol string, entry_date date, structure_type string, expiration date, atm double, width double, wing double, spot double")
+    listed = [("S", D0, t, day(40), k, 1.0, 3.0) for t, k in (("put", 45.0), ("call", 55.001), ("put", 40.0), ("call", 65.0))] + [("S", day(1), "call", day(40), 60.0, 1.0, 3.0)]
+    quotes = spark.createDataFrame(listed, "symbol string, quote_date date, option_type string, expiration date, strike double, bid double, ask double")
+    legs = bt.instance_legs(signals, quotes)
+    assert sorted((r.instance_id, r.leg_no, r.option_type, r.strike, r.bid, r.entry_price) for r in legs.collect()) == [
+        (i, n, t, k, 1.0, 2.0) for i in ("a5.0", "b5.0") for n, t, k in sorted((r.leg_no, r.option_type, r.strike) for r in legs.filter(F.col("instance_id") == i).collect())]
+    assert {r.strike for r in legs.collect()} == {45.0, 55.0}
+    plan = legs._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange") == 2
+
+
+def test_missing_days_are_told_without_grouping_days(spark):
+    """Days without a quote are read off the arrays of days and quotes; no contract-day is grouped to find them."""
+    from voltable.operators.chain import SERIES, mark_series
+
+    day = lambda n: D0 + dt.timedelta(days=n)
+    own = spark.createDataFrame([("S", "call", day(60), 5000, 50.0, [(day(n), 50.0, 0.2) for n in range(3)])],
+                                "symbol string, option_type string, expiration date, _strike bigint, strike double, _days array<struct<quote_date: date, _spot: double, _iv: double>>")
+    quotes = spark.createDataFrame([("S", day(1), "call", day(60), k, 3.0, 5.0) for k in (50.0, 55.0)] + [("S", day(2), "call", day(60), k, p, p) for k, p in ((45.0, 6.0), (55.0, 2.0))],
+                                   "symbol string, quote_date date, option_type string, expiration date, strike double, bid double, ask double")
+    marks = mark_series(own.repartition(4, *SERIES), quotes)
+    assert {(r.quote_date - D0).days: (r.mark_source, r.mark if r.mark_source != "model" else None) for r in marks.collect()} == {0: ("model", None), 1: ("exact", 4.0), 2: ("interpolated", 4.0)}
+    plan = marks._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate inline\(concat", plan)) == 1

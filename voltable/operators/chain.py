@@ -109,6 +109,20 @@ def lookup_quotes(legs: DataFrame, chain: DataFrame, date="quote_date") -> DataF
     return found.select(*legs.columns, "bid", "ask", "quote_mid", *[c for c in ("volume",) if c in chain.columns])
 
 
+def listed_quotes(chain: DataFrame, date="quote_date") -> DataFrame:
+    """`_quotes`: what is listed of a symbol, day and expiration as one array, a bounded set."""
+    quote = F.struct("option_type", strike_key().alias("_k"), "bid", "ask")
+    return chain.groupBy("symbol", F.col("quote_date").alias(date), "expiration").agg(F.collect_list(quote).alias("_quotes"))
+
+
+def array_quotes(legs: DataFrame) -> DataFrame:
+    """`lookup_quotes` for legs that carry the `listed_quotes` of their symbol, day and expiration; without the volume."""
+    mine = F.filter("_quotes", lambda q: (q["option_type"] == F.col("option_type")) & (q["_k"] == strike_key()))
+    px = F.transform(mine, lambda q: F.struct(q["bid"].alias("bid"), q["ask"].alias("ask"), F.lit(True).alias("_listed")))
+    keep = [c for c in legs.columns if c != "_quotes"]
+    return legs.select(*keep, F.inline_outer(px)).withColumn("quote_mid", F.when(F.col("_listed"), mid_price())).drop("_listed")
+
+
 def interpolated_marks(missing: DataFrame, chain: DataFrame) -> DataFrame:
     """Strike neighbours within +-7 days of expiry, for contracts without a quote of their own.
 
@@ -174,7 +188,11 @@ def mark_series(own: DataFrame, chain: DataFrame) -> DataFrame:
         return rows.groupBy(*SERIES, "strike", "quote_date").agg(*[F.max(c).alias(c) for c in types], F.max("_asked").alias("_asked")).filter("_asked").drop("_asked")
 
     quoted = own.join(arrays(_mids(chain), "_quotes", "exact"), SERIES, "left")
-    interp = interpolated_marks(met(quoted).filter("exact IS NULL"), chain).withColumn("_strike", strike_key())
+    known = F.transform(F.filter("_quotes", lambda x: x["exact"].isNotNull()), lambda x: x["quote_date"])
+    missing = F.array_except(F.transform("_days", lambda x: x["quote_date"]), F.coalesce(known, F.array().cast("array<date>")))
+    # with the strike in the condition both uses of the missing days read the same exchange
+    missing = quoted.select(*SERIES, "strike", F.explode(F.when(F.col("strike").isNotNull(), missing)).alias("quote_date"))
+    interp = interpolated_marks(missing, chain).withColumn("_strike", strike_key())
     both = quoted.join(arrays(interp, "_between", "strike", "interp"), SERIES, "left")
     # strikes within a cent share quotes, but not what is interpolated for them
     marked = met(both, part(F.filter("_between", lambda x: x["strike"] == F.col("strike")), ["interp"]))

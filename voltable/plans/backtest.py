@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.common import CONTRACT_MULTIPLIER
 from ..functions.instrument import intrinsic, leg_pnl, market_value, round_strike
 from ..functions.pricing import enrich_greeks
-from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, SERIES, lookup_quotes, mark_contracts, mark_series, strike_key
+from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, SERIES, array_quotes, listed_quotes, lookup_quotes, mark_contracts, mark_series, strike_key
 from ..operators.joins import attach_by_key, attach_measured
 from ..operators.kernels import implied_vol
 from ..operators.risk import GREEKS, leg_margin, portfolio_greeks
@@ -73,10 +73,15 @@ def with_instances(signals: DataFrame) -> DataFrame:
 
 
 def instance_legs(signals: DataFrame, chain: DataFrame) -> DataFrame:
-    """J06 on distinct instances: one-contract legs with entry quotes; instances with an unquoted leg drop out."""
-    inst = signals.select("instance_id", *INSTANCE, "spot").distinct().withColumn("quantity", F.lit(1))
-    legs = lookup_quotes(build_structures(inst), chain, "entry_date").withColumn("entry_price", F.col("quote_mid"))
-    bad = F.max(F.when(F.coalesce(F.col("entry_price"), F.lit(0.0)) <= 0, 1).otherwise(0)).over(W.partitionBy("instance_id"))
+    """J06 on distinct instances: one-contract legs with entry quotes; instances with an unquoted leg drop out.
+
+    Instances are shuffled once, to their day and expiration, and become legs where the quotes of that day and expiration lie as
+    one array; whether a leg is unquoted is known there as well.
+    """
+    on = ["symbol", "entry_date", "expiration"]
+    inst = signals.select("instance_id", *INSTANCE, "spot").repartition(_tasks(signals), *on).distinct().withColumn("quantity", F.lit(1))
+    legs = array_quotes(build_structures(inst.join(listed_quotes(chain, "entry_date").hint("merge"), on, "left"))).withColumn("entry_price", F.col("quote_mid"))
+    bad = F.max(F.when(F.coalesce(F.col("entry_price"), F.lit(0.0)) <= 0, 1).otherwise(0)).over(W.partitionBy(*on, "instance_id"))
     return legs.withColumn("_bad", bad).filter("_bad = 0").drop("_bad")
 
 
