@@ -457,3 +457,21 @@ def test_missing_days_are_told_without_grouping_days(spark):
     assert {(r.quote_date - D0).days: (r.mark_source, r.mark if r.mark_source != "model" else None) for r in marks.collect()} == {0: ("model", None), 1: ("exact", 4.0), 2: ("interpolated", 4.0)}
     plan = marks._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Generate inline\(concat", plan)) == 1
+
+
+def test_exits_read_their_day_as_one_array(spark):
+    """Closing quotes come by day and expiration as one array, no contract is shuffled alone; an unlisted leg falls back to its entry price. Curves' days are dealt over tasks."""
+    day = lambda n: D0 + dt.timedelta(days=n)
+    legs = spark.createDataFrame([(i, "S", "call", day(40), k, 1, 1, D0, 2.0, 1.9, 2.1, 2.0) for i, k in (("a", 50.0), ("b", 55.0))],
+                                 "instance_id string, symbol string, option_type string, expiration date, strike double, side int, quantity int, entry_date date, entry_price double, bid double, ask double, quote_mid double")
+    quotes = spark.createDataFrame([("S", day(n), t, day(40), 50.001, 1.0 + n, 5.0) for n in (0, 3) for t in ("call", "put")], "symbol string, quote_date date, option_type string, expiration date, strike double, bid double, ask double")
+    taken = spark.createDataFrame([("a", day(3)), ("a", day(3)), ("b", day(3)), ("b", None)], "instance_id string, exit_date date")
+    fills = bt.exit_fills(taken, legs, quotes, 0.65, 0.01, "double")
+    assert {r.instance_id: round(r.total_proceeds, 6) for r in fills.collect()} == {"a": 391.35, "b": 193.39}
+    assert not re.search(r"hashpartitioning\([^)]*option_type#", fills._jdf.queryExecution().executedPlan().toString())
+    positions = spark.createDataFrame([], "strategy_id string, entry_date date, exit_date date, total_cost double, net_premium double, total_proceeds double, realized_pnl double, quantity int, "
+                                          f"greeks array<struct<d: date, {', '.join(f'{g}: double' for g in bt.GREEKS)}>>")
+    marks = spark.createDataFrame([], "strategy_id string, d date, value double, pnl double")
+    curve = bt.equity_curve(positions, marks, spark.createDataFrame([("s", "S", 100.0)], "strategy_id string, symbol string, capital double"), spark.createDataFrame([("S", day(n)) for n in range(2)], "symbol string, d date"))
+    assert [(r.d, r.equity) for r in curve.sort("d").collect()] == [(day(0), 100.0), (day(1), 100.0)]
+    assert "RepartitionByExpression [strategy_id" in curve._jdf.queryExecution().optimizedPlan().toString()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.common import CONTRACT_MULTIPLIER
 from ..functions.instrument import intrinsic, leg_pnl, market_value, round_strike
 from ..functions.pricing import enrich_greeks
-from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, SERIES, array_quotes, listed_quotes, lookup_quotes, mark_contracts, mark_series, strike_key
+from ..operators.chain import CONTRACT, DAY, DEFAULT_IV, SERIES, array_quotes, listed_quotes, mark_contracts, mark_series, strike_key
 from ..operators.joins import attach_by_key, attach_measured
 from ..operators.kernels import implied_vol
 from ..operators.risk import GREEKS, leg_margin, portfolio_greeks
@@ -310,8 +310,9 @@ def accept_entries(candidates: DataFrame, keys: list[str], per_symbol: int | Non
 def exit_fills(accepted: DataFrame, legs: DataFrame, chain: DataFrame, commission, slippage_pct, slippage_mode) -> DataFrame:
     """K09 on distinct (instance, exit day): proceeds of closing one contract."""
     closes = accepted.filter(F.col("exit_date").isNotNull()).select("instance_id", "exit_date").distinct()
-    wanted = legs.drop("bid", "ask", "quote_mid", "volume").join(closes, "instance_id").withColumn("quote_date", F.col("exit_date"))
-    return execute(lookup_quotes(wanted, chain), ["instance_id", "exit_date"], "exit", commission, slippage_pct, slippage_mode, entry="entry_price")
+    wanted = legs.drop("bid", "ask", "quote_mid").join(closes, "instance_id")
+    quoted = array_quotes(wanted.join(listed_quotes(chain, "exit_date").hint("merge"), ["symbol", "exit_date", "expiration"], "left"))
+    return execute(quoted, ["instance_id", "exit_date"], "exit", commission, slippage_pct, slippage_mode, entry="entry_price")
 
 
 def prepare_signals(strategies: DataFrame, chain: DataFrame, snapshots: DataFrame, custom: Column | None = None) -> DataFrame:
@@ -406,7 +407,9 @@ def equity_curve(positions: DataFrame, marks: DataFrame, strategies: DataFrame,
     A position is worth its mark, on the entry day its entry premium.
     """
     days = snapshots.groupBy("symbol").agg(F.sort_array(F.collect_set("d")).alias("_days"))
-    grid = attach_by_key(strategies.select("strategy_id", "symbol", "capital"), days, ["symbol"], F.col("strategy_id"), SALTS).select(
+    # strategies are few in bytes, their days many: AQE would write all of them in one task
+    own = strategies.select("strategy_id", "symbol", "capital").repartition(_tasks(positions), "strategy_id")
+    grid = attach_by_key(own, days, ["symbol"], F.col("strategy_id"), SALTS).select(
         "strategy_id", "capital", F.explode("_days").alias("d"))
     opens = positions.select("strategy_id", F.col("entry_date").alias("d"), (-F.col("total_cost")).alias("flow"), (-F.col("net_premium")).alias("value"), F.lit(1).alias("open"))
     leave = positions.filter(F.col("exit_date").isNotNull()).select("strategy_id", F.col("exit_date").alias("d"), F.col("total_proceeds").alias("flow"), F.col("realized_pnl").alias("realized"))
